@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rollkin.llm import compression_bands, sentence_pieces, token_counts
+from rollkin.llm import compression_bands, jaccard_join, kd_shards, line_spread, lm_scores, sentence_pieces, source_mix, telephony, token_counts, url_filter
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -20,6 +21,35 @@ def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.round_trip(_documents(spark, sf_dir), PIECE_MODEL)
 
 
+def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.assign_shards(_documents(spark, sf_dir), n_shards=8)
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(_documents(spark, sf_dir), words=4, percent=85)
+
+
+def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.stored_digests(_documents(spark, sf_dir))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filter.rules_frame(spark, url_filter.RULES))
+
+
+def op6_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_spread.remove_boilerplate(_documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(_documents(spark, sf_dir)).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("rate", 6).alias("rate"), "kept")
+
+
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND coalesce(toxic, 0) = 0")
+    return lm_scores.cross_entropy_difference(_documents(spark, sf_dir), good)
+
+
 def op9_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands.judge(_documents(spark, sf_dir))
 
@@ -29,8 +59,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentence_pieces, op9_compression_bands, op10_token_counts)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_sentence_pieces, op2_kd_shards, op3_jaccard_join, op4_telephony, op5_url_filter, op6_line_spread, op7_source_mix, op8_lm_scores,
+            op9_compression_bands, op10_token_counts,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_jaccard_join": jaccard_join.oracle_sql(4, 85), "op5_url_filter": url_filter.ORACLE_SQL, "op6_line_spread": line_spread.oracle_sql()}

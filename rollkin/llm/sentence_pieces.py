@@ -15,6 +15,7 @@ on position, and words over ``LONGEST`` characters are merged in the plain way.
 
 from __future__ import annotations
 
+import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,7 +31,7 @@ from rollkin.llm.piece_model import MARK, PieceModel, load, marked_words
 
 LONGEST = 200
 REMEMBERED = 1 << 20
-WORDS = 800_000
+WORDS = 500_000
 
 
 class ForwardTrie:
@@ -188,7 +189,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: st
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col, 16 << 20):
+            for part in slices(batch, text_col):
                 ids = encode_texts(texts_of(part, text_col), model_path)
                 ids = pc.if_else(part.column(text_col).is_valid(), ids, pa.scalar(None, ids.type))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, out_col])
@@ -224,12 +225,26 @@ def _with(docs: DataFrame, column: str, kind: str):
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, piece_ids, n_pieces, whether decoding gives the text back, and the decoded text's CRC-32.
 
-    Null text: null ids, 0 pieces, ``restored`` true (null came back), null CRC.
+    ``encode`` and ``decode`` in one pass, so that the text crosses to Python once and
+    only ids and digests come back. Null text: null ids, 0 pieces, ``restored`` true
+    (null came back), null CRC. Other cases as there.
     """
     source = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
-    both = decode(encode(source, model_path), model_path)
-    return both.select(
-        "doc_id", "piece_ids", F.coalesce(F.when(F.col("piece_ids").isNotNull(), F.size("piece_ids")), F.lit(0)).cast("long").alias("n_pieces"),
-        F.col("decoded").eqNullSafe(F.col("text")).alias("restored"),
-        F.crc32(F.encode("decoded", "UTF-8")).alias("decoded_crc32"),
-    )
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                text = part.column("text")
+                ids = encode_texts(texts_of(part, "text"), model_path)
+                back = decode_lists(ids, model_path)
+                crc = [zlib.crc32(t.as_buffer()) if there else None for t, there in zip(back, text.is_valid().to_pylist())]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"), pc.if_else(text.is_valid(), ids, pa.scalar(None, ids.type)), pc.list_value_length(ids).cast(pa.int64()),
+                        pc.fill_null(pc.equal(back, text), True), pa.array(crc, pa.int64()),
+                    ],
+                    names=["doc_id", "piece_ids", "n_pieces", "restored", "decoded_crc32"],
+                )
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(work, f"doc_id {kind}, piece_ids array<int>, n_pieces long, restored boolean, decoded_crc32 long")
