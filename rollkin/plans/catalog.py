@@ -1,17 +1,643 @@
-"""Named queries over the supplied tables and the SQL that each must agree with."""
+"""Named queries over the supplied tables and the SQL that each must agree with.
+
+Every query runs over the whole register that the folder's ``part`` table stands for.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rollkin.functions import dates as dt
+from rollkin.functions import similarity as sim
+from rollkin.functions import text as tx
+from rollkin.operators import combined, enrichment, explore, extraction, flags, household, rules
+from rollkin.plans import reference_sql as ref
+from rollkin.plans import rendered
+from rollkin.sources import registry as rg
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def query(sql: str | None = None, base: str = ref.BASE):
+    """Registers a function under its name; ``sql`` is put behind the CTEs of ``base``."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = f"WITH RECURSIVE {base} {sql}"
+        return f
+
+    return add
+
+
+def register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rg.derived_registry(spark, sf_dir)
+
+
+def photos_of(registry: DataFrame) -> DataFrame:
+    return registry.select(F.col("id").alias("voter_id"), "phash")
+
+
+def flag_tables(registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Flags of the cheap rules with ids, and reviews of every third voter's."""
+    number = reduce(lambda e, kv: e.when(F.col("rule") == kv[0], kv[1]), ref.NUMBERS.items(), F.when(F.lit(False), 0))
+    found = rules.run_rules(registry, [r for r in ref.NUMBERS], photos_of(registry))
+    stored = found.withColumn("id", (F.col("voter_id") * 1000000 + F.coalesce("related_voter_id", F.lit(0))) * 10 + number)
+    reviews = stored.where("voter_id % 3 = 0").selectExpr(ref.REVIEW_COLUMNS[0]).union(stored.where("voter_id % 6 = 0").selectExpr(ref.REVIEW_COLUMNS[1]))
+    reviews = reviews.select(F.col("review_key").alias("id"), "flag_id", "verdict", F.lit(None).cast("string").alias("reviewer"), F.lit(None).cast("string").alias("notes"), "reviewed_at")
+    return stored, reviews
+
+
+def shown(found: DataFrame) -> DataFrame:
+    return found.select("rule", "severity", F.round(F.col("score").cast("double"), 3).alias("score"), "voter_id", "related_voter_id")
+
+
+def _add_rule(name: str, number: int, f: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    key = f"r{number:02d}_{name}"
+    _QUERIES[key] = lambda spark, sf_dir: shown(f(register(spark, sf_dir)))
+    _SQL[key] = sql
+
+
+_plain = ["dup_epic", "dup_identity", "cross_part_dup", "phonetic_dup", "photo_reuse", "house_overload", "age_outlier", "epic_malformed"]
+for _n, _rule in enumerate(_plain, 1):
+    _f = (lambda r: rules.photo_reuse(r, photos_of(r))) if _rule == "photo_reuse" else rules.RULES[_rule]
+    _add_rule(_rule, _n, _f, f"WITH {ref.BASE} SELECT rule, severity, round(score::DOUBLE, 3) AS score, voter_id, related_voter_id FROM ({ref.RULES[_rule]})")
+_add_rule("fuzzy_dup", 9, rules.fuzzy_dup, ref.fuzzy_dup_sql())
+_add_rule("cosine_dup", 10, rules.cosine_dup, ref.cosine_dup_sql())
+_add_rule("new_model_1", 11, rules.new_model_1, ref.evidence_sql())
+_add_rule("fuzzy_new", 12, rules.fuzzy_new, ref.fuzzy_new_sql())
+_add_rule("cosine_new", 13, rules.cosine_new, ref.cosine_new_sql())
+_add_rule("family_logic", 14, rules.family_logic, ref.family_logic_sql())
+
+
+# scans, sources and sinks ------------------------------------------------------------
+
+
+@query("SELECT id, epic_no, name_norm, house_norm, age FROM reg WHERE year = 2024")
+def s01_scan_year(spark, sf_dir):
+    return rg.scan_year(register(spark, sf_dir), 2024, "id", "epic_no", "name_norm", "house_norm", "age")
+
+
+@query("SELECT id, rule FROM flags WHERE rule IN ('dup_epic', 'dup_identity') AND voter_id IN (SELECT id FROM reg WHERE year = 2024)", ref.FLAGS)
+def s02_flags_of_year(spark, sf_dir):
+    registry = register(spark, sf_dir)
+    return flags.of_year(flag_tables(registry)[0], registry, 2024, ["dup_epic", "dup_identity"]).select("id", "rule")
+
+
+def _raw_rows(registry: DataFrame) -> DataFrame:
+    """Register rows as an extraction job hands them over: all text, two orders of one row for every tenth."""
+    raw = registry.select(
+        *[F.concat(F.lit(" "), F.col(c), F.lit(" ")).alias(c) if c in ("name", "house_number") else F.col(c).cast("string").alias(c) for c in ("constituency_no", "part_no", "serial_no", "epic_no", "name", "relation_name", "house_number", "age", "gender")],
+        F.lit("").alias("relation_type"), F.lit("nan").alias("constituency_name"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("p"), F.col("id"))).alias("photo_id"),
+        F.concat(F.lit("roll_"), F.col("year"), F.lit(".pdf")).alias("source_file"), F.lit(0).alias("ingest_order"), "id",
+    )
+    again = raw.where("id % 10 = 0").withColumns({"name": F.concat(F.lit("NEW "), F.trim("name")), "ingest_order": F.lit(1)})
+    return raw.unionByName(again)
+
+
+_INGESTED = f"""SELECT id, year, constituency_no, part_no, serial_no, epic_no, CASE WHEN id % 10 = 0 THEN 'NEW ' || name ELSE name END AS name, house_norm, age,
+  {ref.name_sql("CASE WHEN id % 10 = 0 THEN 'NEW ' || name ELSE name END")} AS name_norm FROM reg"""
+
+
+@query(_INGESTED)
+def s03_ingest_upsert(spark, sf_dir):
+    raw = _raw_rows(register(spark, sf_dir))
+    old = rg.prepare_ingest(raw.where("ingest_order = 0"), F.col("source_file"))
+    new = rg.prepare_ingest(raw.where("ingest_order = 1"), F.col("source_file"))
+    return rg.upsert(old, new).select("id", "year", "constituency_no", "part_no", "serial_no", "epic_no", "name", "house_norm", "age", "name_norm")
+
+
+@query("SELECT 'roll_' || year || '.pdf' AS source_file, min(constituency_no) AS constituency_no, min(part_no) AS part_no, year, count(*) AS row_count, count(*) FILTER (id % 4 = 0) AS photo_count FROM reg GROUP BY year")
+def s04_ingest_audit(spark, sf_dir):
+    return rg.ingest_audit(rg.prepare_ingest(_raw_rows(register(spark, sf_dir)), F.col("source_file")))
+
+
+@query("SELECT id AS voter_id, 'p' || id AS photo_id, phash FROM reg WHERE id % 4 = 0")
+def s07_attach_photos(spark, sf_dir):
+    registry = register(spark, sf_dir).withColumn("photo_id", F.when(F.col("id") % 4 == 0, F.concat(F.lit("p"), F.col("id"))))
+    photos = registry.where("photo_id IS NOT NULL").select("photo_id", "phash", F.lit(1).alias("photo_order"))
+    stale = photos.withColumns({"phash": F.lit(0).cast("long"), "photo_order": F.lit(0)})
+    return rg.attach_photos(registry, photos.union(stale))
+
+
+@query("SELECT doc_id, page_index, CASE WHEN n <= 25 THEN 0 ELSE page_index // 15 END AS batch_id FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM pages0)", rendered.SQL)
+def s08_page_batches(spark, sf_dir):
+    return rg.page_batches(rendered.numbered(rendered.pages(spark, sf_dir))).select("doc_id", "page_index", "batch_id")
+
+
+@query("SELECT doc_id, page_index FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM pages0) WHERE n <= 4 OR (page_index >= 2 AND page_index < n - 2)", rendered.SQL)
+def s09_trim_pages(spark, sf_dir):
+    return rg.trim_pages(rendered.numbered(rendered.pages(spark, sf_dir))).select("doc_id", "page_index")
+
+
+@query("SELECT id, name, part_no, serial_no FROM reg WHERE year = 2025 ORDER BY constituency_no, try_cast(nullif(regexp_replace(part_no, '\\D', '', 'g'), '') AS INT) NULLS LAST, serial_no NULLS LAST, id LIMIT 5000")
+def s11_export_rows(spark, sf_dir):
+    return explore.export_rows(explore.search(register(spark, sf_dir), explore.Filters(year=2025))).select("id", "name", "part_no", "serial_no")
+
+
+_BOTH = "JOIN reg a ON a.id = f.voter_id LEFT JOIN reg b ON b.id = f.related_voter_id"
+
+
+@query(f"SELECT f.id, f.rule, a.name AS name_a, b.name AS name_b, l.verdict FROM flags f {_BOTH} LEFT JOIN latest l ON l.flag_id = f.id WHERE a.year = 2024", ref.FLAGS)
+def s12_flag_export(spark, sf_dir):
+    registry = register(spark, sf_dir)
+    stored, reviews = flag_tables(registry)
+    return flags.flag_export(stored, reviews, registry, year=2024).select("id", "rule", "name_a", "name_b", "verdict")
+
+
+@query("SELECT f.id AS flag_id, m.year, m.constituency_no, m.house_norm, m.id, m.name FROM flags f JOIN reg v ON v.id = f.voter_id JOIN reg m ON m.year = v.year AND m.constituency_no = v.constituency_no AND m.house_norm = v.house_norm WHERE f.rule = 'house_overload'", ref.FLAGS)
+def s13_overload_members(spark, sf_dir):
+    registry = register(spark, sf_dir)
+    return flags.overload_members(flag_tables(registry)[0], registry).select("flag_id", "year", "constituency_no", "house_norm", "id", "name")
+
+
+def _report(spark, sf_dir):
+    """The combined report with the identity rules' pairs as duplicate leads."""
+    registry = register(spark, sf_dir)
+    leads = rules.dup_identity(registry).withColumn("rule", F.lit("cosine_new")).unionByName(rules.cross_part_dup(registry).withColumn("rule", F.lit("fuzzy_new")))
+    return registry, combined.report(registry, leads)
+
+
+@query("SELECT id, row_number() OVER (ORDER BY tier, best_dup DESC, n_dups DESC, logical_rank DESC, n_logical DESC, id) AS rank, ((row_number() OVER (ORDER BY tier, best_dup DESC, n_dups DESC, logical_rank DESC, n_logical DESC, id) - 1) // 50 + 1)::INT AS part FROM rep", ref.report_ctes())
+def s15_report_parts(spark, sf_dir):
+    return combined.ranked(_report(spark, sf_dir)[1]).select("id", "rank", "part")
+
+
+@query("SELECT id AS voter_id, phash FROM reg WHERE id IN (SELECT voter_id FROM flags WHERE rule = 'age_outlier')", ref.FLAGS)
+def s17_photos_of_set(spark, sf_dir):
+    registry = register(spark, sf_dir)
+    return rg.photos_of(photos_of(registry), rules.age_outlier(registry).select("voter_id"))
+
+
+@query("SELECT epic_no, year, id, name FROM reg WHERE epic_no IN (SELECT epic_no FROM reg WHERE epic_no <> '' GROUP BY epic_no HAVING count(*) > 1)")
+def s19_history(spark, sf_dir):
+    registry = register(spark, sf_dir)
+    again = registry.where("epic_no <> ''").groupBy("epic_no").count().where("count > 1").select("epic_no")
+    return rg.history_of(registry, again).select("epic_no", "year", "id", "name")
+
+
+@query("SELECT rule, count(*) AS added FROM flags WHERE rule <> 'dup_epic' GROUP BY rule", ref.FLAGS)
+def s20_new_flags(spark, sf_dir):
+    stored, _ = flag_tables(register(spark, sf_dir))
+    return flags.added_by_rule(stored.where("rule = 'dup_epic'"), stored.drop("id"))
+
+
+@query("SELECT id FROM flags WHERE voter_id NOT IN (SELECT id FROM reg WHERE year = 2025)", ref.FLAGS)
+def s21_clear_year(spark, sf_dir):
+    registry = register(spark, sf_dir)
+    return flags.cleared(flag_tables(registry)[0], registry, 2025).select("id")
+
+
+@query("SELECT flag_id, count(*) AS n FROM reviews WHERE flag_id NOT IN (SELECT id FROM flags WHERE rule = 'age_outlier') GROUP BY flag_id", ref.FLAGS)
+def s22_reopen(spark, sf_dir):
+    stored, reviews = flag_tables(register(spark, sf_dir))
+    return flags.reopened(reviews, stored.where("rule = 'age_outlier'").select(F.col("id").alias("flag_id"))).groupBy("flag_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT id, rule FROM flags", ref.FLAGS)
+def s23_first_of_each_flag(spark, sf_dir):
+    stored, _ = flag_tables(register(spark, sf_dir))
+    return flags.first_of_each(stored.unionByName(stored.withColumn("id", F.col("id") + 10**15))).select("id", "rule")
+
+
+@query("SELECT id FROM flags WHERE rule <> 'house_overload' OR voter_id % 2 = 0 OR id IN (SELECT flag_id FROM reviews)", ref.FLAGS)
+def s24_purge_old_format(spark, sf_dir):
+    stored, reviews = flag_tables(register(spark, sf_dir))
+    old = stored.withColumn("details", F.when((F.col("rule") == "house_overload") & (F.col("voter_id") % 2 == 1), "{}").otherwise(F.col("details")))
+    return flags.without_old_format(old, reviews).select("id")
+
+
+@query("SELECT epic_no, min(id) AS first_id FROM reg WHERE epic_no <> '' AND id % 3 <> 0 AND epic_no NOT IN (SELECT epic_no FROM reg WHERE id % 3 = 0) GROUP BY epic_no")
+def s25_store_documents(spark, sf_dir):
+    docs = register(spark, sf_dir).where("epic_no <> ''").select("epic_no", F.lit("photo").alias("doc_type"), F.col("id").alias("fetched_at"))
+    return rg.store_documents(docs.where("fetched_at % 3 = 0"), docs.where("fetched_at % 3 <> 0")).select("epic_no", F.col("fetched_at").alias("first_id"))
+
+
+# filters, sorts and pages -------------------------------------------------------------
+
+
+@query("SELECT id FROM reg WHERE year = 2024 AND constituency_no IN ('S1', 'S3') AND gender = 'Female' AND (lookup_status = 'Error' OR lookup_status IS NULL) AND age BETWEEN 20 AND 45")
+def p01_filters(spark, sf_dir):
+    f = explore.Filters(year=2024, constituencies=("S1", "S3"), genders=("Female",), statuses=("Error", explore.PENDING), age_from=20, age_to=45)
+    return explore.search(register(spark, sf_dir), f).select("id")
+
+
+@query("SELECT id FROM reg WHERE coalesce(mobile_no, '') <> '' AND id % 4 = 0")
+def p04_has_mobile_and_photo(spark, sf_dir):
+    registry = register(spark, sf_dir)
+    return explore.search(registry, explore.Filters(has_mobile=True, has_photo=True), photos_of(registry).where("voter_id % 4 = 0")).select("id")
+
+
+_TEXT = " OR ".join(f"contains(lower({c}), '{{0}}')" for c in explore.SEARCHED)
+
+
+@query(f"SELECT id FROM reg WHERE {_TEXT.format('red w')} OR contains(name_norm, 'RED W')")
+def p05_text_search(spark, sf_dir):
+    return explore.search(register(spark, sf_dir), explore.Filters(query="red w")).select("id")
+
+
+@query(f"SELECT id FROM reg WHERE {_TEXT.format('0017')}")
+def p05_digits_search(spark, sf_dir):
+    return explore.search(register(spark, sf_dir), explore.Filters(query="0017")).select("id")
+
+
+@query("SELECT id, severity FROM rep WHERE severity = 'high' AND n_cosine > 0 AND n_dups >= 1 AND contains(lower(concat_ws(' ', epic_no, name, constituency, part_no)), 'abc00')", ref.report_ctes())
+def p06_suspects(spark, sf_dir):
+    rows = _report(spark, sf_dir)[1]
+    return combined.suspects(rows, severity="high", signal="cosine", min_matches=1, query="ABC00").select("id", "severity")
+
+
+@query("SELECT id, coalesce(nullif(trim(verified_name), ''), trim(name), '') AS shown, CASE WHEN trim(verified_name) <> '' THEN 'verified' WHEN trim(name) <> '' THEN 'roll' ELSE 'none' END AS source, coalesce(verified_age, age) AS best_age, "
+       "coalesce(verified_dob LIKE '%-01-01', false) AS placeholder, coalesce(nullif(trim(constituency_no), ''), '(unknown)') AS seat FROM reg")
+def p09_preferred_fields(spark, sf_dir):
+    c = F.col
+    return register(spark, sf_dir).select(
+        "id", tx.preferred_name(c("verified_name"), c("name")).alias("shown"), tx.name_source(c("verified_name"), c("name")).alias("source"),
+        dt.best_age(c("verified_age"), c("age")).alias("best_age"), dt.is_placeholder(c("verified_dob")).alias("placeholder"), tx.seat_key(c("constituency_no")).alias("seat"),
+    )
+
+
+@query("SELECT id, name, part_no FROM reg ORDER BY name_norm NULLS LAST, id LIMIT 100 OFFSET 100")
+def o03_page_by_name(spark, sf_dir):
+    return explore.page(register(spark, sf_dir), "name", 2).select("id", "name", "part_no")
+
+
+@query("SELECT id, age FROM reg ORDER BY age DESC NULLS LAST, id LIMIT 100")
+def o03_oldest(spark, sf_dir):
+    return explore.page(register(spark, sf_dir), "oldest").select("id", "age")
+
+
+_SEVERITY = "CASE f.severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
+
+
+@query(f"SELECT f.id, f.rule, a.name AS name_a FROM flags f JOIN reg a ON a.id = f.voter_id WHERE f.id NOT IN (SELECT flag_id FROM reviews) ORDER BY {_SEVERITY}, f.score DESC NULLS LAST, f.id LIMIT 200", ref.FLAGS)
+def o01_open_queue(spark, sf_dir):
+    registry = register(spark, sf_dir)
+    return flags.open_flags(*flag_tables(registry), registry).select("id", "rule", "name_a")
+
+
+@query("SELECT flag_id AS id, verdict FROM latest ORDER BY CASE verdict WHEN 'confirmed' THEN 0 WHEN 'needs_info' THEN 1 ELSE 2 END, reviewed_at DESC, flag_id LIMIT 200", ref.FLAGS)
+def o02_reviewed_queue(spark, sf_dir):
+    registry = register(spark, sf_dir)
+    return flags.reviewed_flags(*flag_tables(registry), registry).select("id", "verdict")
+
+
+@query(f"SELECT f.id FROM flags f WHERE f.id NOT IN (SELECT flag_id FROM reviews) ORDER BY {_SEVERITY}, f.score DESC NULLS LAST, f.id LIMIT 51 OFFSET 50", ref.FLAGS)
+def o05_page_with_more(spark, sf_dir):
+    registry = register(spark, sf_dir)
+    return flags.page_with_more(flags.open_flags(*flag_tables(registry), registry, limit=1000), 50, 50).select("id")
+
+
+@query("SELECT flag_id, verdict, CAST(reviewed_at AS VARCHAR) AS reviewed_at FROM latest", ref.FLAGS)
+def j16_latest_reviews(spark, sf_dir):
+    return flags.latest_reviews(flag_tables(register(spark, sf_dir))[1]).select("flag_id", "verdict", F.col("reviewed_at").cast("string").alias("reviewed_at"))
+
+
+@query("SELECT id FROM flags WHERE voter_id % 50 = 1 OR related_voter_id % 50 = 1", ref.FLAGS)
+def j23_flags_touching(spark, sf_dir):
+    registry = register(spark, sf_dir)
+    return flags.touching(flag_tables(registry)[0], registry.where("id % 50 = 1").select(F.col("id").alias("voter_id"))).select("id")
+
+
+@query("SELECT id, name, part_no FROM reg WHERE constituency_no = 'S2' AND house_norm = 'A1' AND year = 2024")
+def j21_house_members(spark, sf_dir):
+    return flags.house_members(register(spark, sf_dir), "S2", "A1", 2024).select("id", "name", "part_no")
+
+
+for _block, _f in (("dob", rules.same_birth_date), ("mobile", rules.same_mobile), ("reference", rules.same_reference), ("sound", rules.same_sound)):
+    _QUERIES[f"j_block_{_block}"] = lambda spark, sf_dir, f=_f: f(register(spark, sf_dir))
+    _SQL[f"j_block_{_block}"] = f"WITH {ref.BASE} {ref.BLOCKS[_block]}"
+
+
+@query(" UNION ".join(ref.BLOCKS.values()))
+def u01_identity_candidates(spark, sf_dir):
+    return rules.identity_candidates(register(spark, sf_dir))
+
+
+@query(" UNION ".join(ref.BLOCKS[k] for k in ("sound", "reference", "dob")))
+def u02_profile_candidates(spark, sf_dir):
+    return rules.profile_candidates(register(spark, sf_dir))
+
+
+# aggregates ---------------------------------------------------------------------------
+
+
+@query(ref.MOBILES)
+def a03_mobile_counts(spark, sf_dir):
+    return rules.mobile_counts(register(spark, sf_dir))
+
+
+@query(f"{ref.MOBILES} HAVING count(DISTINCT epic_no) > 4")
+def a02_shared_mobiles(spark, sf_dir):
+    return rules.shared_mobiles(register(spark, sf_dir))
+
+
+@query("SELECT rule, severity, count(*) AS flags, count(*) FILTER (id IN (SELECT flag_id FROM reviews)) AS reviewed FROM flags GROUP BY rule, severity", ref.FLAGS)
+def a04_flag_summary(spark, sf_dir):
+    return flags.summary(*flag_tables(register(spark, sf_dir)))
+
+
+_SEATS = f"FROM flags f JOIN reg v ON v.id = f.voter_id GROUP BY {ref.seat_sql('v.constituency_no')}"
+_LEVELS = ", ".join(f"count(*) FILTER (f.severity = '{s}') AS {s}" for s in ("high", "medium", "low"))
+
+
+@query(f"SELECT {ref.seat_sql('v.constituency_no')} AS constituency, count(*) AS flags, {_LEVELS}, count(*) FILTER (f.id IN (SELECT flag_id FROM reviews)) AS reviewed {_SEATS}", ref.FLAGS)
+def a05_by_constituency(spark, sf_dir):
+    registry = register(spark, sf_dir)
+    return flags.by_constituency(*flag_tables(registry), registry)
+
+
+@query(f"SELECT {ref.seat_sql('v.constituency_no')} AS constituency, {', '.join(f'''count(*) FILTER (f.rule = '{r}') AS {r}''' for r in ref.NUMBERS)} {_SEATS}", ref.FLAGS)
+def a06_rule_matrix(spark, sf_dir):
+    registry = register(spark, sf_dir)
+    return flags.rule_matrix(flag_tables(registry)[0], registry, list(ref.NUMBERS))
+
+
+@query(f"SELECT {ref.seat_sql()} AS constituency, rule, count(*) AS entries, count(DISTINCT id) AS voters FROM (SELECT rule, voter_id AS v FROM flags UNION ALL SELECT rule, related_voter_id FROM flags WHERE related_voter_id IS NOT NULL) JOIN reg ON reg.id = v GROUP BY 1, rule", ref.FLAGS)
+def a07_entries(spark, sf_dir):
+    registry = register(spark, sf_dir)
+    return flags.entries_by_constituency_rule(flag_tables(registry)[0], registry)
+
+
+@query("SELECT verdict, count(*) AS flags FROM latest GROUP BY verdict", ref.FLAGS)
+def a08_verdicts(spark, sf_dir):
+    return flags.verdict_counts(flag_tables(register(spark, sf_dir))[1])
+
+
+@query("SELECT count(*) AS flags, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity NOT IN ('high', 'medium')) AS low, "
+       "(SELECT count(DISTINCT flag_id) FROM reviews) AS reviewed, (SELECT count(*) FROM reg) AS voters, greatest(0, count(*) - (SELECT count(DISTINCT flag_id) FROM reviews)) AS open FROM flags", ref.FLAGS)
+def a09_overview(spark, sf_dir):
+    registry = register(spark, sf_dir)
+    return flags.overview(*flag_tables(registry), registry)
+
+
+@query(f"SELECT {ref.seat_sql('v.constituency_no')} AS constituency, count(*) AS flags {_SEATS} ORDER BY flags DESC, constituency LIMIT 12", ref.FLAGS)
+def o08_top_constituencies(spark, sf_dir):
+    registry = register(spark, sf_dir)
+    return flags.top_constituencies(flag_tables(registry)[0], registry)
+
+
+@query(" UNION ".join(f"SELECT '{c}' AS field, {c} AS value FROM reg WHERE coalesce({c}, '') <> ''" for c in ("constituency_no", "gender", "relation_type", "category_type", "lookup_status")))
+def a11_filter_values(spark, sf_dir):
+    return explore.filter_values(register(spark, sf_dir))
+
+
+@query("SELECT coalesce(min(age), 0) AS min_age, coalesce(max(age), 120) AS max_age FROM reg")
+def a11_age_range(spark, sf_dir):
+    return explore.age_range(register(spark, sf_dir))
+
+
+@query("SELECT DISTINCT part_no FROM reg WHERE constituency_no IN ('S0', 'S4')")
+def a12_parts(spark, sf_dir):
+    return explore.parts(register(spark, sf_dir), ["S0", "S4"])
+
+
+@query("SELECT DISTINCT year FROM reg")
+def a13_years(spark, sf_dir):
+    return explore.years(register(spark, sf_dir))
+
+
+@query("SELECT year, relation_epic AS reference, count(DISTINCT nullif(trim(epic_no), '')) AS progeny FROM reg WHERE trim(relation_epic) <> '' GROUP BY ALL")
+def a14_progeny_counts(spark, sf_dir):
+    return combined.progeny_counts(register(spark, sf_dir))
+
+
+@query("SELECT year, reference, children, father_names, under_15, over_50 FROM refs", ref.family_ctes())
+def a15_reference_groups(spark, sf_dir):
+    return rules.reference_groups(register(spark, sf_dir)).select("year", "reference", "children", F.size("father_names").alias("father_names"), "under_15", "over_50")
+
+
+@query("SELECT year, father, mother, children, rep, gaps FROM sib", ref.family_ctes())
+def a16_sibling_groups(spark, sf_dir):
+    return rules.sibling_groups(register(spark, sf_dir)).select("year", "father", "mother", "children", "rep", "gaps")
+
+
+# scalar functions ---------------------------------------------------------------------
+
+
+@query("SELECT id, name_norm, relation_name_norm, house_norm, name_phonetic FROM reg")
+def f01_normalised_columns(spark, sf_dir):
+    return register(spark, sf_dir).select("id", "name_norm", "relation_name_norm", "house_norm", "name_phonetic")
+
+
+@query(f"SELECT key AS id, count(*) AS grams, round(sqrt(sum(w * w)), 6) AS norm FROM (SELECT key, g, count(*) AS w FROM (SELECT id AS key, unnest({ref.grams_sql('name_norm')}) AS g FROM reg) GROUP BY key, g) GROUP BY key")
+def f06_trigrams(spark, sf_dir):
+    v = sim.vectors(register(spark, sf_dir).select(F.col("id").alias("key"), F.col("name_norm").alias("text")))
+    return v.groupBy(F.col("key").alias("id")).agg(F.count("*").alias("grams"), F.round(F.sqrt(F.sum(F.col("weight") * F.col("weight"))), 6).alias("norm"))
+
+
+_COS = ref.cosine_cte("c", "SELECT DISTINCT name_norm AS key, name_norm AS text, 1.0::DOUBLE AS w FROM reg", "SELECT DISTINCT a.name_norm AS a, b.name_norm AS b FROM reg a JOIN reg b ON a.house_norm = b.house_norm AND a.name_norm < b.name_norm AND a.year = b.year AND a.constituency_no = b.constituency_no")
+
+
+@query("SELECT a, b, round(cosine, 6) AS cosine, CASE WHEN cosine >= 0.995 THEN 'exact' WHEN cosine >= 0.85 THEN 'strong' WHEN cosine >= 0.62 THEN 'partial' ELSE 'weak' END AS status FROM c", f"{ref.BASE}, {_COS}")
+def f07_name_cosines(spark, sf_dir):
+    names = register(spark, sf_dir).select("year", "constituency_no", "house_norm", "name_norm").distinct()
+    a, b = (names.withColumnRenamed("name_norm", s) for s in "ab")
+    found = sim.text_cosines(a.join(b, ["year", "constituency_no", "house_norm"]).where("a < b"))
+    return found.select("a", "b", F.round("cosine", 6).alias("cosine"), sim.status(F.col("cosine")).alias("status"))
+
+
+@query("SELECT id, CASE WHEN verified_dob NOT LIKE '%-01-01' THEN CAST(try_cast(verified_dob AS DATE) AS VARCHAR) END AS born, CASE WHEN verified_dob NOT LIKE '%-01-01' THEN year - year(try_cast(verified_dob AS DATE)) - 1 END AS age_then FROM reg")
+def f13_birth_dates(spark, sf_dir):
+    born = dt.real_dob(F.col("verified_dob"))
+    return register(spark, sf_dir).select("id", born.cast("string").alias("born"), dt.age_on_new_year(born, F.col("year")).alias("age_then"))
+
+
+@query("SELECT id, least(1.0, (age % 13) / 8.0)::DOUBLE AS score, round_even(1 / (1 + pow(2.0, -((age % 13) - 4.0))), 3) AS confidence FROM reg WHERE age IS NOT NULL")
+def f16_points_to_score(spark, sf_dir):
+    points = F.col("age") % 13
+    return register(spark, sf_dir).where("age IS NOT NULL").select("id", F.least(F.lit(1.0), points / 8.0).alias("score"), F.bround(1 / (1 + F.pow(F.lit(2.0), -(points - 4.0))), 3).alias("confidence"))
+
+
+@query("SELECT id, a.house_norm AS house, count(*) AS n FROM flags f JOIN reg a ON false GROUP BY ALL UNION ALL SELECT f.id, v.house_norm, (SELECT count(*) FROM reg m WHERE m.year = v.year AND m.constituency_no = v.constituency_no AND m.house_norm = v.house_norm) FROM flags f JOIN reg v ON v.id = f.voter_id WHERE rule = 'house_overload'".replace("SELECT id, a.house_norm AS house, count(*) AS n FROM flags f JOIN reg a ON false GROUP BY ALL UNION ALL SELECT f.id, v.house_norm, (", "SELECT f.id, v.house_norm AS house, (").replace("v.house_norm) FROM flags", "v.house_norm) AS n FROM flags"), ref.FLAGS)
+def f19_details_read_back(spark, sf_dir):
+    stored, _ = flag_tables(register(spark, sf_dir))
+    details = F.from_json("details", "house_norm string, occupants long")
+    return stored.where("rule = 'house_overload'").withColumn("d", details).select("id", F.col("d.house_norm").alias("house"), F.col("d.occupants").alias("n"))
+
+
+# combined report ----------------------------------------------------------------------
+
+
+@query('SELECT id, "check", severity, gap FROM finds', ref.findings_ctes())
+def c01_findings(spark, sf_dir):
+    return combined.findings(register(spark, sf_dir))
+
+
+@query("SELECT v.id, count(*) - 1 AS others FROM view v JOIN (SELECT year, reference FROM prog WHERE progeny >= 6) g USING (year, reference) JOIN view o USING (year, reference) GROUP BY v.id", ref.findings_ctes())
+def c02_siblings(spark, sf_dir):
+    return combined.siblings(register(spark, sf_dir)).select("id", F.size("siblings").cast("long").alias("others"))
+
+
+@query("SELECT id, tier, severity, round(best_dup, 3) AS best_dup, n_dups, n_logical, no_mapping, summary FROM rep", ref.report_ctes())
+def c07_combined_report(spark, sf_dir):
+    return _report(spark, sf_dir)[1].select("id", "tier", "severity", F.round("best_dup", 3).alias("best_dup"), "n_dups", "n_logical", "no_mapping", "summary")
+
+
+@query("SELECT id, tier FROM rep WHERE constituency = 'S1'", ref.report_ctes())
+def c07_one_constituency(spark, sf_dir):
+    registry, _ = _report(spark, sf_dir)
+    leads = rules.dup_identity(registry).withColumn("rule", F.lit("cosine_new")).unionByName(rules.cross_part_dup(registry).withColumn("rule", F.lit("fuzzy_new")))
+    return combined.report(registry, leads, "S1").select("id", "tier")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (tier = 0) AS tier_dup, count(*) FILTER (tier = 1) AS tier_logical, count(*) FILTER (tier = 2) AS tier_nomap, count(*) FILTER (n_cosine > 0) AS with_cosine, count(*) FILTER (n_fuzzy > 0) AS with_fuzzy, "
+       "count(*) FILTER (n_logical > 0) AS with_logical, count(*) FILTER (no_mapping) AS with_nomap, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM rep", ref.report_ctes())
+def a19_report_summary(spark, sf_dir):
+    return combined.report_summary(_report(spark, sf_dir)[1])
+
+
+@query('SELECT "check", count(*) AS n FROM finds GROUP BY "check"', ref.findings_ctes())
+def a19_checks(spark, sf_dir):
+    return combined.checks_summary(_report(spark, sf_dir)[1])
+
+
+@query("SELECT constituency, count(*) AS persons FROM rep GROUP BY constituency", ref.report_ctes())
+def a20_constituencies(spark, sf_dir):
+    return combined.constituencies(_report(spark, sf_dir)[1])
+
+
+@query("SELECT l.id, 'partner' AS role, h.epic_no, h.id AS row_id FROM (SELECT DISTINCT l.id, r.epic_no FROM leads l JOIN reg r ON r.id = l.partner) l JOIN reg h ON h.epic_no = l.epic_no WHERE h.epic_no <> '' "
+       "UNION ALL SELECT r.id, 'self', h.epic_no, h.id FROM rep r JOIN reg h ON h.epic_no = r.epic_no WHERE h.epic_no <> ''", ref.report_ctes())
+def c08_dossier(spark, sf_dir):
+    registry, rows = _report(spark, sf_dir)
+    return combined.dossier(rows, registry).select("id", "role", "epic_no", "row_id")
+
+
+# households ---------------------------------------------------------------------------
+
+
+def _housed(spark, sf_dir):
+    """The register with a name that can be found in the house in place of every fifth relation name."""
+    registry = register(spark, sf_dir)
+    common = registry.where("id % 11 <> 0 AND id % 13 <> 0").agg(F.min("name").alias("common"))  # one row
+    named = registry.crossJoin(F.broadcast(common)).withColumn("relation_name", F.when(F.col("id") % 5 == 0, F.col("common")).otherwise(F.col("relation_name"))).drop("common")
+    return rg.with_derived_columns(named)
+
+
+@query("SELECT id, o_id AS target, kind FROM link", ref.household_ctes())
+def h01_links(spark, sf_dir):
+    return household.links(household.members(_housed(spark, sf_dir))).select("id", "target", "kind")
+
+
+@query("SELECT m.id, coalesce(c.family, m.id) AS family, c.family IS NOT NULL AS linked FROM mem m LEFT JOIN comp c USING (id)", ref.household_ctes())
+def h04_families(spark, sf_dir):
+    people = household.members(_housed(spark, sf_dir))
+    return household.families(people, household.links(people)).select("id", "family", "linked")
+
+
+_NOTES = """SELECT id, count(*) AS notes FROM (
+  SELECT id FROM link WHERE kind = 'parent' AND coalesce(age, 0) <> 0 AND coalesce(o_age, 0) <> 0 AND o_age - age < 13
+  UNION ALL SELECT o_id FROM link WHERE kind = 'parent' AND coalesce(age, 0) <> 0 AND coalesce(o_age, 0) <> 0 AND o_age - age < 13
+  UNION ALL SELECT id FROM link WHERE o_sex <> '?' AND o_sex <> CASE relation WHEN 'F' THEN 'M' WHEN 'H' THEN 'M' WHEN 'M' THEN 'F' WHEN 'W' THEN 'F' END
+  UNION ALL SELECT o_id FROM link WHERE kind = 'spouse' GROUP BY o_id HAVING count(*) > 1
+  UNION ALL SELECT id FROM (SELECT id, count(*) OVER (PARTITION BY year, constituency_no, house_norm, name_norm) AS n FROM mem WHERE name_norm <> '') WHERE n > 1) GROUP BY id"""
+
+
+@query(_NOTES, ref.household_ctes())
+def h03_notes(spark, sf_dir):
+    people = household.members(_housed(spark, sf_dir))
+    return household.notes(people, household.links(people)).groupBy("id").agg(F.count("*").alias("notes"))
+
+
+@query("""SELECT year, constituency_no, house_norm, sum(n)::BIGINT AS electors, sum(alone)::BIGINT AS unlinked, count(*) FILTER (n >= 2) AS families, max(n) AS largest_family FROM
+  (SELECT m.year, m.constituency_no, m.house_norm, coalesce(c.family, m.id) AS f, count(*) AS n, count(*) FILTER (c.family IS NULL) AS alone FROM mem m LEFT JOIN comp c USING (id) GROUP BY ALL) GROUP BY year, constituency_no, house_norm""", ref.household_ctes())
+def h06_house_signals(spark, sf_dir):
+    return household.signals(_housed(spark, sf_dir)).select("year", "constituency_no", "house_norm", "electors", "unlinked", "families", "largest_family")
+
+
+# extraction ---------------------------------------------------------------------------
+
+
+@query(rendered.RECORDS, rendered.SQL)
+def x06_extract(spark, sf_dir):
+    found = extraction.extract(rendered.pages(spark, sf_dir))
+    return found.select("doc_id", *extraction.FIELDS)
+
+
+@query("SELECT DISTINCT doc_id, '7' AS constituency_no, 'EXAMPLETON' AS constituency_name, part_no FROM recs", rendered.SQL)
+def x01_headers(spark, sf_dir):
+    return extraction.headers(rendered.pages(spark, sf_dir))
+
+
+@query("SELECT doc_id, page_index, bool_and(gender <> '') AS ok, count(*) FILTER (gender <> '')::DOUBLE AS score FROM recs GROUP BY doc_id, page_index", rendered.SQL)
+def x08_page_quality(spark, sf_dir):
+    return extraction.page_quality(rendered.pages(spark, sf_dir))
+
+
+@query("SELECT doc_id, count(*) AS extracted, min(serial) AS min_serial, max(serial) AS expected_max_serial, max(serial) - min(serial) + 1 - count(*) AS missing, count(*) FILTER (gender = '' OR house_number = '') AS incomplete FROM recs GROUP BY doc_id", rendered.SQL)
+def x12_issues(spark, sf_dir):
+    found = extraction.issues(extraction.extract(rendered.pages(spark, sf_dir)))
+    return found.select("doc_id", "extracted", "min_serial", "expected_max_serial", F.size("missing_serials").cast("long").alias("missing"), F.size("incomplete_rows").cast("long").alias("incomplete"))
+
+
+@query("SELECT doc_id, page_index, CASE WHEN bool_and(gender <> '') THEN 1 ELSE 0 END AS attempt FROM recs GROUP BY doc_id, page_index", rendered.SQL)
+def x09_best_rendition(spark, sf_dir):
+    good = rendered.pages(spark, sf_dir)
+    worse = good.withColumn("text", F.regexp_replace("text", r"ABC\d{7}", "")).withColumn("attempt", F.lit(0))
+    tried = worse.unionByName(good.withColumn("attempt", F.lit(1)))
+    best = extraction.best_rendition(tried)
+    blank = good.select("doc_id", "page_index", F.col("text").rlike(r"Gender :\s*\|").alias("blank"))
+    return best.join(blank, ["doc_id", "page_index"]).select("doc_id", "page_index", F.when(F.col("blank"), 0).otherwise(F.col("attempt")).alias("attempt"))
+
+
+# enrichment ---------------------------------------------------------------------------
+
+
+@query("SELECT epic_no, constituency_no FROM (SELECT *, row_number() OVER (PARTITION BY constituency_no ORDER BY epic_no) AS n FROM (SELECT epic_no, min(constituency_no) AS constituency_no FROM reg WHERE trim(epic_no) <> '' AND lookup_status IS DISTINCT FROM 'Found' GROUP BY epic_no)) WHERE n <= 100")
+def e01_pending(spark, sf_dir):
+    return enrichment.pending(register(spark, sf_dir)).select("epic_no", "constituency_no")
+
+
+def _payloads(registry: DataFrame) -> DataFrame:
+    """Looked-up records of every seventh ID, as JSON."""
+    one = registry.where("epic_no <> '' AND id % 7 = 0").groupBy("epic_no").agg(F.min("id").alias("id"), F.min_by("constituency_no", "id").alias("constituency_no"))
+    return one.select("epic_no", "constituency_no", F.to_json(F.struct(F.concat(F.lit("V"), F.col("id")).alias("applicantFullName"), F.lit(" ").alias("motherName"), F.lit("41").alias("age"))).alias("payload"))
+
+
+_APPLIED = "SELECT reg.id, CASE WHEN k.m IS NOT NULL THEN 'V' || k.m ELSE verified_name END AS verified_name, CASE WHEN k.m IS NOT NULL THEN 41 END AS verified_age, CASE WHEN k.m IS NULL THEN mother_name END AS mother_name FROM reg LEFT JOIN (SELECT epic_no, min(id) AS m FROM reg WHERE epic_no <> '' AND id % 7 = 0 GROUP BY epic_no) k USING (epic_no)"
+
+
+@query(_APPLIED)
+def e02_apply_verified(spark, sf_dir):
+    registry = register(spark, sf_dir)
+    verified = enrichment.parse_payload(_payloads(registry).drop("constituency_no"))
+    return enrichment.apply_verified(registry, verified).select("id", "verified_name", "verified_age", "mother_name")
+
+
+_CODES = "SELECT epic_no, min(id) AS id, CASE min(id) % 4 WHEN 0 THEN 'Found' WHEN 1 THEN 'Not found' WHEN 2 THEN 'Token expired' ELSE 'Error' END AS state FROM reg WHERE epic_no <> '' GROUP BY epic_no"
+
+
+@query(f"SELECT state, count(DISTINCT epic_no) AS ids, count(*) AS rows FROM ({_CODES}) s JOIN reg USING (epic_no) GROUP BY state")
+def e03_run_stats(spark, sf_dir):
+    registry = register(spark, sf_dir)
+    batch = registry.where("epic_no <> ''").groupBy("epic_no").agg(F.min("id").alias("id"))
+    code = F.when(F.col("id") % 4 == 0, 200).when(F.col("id") % 4 == 1, 404).when(F.col("id") % 4 == 2, 401)
+    return enrichment.run_stats(enrichment.lookup_states(batch, batch.select("epic_no", code.alias("code")).where("code IS NOT NULL")), registry)
+
+
+@query(f"SELECT {ref.seat_sql()} AS constituency, count(DISTINCT epic_no) AS ids, count(DISTINCT epic_no) FILTER (lookup_status = 'Found') AS done, count(DISTINCT epic_no) FILTER (lookup_status IS DISTINCT FROM 'Found') AS pending FROM reg WHERE trim(epic_no) <> '' GROUP BY 1")
+def e04_progress(spark, sf_dir):
+    return enrichment.progress(register(spark, sf_dir))
+
+
+@query("SELECT w.epic_no, w.constituency_no, CASE WHEN o.id IS NULL THEN NULL WHEN o.constituency_no = w.constituency_no THEN 'own seat' ELSE 'other seat' END AS source FROM (SELECT DISTINCT epic_no, constituency_no FROM reg WHERE epic_no <> '') w "
+       "LEFT JOIN (SELECT epic_no, min(id) AS id, arg_min(constituency_no, id) AS constituency_no FROM reg WHERE epic_no <> '' AND id % 7 = 0 GROUP BY epic_no) o USING (epic_no)")
+def e05_route(spark, sf_dir):
+    registry = register(spark, sf_dir)
+    wanted = registry.where("epic_no <> ''").select("epic_no", "constituency_no").distinct()
+    return enrichment.route(wanted, _payloads(registry)).select("epic_no", "constituency_no", "source")
