@@ -24,7 +24,8 @@ def grams_of(text: Column) -> Column:
 
 def vectors(texts: DataFrame, key: str = "key", text: str = "text", weight: Column | None = None) -> DataFrame:
     """(key, gram, weight) of the trigram counts of each text; ``weight`` scales a row's counts."""
-    rows = texts.select(F.col(key).alias("key"), F.explode(grams_of(F.col(text))).alias("gram"), (weight if weight is not None else F.lit(1.0)).alias("w"))
+    named = texts.select(F.col(key).alias("k"), F.col(text).alias("t"), (weight if weight is not None else F.lit(1.0)).alias("w"))
+    rows = named.select(F.col("k").alias("key"), F.explode(grams_of(F.col("t"))).alias("gram"), "w")
     return rows.groupBy("key", "gram").agg(F.sum("w").alias("weight"))
 
 

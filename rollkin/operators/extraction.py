@@ -131,8 +131,8 @@ def best_by_serial(records: DataFrame, keys: list[str], source: str | None = Non
 def repair(pages: DataFrame) -> DataFrame:
     """Positional over strict, lenient only where both found nothing; serials not on the page go."""
     both = parse_positional(pages).withColumn("source", F.lit(0)).unionByName(parse_strict(pages).withColumn("source", F.lit(1)))
-    done = both.select("doc_id", F.col("page").alias("p")).distinct()
-    rest = pages.join(done, (pages["doc_id"] == done["doc_id"]) & (pages["page_index"] + 1 == done["p"]), "left_anti")
+    done = both.select("doc_id", (F.col("page") - 1).alias("page_index")).distinct()
+    rest = pages.join(done, ["doc_id", "page_index"], "left_anti")
     records = both.unionByName(parse_lenient(rest).withColumn("source", F.lit(2)))
     merged = best_by_serial(records.withColumn("at", F.col("page")), ["doc_id", "at"], "source").drop("at")
     allowed = pages.select("doc_id", (F.col("page_index") + 1).alias("page"), valid_serials(F.col("text")).alias("valid"))
@@ -141,10 +141,10 @@ def repair(pages: DataFrame) -> DataFrame:
 
 def needs_repair(pages: DataFrame, strict: DataFrame) -> DataFrame:
     """(doc_id, page_index, text) of pages with markers that weren't parsed, blank fields, too few or no rows."""
-    found = strict.groupBy("doc_id", "page").agg(
+    found = strict.groupBy("doc_id", (F.col("page") - 1).alias("page_index")).agg(
         F.count("*").alias("rows"), F.collect_set(F.col("serial_no").try_cast("int")).alias("got"), F.max(completeness_of_row() < len(FIELDS)).alias("blank")
     )
-    seen = pages.join(found, (pages["doc_id"] == found["doc_id"]) & (pages["page_index"] + 1 == found["page"]), "left").drop(found["doc_id"])
+    seen = pages.join(found, ["doc_id", "page_index"], "left")
     missing = F.size(F.array_except(markers(F.col("text")), F.coalesce("got", F.array().cast("array<int>")))) > 0
     rows = F.coalesce("rows", F.lit(0))
     bad = missing | F.coalesce("blank", F.lit(False)) | (rows < F.size(markers(F.col("text")))) | ((rows == 0) & has_records(F.col("text")))

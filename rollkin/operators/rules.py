@@ -406,7 +406,7 @@ def name_clusters(names: Column, threshold: float = 0.6) -> Column:
 
     def cosine(a: Column, b: Column) -> Column:
         ca, cb = counts(a), counts(b)
-        dot = F.aggregate(ca, F.lit(0.0), lambda acc, x: acc + x["n"] * F.coalesce(F.element_at(F.filter(cb, lambda y: y["g"] == x["g"]), 1)["n"], F.lit(0)))
+        dot = F.aggregate(ca, F.lit(0.0), lambda acc, x: acc + x["n"] * F.coalesce(F.get(F.filter(cb, lambda y: y["g"] == x["g"]), 0)["n"], F.lit(0)))
         return dot / (norm(ca) * norm(cb))
 
     return F.aggregate(

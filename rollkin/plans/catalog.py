@@ -57,7 +57,7 @@ def flag_tables(registry: DataFrame) -> tuple[DataFrame, DataFrame]:
     number = reduce(lambda e, kv: e.when(F.col("rule") == kv[0], kv[1]), ref.NUMBERS.items(), F.when(F.lit(False), 0))
     found = rules.run_rules(registry, [r for r in ref.NUMBERS], photos_of(registry))
     stored = found.withColumn("id", (F.col("voter_id") * 1000000 + F.coalesce("related_voter_id", F.lit(0))) * 10 + number)
-    reviews = stored.where("voter_id % 3 = 0").selectExpr(ref.REVIEW_COLUMNS[0]).union(stored.where("voter_id % 6 = 0").selectExpr(ref.REVIEW_COLUMNS[1]))
+    reviews = stored.where("voter_id % 3 = 0").selectExpr(*ref.REVIEW_COLUMNS[0]).union(stored.where("voter_id % 6 = 0").selectExpr(*ref.REVIEW_COLUMNS[1]))
     reviews = reviews.select(F.col("review_key").alias("id"), "flag_id", "verdict", F.lit(None).cast("string").alias("reviewer"), F.lit(None).cast("string").alias("notes"), "reviewed_at")
     return stored, reviews
 
@@ -585,14 +585,12 @@ def x12_issues(spark, sf_dir):
     return found.select("doc_id", "extracted", "min_serial", "expected_max_serial", F.size("missing_serials").cast("long").alias("missing"), F.size("incomplete_rows").cast("long").alias("incomplete"))
 
 
-@query("SELECT doc_id, page_index, CASE WHEN bool_and(gender <> '') THEN 1 ELSE 0 END AS attempt FROM recs GROUP BY doc_id, page_index", rendered.SQL)
+@query("SELECT doc_id, page_index, CASE WHEN page_index % 18 = 0 AND bool_or(gender <> '') THEN 1 ELSE 0 END AS attempt FROM recs GROUP BY doc_id, page_index", rendered.SQL)
 def x09_best_rendition(spark, sf_dir):
+    """A first attempt without IDs: it loses where markers show that records are missing."""
     good = rendered.pages(spark, sf_dir)
     worse = good.withColumn("text", F.regexp_replace("text", r"ABC\d{7}", "")).withColumn("attempt", F.lit(0))
-    tried = worse.unionByName(good.withColumn("attempt", F.lit(1)))
-    best = extraction.best_rendition(tried)
-    blank = good.select("doc_id", "page_index", F.col("text").rlike(r"Gender :\s*\|").alias("blank"))
-    return best.join(blank, ["doc_id", "page_index"]).select("doc_id", "page_index", F.when(F.col("blank"), 0).otherwise(F.col("attempt")).alias("attempt"))
+    return extraction.best_rendition(worse.unionByName(good.withColumn("attempt", F.lit(1)))).select("doc_id", "page_index", "attempt")
 
 
 # enrichment ---------------------------------------------------------------------------

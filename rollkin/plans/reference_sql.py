@@ -87,10 +87,10 @@ NUMBERS = {"dup_epic": 1, "dup_identity": 2, "cross_part_dup": 3, "photo_reuse":
 _NUMBER = "CASE rule " + " ".join(f"WHEN '{r}' THEN {n}" for r, n in NUMBERS.items()) + " END"
 FLAG_ID = f"(voter_id * 1000000 + coalesce(related_voter_id, 0)) * 10 + {_NUMBER}"
 REVIEW_COLUMNS = [
-    "id * 2 AS review_key, id AS flag_id, CASE voter_id % 4 WHEN 0 THEN 'confirmed' WHEN 2 THEN 'needs_info' ELSE 'legitimate' END AS verdict, date_add(DATE '2025-01-01', cast(voter_id % 20 AS int)) AS reviewed_at",
-    "id * 2 + 1 AS review_key, id AS flag_id, 'confirmed' AS verdict, date_add(DATE '2025-01-01', cast(voter_id % 20 + CASE WHEN voter_id % 12 = 0 THEN 0 ELSE 1 END AS int)) AS reviewed_at",
-]
-_DUCK_REVIEWS = [c.replace("date_add(DATE '2025-01-01', cast(", "(DATE '2025-01-01' + cast(") for c in REVIEW_COLUMNS]
+    ["id * 2 AS review_key", "id AS flag_id", "CASE voter_id % 4 WHEN 0 THEN 'confirmed' WHEN 2 THEN 'needs_info' ELSE 'legitimate' END AS verdict", "date_add(DATE '2025-01-01', cast(voter_id % 20 AS int)) AS reviewed_at"],
+    ["id * 2 + 1 AS review_key", "id AS flag_id", "'confirmed' AS verdict", "date_add(DATE '2025-01-01', cast(voter_id % 20 + CASE WHEN voter_id % 12 = 0 THEN 0 ELSE 1 END AS int)) AS reviewed_at"],
+]
+_DUCK_REVIEWS = [", ".join(c).replace("date_add(DATE '2025-01-01', cast(", "(DATE '2025-01-01' + cast(") for c in REVIEW_COLUMNS]
 FLAGS = f"""{BASE},
 flags0 AS ({' UNION ALL '.join(RULES[r] for r in NUMBERS)}),
 flags AS (SELECT {FLAG_ID} AS id, * FROM flags0),
