@@ -3,16 +3,22 @@
 Sets are put into bands of similar size. Within a band a similarity of at least t means
 that two sets differ in at most k features. The feature domain is dealt by hash into
 k + 1 + e parts, and a set's signature for a part is a digest of the features it has
-there: k differences leave one part untouched, so sets that are similar enough share a
-signature. (Of the subsets of parts that the method enumerates these are the
-single parts, the choice with the fewest signatures.) Empty parts would match all sets
-that are empty there. The e spare parts let sets with at most e empty parts leave these
-out; sets with more emit them too, which keeps the guarantee for every pair.
-
-Sets that share a signature are candidates, and candidates are checked on their texts.
-Only links that can still join two components matter: in each round every signature
-names a few leaders, its other sets are checked against them, and what has become one
-component leaves. A group of thousands of near copies is settled by its first leader.
+there: k differences leave at least 1 + e parts untouched, so sets that are similar
+enough share so many signatures. (Of the subsets of parts that the method enumerates
+these are the single parts, the choice with the fewest signatures.)
+
+Parts in which a set is empty, and signatures that very many sets share because a
+passage or line is common, would bring all those sets together. The e spare parts let a
+set leave out up to e such parts: of the 1 + e that a similar set shares, one is left.
+Sets with more than e of them leave out none. No pair is lost either way, since equal
+parts are empty or common in both sets alike.
+
+Sets that share a signature are candidates if their sizes and 1024-bit parity sketches
+allow the similarity (a sketch never differs in more bits than the sets in features);
+those that are left are checked on their texts. Only links that can still join two
+components matter: in each round every signature names a few leaders, its other sets
+are checked against them, and what has become one component leaves. A group of
+thousands of near copies is settled by its first leader.
 """
 
 from __future__ import annotations
@@ -32,6 +38,9 @@ from rollkin.sources.scratch import broadcast_if_small, written
 
 SMALL_IDS = 4_000_000
 LEADERS = 32
+#: A signature that more sets share is common.
+COMMON = 50
+SKETCH = [f"q{i}" for i in range(16)]
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,17 +69,17 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Bands:
-    """Size bands for a similarity of ``percent`` / 100, each half as large again as the one before.
+    """Size bands for a similarity of ``percent`` / 100, each by 30 % wider than the one before.
 
     A set belongs to the band of its size and, if it is so near to the lower end that a
     similar set can be below, to the band before. ``parts[j]``: parts of the domain in
-    band j; ``spare[j]``: those beyond k + 1.
+    band j; ``spare[j]``: those beyond k + 1, for empty parts and an eighth more.
     """
 
     def __init__(self, percent: int, largest: int):
         low = [1]
         while low[-1] <= largest:
-            low.append(max(low[-1] + 1, math.ceil(low[-1] * 1.5)))
+            low.append(max(low[-1] + 1, math.ceil(low[-1] * 1.3)))
         self.low = np.array(low)
         small = self.low[1:] - 1  # largest size of a pair's smaller set
         large = small * 100 // percent
@@ -79,7 +88,7 @@ class Bands:
         parts, spare = k + 1, np.zeros_like(k)
         for _ in range(6):
             empty = np.where(k > 0, parts * np.exp(-self.low[:-1] / parts), 0)
-            spare = np.ceil(empty + 3 * np.sqrt(empty)).astype(np.int64)
+            spare = np.where(k > 0, np.ceil(empty + 3 * np.sqrt(empty) + k / 8).astype(np.int64), 0)
             parts = k + 1 + spare
         self.parts, self.spare = parts, spare
 
@@ -95,15 +104,15 @@ def bands(percent: int) -> Bands:
     return Bands(percent, 1 << 40)
 
 
-def signatures(text: np.ndarray, key: np.ndarray, n_texts: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, signature) for all sets, ordered by text."""
+def signatures(text: np.ndarray, key: np.ndarray, n_texts: int, percent: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For a set's own band and the one before: (text, signature) ordered by text, and the spare parts each text has left."""
     b = bands(percent)
     scrambled = mix(key ^ np.uint64(0x5851F42D4C957F2D))
-    owners, sigs = [], []
+    out = []
     for band in b.of(np.bincount(text, minlength=n_texts)):
         there = np.flatnonzero(band >= 0)
-        parts = np.zeros(n_texts, dtype=np.int64)
-        parts[there] = b.parts[band[there]]
+        parts, spare = np.zeros(n_texts, dtype=np.int64), np.zeros(n_texts, dtype=np.int64)
+        parts[there], spare[there] = b.parts[band[there]], b.spare[band[there]]
         base = starts_of(parts)
         owner = np.repeat(np.arange(n_texts), parts)
         part = np.arange(len(owner)) - base[owner]
@@ -112,16 +121,18 @@ def signatures(text: np.ndarray, key: np.ndarray, n_texts: int, percent: int) ->
         digest = np.zeros(len(owner), dtype=np.uint64)
         np.add.at(digest, spot, scrambled[mine])
         empty = np.bincount(spot, minlength=len(owner)) == 0
-        spare = np.zeros(n_texts, dtype=np.int64)
-        spare[there] = b.spare[band[there]]
-        sparse = np.bincount(owner[empty], minlength=n_texts) > spare
+        left = spare - np.bincount(owner[empty], minlength=n_texts)
         sig = mix(digest + mix((band[owner].astype(np.uint64) << np.uint64(44)) + part.astype(np.uint64) + np.uint64(1)))
-        told = ~empty | sparse[owner]
-        owners.append(owner[told])
-        sigs.append(sig[told])
-    owner, sig = np.concatenate(owners), np.concatenate(sigs)
-    order = np.argsort(owner, kind="stable")
-    return owner[order], sig[order]
+        told = ~empty | (left[owner] < 0)
+        out.append((owner[told], sig[told], left))
+    return out
+
+
+def parity_sketch(text: np.ndarray, key: np.ndarray, n_texts: int) -> np.ndarray:
+    """1024 bits per text, as 16 integers: the parity of the features that hash to each."""
+    bit = (mix(key) >> np.uint64(54)).astype(np.int64)
+    odd = (np.bincount(text * 1024 + bit, minlength=n_texts * 1024) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n_texts, 1024), axis=1).view(np.int64)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -129,28 +140,39 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _sketch(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per row: doc_id, text_hash, n (set size), s1 and s2 (digest of the set), signatures."""
+    """Per row: doc_id, text_hash, n (set size), s1 and s2 (digest of the set), signatures and spare parts left in both bands, sketch."""
+    names = ["doc_id", "text_hash", "n", "s1", "s2", "sigs0", "spare0", "sigs1", "spare1", *SKETCH]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 text, key = shingle_sets(texts_of(part, "text"), words)
                 rows = part.num_rows
-                size = np.bincount(text, minlength=rows)
-                digests = []
+                columns = [part.column("doc_id"), part.column("text_hash"), pa.array(np.bincount(text, minlength=rows), pa.int64())]
                 for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
                     total = np.zeros(rows, dtype=np.uint64)
                     np.add.at(total, text, mix(key ^ np.uint64(salt)))
-                    digests.append(_signed(total))
-                owner, sig = signatures(text, key, rows, percent)
-                lists = pa.ListArray.from_arrays(pa.array(starts_of(np.bincount(owner, minlength=rows)), pa.int32()), _signed(sig))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_hash"), pa.array(size, pa.int64()), *digests, lists],
-                    names=["doc_id", "text_hash", "n", "s1", "s2", "signatures"],
-                )
+                    columns.append(_signed(total))
+                for owner, sig, left in signatures(text, key, rows, percent):
+                    offsets = starts_of(np.bincount(owner, minlength=rows))
+                    columns += [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _signed(sig)), pa.array(left, pa.int64())]
+                columns += [pa.array(q, pa.int64()) for q in parity_sketch(text, key, rows).T]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(work, f"doc_id {kind}, text_hash long, n long, s1 long, s2 long, signatures array<long>")
+    lists = "sigs0 array<long>, spare0 long, sigs1 array<long>, spare1 long"
+    return docs.mapInArrow(work, f"doc_id {kind}, text_hash long, n long, s1 long, s2 long, {lists}, " + ", ".join(f"{q} long" for q in SKETCH))
+
+
+def _may_be_similar(percent: int) -> str:
+    """SQL condition on the sizes and sketches of two sets, with suffixes _a and _b."""
+    apart = " + ".join(f"bit_count({q}_a ^ {q}_b)" for q in SKETCH)
+    sizes = f"100 * n_a >= {percent} * n_b AND 100 * n_b >= {percent} * n_a"
+    return f"{sizes} AND {100 + percent} * ({apart}) <= {100 - percent} * (n_a + n_b)"
+
+
+def _side(sets: DataFrame, name: str, side: str) -> DataFrame:
+    return sets.select(F.col("doc").alias(name), *[F.col(c).alias(f"{c}_{side}") for c in ["n", *SKETCH]])
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -187,18 +209,18 @@ def _members(docs: DataFrame, words: int, percent: int) -> DataFrame:
     members = written(
         sketch.select("doc_id", "text_hash", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").select("doc_id", "text_hash", "n", "s1", "rep"), "members"
     )
-    sizes = classes.where("rep IS NOT NULL").groupBy("rep").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    copies = members.where("doc_id <> rep").select("doc_id", "s1").distinct()
-    single = sketch.where("n > 0 AND doc_id IS NOT NULL").join(broadcast_if_small(written(copies, "copies"), SMALL_IDS), ["doc_id", "s1"], "left_anti")
-    held = single.select(F.explode("signatures").alias("sig"), F.col("doc_id").alias("doc"))
-    first = held.groupBy("sig").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).where("lead < last").drop("last")
-    shared = written(held.join(first, "sig"), "shared")
-
-    pairs = shared.where("doc > lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
-    checked = written(_near_in_size(pairs, sizes, percent), "pairs")
+    copies = written(members.where("doc_id <> rep").select("doc_id", "s1").distinct(), "copies")
+    single = sketch.where("n > 0 AND doc_id IS NOT NULL").join(broadcast_if_small(copies, SMALL_IDS), ["doc_id", "s1"], "left_anti").withColumnRenamed("doc_id", "doc")
+    sets = single.select("doc", "n", *SKETCH)
+    open_rows = _shared_signatures(single)
+
+    pairs = open_rows.where("doc > lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
+    checked = written(
+        pairs.join(_side(sets, "a", "a"), "a").join(_side(sets, "b", "b"), "b").where(_may_be_similar(percent)).select("a", "b").distinct(), "pairs"
+    )
     links = written(_linked(checked, docs, words, percent), "links")
     components = connected_components(links, "a", "b")
-    open_rows = shared.where("doc > lead").select("sig", "doc")
+    open_rows = open_rows.where("doc > lead").select("sig", "doc")
     share = LEADERS
     while True:
         named = open_rows.join(components.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp"))
@@ -208,15 +230,20 @@ def _members(docs: DataFrame, words: int, percent: int) -> DataFrame:
         )
         if rows.isEmpty():
             break
-        lead = rows.where("leads").select("sig", F.col("doc").alias("lead"), F.col("comp").alias("lead_comp"))
-        pairs = rows.join(lead, "sig").where("comp <> lead_comp AND (NOT leads OR lead < doc)").select(
-            F.least("lead", "doc").alias("a"), F.greatest("lead", "doc").alias("b")
-        ).distinct().join(checked, ["a", "b"], "left_anti")
-        fresh = written(_near_in_size(pairs, sizes, percent), "pairs")
-        checked = written(checked.unionByName(fresh), "checked")
-        found = _linked(fresh, docs, words, percent)
-        links = written(links.unionByName(found), "links")
-        components = connected_components(links, "a", "b")
+        known = rows.join(sets, "doc")
+        lead = known.where("leads").select("sig", F.col("doc").alias("lead"), F.col("comp").alias("lead_comp"), *[F.col(c).alias(f"{c}_a") for c in ["n", *SKETCH]])
+        other = known.select("sig", "doc", "comp", "leads", *[F.col(c).alias(f"{c}_b") for c in ["n", *SKETCH]])
+        apart = (other["sig"] == lead["sig"]) & F.expr(f"comp <> lead_comp AND (NOT leads OR lead < doc) AND {_may_be_similar(percent)}")
+        fresh = written(
+            other.join(lead, apart).select(F.least("lead", "doc").alias("a"), F.greatest("lead", "doc").alias("b")).distinct()
+            .join(checked, ["a", "b"], "left_anti"),
+            "pairs",
+        )
+        found = written(_linked(fresh, docs, words, percent), "links")
+        if not found.isEmpty():
+            links = written(links.unionByName(found), "links")
+            components = connected_components(links, "a", "b")
+        checked = checked.unionByName(fresh)
         open_rows = rows.where("NOT leads").select("sig", "doc")
         share *= 4
     return members.join(components.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -224,11 +251,21 @@ def _members(docs: DataFrame, words: int, percent: int) -> DataFrame:
     )
 
 
-def _near_in_size(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose set sizes allow the similarity."""
-    a = sizes.select(F.col("rep").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"))
-    b = sizes.select(F.col("rep").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    return pairs.join(a, "a").join(b, "b").where(f"100 * high_a >= {percent} * low_b AND 100 * high_b >= {percent} * low_a").select("a", "b")
+def _shared_signatures(single: DataFrame) -> DataFrame:
+    """(sig, doc, lead) for the signatures that several sets share; lead is the smallest of them.
+
+    Common ones are left out of sets that have spare parts for all of theirs.
+    """
+    band = lambda i: F.transform(f"sigs{i}", lambda x: F.struct(x.alias("sig"), F.lit(i).alias("band")))
+    held = single.select("doc", F.explode(F.concat(band(0), band(1))).alias("s")).select("s.sig", "doc", "s.band")
+    first = held.groupBy("sig").agg(F.min("doc").alias("lead"), F.max("doc").alias("last"), F.count("*").alias("times")).where("lead < last")
+    shared = written(held.join(first.drop("last"), "sig"), "shared")
+    common = shared.where(F.col("times") > COMMON)
+    spare = single.select("doc", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.col(f"spare{i}").alias("spare")) for i in (0, 1)])).alias("s")).select("doc", "s.*")
+    used = common.groupBy("doc", "band").agg(F.count("*").alias("used")).join(spare, ["doc", "band"])
+    needed = common.join(used.where("used > spare").select("doc", "band").distinct(), ["doc", "band"], "left_semi").select("sig", "doc")
+    leads = needed.groupBy("sig").agg(F.min("doc").alias("lead"))
+    return written(shared.where(F.col("times") <= COMMON).select("sig", "doc", "lead").unionByName(needed.join(leads, "sig")), "open")
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -255,13 +292,13 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     repeat one stays.
     """
     members = written(_members(docs, words, percent).where("component_id IS NOT NULL AND n > 0"), "kept")
-    best = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("best"), F.count("*").alias("rows"))
+    best = members.where("doc_id IS NOT NULL").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("best"))
     keys = members.select("doc_id", "text_hash", "component_id").groupBy("doc_id", "text_hash").agg(
         F.first("component_id").alias("component_id"), F.count("*").alias("times")
     )
     fate = written(
         keys.join(best, "component_id").select(
-            F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), (F.struct("doc_id", "text_hash") == F.col("best")).alias("_stays"), (F.col("times") > 1).alias("_again")
+            F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.struct("doc_id", "text_hash").eqNullSafe(F.col("best")).alias("_stays"), (F.col("times") > 1).alias("_again")
         ),
         "fate",
     )
