@@ -8,7 +8,7 @@ from rollkin.sources import registry as rg
 HEAD = "Assembly Constituency No and Name : 7-EXAMPLETON\nPart No. : 3\n"
 BODY = "Name : ALPHA BETA Fathers Name: GAMMA BETA House Number : H-1 Age : 40 Gender : Male"
 NORMAL = HEAD + f"| **11** {BODY} | ABC0000011 |\n| 12 Name : PHOTOX DELTA Mothers Name: EPSILON DELTA House Number : H-2 Age : 39 Gender : F | ABC0000012 |"
-CROSSED = HEAD + "| 21 | ABC0000021 | 22 | ABC0000022 |\n" + f"| {BODY} | Name : ZETA Husband's Name : ETA House No : 5 Age : 50 Gender : Female |"
+CROSSED = HEAD + "| 21 | ABC0000021 | 22 | ABC0000022 |\n" + f"| {BODY} | Name : ZETA Husbands’ Name : ETA House No : 5 Age : 50 Gender : Female |"
 STACKED = f"21\nABC0000021\n{BODY}\n22\nABC0000022\n{BODY.replace('ALPHA', 'THETA')}"
 ADDED = "| 31 | 1 | ABC0000031 | 32 | 1 | ABC0000032 |\n" + f"| {BODY} | {BODY.replace('ALPHA', 'IOTA')} |"
 
