@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rollkin.functions import dates as dt
 from rollkin.functions import text as tx
 from rollkin.operators import rules
+from rollkin.sources.scratch import written
 
 PARENT_RELATIONS = ("FTHR", "MTHR", "FATHER", "MOTHER", "F", "M")
 CHECKS = ["progeny_overload", "father_name_conflict", "parent_age_under_15", "parent_age_over_50", "grandparent_age_le_40", "age_dob_gap"]
@@ -121,7 +122,7 @@ def ranked(rows: DataFrame, per_part: int = 50) -> DataFrame:
     """
     sorted_rows = rows.repartitionByRange(*priority()).withColumn("_p", F.spark_partition_id())
     within = F.row_number().over(Window.partitionBy("_p").orderBy(*priority()))
-    numbered = sorted_rows.withColumn("_n", within)
+    numbered = written(sorted_rows.withColumn("_n", within), "ranked")  # both uses must see the same partitions
     before = F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = numbered.groupBy("_p").agg(F.count("*").alias("n")).select("_p", before.alias("_before"))  # a row for each partition
     rank = (F.col("_n") + F.col("_before")).cast("long")

@@ -46,7 +46,10 @@ def links(people: DataFrame) -> DataFrame:
     """
     seeker = people.where("relation_norm <> '' AND kind <> ''")
     other = people.select(*HOUSE, *[F.col(c).alias(f"o_{c}") for c in ("id", "name", "age", "sex", "name_norm", "serial_no", "part_no")])
-    near = seeker.join(other, HOUSE).where(F.col("id") != F.col("o_id")).where(tx.household_name_match(F.col("relation_norm"), F.col("o_name_norm")))
+    # names that match share a word: joined on it, a house of thousands makes no all-pairs join
+    word = lambda c: F.explode(F.array_distinct(F.split(c, " "))).alias("word")
+    seeker, other = seeker.select("*", word("relation_norm")), other.select("*", word("o_name_norm"))
+    near = seeker.join(other, [*HOUSE, "word"]).where(F.col("id") != F.col("o_id")).where(tx.household_name_match(F.col("relation_norm"), F.col("o_name_norm")))
     score = link_score(F.col("kind"), F.col("relation"), F.col("age"), F.col("o_age"), F.col("o_sex"), F.col("relation_norm") == F.col("o_name_norm"))
     last = 1_000_000_000
     on_roll = [-F.coalesce(tx.digits_as_int(F.col("o_part_no")), F.lit(last)), -F.coalesce("o_serial_no", F.lit(last)), -F.col("o_id")]

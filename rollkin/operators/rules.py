@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollkin.functions import dates as dt
@@ -418,11 +418,11 @@ def sibling_groups(registry: DataFrame) -> DataFrame:
     """(father, mother) groups of a year with 6 or more children or with births 1 to 270 days apart."""
     kids = identity_view(registry).where("father <> '' AND mother <> ''").select("id", "year", "father", "mother", dt.real_dob(F.col("verified_dob")).alias("born"))
     sizes = kids.groupBy("year", "father", "mother").agg(F.count("*").alias("children"), F.min("id").alias("rep"))
-    # neighbours in birth order are enough to find a gap, pairs are counted within 270 days only
-    close = kids.alias("x").join(
-        kids.alias("y"),
-        F.expr("x.year = y.year AND x.father = y.father AND x.mother = y.mother AND x.id < y.id AND abs(datediff(x.born, y.born)) BETWEEN 1 AND 270"),
-    ).groupBy("x.year", "x.father", "x.mother").agg(F.count("*").alias("gaps"))
+    # counted by day, so that a group has a row for each birth date at most and no pairs are made
+    group = ["year", "father", "mother"]
+    days = kids.where("born IS NOT NULL").groupBy(*group, F.unix_date("born").alias("day")).agg(F.count("*").alias("n"))
+    later = F.sum("n").over(Window.partitionBy(*group).orderBy("day").rangeBetween(1, 270))
+    close = days.withColumn("later", later).groupBy(*group).agg(F.sum(F.col("n") * F.coalesce("later", F.lit(0))).alias("gaps"))
     found = sizes.join(close, ["year", "father", "mother"], "left").where("children >= 6 OR gaps > 0")
     severity = F.when((F.col("gaps") > 0) | (F.col("children") >= 10), "high").otherwise("medium")
     return found.withColumn("severity", severity).withColumn("gaps", F.coalesce("gaps", F.lit(0)))
