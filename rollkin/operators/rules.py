@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from rollkin.functions import dates as dt
 from rollkin.functions import similarity as sim
 from rollkin.functions import text as tx
+from rollkin.sources.scratch import written
 
 AGE_WINDOW = 8
 FLAG_COLUMNS = ["rule", "severity", "score", "voter_id", "related_voter_id", "details"]
@@ -233,8 +234,8 @@ def _signal(name: str, when: Column) -> Column:
 
 def evidence(registry: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) with the array of signals that fire and the sum of their points."""
-    view = identity_view(registry)
-    rows = both_records(identity_candidates(registry), view)
+    view = written(identity_view(registry), "view")
+    rows = both_records(written(identity_candidates(registry), "pairs"), view)
     names = rows.where("name_key_a <> name_key_b").select(F.col("name_key_a").alias("a"), F.col("name_key_b").alias("b"))
     likeness = sim.text_cosines(names).select(F.col("a").alias("name_key_a"), F.col("b").alias("name_key_b"), F.col("cosine").alias("name_cosine"))
     shares = mobile_counts(registry).select("year", F.col("mobile_no").alias("mobile_no_a"), F.col("n").alias("mobile_n"))
@@ -310,8 +311,8 @@ def compared(registry: DataFrame) -> DataFrame:
     The name-like attributes of all pairs are compared in one pass over the distinct
     pairs of texts.
     """
-    view = identity_view(registry)
-    rows = both_records(profile_candidates(registry), view).where("NOT (sex_a <> '' AND sex_b <> '' AND sex_a <> sex_b)")
+    view = written(identity_view(registry), "view")
+    rows = both_records(written(profile_candidates(registry), "pairs"), view).where("NOT (sex_a <> '' AND sex_b <> '' AND sex_a <> sex_b)")
     long = rows.select("a", "b", F.explode(F.array(*[
         F.struct(F.lit(k).alias("attribute"), F.col(f"{c}_a").alias("x"), F.col(f"{c}_b").alias("y")) for k, c in NAMED.items()
     ])).alias("v")).select("a", "b", "v.*").where("x <> '' AND y <> ''")
@@ -376,6 +377,7 @@ def cosine_new(registry: DataFrame) -> DataFrame:
     shown = ["name", "dob", "father", "mother", "spouse", "category", "relation_type", "reference", "house", "age", "gender"]
     n = reduce(lambda x, y: x + y, [F.col(f"sim_{k}").isNotNull().cast("int") for k in shown])
     gated = compared(registry).withColumn("n", n).where((F.col("sim_name") >= 0.85) & (F.col("n") >= 3) & _anchored() & F.coalesce(F.col("sim_dob") > 0, F.lit(True)))
+    gated = written(gated, "gated")
     view = identity_view(registry)
     fields = view.select(F.col("id").alias("key"), F.explode(F.array(*[
         F.struct(F.concat(F.lit(f"{k}:"), F.col(c)).alias("text"), F.lit(VECTOR_WEIGHTS[k]).alias("w"), (F.col(c) != "").alias("there")) for k, c in VECTOR_COLUMNS.items()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollkin.functions import text as tx
+from rollkin.sources.scratch import written
 
 NATURAL_KEY = ["year", "constituency_no", "part_no", "serial_no", "epic_no"]
 TEXT_COLUMNS = ["constituency_no", "constituency_name", "part_no", "epic_no", "name", "relation_type", "relation_name", "house_number", "gender", "photo_id"]
@@ -59,14 +60,19 @@ def _cast(name: str, expression: str) -> str:
 
 
 def derived_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The register that a folder's ``part`` table stands for, with normalised columns."""
+    """The register that a folder's ``part`` table stands for, with normalised columns.
+
+    It is written once, as a register is stored in practice, so that rules read the
+    normalised columns instead of deriving them in every branch of a plan.
+    """
     part = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
         "p_partkey AS k", "p_size AS s", "p_type AS t", "upper(p_name) AS n", "cast(substr(p_brand, 7) AS int) AS b"
     )
     # one input file is one partition: spread the rows before any pair work
-    return with_derived_columns(part.selectExpr(*[_cast(c, e) for c, e in DERIVED.items()]).repartition("id")).withColumns(
+    rows = with_derived_columns(part.selectExpr(*[_cast(c, e) for c, e in DERIVED.items()]).repartition("id"))
+    return written(rows.withColumns(
         {"spouse_name": F.lit(None).cast("string"), "verified_age": F.lit(None).cast("int"), "national_id_hash": F.lit(None).cast("string")}
-    )
+    ), "register")
 
 
 def with_derived_columns(registry: DataFrame) -> DataFrame:
