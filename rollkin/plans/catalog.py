@@ -639,3 +639,102 @@ def e05_route(spark, sf_dir):
     registry = register(spark, sf_dir)
     wanted = registry.where("epic_no <> ''").select("epic_no", "constituency_no").distinct()
     return enrichment.route(wanted, _payloads(registry)).select("epic_no", "constituency_no", "source")
+
+
+# single steps of the above --------------------------------------------------------------
+
+
+@query("SELECT doc_id, page_index FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM pages0) WHERE doc_id LIKE 'D2024%' OR (page_index >= 2 AND page_index < n - 2)", rendered.SQL)
+def s10_untrimmed_where_trimming_left_none(spark, sf_dir):
+    pages = rg.trim_pages(rendered.numbered(rendered.pages(spark, sf_dir)))
+    whole = rendered.numbered(rendered.pages(spark, sf_dir))
+    return rg.parsed_or_untrimmed(pages.where("doc_id NOT LIKE 'D2024%'"), whole).select("doc_id", "page_index")
+
+
+@query("SELECT epic_no, id, length(name) AS n_bytes FROM reg WHERE epic_no IN (SELECT epic_no FROM reg WHERE id % 9 = 0 AND epic_no <> '')")
+def s18_documents_of_set(spark, sf_dir):
+    registry = register(spark, sf_dir)
+    documents = registry.select("epic_no", "id", F.encode("name", "UTF-8").alias("image"))
+    return rg.documents_of(documents, registry.where("id % 9 = 0 AND epic_no <> ''").select("epic_no")).select("epic_no", "id", F.col("n_bytes").cast("long").alias("n_bytes"))
+
+
+@query("SELECT id, CASE WHEN id % 8 = 0 THEN 2025 ELSE year END AS year FROM reg")
+def s26_backfill_year(spark, sf_dir):
+    return rg.backfill_year(register(spark, sf_dir).withColumn("year", F.when(F.col("id") % 8 != 0, F.col("year")))).select("id", "year")
+
+
+@query("SELECT count(*) AS matches FROM reg WHERE year = 2025 AND part_no IN ('1', '3') AND relation_type = 'Husband' AND category_type = 'self'")
+def a27_match_count(spark, sf_dir):
+    f = explore.Filters(year=2025, parts=("1", "3"), relation_types=("Husband",), categories=("self",))
+    return explore.search(register(spark, sf_dir), f).agg(F.count("*").alias("matches"))
+
+
+@query("SELECT id, epic_no, verified_dob, lookup_status FROM reg WHERE lookup_status IS NULL")
+def p17_pending_list(spark, sf_dir):
+    return explore.search(register(spark, sf_dir), explore.Filters(statuses=(explore.PENDING,))).select(*rg.LIST_COLUMNS).select("id", "epic_no", "verified_dob", "lookup_status")
+
+
+@query("SELECT id, count(*) AS fields FROM (" + " UNION ALL ".join(f"SELECT id FROM reg WHERE coalesce({c}::VARCHAR, '') <> ''" for c in ("verified_name", "verified_dob", "mobile_no", "mother_name", "relation_epic", "age")) + ") GROUP BY id")
+def p20_dossier_fields(spark, sf_dir):
+    fields = rg.dossier_fields(register(spark, sf_dir), ["verified_name", "verified_dob", "mobile_no", "mother_name", "relation_epic", "age"])
+    return fields.groupBy("id").agg(F.count("*").alias("fields"))
+
+
+@query("SELECT l.id, CASE l.rule WHEN 'cosine_new' THEN 'cosine' ELSE 'fuzzy' END AS model, l.partner, l.score, v.shown_name AS partner_name FROM leads l JOIN view v ON v.id = l.partner", ref.report_ctes())
+def c03_duplicate_map(spark, sf_dir):
+    registry = register(spark, sf_dir)
+    leads = rules.dup_identity(registry).withColumn("rule", F.lit("cosine_new")).unionByName(rules.cross_part_dup(registry).withColumn("rule", F.lit("fuzzy_new")))
+    return combined.duplicate_map(leads, registry).select("id", "model", "partner", "score", "partner_name")
+
+
+@query("SELECT id, rule FROM flags WHERE voter_id IN (SELECT id FROM reg WHERE epic_no = 'ABC0000080') OR related_voter_id IN (SELECT id FROM reg WHERE epic_no = 'ABC0000080')", ref.FLAGS)
+def c09_person_profile_flags(spark, sf_dir):
+    registry = register(spark, sf_dir)
+    return explore.profile(registry, flag_tables(registry)[0], "ABC0000080")[1].select("id", "rule")
+
+
+@query("SELECT doc_id, CAST(serial AS VARCHAR) AS serial_no, epic_no FROM recs WHERE page_index % 18 = 0", rendered.SQL)
+def x02_strict_records(spark, sf_dir):
+    return extraction.parse_strict(rendered.pages(spark, sf_dir).where("page_index % 18 = 0")).select("doc_id", "serial_no", "epic_no")
+
+
+@query("SELECT doc_id, CAST(serial AS VARCHAR) AS serial_no, epic_no FROM recs", rendered.SQL)
+def x03_positional_records(spark, sf_dir):
+    return extraction.parse_positional(rendered.pages(spark, sf_dir)).select("doc_id", "serial_no", "epic_no")
+
+
+@query("SELECT doc_id, name, CAST(age AS VARCHAR) AS age FROM recs", rendered.SQL)
+def x04_lenient_records(spark, sf_dir):
+    return extraction.parse_lenient(rendered.pages(spark, sf_dir)).select("doc_id", "name", "age")
+
+
+@query("SELECT doc_id, page_index, list_sort(list(serial)) AS serials FROM recs WHERE page_index % 18 = 0 GROUP BY ALL", rendered.SQL)
+def x05_page_markers(spark, sf_dir):
+    pages = rendered.pages(spark, sf_dir).where("page_index % 18 = 0")
+    return pages.select("doc_id", "page_index", F.array_sort(extraction.markers(F.col("text"))).alias("serials"))
+
+
+@query("SELECT count(*) AS gaps FROM (SELECT doc_id, unnest(range(min(serial), max(serial) + 1)) AS s FROM recs GROUP BY doc_id) g WHERE NOT EXISTS (SELECT 1 FROM recs WHERE recs.doc_id = g.doc_id AND recs.serial = g.s) "
+       "AND EXISTS (SELECT 1 FROM recs WHERE recs.doc_id = g.doc_id AND abs(recs.serial - g.s) = 1)", rendered.SQL)
+def x10_pages_to_read_again(spark, sf_dir):
+    pages = rendered.pages(spark, sf_dir)
+    return extraction.pages_to_read_again(extraction.extract(pages), pages).agg(F.count("*").alias("gaps"))
+
+
+@query("SELECT doc_id, CAST(serial AS VARCHAR) AS serial_no, 'img' || (row_number() OVER (PARTITION BY doc_id, page_index ORDER BY serial) - 1) AS image_id FROM recs", rendered.SQL)
+def j26_images_of_records(spark, sf_dir):
+    records = extraction.parse_positional(rendered.pages(spark, sf_dir))
+    images = records.select("doc_id", "page", F.col("pos").alias("image_index"), F.concat(F.lit("img"), F.col("pos")).alias("image_id"))
+    return extraction.match_images(records, images).select("doc_id", "serial_no", "image_id")
+
+
+@query("SELECT m.year, m.constituency_no, m.house_norm, count(*) AS external_spouses FROM mem m WHERE m.rel <> '' AND m.kind = 'spouse' AND m.id NOT IN (SELECT id FROM link) GROUP BY ALL", ref.household_ctes())
+def h02_external_spouses(spark, sf_dir):
+    people = household.members(_housed(spark, sf_dir))
+    return household.external_spouses(people, household.links(people))
+
+
+@query("SELECT id FROM mem WHERE id NOT IN (SELECT x FROM edge)", ref.household_ctes())
+def h05_unlinked(spark, sf_dir):
+    people = household.members(_housed(spark, sf_dir))
+    return household.families(people, household.links(people)).where("NOT linked").select("id")

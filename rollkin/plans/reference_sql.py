@@ -281,7 +281,7 @@ def household_ctes() -> str:
     big = "CASE WHEN len(ta) <= len(tb) THEN tb ELSE ta END"
     match = f"(rel = o_norm OR (len({small}) >= 2 AND list_has_all({big}, {small})) OR (len({small}) = 1 AND length(({small})[1]) >= 4 AND ({small})[1] = ({big})[1]))"
     want = "CASE relation WHEN 'F' THEN 'M' WHEN 'H' THEN 'M' WHEN 'M' THEN 'F' WHEN 'W' THEN 'F' END"
-    return f"""{BASE}, hreg AS (SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN (SELECT min(n) FROM p) ELSE relation_name END AS relation_name) FROM reg),
+    return f"""{BASE}, hreg AS (SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN (SELECT min(n) FROM p WHERE k % 11 <> 0 AND k % 13 <> 0) ELSE relation_name END AS relation_name) FROM reg),
 mem AS (SELECT year, constituency_no, house_norm, id, name, age, CASE WHEN upper(substr(trim(gender), 1, 1)) IN ('M', 'F') THEN upper(substr(trim(gender), 1, 1)) ELSE '?' END AS sex, name_norm, {name_sql('relation_name')} AS rel,
   {kind} AS kind, upper(substr(trim(relation_type), 1, 1)) AS relation FROM hreg WHERE house_norm <> ''),
 near AS (SELECT * FROM (SELECT a.*, b.id AS o_id, b.age AS o_age, b.sex AS o_sex, b.name_norm AS o_norm, string_split(a.rel, ' ') AS ta, string_split(b.name_norm, ' ') AS tb FROM mem a JOIN mem b

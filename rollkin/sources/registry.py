@@ -175,3 +175,9 @@ def page_batches(pages: DataFrame, size: int = 15, whole: int = 25) -> DataFrame
 def parsed_or_untrimmed(trimmed_rows: DataFrame, untrimmed_rows: DataFrame) -> DataFrame:
     """Rows parsed from trimmed pages, and all rows of documents for which trimming left none."""
     return trimmed_rows.unionByName(untrimmed_rows.join(trimmed_rows, "doc_id", "left_anti"))
+
+
+def dossier_fields(registry: DataFrame, fields: list[str]) -> DataFrame:
+    """(id, label, value): the fields of each record that aren't blank."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("label"), F.col(f).cast("string").alias("value")) for f in fields])
+    return registry.select("id", F.explode(F.filter(pairs, lambda x: F.coalesce(x["value"], F.lit("")) != "")).alias("f")).select("id", "f.*")
