@@ -15,7 +15,7 @@ from rollkin.functions import dates as dt
 from rollkin.functions import similarity as sim
 from rollkin.functions import text as tx
 from rollkin.operators import combined, enrichment, explore, extraction, flags, household, rules
-from rollkin.plans import reference_sql as ref
+from rollkin.plans import expected_sql as ref
 from rollkin.plans import rendered
 from rollkin.sources import registry as rg
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rollkin.plans import reference_sql as ref
+from rollkin.plans import expected_sql as ref
 from rollkin.sources import registry as rg
 
 DOC = "concat('D', cast(year AS string), '-', part_no, '-', cast(id - id % 8000 AS string))"
