@@ -69,17 +69,17 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Bands:
-    """Size bands for a similarity of ``percent`` / 100, each by 30 % wider than the one before.
+    """Size bands for a similarity of ``percent`` / 100, each 40 % wider than the one before.
 
     A set belongs to the band of its size and, if it is so near to the lower end that a
     similar set can be below, to the band before. ``parts[j]``: parts of the domain in
-    band j; ``spare[j]``: those beyond k + 1, for empty parts and an eighth more.
+    band j; ``spare[j]``: those beyond k + 1, for empty parts and a twelfth more.
     """
 
     def __init__(self, percent: int, largest: int):
         low = [1]
         while low[-1] <= largest:
-            low.append(max(low[-1] + 1, math.ceil(low[-1] * 1.3)))
+            low.append(max(low[-1] + 1, math.ceil(low[-1] * 1.4)))
         self.low = np.array(low)
         small = self.low[1:] - 1  # largest size of a pair's smaller set
         large = small * 100 // percent
@@ -88,7 +88,7 @@ class Bands:
         parts, spare = k + 1, np.zeros_like(k)
         for _ in range(6):
             empty = np.where(k > 0, parts * np.exp(-self.low[:-1] / parts), 0)
-            spare = np.where(k > 0, np.ceil(empty + 3 * np.sqrt(empty) + k / 8).astype(np.int64), 0)
+            spare = np.where(k > 0, np.ceil(empty + 2 * np.sqrt(empty) + k / 12).astype(np.int64), 0)
             parts = k + 1 + spare
         self.parts, self.spare = parts, spare
 
@@ -140,8 +140,8 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _sketch(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per row: doc_id, text_hash, n (set size), s1 and s2 (digest of the set), signatures and spare parts left in both bands, sketch."""
-    names = ["doc_id", "text_hash", "n", "s1", "s2", "sigs0", "spare0", "sigs1", "spare1", *SKETCH]
+    """Per row: doc_id, text_hash, n (set size), s1 and s2 (digest of the set), parity sketch."""
+    names = ["doc_id", "text_hash", "n", "s1", "s2", *SKETCH]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,15 +153,36 @@ def _sketch(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     total = np.zeros(rows, dtype=np.uint64)
                     np.add.at(total, text, mix(key ^ np.uint64(salt)))
                     columns.append(_signed(total))
-                for owner, sig, left in signatures(text, key, rows, percent):
-                    offsets = starts_of(np.bincount(owner, minlength=rows))
-                    columns += [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _signed(sig)), pa.array(left, pa.int64())]
                 columns += [pa.array(q, pa.int64()) for q in parity_sketch(text, key, rows).T]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    lists = "sigs0 array<long>, spare0 long, sigs1 array<long>, spare1 long"
-    return docs.mapInArrow(work, f"doc_id {kind}, text_hash long, n long, s1 long, s2 long, {lists}, " + ", ".join(f"{q} long" for q in SKETCH))
+    return docs.mapInArrow(work, f"doc_id {kind}, text_hash long, n long, s1 long, s2 long, " + ", ".join(f"{q} long" for q in SKETCH))
+
+
+def _signature_rows(docs: DataFrame, words: int, percent: int, owners: bool) -> DataFrame:
+    """(sig), or with ``owners`` (sig, doc, code), for every signature of every text.
+
+    code = 2 * (spare parts left + 1) + (0 for the own band, 1 for the one before); a
+    set without spare parts left has 0 of them. Signatures are made anew from the texts
+    whenever they are needed: stored, they would take as much room as the texts.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                text, key = shingle_sets(texts_of(part, "text"), words)
+                ids = part.column("doc_id")
+                for band, (owner, sig, left) in enumerate(signatures(text, key, part.num_rows, percent)):
+                    if owners:
+                        code = 2 * (np.maximum(left, -1) + 1) + band
+                        columns = [_signed(sig), ids.take(pa.array(owner)), pa.array(code[owner], pa.int32())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["sig", "doc", "code"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([_signed(sig)], names=["sig"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(work, f"sig long, doc {kind}, code int" if owners else "sig long")
 
 
 def _may_be_similar(percent: int) -> str:
@@ -209,10 +230,10 @@ def _members(docs: DataFrame, words: int, percent: int) -> DataFrame:
     members = written(
         sketch.select("doc_id", "text_hash", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").select("doc_id", "text_hash", "n", "s1", "rep"), "members"
     )
-    copies = written(members.where("doc_id <> rep").select("doc_id", "s1").distinct(), "copies")
-    single = sketch.where("n > 0 AND doc_id IS NOT NULL").join(broadcast_if_small(copies, SMALL_IDS), ["doc_id", "s1"], "left_anti").withColumnRenamed("doc_id", "doc")
-    sets = single.select("doc", "n", *SKETCH)
-    open_rows = _shared_signatures(single)
+    copies = broadcast_if_small(written(members.where("doc_id <> rep").select("doc_id", "text_hash").distinct(), "copies"), SMALL_IDS)
+    sets = sketch.where("n > 0 AND doc_id IS NOT NULL").join(copies, ["doc_id", "text_hash"], "left_anti").select(F.col("doc_id").alias("doc"), "n", *SKETCH)
+    single = docs.where("doc_id IS NOT NULL").join(copies, ["doc_id", "text_hash"], "left_anti").select("doc_id", "text")
+    open_rows = _shared_signatures(single, words, percent)
 
     pairs = open_rows.where("doc > lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
     checked = written(
@@ -251,21 +272,19 @@ def _members(docs: DataFrame, words: int, percent: int) -> DataFrame:
     )
 
 
-def _shared_signatures(single: DataFrame) -> DataFrame:
+def _shared_signatures(single: DataFrame, words: int, percent: int) -> DataFrame:
     """(sig, doc, lead) for the signatures that several sets share; lead is the smallest of them.
 
     Common ones are left out of sets that have spare parts for all of theirs.
     """
-    band = lambda i: F.transform(f"sigs{i}", lambda x: F.struct(x.alias("sig"), F.lit(i).alias("band")))
-    held = single.select("doc", F.explode(F.concat(band(0), band(1))).alias("s")).select("s.sig", "doc", "s.band")
-    first = held.groupBy("sig").agg(F.min("doc").alias("lead"), F.max("doc").alias("last"), F.count("*").alias("times")).where("lead < last")
-    shared = written(held.join(first.drop("last"), "sig"), "shared")
+    counts = _signature_rows(single, words, percent, owners=False).groupBy("sig").agg(F.count("*").alias("times")).where("times > 1")
+    shared = written(_signature_rows(single, words, percent, owners=True).join(counts, "sig"), "shared")
     common = shared.where(F.col("times") > COMMON)
-    spare = single.select("doc", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.col(f"spare{i}").alias("spare")) for i in (0, 1)])).alias("s")).select("doc", "s.*")
-    used = common.groupBy("doc", "band").agg(F.count("*").alias("used")).join(spare, ["doc", "band"])
-    needed = common.join(used.where("used > spare").select("doc", "band").distinct(), ["doc", "band"], "left_semi").select("sig", "doc")
-    leads = needed.groupBy("sig").agg(F.min("doc").alias("lead"))
-    return written(shared.where(F.col("times") <= COMMON).select("sig", "doc", "lead").unionByName(needed.join(leads, "sig")), "open")
+    short = common.groupBy("doc", "code").agg(F.count("*").alias("used")).where("used > floor(code / 2) - 1").select("doc", "code")
+    held = written(
+        shared.where(F.col("times") <= COMMON).select("sig", "doc").unionByName(common.join(short, ["doc", "code"], "left_semi").select("sig", "doc")), "held"
+    )
+    return held.join(held.groupBy("sig").agg(F.min("doc").alias("lead")), "sig")
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
