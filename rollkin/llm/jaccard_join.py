@@ -36,7 +36,7 @@ from rollkin.llm.arrow_text import hashes, mix, slices, split_words, starts_of,
 from rollkin.operators.components import connected_components
 from rollkin.sources.scratch import broadcast_if_small, written
 
-SMALL_IDS = 4_000_000
+SMALL_IDS = 1_000_000
 LEADERS = 32
 #: A signature that more sets share is common.
 COMMON = 50
