@@ -1,41 +1,47 @@
 """Cross-entropy difference of two matched n-gram models.
 
 A target model (texts known to be good) and a background model (all texts) are
-interpolated bigram models over one vocabulary: the most frequent words of the whole
-corpus, an unknown-word symbol and a begin symbol. Word, bigram and context counts are
-taken over all documents, added up before they are shuffled. As the vocabulary has a
-fixed size, so has the model, whatever the corpus: ``vocabulary ** 2`` cells at most,
-which is what makes it safe to broadcast.
+interpolated bigram models over all words of the corpus, and a begin symbol. Both grow
+with the corpus, so neither is ever held in one place. Texts are cut into slices of some
+megabytes; each slice counts its own distinct words, contexts and bigrams, sends each
+key with its two counts once to the bucket its hash lies in, and gets the totals of the
+corpus back in the order it sent them. However common a word is, a slice sends it once,
+so no bucket outweighs another. Words and bigrams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollkin.llm.arrow_text import slices, split_words, starts_of, texts_of
+from rollkin.llm.arrow_text import hashes, mix, slices, split_words, starts_of, texts_of
 from rollkin.sources.scratch import broadcast_if_small, written
 
-UNKNOWN, BEGIN = 0, 1
-FIRST_WORD = 2
+#: Hashes of the symbols that aren't words, and what sets the three kinds of keys apart.
+UNKNOWN, BEGIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+PAIR, CONTEXT, WORD = np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)
 SMALL_LABELS = 2_000_000
+SLICE_BYTES = 8 << 20
+BUCKET_WORDS = 1 << 19
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``vocabulary``: numbers of symbols, the unknown and the begin symbol included.
+    """``vocabulary``: numbers of symbols, the unknown and the begin symbol included; None: all words.
 
     ``bigram_share``: weight of the bigram estimate, the rest is the unigram's.
     ``added``: count added to every unigram, so that no probability is 0.
     """
 
-    vocabulary: int = 2048
+    vocabulary: int | None = None
     bigram_share: float = 0.7
     added: float = 0.5
 
@@ -55,56 +61,130 @@ def word_totals(docs: DataFrame) -> DataFrame:
 
 def vocabulary_of(docs: DataFrame, size: int) -> list[str]:
     """The ``size`` - 2 most frequent words of ``docs``; of equally frequent ones the first by code point."""
-    top = word_totals(docs).orderBy(F.desc("n"), "word").limit(size - FIRST_WORD)
+    top = word_totals(docs).orderBy(F.desc("n"), "word").limit(size - 2)
     return [r["word"] for r in top.collect()]
 
 
-def symbols_of(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbol of each word, symbol before it, words of each text)."""
-    words = split_words(texts, lower=True)
-    found = pc.fill_null(pc.index_in(words.dictionary, value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
-    symbol = np.where(found >= 0, found + FIRST_WORD, UNKNOWN)[words.codes] if len(found) else np.zeros(0, dtype=np.int64)
-    before = np.empty_like(symbol)
-    if len(symbol):
-        before[1:] = symbol[:-1]
-        before[starts_of(words.counts)[:-1][words.counts > 0]] = BEGIN
-    return symbol.astype(np.int64), before.astype(np.int64), words.counts
+def pack(values: np.ndarray) -> bytes:
+    """64-bit values, the bytes of equal weight side by side, compressed."""
+    return zstandard.compress(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
-def bigram_counts(docs: DataFrame, words: list[str], size: int) -> DataFrame:
-    """(pair, target, background) over ``docs`` (text, is_target); pair = before * size + symbol."""
+def unpack(data: bytes) -> np.ndarray:
+    flat = np.frombuffer(zstandard.decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(flat.reshape(8, -1).T).view(np.uint64).ravel()
+
+
+class Slice:
+    """Keys of a slice's bigrams, words and contexts, from its word codes.
+
+    ``codes``: number of each word; ``symbols``: hash of each number; ``counts``: words
+    of each text. ``order`` sorts the keys, which is how they are sent and come back.
+    """
+
+    def __init__(self, codes: np.ndarray, symbols: np.ndarray, counts: np.ndarray):
+        codes, symbols = codes.astype(np.int64), np.append(symbols, BEGIN)
+        size = len(symbols)
+        before = np.empty_like(codes)
+        if len(codes):
+            before[1:] = codes[:-1]
+            before[starts_of(counts)[:-1][counts > 0]] = size - 1
+        pairs, self.at = np.unique(before * size + codes, return_inverse=True)
+        self.at = self.at.astype(np.int32)
+        self.before, self.word, self.size = pairs // size, pairs % size, size
+        one = np.uint64(1)
+        self.keys = np.concatenate([
+            mix(mix(symbols[self.before] + PAIR) + symbols[self.word]) & ~one, mix(symbols ^ CONTEXT) & ~one, mix(symbols[:-1] ^ WORD) | one,
+        ])
+        self.order = np.argsort(self.keys, kind="stable")
+
+    def parts(self, pair_values: np.ndarray) -> np.ndarray:
+        """Counts of all keys, from those of the bigrams."""
+        total = lambda of, n: np.bincount(of, weights=pair_values, minlength=n).astype(np.int64)
+        return np.concatenate([pair_values, total(self.before, self.size), total(self.word, self.size)[:-1]])
+
+    def losses(self, totals: np.ndarray, n_words: int, n_symbols: int, settings: Settings) -> np.ndarray:
+        """-log2 probability of each of the slice's words, from the corpus' totals of the keys."""
+        pair, context, word = np.split(totals.astype(np.float64), [len(self.before), len(self.before) + self.size])
+        unigram = (word[self.word] + settings.added) / (n_words + settings.added * n_symbols)
+        held = context[self.before]
+        share = np.where(held > 0, settings.bigram_share, 0.0)
+        return -np.log2(share * pair / np.maximum(held, 1) + (1 - share) * unigram)[self.at]
+
+
+def slices_of(docs: DataFrame, words: list[str] | None) -> DataFrame:
+    """A row for each slice of ``docs`` (doc_id, text, is_target): its ids, and its words as numbers."""
+    known = None if words is None else pa.array(words, pa.string())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = pa.array(words, pa.string())
         for batch in batches:
-            for part in slices(batch, "text", 24 << 20):
-                symbol, before, counts = symbols_of(texts_of(part, "text"), vocabulary)
-                good = np.repeat(part.column("is_target").to_numpy(zero_copy_only=False).astype(bool), counts)
-                pair, at, n = np.unique(before * size + symbol, return_inverse=True, return_counts=True)
-                target = np.bincount(at[good], minlength=len(pair))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (pair, target, n)], names=["pair", "target", "background"])
-
-    found = docs.select("text", "is_target").mapInArrow(work, "pair long, target long, background long")
-    return found.groupBy("pair").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def losses(pairs: np.ndarray, counts: np.ndarray, settings: Settings) -> np.ndarray:
-    """-log2 probability of each (before, symbol) under the model of ``counts``, flat, before major."""
-    size = settings.vocabulary
-    flat = np.zeros(size * size, dtype=np.float32)
-    flat[pairs] = counts
-    table = flat.reshape(size, size)
-    unigram = table.sum(axis=0, dtype=np.float64) + settings.added
-    unigram[BEGIN] = 0
-    unigram /= unigram.sum()
-    context = table.sum(axis=1, dtype=np.float64)
-    seen = context > 0
-    table *= np.where(seen, settings.bigram_share / np.where(seen, context, 1), 0).astype(np.float32)[:, None]
-    for row, there in zip(table, seen):  # row by row, so that no second table is held
-        row += ((1 - settings.bigram_share if there else 1.0) * unigram).astype(np.float32)
-    with np.errstate(divide="ignore"):
-        np.log2(flat, out=flat)
-    return np.negative(flat, out=flat)
+            for part in slices(batch, "text", SLICE_BYTES):
+                found = split_words(texts_of(part, "text"), lower=True)
+                symbols, codes = hashes(found.dictionary), found.codes
+                if known is not None:
+                    symbols = np.where(pc.is_in(found.dictionary, value_set=known).to_numpy(zero_copy_only=False), symbols, UNKNOWN)
+                    symbols, at = np.unique(symbols, return_inverse=True)
+                    codes = at[codes]
+                good = part.column("is_target").to_numpy(zero_copy_only=False).astype(bool)
+                ids = part.column("doc_id")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([int.from_bytes(os.urandom(7))], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                        *(pa.array([pack(x)], pa.binary()) for x in (found.counts, good, codes, symbols)),
+                        pa.array([len(codes)], pa.int64()), pa.array([int(found.counts[good].sum())], pa.int64()),
+                    ],
+                    names=["slice", "doc_ids", "counts", "good", "codes", "symbols", "n_background", "n_target"],
+                )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(work, f"slice long, doc_ids array<{kind}>, counts binary, good binary, codes binary, symbols binary, n_background long, n_target long")
+
+
+def _counted(row: dict) -> tuple[Slice, np.ndarray]:
+    """The slice in ``row``, and the words of its texts."""
+    counts = unpack(row["counts"]).astype(np.int64)
+    return Slice(unpack(row["codes"]), unpack(row["symbols"]), counts), counts
+
+
+def corpus_totals(cut: DataFrame, n_buckets: int) -> DataFrame:
+    """(slice, bucket, target, background, n_new): the corpus' totals of a slice's keys of a bucket, in key order.
+
+    ``n_new``, on one row of a bucket, is its number of distinct words; 0 on the others.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                own, counts = _counted(row)
+                good = np.repeat(unpack(row["good"]) > 0, counts)
+                n = len(own.before)
+                values = [own.parts(np.bincount(at, minlength=n).astype(np.int64))[own.order] for at in (own.at[good], own.at)]
+                keys = own.keys[own.order]
+                bucket = ((keys >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+                ends = np.searchsorted(bucket, np.arange(n_buckets + 1))
+                for b in np.flatnonzero(np.diff(ends)):
+                    x = slice(ends[b], ends[b + 1])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([row["slice"]], pa.int64()), pa.array([b], pa.int64()), *(pa.array([pack(v)], pa.binary()) for v in (np.diff(keys[x], prepend=np.uint64(0)), *(v[x] for v in values)))],
+                        names=["slice", "bucket", "keys", "target", "background"],
+                    )
+
+    def add_up(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("slice")
+        parts = [np.cumsum(unpack(k), dtype=np.uint64) for k in rows["keys"].to_pylist()]
+        keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+        ends = starts_of(np.array([len(p) for p in parts]))
+        replies = []
+        for name in ("target", "background"):
+            sent = np.concatenate([unpack(v) for v in rows[name].to_pylist()]).astype(np.float64)
+            total = np.bincount(at, weights=sent, minlength=len(keys)).astype(np.int64)[at]
+            replies.append(pa.array([pack(total[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.binary()))
+        n_new = np.zeros(len(parts), dtype=np.int64)
+        n_new[0] = int((keys & np.uint64(1)).sum())
+        return pa.table([rows["slice"], rows["bucket"], *replies, pa.array(n_new)], names=["slice", "bucket", "target", "background", "n_new"])
+
+    sent = cut.select("slice", "counts", "good", "codes", "symbols").mapInArrow(send, "slice long, bucket long, keys binary, target binary, background binary")
+    return sent.groupBy("bucket").applyInArrow(add_up, "slice long, bucket long, target binary, background binary, n_new long")
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -117,31 +197,31 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, settings: Sett
     each and count as often in the models. With no targets at all the target model is
     the uniform one. Other columns aren't read; an empty table gives an empty result.
     """
-    size = settings.vocabulary
     texts = docs.select("doc_id", "text")
-    words = vocabulary_of(texts, size)
+    words = None if settings.vocabulary is None else vocabulary_of(texts, settings.vocabulary)
     good = written(targets.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("is_target", F.lit(True)), "targets")
     marked = texts.join(broadcast_if_small(good, SMALL_LABELS), "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
-    model = bigram_counts(marked, words, size).toArrow()  # at most size ** 2 rows
-    pairs = model["pair"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(
-        (words, losses(pairs, model["target"].to_numpy(), settings), losses(pairs, model["background"].to_numpy(), settings))
-    )
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, target, background = shared.value
-        vocabulary = pa.array(words, pa.string())
-        for batch in batches:
-            for part in slices(batch, "text"):
-                symbol, before, counts = symbols_of(texts_of(part, "text"), vocabulary)
-                pair, text = before * size + symbol, np.repeat(np.arange(len(counts)), counts)
-                with np.errstate(invalid="ignore"):
-                    mean = [np.bincount(text, weights=t[pair].astype(np.float64), minlength=len(counts)) / counts for t in (target, background)]
-                none = counts == 0
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(counts, pa.int64()), *(pa.array(np.round(x, 6), pa.float64(), mask=none) for x in (*mean, mean[0] - mean[1]))],
-                    names=["doc_id", "n_words", "target_loss", "background_loss", "score"],
-                )
+    cut = written(slices_of(marked, words), "slices")
+    n = cut.agg(F.coalesce(F.sum("n_target"), F.lit(0)).alias("target"), F.coalesce(F.sum("n_background"), F.lit(0)).alias("background")).first()
+    totals = written(corpus_totals(cut, 1 + n["background"] // BUCKET_WORDS), "totals")
+    n_symbols = 1 + (totals.agg(F.coalesce(F.sum("n_new"), F.lit(0))).first()[0] if words is None else len(words))
+    n_words = {"target": n["target"], "background": n["background"]}
+
+    def score(rows: pa.Table, replies: pa.Table) -> pa.Table:
+        own, counts = _counted(rows.select(["counts", "codes", "symbols"]).to_pylist()[0])
+        replies = replies.sort_by("bucket")
+        text, none, mean = np.repeat(np.arange(len(counts)), counts), counts == 0, []
+        for name in ("target", "background"):
+            found = np.zeros(len(own.keys), dtype=np.int64)
+            back = [unpack(v) for v in replies[name].to_pylist()]
+            found[own.order] = np.concatenate(back) if back else 0
+            loss = own.losses(found, n_words[name], n_symbols, settings)
+            mean.append(np.bincount(text, weights=loss, minlength=len(counts)) / np.maximum(counts, 1))
+        return pa.table(
+            [pc.list_flatten(rows["doc_ids"]), pa.array(counts, pa.int64()), *(pa.array(np.round(x, 6), pa.float64(), mask=none) for x in (*mean, mean[0] - mean[1]))],
+            names=["doc_id", "n_words", "target_loss", "background_loss", "score"],
+        )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(score, f"doc_id {kind}, n_words long, target_loss double, background_loss double, score double")
+    both = cut.select("slice", "doc_ids", "counts", "codes", "symbols").groupBy("slice").cogroup(totals.drop("n_new").groupBy("slice"))
+    return both.applyInArrow(score, f"doc_id {kind}, n_words long, target_loss double, background_loss double, score double")

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and on empty, null, repeated and very long input."""
 
+import collections
 import hashlib
 import re
 import zlib
@@ -361,6 +362,36 @@ def test_losses_equal_a_plain_model(spark, none, odd):
     assert lm_scores.cross_entropy_difference(odd, targets).count() == odd.count()
 
 
+def test_all_words_count_in_the_models(spark):
+    """Over 2,046 words, texts that differ only in rare ones: losses equal a plain model of all words."""
+    r = np.random.default_rng(5)
+    common = [f"w{i}" for i in range(3000)]
+    texts = [(i, " ".join(r.choice(common, 200))) for i in range(40)] + [(40, "w1 rare w2"), (41, "w1 seldom w2"), (42, "w1 seldom w2 seldom"), (43, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    good = set(range(0, 40, 3)) | {41}
+    got = rows_of(lm_scores.cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in good], "doc_id long")))
+    walk = lambda t: list(zip(["", *t.split()], t.split()))
+    known = {w for _, t in texts if t for w in t.split()}
+    assert len(known) > 2046 and got[40]["background_loss"] != got[41]["background_loss"]
+
+    def model(ids):
+        pairs = collections.Counter(x for i, t in texts if t and i in ids for x in walk(t))
+        uni, held = collections.Counter(), collections.Counter()
+        for (p, w), n in pairs.items():
+            uni[w] += n
+            held[p] += n
+        def prob(p, w):
+            u = (uni[w] + 0.5) / (uni.total() + 0.5 * (len(known) + 1))
+            return 0.7 * pairs[p, w] / held[p] + 0.3 * u if held[p] else u
+        return prob
+
+    target, background = model(good), model(range(50))
+    for i, t in texts[:-1]:
+        loss = [-sum(np.log2(m(*x)) for x in walk(t)) / len(walk(t)) for m in (target, background)]
+        assert got[i]["target_loss"] == pytest.approx(loss[0], abs=1e-5) and got[i]["background_loss"] == pytest.approx(loss[1], abs=1e-5)
+    assert got[43]["score"] is None
+
+
 def test_scores_tell_held_out_quality(spark, small):
     """Trained on even ids' labels, good documents among the odd ones score lower."""
     sf = small.replace("sf0.001", "sf0.01")
