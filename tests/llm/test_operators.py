@@ -1,8 +1,10 @@
 """Each operator against a brute-force version, and on empty, null, repeated and very long input."""
 
+import base64
 import collections
 import hashlib
 import re
+import string
 import zlib
 
 import numpy as np
@@ -435,3 +437,27 @@ def test_bands_reject_repetition_and_noise():
     assert compression_bands.band_verdict(half, bands, packer)[2] is None
     assert compression_bands.band_verdict(b"short", bands, packer) == (None, [], None)
     assert "chunks" in compression_bands.band_verdict(half[:4096] + b"ab" * 6000, compression_bands.Bands(limits=((200, 0.9, 99.0),)), packer)[2]
+
+
+@pytest.mark.parametrize("size", [300, 600, 1000, 1300, 3000, 6000, 30000, 110000])
+def test_bands_tell_encoded_and_random_text_from_prose(size):
+    bands, packer, r = compression_bands.Bands(), zstandard.ZstdCompressor(level=3), np.random.default_rng(size)
+    encoded = base64.encodebytes(r.bytes(size))[:size]
+    symbols = np.frombuffer((string.ascii_letters + string.digits).encode(), dtype=np.uint8)
+    strings = b" ".join(r.choice(symbols, r.integers(3, 10)).tobytes() for _ in range(size // 4))[:size]
+    assert compression_bands.band_verdict(encoded, bands, packer)[2] == "incompressible"
+    assert compression_bands.band_verdict(strings, bands, packer)[2] == "incompressible"
+    assert compression_bands.band_verdict(prose(size, size)[:size].encode(), bands, packer)[2] != "incompressible"
+    ordinary = (
+        "The council met on Tuesday to hear what the engineers had found under the old bridge. Two of the piers had sunk by a hand's breadth since the "
+        "flood, and nobody could say whether the rest would hold through another winter. Some members wanted it closed at once; others feared for the "
+        "shops on the far bank, whose customers come over it on foot. In the end they agreed to let carts across one at a time until the masons return."
+    )
+    if size < 600:
+        assert compression_bands.band_verdict(ordinary[:size].encode(), bands, packer)[2] is None
+
+
+def test_bands_reject_a_document_of_mostly_encoded_chunks():
+    bands, packer = compression_bands.Bands(limits=((200, 0.0, 99.0),)), zstandard.ZstdCompressor(level=3)
+    mixed = base64.encodebytes(np.random.default_rng(4).bytes(12000)) + prose(4, 900).encode()
+    assert compression_bands.band_verdict(mixed, bands, packer)[2] == "incompressible chunks"
