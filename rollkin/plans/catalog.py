@@ -695,7 +695,7 @@ def c09_person_profile_flags(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(serial AS VARCHAR) AS serial_no, epic_no FROM recs WHERE page_index % 18 = 0", rendered.SQL)
 def x02_strict_records(spark, sf_dir):
-    return extraction.parse_strict(rendered.pages(spark, sf_dir).where("page_index % 18 = 0")).select("doc_id", "serial_no", "epic_no")
+    return extraction.parse_strict(rendered.pages(spark, sf_dir)).select("doc_id", "serial_no", "epic_no")
 
 
 @query("SELECT doc_id, CAST(serial AS VARCHAR) AS serial_no, epic_no FROM recs", rendered.SQL)
@@ -710,8 +710,8 @@ def x04_lenient_records(spark, sf_dir):
 
 @query("SELECT doc_id, page_index, list_sort(list(serial)) AS serials FROM recs WHERE page_index % 18 = 0 GROUP BY ALL", rendered.SQL)
 def x05_page_markers(spark, sf_dir):
-    pages = rendered.pages(spark, sf_dir).where("page_index % 18 = 0")
-    return pages.select("doc_id", "page_index", F.array_sort(extraction.markers(F.col("text"))).alias("serials"))
+    pages = rendered.pages(spark, sf_dir)
+    return pages.select("doc_id", "page_index", F.array_sort(extraction.markers(F.col("text"))).alias("serials")).where("size(serials) > 0")
 
 
 @query("SELECT count(*) AS gaps FROM (SELECT doc_id, unnest(range(min(serial), max(serial) + 1)) AS s FROM recs GROUP BY doc_id) g WHERE NOT EXISTS (SELECT 1 FROM recs WHERE recs.doc_id = g.doc_id AND recs.serial = g.s) "
