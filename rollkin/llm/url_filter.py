@@ -19,7 +19,11 @@ ADDRESS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)"
 CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH_TO = r"(?is)\burl\s*=\s*'?([^\"'\s>;]+)"
+REFRESH_TO = r"(?is)\burl\s*=\s*'?((?:&#?\w+;|[^\"'\s>;])+)"
+BASE = r"(?is)<base\b[^>]*\bhref\b[^>]*>"
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+ENTITY = r"(?s)^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]+);(.*)$"
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0"}
 SMALL_RULES = 1_000_000
 
 #: (host, path prefix, verdict)
@@ -49,23 +53,71 @@ def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataF
     return spark.createDataFrame(rules, "rule_host string, rule_path string, rule_verdict string")
 
 
+def decoded(value: Column) -> Column:
+    """An attribute's value with numeric entities and those of ``ENTITIES`` decoded, once."""
+    def plain(piece: Column) -> Column:
+        name, rest = F.regexp_extract(piece, ENTITY, 1), F.regexp_extract(piece, ENTITY, 2)
+        digits = F.regexp_extract(name, "^#[xX]?(.+)$", 1)
+        point = F.when(F.lower(name).startswith("#x"), F.conv(digits, 16, 10)).when(name.startswith("#"), digits).try_cast("long")
+        point = F.when(point.between(1, 0xD7FF) | point.between(0xE000, 0x10FFFF), point)
+        char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+        for known, text in ENTITIES.items():
+            char = F.coalesce(char, F.when(name == known, F.lit(text)))
+        return F.coalesce(F.concat(char, rest), piece)
+
+    return F.array_join(F.transform(F.split(value, "(?=&)"), plain), "")
+
+
+def without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, part: (
+        F.when(part == ".", done).when(part == "..", F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done))
+        .otherwise(F.array_append(done, part))
+    ))
+    return F.concat(F.array_join(kept, "/"), F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
+
+
+def resolved(base: Column, to: Column) -> Column:
+    """The address that ``to`` names on the page ``base``; null if it isn't one with a host."""
+    scheme, path = F.substring_index(base, "://", 1), path_of(base)
+    site = F.concat(scheme, F.lit("://"), host_of(base))
+    own, rest = F.regexp_extract(to, r"(?s)^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.concat(F.when(path.startswith("/"), "").otherwise("/"), F.regexp_replace(path, "[^/]*$", ""))
+    full = (
+        F.when(to.rlike(SCHEME + "//"), to)
+        .when(to.rlike(SCHEME), F.lit(None))
+        .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
+    )
+    full = F.when(full.isNotNull(), F.concat(F.substring_index(full, "://", 1), F.lit("://"), host_of(full), without_dots(path_of(full)), F.regexp_extract(full, ADDRESS, 3)))
+    local = (
+        F.when(to.rlike(SCHEME) | to.startswith("//"), F.lit(None))
+        .when(to.startswith("#"), base)
+        .when(to.startswith("?"), F.concat(site, path, to))
+        .when(to.startswith("/"), F.concat(site, without_dots(own), rest))
+        .otherwise(F.concat(site, without_dots(F.concat(folder, own)), rest))
+    )
+    return F.coalesce(full, F.when(host_of(base) != "", local))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(from_url, to_url) of canonical links and refreshes in the pages' HTML, made absolute."""
+    """(from_url, to_url) of canonical links and refreshes in the pages' HTML, made absolute.
+
+    A relative target is taken from the page's ``<base href>`` if it has one, else from its address.
+    """
     html, url = F.col("html"), F.col("url")
     found = pages.where(url.isNotNull() & F.regexp_like(html, F.lit(r"(?i)canonical|refresh"))).select(
-        url.alias("from_url"),
+        url.alias("from_url"), F.regexp_extract(F.regexp_extract(html, BASE, 0), HREF, 1).alias("base"),
         F.explode(F.array(
             F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1),
             F.regexp_extract(F.regexp_extract(html, REFRESH, 0), REFRESH_TO, 1),
         )).alias("to"),
     ).where("to <> ''")
-    site = F.concat(F.substring_index("from_url", "://", 1), F.lit("://"), host_of(F.col("from_url")))
-    absolute = (
-        F.when(F.col("to").startswith("//"), F.concat(F.substring_index("from_url", "://", 1), F.lit(":"), F.col("to")))
-        .when(F.col("to").startswith("/"), F.concat(site, F.col("to")))
-        .when(F.col("to").contains("://"), F.col("to"))
-    )
-    return found.select("from_url", absolute.alias("to_url")).where("to_url IS NOT NULL")
+    step = lambda *x: F.explode(F.array(F.struct(*x))).alias("x")  # noqa: E731  unlike a projection, not folded into the next one
+    plain = found.select("from_url", step(decoded(F.col("base")).alias("base"), decoded(F.col("to")).alias("to"))).select("from_url", "x.*")
+    own = F.when(F.col("base") != "", resolved(F.col("from_url"), F.col("base")))
+    based = plain.select("from_url", step(F.coalesce(own, F.col("from_url")).alias("base"), F.col("to").alias("to"))).select("from_url", "x.*")
+    return based.select("from_url", step(resolved(F.col("base"), F.col("to")).alias("to_url"))).select("from_url", "x.to_url").where("to_url IS NOT NULL")
 
 
 def rule_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:

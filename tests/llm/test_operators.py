@@ -275,6 +275,25 @@ def test_url_verdicts_and_aliases(spark):
     assert rows_of(url_filter.judge(pages, url_filter.rules_frame(spark, url_filter.RULES), crawl), "page_id")[8]["verdict"] == "block"
 
 
+def test_relative_link_targets(spark):
+    """Each form of a target, and a long chain of relative links that ends at a blocked page."""
+    here = "http://a.org/en/x/1.html?p=2"
+    forms = {
+        "fr/1.html": "http://a.org/en/x/fr/1.html", "../es/2": "http://a.org/en/es/2", "?id=3": "http://a.org/en/x/1.html?id=3", "./": "http://a.org/en/x/", "../../../..": "http://a.org/",
+        "/b/./c/../d": "http://a.org/b/d", "//b.net/es": "http://b.net/es", "https://b.net/q?u=1&amp;v=2": "https://b.net/q?u=1&v=2", "n?u=1&#38;v&#x3D;&eacute;": "http://a.org/en/x/n?u=1&v=&eacute;",
+        "&amp;lt;": "http://a.org/en/x/&lt;", "mailto:x@y.org": None, "?to=http://b.net/": "http://a.org/en/x/1.html?to=http://b.net/",
+    }
+    canonical = lambda to: f'<link rel="canonical" href="{to}">'
+    rows = [(i, here, canonical(to)) for i, to in enumerate(forms)] + [(90, here, '<meta http-equiv="refresh" content="0; url=next.html?a=1&amp;b=2">')]
+    rows += [(91, here, '<base href="/other/">' + canonical("y.html")), (92, here, '<base href="http://c.org/z/q">' + canonical("y.html")), (93, "http://a.org", canonical("y"))]
+    want = sorted([x for x in forms.values() if x] + ["http://a.org/en/x/next.html?a=1&b=2", "http://a.org/other/y.html", "http://c.org/z/y.html", "http://a.org/y"])
+    frame = lambda rows: spark.createDataFrame([(*r, "x", "y") for r in rows], PAGES)
+    assert sorted(r["to_url"] for r in url_filter.page_links(frame(rows)).collect()) == want
+    chain = [(i, f"http://chain.org/d/{i}.html", canonical(f"../d/{i + 1}.html")) for i in range(40)] + [(40, "http://chain.org/d/40.html", canonical("//b.net/es/1"))]
+    found = rows_of(url_filter.judge(frame(chain), url_filter.rules_frame(spark, url_filter.RULES)), "page_id")
+    assert {(r["verdict"], r["decided_by"]) for r in found.values()} == {("block", "alias")}
+
+
 # op 6
 
 
