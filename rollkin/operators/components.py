@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollkin.sources.scratch import written
+from rollkin.sources.scratch import discard, written
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -39,9 +39,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
                 .select("a", F.coalesce("_b", "b").alias("b"), F.col("_b").isNotNull().alias("moved")),
                 "jumps",
             )
-            hooks = jumped.select("a", "b")
-            if jumped.where("moved").isEmpty():
+            settled = jumped.where("moved").isEmpty()
+            discard(hooks)
+            hooks = jumped
+            if settled:
                 break
+        hooks = hooks.select("a", "b")
+        last_known, last_left = known, left
         known = written(_follow(known, "component", hooks), "components")
         left = written(
             _follow(_follow(left, "a", hooks), "b", hooks)
@@ -49,6 +53,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             .where("a > b").distinct(),
             "edges",
         )
+        discard(last_known, last_left, jumped, pairs)
     return known
 
 

@@ -1,32 +1,48 @@
 """Intermediate tables in the folder that driver and executors share.
 
-Iterative jobs cut their lineage by writing a table and reading it back. The
-folder is ``spark.checkpoint.dir`` of the session; only where that is unset (tests,
-a notebook) a temporary folder of this machine is made and used instead.
+Iterative jobs cut their lineage by writing a table and reading it back. The folder is
+``spark.checkpoint.dir`` of the session, else the checkpoint folder that was set on the
+context. A session in one JVM (tests, a notebook) may do without: it gets a temporary
+folder, which goes with the process. On a cluster there is no such way out, since every
+executor would write to a disk of its own.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables, without a trailing slash."""
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    given = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if given:
+        return given.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all nodes of {context.master} share")
+    app = context.applicationId
     if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        own = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _OWN[app] = f"file://{own}"
     return _OWN[app]
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The folder of this application in the shared one."""
+    return f"{shared_dir(spark)}/rollkin-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder.
 
@@ -34,9 +50,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     re-read only. An empty ``df`` gives an empty table with the same columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rollkin-{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` returned and that nothing reads any more; other frames are left alone."""
+    for df in tables:
+        path = _PATHS.pop(df, None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes all that this application wrote here: call it when the results of its queries are stored."""
+    _delete(spark, own_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
