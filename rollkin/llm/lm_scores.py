@@ -3,10 +3,14 @@
 A target model (texts known to be good) and a background model (all texts) are
 interpolated bigram models over all words of the corpus, and a begin symbol. Both grow
 with the corpus, so neither is ever held in one place. Texts are cut into slices of some
-megabytes; each slice counts its own distinct words, contexts and bigrams, sends each
-key with its two counts once to the bucket its hash lies in, and gets the totals of the
-corpus back in the order it sent them. However common a word is, a slice sends it once,
-so no bucket outweighs another. Words and bigrams are told apart by 64-bit hashes.
+megabytes; each slice counts its own distinct words and bigrams, sends each key with its
+counts once to the bucket its hash lies in, and gets the totals of the corpus back in
+the order it sent them. However common a word is, a slice sends it once, so no bucket
+outweighs another. Words and bigrams are told apart by 64-bit hashes.
+
+A text is scored by what the other texts hold: its own counts are left out of either
+model that it is part of. So a labelled text isn't scored by a model that has seen it,
+and a text that stands in the corpus twice has a low background loss.
 """
 
 from __future__ import annotations
@@ -25,11 +29,11 @@ from pyspark.sql import functions as F
 from rollkin.llm.arrow_text import hashes, mix, slices, split_words, starts_of, texts_of
 from rollkin.sources.scratch import broadcast_if_small, written
 
-#: Hashes of the symbols that aren't words, and what sets the three kinds of keys apart.
+#: Hashes of the symbols that aren't words, and what sets the two kinds of keys apart.
 UNKNOWN, BEGIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-PAIR, CONTEXT, WORD = np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)
+PAIR, WORD = np.uint64(0x165667B19E3779F9), np.uint64(0x85EBCA77C2B2AE63)
 SMALL_LABELS = 2_000_000
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 16 << 20
 BUCKET_WORDS = 1 << 19
 
 
@@ -37,13 +41,16 @@ BUCKET_WORDS = 1 << 19
 class Settings:
     """``vocabulary``: numbers of symbols, the unknown and the begin symbol included; None: all words.
 
-    ``bigram_share``: weight of the bigram estimate, the rest is the unigram's.
-    ``added``: count added to every unigram, so that no probability is 0.
+    ``pull``: the unigram estimate weighs as much in a bigram's as so many more
+    occurrences of its context would.
+    ``uniform_share``: weight of the uniform distribution in the unigram estimate, so that
+    no probability is 0; it is the same in both models, whatever their sizes, so that a
+    word that neither knows speaks for neither.
     """
 
     vocabulary: int | None = None
-    bigram_share: float = 0.7
-    added: float = 0.5
+    pull: float = 20.0
+    uniform_share: float = 0.02
 
 
 def word_totals(docs: DataFrame) -> DataFrame:
@@ -76,10 +83,12 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 class Slice:
-    """Keys of a slice's bigrams, words and contexts, from its word codes.
+    """Keys of a slice's bigrams and words, from its word codes.
 
     ``codes``: number of each word; ``symbols``: hash of each number; ``counts``: words
     of each text. ``order`` sorts the keys, which is how they are sent and come back.
+    A bigram's key has its count; a word's has its count, and how often it has a word
+    behind it.
     """
 
     def __init__(self, codes: np.ndarray, symbols: np.ndarray, counts: np.ndarray):
@@ -92,24 +101,35 @@ class Slice:
         pairs, self.at = np.unique(before * size + codes, return_inverse=True)
         self.at = self.at.astype(np.int32)
         self.before, self.word, self.size = pairs // size, pairs % size, size
+        self.text = np.repeat(np.arange(len(counts)), counts)
         one = np.uint64(1)
-        self.keys = np.concatenate([
-            mix(mix(symbols[self.before] + PAIR) + symbols[self.word]) & ~one, mix(symbols ^ CONTEXT) & ~one, mix(symbols[:-1] ^ WORD) | one,
-        ])
+        self.keys = np.concatenate([mix(mix(symbols[self.before] + PAIR) + symbols[self.word]) & ~one, mix(symbols ^ WORD) | one])
         self.order = np.argsort(self.keys, kind="stable")
 
-    def parts(self, pair_values: np.ndarray) -> np.ndarray:
-        """Counts of all keys, from those of the bigrams."""
-        total = lambda of, n: np.bincount(of, weights=pair_values, minlength=n).astype(np.int64)
-        return np.concatenate([pair_values, total(self.before, self.size), total(self.word, self.size)[:-1]])
+    def parts(self, pair_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of all keys, count and count with a word behind, from the counts of the bigrams."""
+        total = lambda of: np.bincount(of, weights=pair_values, minlength=self.size).astype(np.int64)
+        return np.concatenate([pair_values, total(self.word)]), np.concatenate([np.zeros(len(pair_values), dtype=np.int64), total(self.before)])
 
-    def losses(self, totals: np.ndarray, n_words: int, n_symbols: int, settings: Settings) -> np.ndarray:
-        """-log2 probability of each of the slice's words, from the corpus' totals of the keys."""
-        pair, context, word = np.split(totals.astype(np.float64), [len(self.before), len(self.before) + self.size])
-        unigram = (word[self.word] + settings.added) / (n_words + settings.added * n_symbols)
-        held = context[self.before]
-        share = np.where(held > 0, settings.bigram_share, 0.0)
-        return -np.log2(share * pair / np.maximum(held, 1) + (1 - share) * unigram)[self.at]
+    def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word of the slice, how often its own text has its bigram, its context and itself."""
+        found = []
+        for key, n in ((self.at, len(self.before)), (self.before[self.at], self.size), (self.word[self.at], self.size)):
+            _, at, times = np.unique(self.text * n + key, return_inverse=True, return_counts=True)
+            found.append(times[at])
+        return tuple(found)
+
+    def losses(self, count: np.ndarray, context: np.ndarray, own: tuple[np.ndarray, ...], n_words: np.ndarray, n_symbols: int, settings: Settings) -> np.ndarray:
+        """-log2 probability of each of the slice's words, from the corpus' totals of the keys less ``own``.
+
+        ``n_words``: words of the corpus, without the own text's where these are left out.
+        """
+        n, share = len(self.before), settings.uniform_share
+        pair = count[:n][self.at] - own[0]
+        held = context[n:][self.before[self.at]] - own[1]
+        word = count[n:][self.word[self.at]] - own[2]
+        unigram = (1 - share) * word / np.maximum(n_words, 1) + np.where(n_words > 0, share, 1.0) / n_symbols
+        return -np.log2((pair + settings.pull * unigram) / (held + settings.pull))
 
 
 def slices_of(docs: DataFrame, words: list[str] | None) -> DataFrame:
@@ -146,11 +166,23 @@ def _counted(row: dict) -> tuple[Slice, np.ndarray]:
     return Slice(unpack(row["codes"]), unpack(row["symbols"]), counts), counts
 
 
-def corpus_totals(cut: DataFrame, n_buckets: int) -> DataFrame:
-    """(slice, bucket, target, background, n_new): the corpus' totals of a slice's keys of a bucket, in key order.
+def distinct_words(cut: DataFrame) -> int:
+    """Number of distinct words in all slices."""
 
-    ``n_new``, on one row of a bucket, is its number of distinct words; 0 on the others.
-    """
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("symbols").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(unpack(data).view(np.int64), pa.int64())], names=["symbol"])
+
+    return cut.select("symbols").mapInArrow(work, "symbol long").agg(F.count_distinct("symbol")).first()[0]
+
+
+VALUES = ("target", "target_context", "background", "background_context")
+
+
+def corpus_totals(cut: DataFrame, n_buckets: int) -> DataFrame:
+    """(slice, bucket, VALUES): the corpus' totals of a slice's keys of a bucket, in key order."""
+    kinds = ", ".join(f"{v} binary" for v in VALUES)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,7 +190,7 @@ def corpus_totals(cut: DataFrame, n_buckets: int) -> DataFrame:
                 own, counts = _counted(row)
                 good = np.repeat(unpack(row["good"]) > 0, counts)
                 n = len(own.before)
-                values = [own.parts(np.bincount(at, minlength=n).astype(np.int64))[own.order] for at in (own.at[good], own.at)]
+                values = [v[own.order] for at in (own.at[good], own.at) for v in own.parts(np.bincount(at, minlength=n).astype(np.int64))]
                 keys = own.keys[own.order]
                 bucket = ((keys >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
                 ends = np.searchsorted(bucket, np.arange(n_buckets + 1))
@@ -166,7 +198,7 @@ def corpus_totals(cut: DataFrame, n_buckets: int) -> DataFrame:
                     x = slice(ends[b], ends[b + 1])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([row["slice"]], pa.int64()), pa.array([b], pa.int64()), *(pa.array([pack(v)], pa.binary()) for v in (np.diff(keys[x], prepend=np.uint64(0)), *(v[x] for v in values)))],
-                        names=["slice", "bucket", "keys", "target", "background"],
+                        names=["slice", "bucket", "keys", *VALUES],
                     )
 
     def add_up(rows: pa.Table) -> pa.Table:
@@ -175,16 +207,14 @@ def corpus_totals(cut: DataFrame, n_buckets: int) -> DataFrame:
         keys, at = np.unique(np.concatenate(parts), return_inverse=True)
         ends = starts_of(np.array([len(p) for p in parts]))
         replies = []
-        for name in ("target", "background"):
+        for name in VALUES:
             sent = np.concatenate([unpack(v) for v in rows[name].to_pylist()]).astype(np.float64)
             total = np.bincount(at, weights=sent, minlength=len(keys)).astype(np.int64)[at]
             replies.append(pa.array([pack(total[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.binary()))
-        n_new = np.zeros(len(parts), dtype=np.int64)
-        n_new[0] = int((keys & np.uint64(1)).sum())
-        return pa.table([rows["slice"], rows["bucket"], *replies, pa.array(n_new)], names=["slice", "bucket", "target", "background", "n_new"])
+        return pa.table([rows["slice"], rows["bucket"], *replies], names=["slice", "bucket", *VALUES])
 
-    sent = cut.select("slice", "counts", "good", "codes", "symbols").mapInArrow(send, "slice long, bucket long, keys binary, target binary, background binary")
-    return sent.groupBy("bucket").applyInArrow(add_up, "slice long, bucket long, target binary, background binary, n_new long")
+    sent = cut.select("slice", "counts", "good", "codes", "symbols").mapInArrow(send, f"slice long, bucket long, keys binary, {kinds}")
+    return sent.groupBy("bucket").applyInArrow(add_up, f"slice long, bucket long, {kinds}")
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -192,10 +222,11 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, settings: Sett
 
     ``targets``: the ids (doc_id) of the documents that make up the target corpus.
     Losses are bits a word; score = target_loss - background_loss, so the lower the
-    more like the target corpus. A null text, or one without words, has 0 words and
-    null losses and score. Null ids are in no target corpus. Repeated rows give a row
-    each and count as often in the models. With no targets at all the target model is
-    the uniform one. Other columns aren't read; an empty table gives an empty result.
+    more like the target corpus. Each row is scored by models of all other rows. A null
+    text, or one without words, has 0 words and null losses and score. Null ids are in
+    no target corpus. Repeated rows give a row each, count as often in the models, and
+    are other rows to each other. Other columns aren't read; an empty table gives an
+    empty result. With no other text in a model, that model is the uniform one.
     """
     texts = docs.select("doc_id", "text")
     words = None if settings.vocabulary is None else vocabulary_of(texts, settings.vocabulary)
@@ -203,25 +234,30 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, settings: Sett
     marked = texts.join(broadcast_if_small(good, SMALL_LABELS), "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
     cut = written(slices_of(marked, words), "slices")
     n = cut.agg(F.coalesce(F.sum("n_target"), F.lit(0)).alias("target"), F.coalesce(F.sum("n_background"), F.lit(0)).alias("background")).first()
-    totals = written(corpus_totals(cut, 1 + n["background"] // BUCKET_WORDS), "totals")
-    n_symbols = 1 + (totals.agg(F.coalesce(F.sum("n_new"), F.lit(0))).first()[0] if words is None else len(words))
+    totals = corpus_totals(cut, 1 + n["background"] // BUCKET_WORDS)
+    n_symbols = 1 + (distinct_words(cut) if words is None else len(words))
     n_words = {"target": n["target"], "background": n["background"]}
 
     def score(rows: pa.Table, replies: pa.Table) -> pa.Table:
-        own, counts = _counted(rows.select(["counts", "codes", "symbols"]).to_pylist()[0])
-        replies = replies.sort_by("bucket")
-        text, none, mean = np.repeat(np.arange(len(counts)), counts), counts == 0, []
-        for name in ("target", "background"):
-            found = np.zeros(len(own.keys), dtype=np.int64)
-            back = [unpack(v) for v in replies[name].to_pylist()]
-            found[own.order] = np.concatenate(back) if back else 0
-            loss = own.losses(found, n_words[name], n_symbols, settings)
-            mean.append(np.bincount(text, weights=loss, minlength=len(counts)) / np.maximum(counts, 1))
+        row = rows.select(["counts", "good", "codes", "symbols"]).to_pylist()[0]
+        whole, counts = _counted(row)
+        replies, own = replies.sort_by("bucket"), whole.own()
+        none, mean = counts == 0, []
+        for name, part_of in (("target", unpack(row["good"]) > 0), ("background", np.ones(len(counts), dtype=bool))):
+            found = []
+            for values in (name, f"{name}_context"):
+                back = [unpack(v) for v in replies[values].to_pylist()]
+                found.append(np.zeros(len(whole.keys), dtype=np.int64))
+                found[-1][whole.order] = np.concatenate(back) if back else 0
+            inside = part_of[whole.text]
+            others = n_words[name] - np.where(part_of, counts, 0)
+            loss = whole.losses(*found, [np.where(inside, x, 0) for x in own], others[whole.text], n_symbols, settings)
+            mean.append(np.bincount(whole.text, weights=loss, minlength=len(counts)) / np.maximum(counts, 1))
         return pa.table(
             [pc.list_flatten(rows["doc_ids"]), pa.array(counts, pa.int64()), *(pa.array(np.round(x, 6), pa.float64(), mask=none) for x in (*mean, mean[0] - mean[1]))],
             names=["doc_id", "n_words", "target_loss", "background_loss", "score"],
         )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    both = cut.select("slice", "doc_ids", "counts", "codes", "symbols").groupBy("slice").cogroup(totals.drop("n_new").groupBy("slice"))
+    both = cut.select("slice", "doc_ids", "counts", "good", "codes", "symbols").groupBy("slice").cogroup(totals.groupBy("slice"))
     return both.applyInArrow(score, f"doc_id {kind}, n_words long, target_loss double, background_loss double, score double")

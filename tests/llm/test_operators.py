@@ -353,34 +353,52 @@ def test_raking_meets_the_targets(spark, docs, none, odd):
 # op 8
 
 
+def plain_losses(texts, good, pull=20.0, uniform=0.02, known=None):
+    """Target and background loss of each text by models of all other texts; ``known``: the vocabulary."""
+    fold = lambda t: [w if known is None or w in known else None for w in (t or "").translate({c: c + 32 for c in range(65, 91)}).split()]
+    walks = [list(zip(["", *fold(t)], fold(t))) for _, t in texts]
+    n_symbols = 1 + (len({w for walk in walks for _, w in walk}) if known is None else len(known))
+    out = []
+    for at, own in enumerate(walks):
+        if not own:
+            out.append(None)
+            continue
+        found = []
+        for part in (lambda k: texts[k][0] in good, lambda k: True):
+            pairs = collections.Counter(x for k, walk in enumerate(walks) if k != at and part(k) for x in walk)
+            uni, held = collections.Counter(), collections.Counter()
+            for (p, w), n in pairs.items():
+                uni[w] += n
+                held[p] += n
+            bits = 0.0
+            for p, w in own:
+                unigram = (1 - uniform) * uni[w] / uni.total() + uniform / n_symbols if uni else 1 / n_symbols
+                bits -= np.log2((pairs[p, w] + pull * unigram) / (held[p] + pull))
+            found.append(bits / len(own))
+        out.append(found)
+    return out
+
+
 def test_losses_equal_a_plain_model(spark, none, odd):
-    texts = [(1, "a b a b c"), (2, "a b b"), (3, "c c c A"), (4, None), (5, " "), (None, "b a")]
+    texts = [(1, "a b a b c"), (2, "a b b"), (3, "c c c A"), (4, None), (5, " "), (None, "b a"), (6, "d"), (7, "e"), (8, "a b a b c")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     targets = spark.createDataFrame([(1,), (2,), (None,), (2,)], "doc_id long")
-    settings = lm_scores.Settings(vocabulary=4)
-    got = rows_of(lm_scores.cross_entropy_difference(docs, targets, settings))
-    vocabulary = {"a": 2, "b": 3}  # the two most frequent; c is unknown
-    walk = lambda t: [(p, s) for p, s in zip([1, *(vocabulary.get(w, 0) for w in t.lower().split())], (vocabulary.get(w, 0) for w in t.lower().split()))]
-
-    def model(ids):
-        pairs = [x for i, t in texts if t and i in ids for x in walk(t)]
-        uni = {s: 0.5 + sum(y == s for _, y in pairs) for s in (0, 2, 3)}
-        def p(prev, s):
-            u = uni[s] / sum(uni.values())
-            held = [y for x, y in pairs if x == prev]
-            return 0.7 * held.count(s) / len(held) + 0.3 * u if held else u
-        return p
-
-    target, background = model({1, 2}), model({1, 2, 3, 4, 5, None})
-    for i, t in texts:
-        steps = walk(t) if t else []
-        if not steps:
-            assert got[i]["score"] is None and got[i]["n_words"] == 0
-            continue
-        loss = [-sum(np.log2(m(*x)) for x in steps) / len(steps) for m in (target, background)]
-        assert got[i]["target_loss"] == pytest.approx(loss[0], abs=1e-4) and got[i]["score"] == pytest.approx(loss[0] - loss[1], abs=1e-4)
+    for size, known in ((None, None), (4, {"a", "b"})):  # the two most frequent
+        got = rows_of(lm_scores.cross_entropy_difference(docs, targets, lm_scores.Settings(vocabulary=size)))
+        for (i, _), loss in zip(texts, plain_losses(texts, {1, 2}, known=known)):
+            if loss is None:
+                assert got[i]["score"] is None and got[i]["n_words"] == 0
+            else:
+                assert got[i]["target_loss"] == pytest.approx(loss[0], abs=1e-5) and got[i]["score"] == pytest.approx(loss[0] - loss[1], abs=1e-5)
     assert lm_scores.cross_entropy_difference(none, targets).count() == 0
     assert lm_scores.cross_entropy_difference(odd, targets).count() == odd.count()
+    alone = lm_scores.cross_entropy_difference(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), targets).first()
+    assert alone["score"] == 0  # no other text: both models are uniform
+
+
+def test_of_equally_frequent_words_the_first_are_known(spark):
+    docs = spark.createDataFrame([(1, "d c b a")], "doc_id long, text string")
+    assert lm_scores.vocabulary_of(docs, 4) == ["a", "b"]
 
 
 def test_all_words_count_in_the_models(spark):
@@ -391,28 +409,21 @@ def test_all_words_count_in_the_models(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
     good = set(range(0, 40, 3)) | {41}
     got = rows_of(lm_scores.cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in good], "doc_id long")))
-    walk = lambda t: list(zip(["", *t.split()], t.split()))
-    known = {w for _, t in texts if t for w in t.split()}
-    assert len(known) > 2046 and got[40]["background_loss"] != got[41]["background_loss"]
-
-    def model(ids):
-        pairs = collections.Counter(x for i, t in texts if t and i in ids for x in walk(t))
-        uni, held = collections.Counter(), collections.Counter()
-        for (p, w), n in pairs.items():
-            uni[w] += n
-            held[p] += n
-        def prob(p, w):
-            u = (uni[w] + 0.5) / (uni.total() + 0.5 * (len(known) + 1))
-            return 0.7 * pairs[p, w] / held[p] + 0.3 * u if held[p] else u
-        return prob
-
-    target, background = model(good), model(range(50))
-    for i, t in texts[:-1]:
-        loss = [-sum(np.log2(m(*x)) for x in walk(t)) / len(walk(t)) for m in (target, background)]
+    assert got[40]["background_loss"] != got[41]["background_loss"]
+    for (i, _), loss in zip(texts[:-1], plain_losses(texts, good)):
         assert got[i]["target_loss"] == pytest.approx(loss[0], abs=1e-5) and got[i]["background_loss"] == pytest.approx(loss[1], abs=1e-5)
     assert got[43]["score"] is None
 
 
+def test_documents_that_occur_twice_have_a_low_background_loss(spark, docs):
+    """Each text of a held-out set once more under another id: the model of the whole corpus tells them apart."""
+    again = docs.where("doc_id % 7 = 0 AND length(text) > 300").withColumn("doc_id", F.col("doc_id") + 10**6)
+    got = rows_of(lm_scores.cross_entropy_difference(docs.unionByName(again), docs.where("doc_id % 2 = 0").select("doc_id")))
+    twice = np.array([got[i - 10**6]["background_loss"] for i in got if i >= 10**6])
+    once = np.array([r["background_loss"] for i, r in got.items() if i < 10**6 and i % 7 and r["n_words"] > 50])
+    assert (twice[:, None] < once[None, :]).mean() > 0.85
+
+
 def test_scores_tell_held_out_quality(spark, small):
     """Trained on even ids' labels, good documents among the odd ones score lower."""
     sf = small.replace("sf0.001", "sf0.01")
