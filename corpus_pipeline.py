@@ -10,15 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollkin.llm import compression_bands, jaccard_join, line_spread, sentence_pieces, source_mix
-from rollkin.llm.queries import PIECE_MODEL
+from rollkin.llm.queries import PIECE_MODEL, good_documents
 from rollkin.sources.scratch import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the compression bands reject go."""
-    return compression_bands.kept_documents(docs.select(*COLUMNS))
+    """Documents that the base rules or the compression bands, fitted on the good labels, reject go."""
+    docs = docs.select(*COLUMNS)
+    return compression_bands.kept_documents(docs, compression_bands.fitted(docs, good_documents(spark, sf_dir)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,13 +45,18 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(_documents(spark, sf_dir)).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("rate", 6).alias("rate"), "kept")
 
 
+def good_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the documents that are labelled as good and not toxic."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
+
+
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND coalesce(toxic, 0) = 0")
-    return lm_scores.cross_entropy_difference(_documents(spark, sf_dir), good)
+    return lm_scores.cross_entropy_difference(_documents(spark, sf_dir), good_documents(spark, sf_dir))
 
 
 def op9_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compression_bands.judge(_documents(spark, sf_dir))
+    docs = _documents(spark, sf_dir)
+    return compression_bands.judge(docs, compression_bands.fitted(docs, good_documents(spark, sf_dir)))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -437,9 +437,37 @@ def test_scores_tell_held_out_quality(spark, small):
 # op 9
 
 
+def plain_verdict(data, bands):
+    """Reason to reject a text, by the words of the docstring."""
+    def limits(size):
+        knots = bands.limits
+        for (a, low_a, high_a), (b, low_b, high_b) in zip(knots, knots[1:]):
+            if a <= size < b:
+                f = (np.log2(size) - np.log2(a)) / (np.log2(b) - np.log2(a))
+                return low_a + f * (low_b - low_a), high_a + f * (high_b - high_a)
+        return knots[-1][1:] if size >= knots[-1][0] else None
+
+    def outside(part):
+        ratio, (low, high) = len(part) / len(zstandard.compress(part, bands.level)), limits(len(part))
+        return "repetitive" if ratio > high else "incompressible" if ratio < low else None
+
+    if limits(len(data)) is None:
+        return None
+    if whole := outside(data):
+        return whole
+    parts = [data[i : i + bands.chunk] for i in range(0, len(data), bands.chunk)]
+    if len(parts) > 1 and len(parts[-1]) < bands.limits[0][0]:
+        parts[-2:] = [parts[-2] + parts[-1]]
+    if len(parts) > 1:
+        for kind in ("repetitive", "incompressible"):
+            if sum(len(p) for p in parts if outside(p) == kind) > bands.chunk_share * len(data):
+                return f"{kind} chunks"
+    return None
+
+
 def test_base_counts_and_bands(odd, docs, none):
-    bands, packer = compression_bands.Bands(), zstandard.ZstdCompressor(level=3)
-    for source in (odd, docs):
+    tight = compression_bands.Bands(limits=((150, 1.3, 1.6), (1000, 1.5, 1.75), (1100, 1.5, 2.3), (8000, 2.15, 2.4)), chunk=1024)
+    for source, bands in ((odd, compression_bands.Bands()), (docs, compression_bands.Bands()), (docs, tight)):
         want = []
         for r in source.collect():
             text = r["text"] or ""
@@ -449,9 +477,11 @@ def test_base_counts_and_bands(odd, docs, none):
             covered = {i + k for i, w in enumerate(windows) if w in often for k in range(3)}
             lines = [x for x in text.split("\n") if WORD.search(x)]
             failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
-            reason = "base" if failed else compression_bands.band_verdict(text.encode(), bands, packer)[2]
+            reason = "base" if failed else plain_verdict(text.encode(), bands)
             want.append((r["doc_id"] or -1, len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed, reason is None))
-        got = compression_bands.judge(source).collect()
+        got = compression_bands.judge(source, bands).collect()
+        if bands is tight:
+            assert len({r["reason"] for r in got}) > 3
         assert sorted((r["doc_id"] or -1, r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["kept"]) for r in got) == sorted(want)
     assert compression_bands.judge(none).count() == 0
     kept = compression_bands.kept_documents(odd)
@@ -466,7 +496,7 @@ def test_bands_reject_repetition_and_noise():
     assert compression_bands.band_verdict(noise, bands, packer)[2] == "incompressible"
     assert compression_bands.band_verdict(half, bands, packer)[2] is None
     assert compression_bands.band_verdict(b"short", bands, packer) == (None, [], None)
-    assert "chunks" in compression_bands.band_verdict(half[:4096] + b"ab" * 6000, compression_bands.Bands(limits=((200, 0.9, 99.0),)), packer)[2]
+    assert "chunks" in compression_bands.band_verdict(half[:4096] + b"ab" * 6000, compression_bands.Bands(limits=((200, 0.9, 3.5), (5000, 0.9, 3.5), (5001, 0.9, 99.0))), packer)[2]
 
 
 @pytest.mark.parametrize("size", [300, 600, 1000, 1300, 3000, 6000, 30000, 110000])
@@ -488,6 +518,20 @@ def test_bands_tell_encoded_and_random_text_from_prose(size):
 
 
 def test_bands_reject_a_document_of_mostly_encoded_chunks():
-    bands, packer = compression_bands.Bands(limits=((200, 0.0, 99.0),)), zstandard.ZstdCompressor(level=3)
+    bands, packer = compression_bands.Bands(limits=((200, 1.5, 99.0), (5000, 1.5, 99.0), (5001, 0.0, 99.0))), zstandard.ZstdCompressor(level=3)
     mixed = base64.encodebytes(np.random.default_rng(4).bytes(12000)) + prose(4, 900).encode()
     assert compression_bands.band_verdict(mixed, bands, packer)[2] == "incompressible chunks"
+
+
+def test_fitted_bands_tell_held_out_labels(spark, small):
+    """Fitted on good labels of even ids: of the odd ids' base-passing texts at least half of the bad go, under 2 % of the good."""
+    sf = small.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    bands = compression_bands.fitted(docs, labels.where("quality = 1 AND doc_id % 2 = 0"))
+    assert bands != compression_bands.Bands() and bands.of(np.array([3000]))[1] < 2.5
+    held = compression_bands.judge(docs, bands).join(labels.where("doc_id % 2 = 1"), "doc_id").where("NOT base_failed").toPandas()
+    assert held[held["quality"] == 0]["kept"].mean() < 0.5 and held[held["quality"] == 1]["kept"].mean() > 0.98
+    assert compression_bands.fitted(docs, labels.limit(0)) == compression_bands.Bands()
+    assert compression_bands.fitted(docs.limit(0), labels) == compression_bands.Bands()
+    few = compression_bands.fitted(docs, labels.where("quality = 1"), sample=120)
+    assert few != bands and few.limits[0][2] < few.limits[-1][2]
