@@ -9,8 +9,8 @@ A forward state says how the best segmentation of the prefix ends. For a unigram
 it is the usual one: the highest sum of scores over all last pieces. For a BPE model
 the score of a path is 0 if every two neighbours are a pair that the merges leave
 apart and minus infinity otherwise; exactly one path has score 0, and it is the
-sequence that merging gives. Runs of marks, in which equal ranks make merging depend
-on position, and words over ``LONGEST`` characters are merged in the plain way.
+sequence that merging gives. Only words with a run of marks, in which equal ranks make
+merging depend on position, are merged in the plain way.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from rollkin.llm.arrow_text import ragged, slices, starts_of, texts_of
 from rollkin.llm.piece_model import MARK, PieceModel, load, marked_words
 
-LONGEST = 200
+#: Characters up to which a word's ids are remembered for later batches.
+REMEMBERED_LENGTH = 200
 REMEMBERED = 1 << 20
 WORDS = 500_000
 
@@ -109,8 +110,8 @@ def word_ids(words: list[str], path: str) -> list[bytes]:
     known, id_of = forward.ids, model.id_of
     new = sorted(w for w in words if w not in known)
     ids: dict[str, bytes] = {}
-    short = [w for w in new if len(w) <= LONGEST and MARK + MARK not in w]
-    for w, symbols in zip(short, forward.segment(short)):
+    plain = [w for w in new if MARK + MARK not in w]
+    for w, symbols in zip(plain, forward.segment(plain)):
         try:
             ids[w] = array("i", [id_of[s] for s in symbols]).tobytes()
         except KeyError:
@@ -120,7 +121,7 @@ def word_ids(words: list[str], path: str) -> list[bytes]:
             ids[w] = array("i", [i for s in model.merge_long(w) for i in model.ids_of_symbol(s)]).tobytes()
     out = [known.get(w) or ids[w] for w in words]
     if len(known) < WORDS:
-        known.update((w, i) for w, i in ids.items() if len(w) <= LONGEST)
+        known.update((w, i) for w, i in ids.items() if len(w) <= REMEMBERED_LENGTH)
     return out
 
 

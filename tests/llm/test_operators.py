@@ -5,6 +5,7 @@ import collections
 import hashlib
 import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -84,6 +85,28 @@ def test_trie_walk_equals_merging(docs):
     assert list(sentence_pieces.trie(MODEL).segment(words)) == [model.merge_long(w) for w in words]
 
 
+def long_words():
+    r = np.random.default_rng(8)
+    letters = "".join(r.choice(list(string.ascii_lowercase), 64000))
+    glued = "".join(r.choice(["the", "ing", "Quick", "er", "bridge", "ation", "winter", "s", "un"], 12000))
+    return [letters, glued, "x" * 70000, "ab" * 9000 + "c", "".join(r.choice(list("aein"), 20000)), "".join(r.choice(list("01éß漢 "), 5000)), "=" * 999 + "-" * 5000]
+
+
+def test_long_words_without_spaces(spark, none):
+    library, model, t = sentencepiece.SentencePieceProcessor(model_file=MODEL), load(MODEL), token_counts.tables(MODEL)
+    for text in long_words():
+        want = library.encode(text)
+        codes, words, _ = marked_words(pa.array([text]))
+        began = time.perf_counter()
+        assert token_counts.count_symbols(words, t)[codes].sum() == len(want)
+        assert time.perf_counter() - began < 2
+        assert sentence_pieces.encode_texts(pa.array([text]), MODEL).to_pylist() == [want]
+        for w in words.to_pylist():
+            numbers = np.array([t.number.get(c, t.n) for c in w])
+            assert [t.symbols[i] for i in token_counts.merged_long(numbers, t) if i < t.n] == [p for p in model.merge_long(w) if p in t.number]
+    assert token_counts.count_tokens(none, MODEL).count() == 0 and sentence_pieces.round_trip(none, MODEL).count() == 0
+
+
 def test_token_counts_equal_the_library(docs, odd):
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     for source in (docs, odd):
