@@ -16,11 +16,12 @@ from rollkin.sources.scratch import broadcast_if_small, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ADDRESS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)"
-CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+COMMENT = r"(?s)<!--.*?(-->|$)"
+CANONICAL = r"(?is)<link\b[^>]*\srel\s*=\s*([\"'][^\"'>]*?(?<![\w-])|)canonical(?![\w-])[^>]*>"
+REFRESH = r"(?is)<meta\b[^>]*\shttp-equiv\s*=\s*[\"']?refresh(?![\w-])[^>]*>"
+HREF = r"(?is)\shref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH_TO = r"(?is)\burl\s*=\s*'?((?:&#?\w+;|[^\"'\s>;])+)"
-BASE = r"(?is)<base\b[^>]*\bhref\b[^>]*>"
+BASE = r"(?is)<base\b[^>]*\shref\b[^>]*>"
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 ENTITY = r"(?s)^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]+);(.*)$"
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0"}
@@ -43,10 +44,14 @@ def path_of(url: Column) -> Column:
 
 
 def address_key(url: Column) -> Column:
-    """An address without scheme, fragment, trailing slashes and ``utm_`` parameters; null without a host."""
-    query = F.regexp_replace(F.regexp_extract(url, ADDRESS, 3), r"utm_[a-z]+=[^&]*&?", "")
-    key = F.concat(host_of(url), F.regexp_replace(path_of(url), "/+$", ""), F.regexp_replace(query, r"[?&]+$", ""))
-    return F.when(host_of(url) != "", key)
+    """An address as a node: without scheme, the port that is usual for it, fragment, trailing slashes and ``utm_`` parameters; null without a host."""
+    scheme, host = F.lower(F.substring_index(url, "://", 1)), host_of(url)
+    usual = F.when((scheme == "http") & host.endswith(":80"), F.regexp_replace(host, ":80$", "")).when(
+        (scheme == "https") & host.endswith(":443"), F.regexp_replace(host, ":443$", "")
+    ).otherwise(host)
+    query = F.regexp_replace(F.regexp_extract(url, ADDRESS, 3), r"(?<=[?&])utm_[a-z]+=[^&]*&?", "")
+    key = F.concat(usual, F.regexp_replace(path_of(url), "/+$", ""), F.regexp_replace(query, r"[?&]+$", ""))
+    return F.when(host != "", key)
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -103,10 +108,11 @@ def resolved(base: Column, to: Column) -> Column:
 def page_links(pages: DataFrame) -> DataFrame:
     """(from_url, to_url) of canonical links and refreshes in the pages' HTML, made absolute.
 
-    A relative target is taken from the page's ``<base href>`` if it has one, else from its address.
+    A relative target is taken from the page's ``<base href>`` if it has one, else from
+    its address. What stands in comments doesn't count; ``rel`` may name several kinds.
     """
-    html, url = F.col("html"), F.col("url")
-    found = pages.where(url.isNotNull() & F.regexp_like(html, F.lit(r"(?i)canonical|refresh"))).select(
+    html, url = F.regexp_replace("html", COMMENT, ""), F.col("url")
+    found = pages.where(url.isNotNull() & F.regexp_like("html", F.lit(r"(?i)canonical|refresh"))).select(
         url.alias("from_url"), F.regexp_extract(F.regexp_extract(html, BASE, 0), HREF, 1).alias("base"),
         F.explode(F.array(
             F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1),
@@ -180,32 +186,71 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     )
 
 
-ORACLE_SQL = r"""
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
+
+
+def _key_sql(url: str) -> str:
+    """An address as a node, in DuckDB SQL."""
+    host = f"translate(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}')"
+    usual = f"CASE WHEN {url} ILIKE 'http://%' THEN regexp_replace({host}, ':80$', '') WHEN {url} ILIKE 'https://%' THEN regexp_replace({host}, ':443$', '') ELSE {host} END"
+    query = f"regexp_extract({url}, '(?s)^.*?://[^/?#]*[^?#]*(\\??[^#]*)', 1)"
+    query = f"regexp_replace(regexp_replace({query}, '([?&])((utm_[a-z]+=[^&]*(&|$))+)', '\\1', 'g'), '[?&]+$', '')"
+    return f"CASE WHEN {host} <> '' THEN ({usual}) || regexp_replace(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/+$', '') || {query} END"
+
+
+def _decoded_sql(value: str) -> str:
+    """The named entities of ``ENTITIES``, ``&amp;`` last; numeric ones aren't decoded."""
+    for name, text in [*list(ENTITIES.items())[1:], ("amp", "&")]:
+        value = f"replace({value}, '&{name};', '{text.replace(chr(39), chr(39) * 2)}')"
+    return value
+
+
+def _resolved_sql(base: str, to: str) -> str:
+    """The address that ``to`` names on ``base``, its dot segments still in place."""
+    scheme, site = f"regexp_extract({base}, '(?s)^(.*?)://', 1)", f"regexp_extract({base}, '(?s)^(.*?://[^/?#]*)', 1)"
+    path = f"regexp_extract({base}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+    folder = f"CASE WHEN {path} LIKE '/%' THEN '' ELSE '/' END || regexp_replace({path}, '[^/]*$', '')"
+    return f"""CASE WHEN regexp_matches({to}, '{_SCHEME}//') THEN {to} WHEN regexp_matches({to}, '{_SCHEME}') THEN NULL
+      WHEN {to} LIKE '//%' THEN {scheme} || ':' || {to} WHEN {site} = '' THEN NULL WHEN {to} LIKE '#%' THEN {base}
+      WHEN {to} LIKE '?%' THEN {site} || {path} || {to} WHEN {to} LIKE '/%' THEN {site} || {to} ELSE {site} || {folder} || {to} END"""
+
+
+ORACLE_SQL = rf"""
 WITH RECURSIVE p AS (
-  SELECT page_id, url, coalesce(html, '') AS html,
-         CASE WHEN url LIKE '%://%' THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
-         CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
-         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*[^?#]*(\??[^#]*)', 1) AS query
+  SELECT page_id, url, regexp_replace(coalesce(html, ''), '(?s)<!--.*?(-->|$)', '', 'g') AS html,
+         CASE WHEN url LIKE '%://%' THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') ELSE '' END AS host,
+         CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path
   FROM pages),
 r(rule_host, rule_path, rule_verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
   ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
-k AS (SELECT *, CASE WHEN host <> '' THEN host || regexp_replace(path, '/+$', '')
-        || regexp_replace(regexp_replace(query, 'utm_[a-z]+=[^&]*&?', '', 'g'), '[?&]+$', '') END AS key FROM p),
-l AS (SELECT key AS src, regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t
-      FROM k WHERE key IS NOT NULL AND html ILIKE '%canonical%'),
-m AS (SELECT src, regexp_extract(t, '(?s)^.*?://([^/?#]*)', 1) || regexp_replace(regexp_extract(t, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/+$', '') AS dst
-      FROM l WHERE t LIKE '%://%'),
-e AS (SELECT src, dst FROM m UNION SELECT dst, src FROM m),
-reach(key, node) AS (SELECT key, key FROM k WHERE key IS NOT NULL UNION SELECT reach.key, e.dst FROM reach JOIN e ON e.src = reach.node),
+h AS (SELECT url, regexp_extract(regexp_extract(html, '(?is)<base\b[^>]*\shref\b[^>]*>'), '(?is)\shref\s*=\s*["'']?([^"''\s>]+)', 1) AS base,
+        unnest([regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\srel\s*=\s*(?:["''](?:[^"''>]*[^\w"''>-])?|)canonical(?:["''\s/][^>]*)?>'), '(?is)\shref\s*=\s*["'']?([^"''\s>]+)', 1),
+                regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\shttp-equiv\s*=\s*["'']?refresh(?:["''\s/][^>]*)?>'), '(?is)\burl\s*=\s*''?((?:&#?\w+;|[^"''\s>;])+)', 1)]) AS t
+      FROM p WHERE url IS NOT NULL AND (html ILIKE '%canonical%' OR html ILIKE '%refresh%')),
+h1 AS (SELECT url, {_decoded_sql("base")} AS base, {_decoded_sql("t")} AS t FROM h WHERE t <> ''),
+h2 AS (SELECT url, coalesce(CASE WHEN base <> '' THEN {_resolved_sql("url", "base")} END, url) AS base, t FROM h1),
+h3 AS (SELECT url, {_resolved_sql("base", "t")} AS far FROM h2),
+seg(url, far, head, done, todo, tail) AS (
+  SELECT url, far, regexp_extract(far, '(?s)^(.*?://[^/?#]*)', 1), []::VARCHAR[], string_split(regexp_extract(far, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/'), regexp_extract(far, '(?s)^.*?://[^/?#]*[^?#]*(.*)$', 1)
+  FROM h3 WHERE far IS NOT NULL
+  UNION ALL SELECT url, far, head,
+    CASE WHEN todo[1] = '.' AND len(todo) = 1 OR todo[1] = '..' AND len(todo) = 1 AND len(done) <= 1 THEN list_append(done, '')
+         WHEN todo[1] = '.' THEN done WHEN todo[1] = '..' AND len(todo) = 1 THEN list_append(done[:-2], '')
+         WHEN todo[1] = '..' THEN CASE WHEN len(done) > 1 THEN done[:-2] ELSE done END ELSE list_append(done, todo[1]) END,
+    todo[2:], tail FROM seg WHERE len(todo) > 0),
+l AS (SELECT url AS from_url, head || array_to_string(done, '/') || tail AS to_url FROM seg WHERE len(todo) = 0),
+m AS (SELECT {_key_sql("from_url")} AS src, {_key_sql("to_url")} AS dst, to_url FROM l),
+e AS (SELECT src, dst FROM m WHERE src IS NOT NULL AND dst IS NOT NULL UNION SELECT dst, src FROM m WHERE src IS NOT NULL AND dst IS NOT NULL),
+u AS (SELECT DISTINCT url, {_key_sql("url")} AS key FROM (SELECT url FROM p WHERE url IS NOT NULL UNION ALL SELECT to_url FROM m WHERE src IS NOT NULL AND dst IS NOT NULL)),
+reach(key, node) AS (SELECT DISTINCT key, key FROM u WHERE key IS NOT NULL UNION SELECT reach.key, e.dst FROM reach JOIN e ON e.src = reach.node),
 c AS (SELECT key, min(node) AS component FROM reach GROUP BY key),
 f AS (SELECT url, max_by(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
              max_by(rule_verdict, length(rule_host || rule_path)) AS rule_verdict
-      FROM (SELECT DISTINCT url, host, path FROM p) JOIN r
+      FROM (SELECT url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u) JOIN r
         ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY url),
-d AS (SELECT component, bool_or(rule_verdict = 'allow') AS allowed
-      FROM k JOIN c USING (key) JOIN f USING (url) GROUP BY component)
-SELECT page_id, host, path, rule,
+d AS (SELECT component, bool_or(rule_verdict = 'allow') AS allowed FROM u JOIN c USING (key) JOIN f USING (url) GROUP BY component)
+SELECT page_id, p.host, p.path, rule,
        CASE WHEN rule IS NOT NULL THEN rule_verdict WHEN allowed IS NULL OR allowed THEN 'allow' ELSE 'block' END AS verdict,
        CASE WHEN rule IS NOT NULL THEN 'rule' WHEN allowed IS NOT NULL THEN 'alias' ELSE 'default' END AS decided_by
-FROM k LEFT JOIN c USING (key) LEFT JOIN f USING (url) LEFT JOIN d USING (component)
+FROM p LEFT JOIN u USING (url) LEFT JOIN c USING (key) LEFT JOIN f USING (url) LEFT JOIN d USING (component)
 """
