@@ -13,9 +13,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollkin.sources.scratch import written
+from rollkin.sources.scratch import discard, written
 
 LG_K = 12
+#: Affected texts and their line hashes up to which they are broadcast.
+SMALL_TEXTS, SMALL_LINES = 500_000, 2_000_000
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -63,7 +65,12 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, site_col: str = "so
     docs = docs.drop("n_lines", "n_removed", "k1", "k2", "bad_lines")
     lines = written(_hashed_lines(docs.where("text IS NOT NULL"), site_col), "lines")
     spread = written(spread_lines(lines, min_sites), "boilerplate")
-    bad = lines.join(spread, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_set("h").alias("bad_lines"))
+    # Written, so that the join below has no aggregation on its side and a hot text can be split.
+    bad = written(lines.join(spread, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_set("h").alias("bad_lines")), "affected")
+    discard(lines)
+    held = bad.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.size("bad_lines")), F.lit(0)).alias("lines")).first()
+    if held["texts"] <= SMALL_TEXTS and held["lines"] <= SMALL_LINES:
+        bad = F.broadcast(bad)
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda x: ~F.array_contains("bad_lines", line_hash(x)) | (F.btrim(x, F.lit(BLANKS)) == ""))
     columns = docs.columns
