@@ -252,10 +252,14 @@ def feature(audio: Audio, pcm: np.ndarray) -> str:
 
 
 def digests(media: DataFrame, rate: int = 16000) -> DataFrame:
-    """What the stored files hold: (doc_id, n_bytes, payload and file digests, feature) per row."""
+    """What the stored files hold: (doc_id, n_bytes, payload and file digests, feature, pcm) per row.
+
+    ``pcm``: the sound of the file that was read back, expanded or decoded and resampled
+    to ``rate``, as 16-bit little-endian samples; the feature is taken from it.
+    """
     schema = (
         f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, "
-        "tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+        "tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary"
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,14 +273,18 @@ def digests(media: DataFrame, rate: int = 16000) -> DataFrame:
                     part.column("doc_id"), part.column("n_bytes"), pa.array(map(len, payloads), pa.int64()),
                     pa.array([hashlib.sha256(p).hexdigest() for p in payloads]), pa.array([zlib.crc32(p[-32:]) for p in payloads], pa.int64()),
                     pa.array(map(len, files), pa.int64()), pa.array([hashlib.sha256(f).hexdigest() for f in files]),
-                    pa.array([feature(a, x) for a, x in zip(audios, sounds)]),
+                    pa.array([feature(a, x) for a, x in zip(audios, sounds)]), pa.array([x.astype("<i2").tobytes() for x in sounds], pa.binary()),
                 ],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"],
             )
 
     return media.mapInArrow(work, schema)
 
 
 def stored_digests(docs: DataFrame, rate: int = 16000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores all texts as audio in the shared folder, reads the files back and digests them."""
+    """Stores all texts as audio in the shared folder, reads the files back, and gives their digests and PCM.
+
+    The resampled PCM is a column of the result, so it is stored where the result is.
+    Nulls, repeats, clashing columns and empty tables: as in ``store_texts``.
+    """
     return digests(written(store_texts(docs, id_col, text_col), "media"), rate)
