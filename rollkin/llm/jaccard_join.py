@@ -2,16 +2,22 @@
 
 Sets are put into bands of similar size. Within a band a similarity of at least t means
 that two sets differ in at most k features. The feature domain is dealt by hash into
-k + 1 + e parts, and a set's signature for a part is a digest of the features it has
-there: k differences leave at least 1 + e parts untouched, so sets that are similar
-enough share so many signatures. (Of the subsets of parts that the method enumerates
-these are the single parts, the choice with the fewest signatures.)
-
-Parts in which a set is empty, and signatures that very many sets share because a
-passage or line is common, would bring all those sets together. The e spare parts let a
-set leave out up to e such parts: of the 1 + e that a similar set shares, one is left.
-Sets with more than e of them leave out none. No pair is lost either way, since equal
-parts are empty or common in both sets alike.
+partitions, and each partition into n2 parts; a set's signatures for a partition are the
+digests of the features it has in every n2 - k2 of these parts. If there are
+floor(k / (k2 + 1)) + 1 partitions, similar sets differ in at most k2 features in one of
+them, and so share the signature of the parts that these features leave untouched.
+
+Two choices are used. In bands of small k, where a part alone tells little, k2 = 1 and
+n2 = 3: half as many partitions, and of each the three pairs of parts. In bands of large
+k, k2 = 0 and n2 = 1: the subset is the partition itself, the choice with the fewest
+signatures.
+
+Signatures of no features, and those that very many sets share because a passage or
+line is common, would bring all those sets together. So there are e spare partitions,
+which let a set leave out such signatures as long as they lie in at most e of them: of
+the 1 + e partitions in which a similar set shares a signature, one is left. Sets with
+more leave out none. No pair is lost either way, since equal signatures are empty or
+common in both sets alike.
 
 Sets that share a signature are candidates if their sizes and 1024-bit parity sketches
 allow the similarity (a sketch never differs in more bits than the sets in features);
@@ -34,12 +40,14 @@ from pyspark.sql import functions as F
 
 from rollkin.llm.arrow_text import hashes, mix, slices, split_words, starts_of, texts_of
 from rollkin.operators.components import connected_components
-from rollkin.sources.scratch import broadcast_if_small, written
+from rollkin.sources.scratch import broadcast_if_small, discard, written
 
 SMALL_IDS = 1_000_000
 LEADERS = 32
 #: A signature that more sets share is common.
 COMMON = 50
+#: Differences up to which a partition's pairs of parts are its signatures, and the parts it has then.
+ENUMERATED, PARTS = 24, 3
 SKETCH = [f"q{i}" for i in range(16)]
 
 
@@ -72,8 +80,9 @@ class Bands:
     """Size bands for a similarity of ``percent`` / 100, each 40 % wider than the one before.
 
     A set belongs to the band of its size and, if it is so near to the lower end that a
-    similar set can be below, to the band before. ``parts[j]``: parts of the domain in
-    band j; ``spare[j]``: those beyond k + 1, for empty parts and a twelfth more.
+    similar set can be below, to the band before. ``partitions[j]``: partitions of the
+    domain in band j; ``spare[j]``: those that a set may leave signatures out of, for
+    empty ones and a twelfth more; ``parts[j]``: parts of a partition.
     """
 
     def __init__(self, percent: int, largest: int):
@@ -85,12 +94,17 @@ class Bands:
         large = small * 100 // percent
         self.reach = large
         k = (small + large) * (100 - percent) // (100 + percent)
-        parts, spare = k + 1, np.zeros_like(k)
+        pairs = (k > 0) & (k <= ENUMERATED)
+        self.parts = np.where(pairs, PARTS, 1)
+        needed = np.where(pairs, k // 2, k) + 1
+        partitions, spare = needed, np.zeros_like(k)
         for _ in range(6):
-            empty = np.where(k > 0, parts * np.exp(-self.low[:-1] / parts), 0)
+            # a signature has a partition's features, or those of two of its three parts
+            share = np.where(pairs, (PARTS - 1) / PARTS, 1) / partitions
+            empty = np.where(k > 0, partitions * np.where(pairs, PARTS, 1) * np.exp(-self.low[:-1] * share), 0)
             spare = np.where(k > 0, np.ceil(empty + 2 * np.sqrt(empty) + k / 12).astype(np.int64), 0)
-            parts = k + 1 + spare
-        self.parts, self.spare = parts, spare
+            partitions = needed + spare
+        self.partitions, self.spare = partitions, spare
 
     def of(self, sizes: np.ndarray) -> list[np.ndarray]:
         """The bands of each set: its own and, or else -1, the one before. Empty sets have none."""
@@ -105,24 +119,31 @@ def bands(percent: int) -> Bands:
 
 
 def signatures(text: np.ndarray, key: np.ndarray, n_texts: int, percent: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For a set's own band and the one before: (text, signature) ordered by text, and the spare parts each text has left."""
+    """For a set's own band and the one before: (text, signature) ordered by text, and the spare partitions each text has left."""
     b = bands(percent)
     scrambled = mix(key ^ np.uint64(0x5851F42D4C957F2D))
     out = []
     for band in b.of(np.bincount(text, minlength=n_texts)):
         there = np.flatnonzero(band >= 0)
-        parts, spare = np.zeros(n_texts, dtype=np.int64), np.zeros(n_texts, dtype=np.int64)
-        parts[there], spare[there] = b.parts[band[there]], b.spare[band[there]]
-        base = starts_of(parts)
-        owner = np.repeat(np.arange(n_texts), parts)
-        part = np.arange(len(owner)) - base[owner]
+        cells, per, spare = np.zeros(n_texts, dtype=np.int64), np.ones(n_texts, dtype=np.int64), np.zeros(n_texts, dtype=np.int64)
+        per[there], spare[there] = b.parts[band[there]], b.spare[band[there]]
+        cells[there] = b.partitions[band[there]] * per[there]
+        base = starts_of(cells)
+        owner = np.repeat(np.arange(n_texts), cells)
+        cell = np.arange(len(owner)) - base[owner]
         mine = band[text] >= 0
-        spot = ((scrambled[mine] >> np.uint64(32)) * parts[text[mine]].astype(np.uint64) >> np.uint64(32)).astype(np.int64) + base[text[mine]]
-        digest = np.zeros(len(owner), dtype=np.uint64)
+        spot = ((scrambled[mine] >> np.uint64(32)) * cells[text[mine]].astype(np.uint64) >> np.uint64(32)).astype(np.int64) + base[text[mine]]
+        digest, held = np.zeros(len(owner), dtype=np.uint64), np.bincount(spot, minlength=len(owner))
         np.add.at(digest, spot, scrambled[mine])
-        empty = np.bincount(spot, minlength=len(owner)) == 0
+        # A cell is a part; where a partition has several, the cell's signature is the partition without it.
+        several = np.flatnonzero(per[owner] > 1)
+        if len(several):
+            grid = several.reshape(-1, PARTS)
+            digest[several] = (digest[grid].sum(axis=1, dtype=np.uint64)[:, None] - digest[grid]).ravel()
+            held[several] = (held[grid].sum(axis=1)[:, None] - held[grid]).ravel()
+        empty = held == 0
         left = spare - np.bincount(owner[empty], minlength=n_texts)
-        sig = mix(digest + mix((band[owner].astype(np.uint64) << np.uint64(44)) + part.astype(np.uint64) + np.uint64(1)))
+        sig = mix(digest + mix((band[owner].astype(np.uint64) << np.uint64(44)) + cell.astype(np.uint64) + np.uint64(1)))
         told = ~empty | (left[owner] < 0)
         out.append((owner[told], sig[told], left))
     return out
@@ -163,8 +184,8 @@ def _sketch(docs: DataFrame, words: int, percent: int) -> DataFrame:
 def _signature_rows(docs: DataFrame, words: int, percent: int, owners: bool) -> DataFrame:
     """(sig), or with ``owners`` (sig, doc, code), for every signature of every text.
 
-    code = 2 * (spare parts left + 1) + (0 for the own band, 1 for the one before); a
-    set without spare parts left has 0 of them. Signatures are made anew from the texts
+    code = 2 * (spare partitions left + 1) + (0 for the own band, 1 for the one before);
+    a set that needs more than it has gets 0 of them. Signatures are made anew from the texts
     whenever they are needed: stored, they would take as much room as the texts.
     """
 
@@ -233,19 +254,20 @@ def _members(docs: DataFrame, words: int, percent: int) -> DataFrame:
     copies = broadcast_if_small(written(members.where("doc_id <> rep").select("doc_id", "text_hash").distinct(), "copies"), SMALL_IDS)
     sets = sketch.where("n > 0 AND doc_id IS NOT NULL").join(copies, ["doc_id", "text_hash"], "left_anti").select(F.col("doc_id").alias("doc"), "n", *SKETCH)
     single = docs.where("doc_id IS NOT NULL").join(copies, ["doc_id", "text_hash"], "left_anti").select("doc_id", "text")
-    open_rows = _shared_signatures(single, words, percent)
+    open_rows = written(_shared_signatures(single, words, percent).where("doc > lead"), "followers")
 
-    pairs = open_rows.where("doc > lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
+    pairs = open_rows.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
     checked = written(
         pairs.join(_side(sets, "a", "a"), "a").join(_side(sets, "b", "b"), "b").where(_may_be_similar(percent)).select("a", "b").distinct(), "pairs"
     )
     links = written(_linked(checked, docs, words, percent), "links")
     components = connected_components(links, "a", "b")
-    open_rows = open_rows.where("doc > lead").select("sig", "doc")
+    open_rows = open_rows.select("sig", "doc")
     share = LEADERS
     while True:
         named = open_rows.join(components.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp"))
-        mixed = named.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("held")).where("c0 < c1")
+        named = written(named, "named")
+        mixed = written(named.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("held")).where("c0 < c1"), "mixed")
         rows = written(
             named.join(mixed.select("sig", "held"), "sig").withColumn("leads", F.pmod(F.xxhash64("doc", "sig"), F.col("held")) < share), "open"
         )
@@ -275,16 +297,21 @@ def _members(docs: DataFrame, words: int, percent: int) -> DataFrame:
 def _shared_signatures(single: DataFrame, words: int, percent: int) -> DataFrame:
     """(sig, doc, lead) for the signatures that several sets share; lead is the smallest of them.
 
-    Common ones are left out of sets that have spare parts for all of theirs.
+    Common ones are left out of sets that have spare partitions for all of theirs. Counts
+    and leaders are written before they are joined: beside an aggregation in its own
+    stage, a join can't have the rows of a hot signature split.
     """
-    counts = _signature_rows(single, words, percent, owners=False).groupBy("sig").agg(F.count("*").alias("times")).where("times > 1")
+    counts = written(_signature_rows(single, words, percent, owners=False).groupBy("sig").agg(F.count("*").alias("times")).where("times > 1"), "times")
     shared = written(_signature_rows(single, words, percent, owners=True).join(counts, "sig"), "shared")
+    discard(counts)
     common = shared.where(F.col("times") > COMMON)
-    short = common.groupBy("doc", "code").agg(F.count("*").alias("used")).where("used > floor(code / 2) - 1").select("doc", "code")
+    short = written(common.groupBy("doc", "code").agg(F.count("*").alias("used")).where("used > floor(code / 2) - 1").select("doc", "code"), "short")
     held = written(
         shared.where(F.col("times") <= COMMON).select("sig", "doc").unionByName(common.join(short, ["doc", "code"], "left_semi").select("sig", "doc")), "held"
     )
-    return held.join(held.groupBy("sig").agg(F.min("doc").alias("lead")), "sig")
+    discard(shared)
+    leads = written(held.groupBy("sig").agg(F.min("doc").alias("lead")), "leads")
+    return held.join(leads, "sig")
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
