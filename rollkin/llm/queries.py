@@ -42,7 +42,7 @@ def op6_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.mix(_documents(spark, sf_dir)).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("rate", 6).alias("rate"), "kept")
+    return source_mix.mix(_documents(spark, sf_dir)).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("rate", 6).alias("rate"), "kept", "converged")
 
 
 def good_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,6 +147,48 @@ def test_shards_are_level_gapless_and_keep_copies_together(spark, docs, odd, non
         assert sorted(part["slot"]) == list(range(len(part)))
 
 
+def test_cuts_equal_a_plain_tree(spark, docs):
+    """Coordinates, choice of dimension, order along the cut and level of both sides, worked out anew in plain Python for every node."""
+    thin = kd_shards._thin(docs)
+    rows = [r.asDict() for r in thin.join(kd_shards._placed(thin).drop("size", "text_crc32", "text_hash"), "doc_id").collect()]
+    low, high = (math.log2(f(r["size"] for r in rows)) for f in (min, max))
+    for value in ("source", "lang"):
+        weights = collections.Counter()
+        for r in rows:
+            weights[r[value]] += r["size"]
+        total, places = sum(weights.values()), {r[value]: r[f"x_{value}"] / kd_shards.SPAN for r in rows}
+        ends = sorted((places[v] - w / total / 2, places[v] + w / total / 2) for v, w in weights.items())
+        assert abs(ends[0][0]) < 1e-6 and abs(ends[-1][1] - 1) < 1e-6 and all(abs(a[1] - b[0]) < 1e-6 for a, b in zip(ends, ends[1:]))
+        classes = [math.floor(math.log2(weights[v])) for v in sorted(places, key=places.get)]
+        assert classes == sorted(classes)
+    assert all(abs(r["x_size"] / kd_shards.SPAN - (math.log2(r["size"]) - low) / (high - low)) < 1e-6 for r in rows)
+    units = kd_shards._units(kd_shards._placed(thin), sum(r["size"] for r in rows) / 8).withColumns({"unit": F.concat_ws("-", F.hex("text_hash"), "size"), "block": F.lit(0)})
+    found = [r.asDict() for r in kd_shards.shard_units(units.drop("blocks"), 8, sum(r["size"] for r in rows)).collect()]
+    target, used = sum(r["weight"] for r in found) / 8, set()
+
+    def spread(part, dim):
+        w, x = np.array([r["weight"] for r in part], dtype=float), np.array([r[dim] for r in part]) / kd_shards.SPAN
+        return math.sqrt(max(0.0, np.average(x * x, weights=w) - np.average(x, weights=w) ** 2))
+
+    def check(first, n):
+        part = [r for r in found if first <= r["shard"] < first + n]
+        if n == 1:
+            return
+        dim = max(kd_shards.DIMS, key=lambda d: spread(part, d))
+        used.add(dim)
+        left, right = ([r for r in part if (r["shard"] < first + n // 2) == side] for side in (True, False))
+        key = lambda r: r[dim] * (1 << 30) + ((r["text_hash"] % (1 << 64)) >> 34)
+        small = lambda side: [key(r) for r in side if r["weight"] <= target * kd_shards.LARGE]
+        assert max(small(left), default=-1) < min(small(right), default=1 << 62)
+        assert abs(sum(r["weight"] for r in left) - sum(r["weight"] for r in part) * (n // 2) / n) < target / 20
+        check(first, n // 2), check(first + n // 2, n - n // 2)
+
+    check(0, 8)
+    assert len(used) > 1
+    with pytest.raises(ValueError, match="two steps"):
+        kd_shards.shard_units(units, kd_shards.MOST_SHARDS + 1, 1)
+
+
 def test_shards_by_target_size_and_a_text_that_outweighs_a_shard(spark):
     copies = spark.createDataFrame([(i, "same text" * 20 if i % 3 else prose(i, 30), "en", f"s{i % 5}") for i in range(900)], "doc_id long, text string, lang string, source string")
     got = kd_shards.assign_shards(copies, n_shards=4).toPandas()
@@ -201,10 +243,28 @@ def test_common_signatures_lose_no_link(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()) == brute_components(rows, 4, 85)
 
 
+def test_signatures_enumerate_parts():
+    """In a band of few differences a set's signatures are all pairs of a partition's three parts, worked out one by one."""
+    key = np.random.default_rng(6).integers(0, 2**63, size=60, dtype=np.uint64)
+    b, mask = jaccard_join.bands(85), (1 << 64) - 1
+    band = int(b.of(np.array([60]))[0][0])
+    assert b.parts[band] == jaccard_join.PARTS == 3
+    features, cells = [int(x) for x in jaccard_join.mix(key ^ np.uint64(0x5851F42D4C957F2D))], int(b.partitions[band]) * 3
+    part = lambda f: (f >> 32) * cells >> 32
+    mixed = lambda x: int(jaccard_join.mix(np.array([x & mask], dtype=np.uint64))[0])
+    want = set()
+    for cell in range(cells):
+        kept = [f for f in features if part(f) // 3 == cell // 3 and part(f) != cell]
+        if kept:
+            want.add(mixed(sum(kept) + mixed((band << 44) + cell + 1)))
+    (owner, sig, left), _ = jaccard_join.signatures(np.zeros(60, np.int64), np.sort(key), 1, 85)
+    assert left[0] >= 0 and {int(x) for x in sig} == want
+
+
 def test_signatures_are_shared_by_similar_sets():
     r = np.random.default_rng(3)
-    for size in (1, 2, 5, 9, 30, 130, 700):
-        for _ in range(20):
+    for size in (1, 2, 5, 9, 30, 60, 85, 130, 700):
+        for _ in range(40):
             base = r.integers(0, 2**63, size=size, dtype=np.uint64)
             lost = r.integers(0, max(1, size * 15 // 200) + 1)
             other = np.concatenate([base[lost:], r.integers(0, 2**63, size=r.integers(0, lost + 1), dtype=np.uint64)])
@@ -223,6 +283,7 @@ def test_components_of_odd_rows(odd, none):
     assert [by_id[i]["component_id"] for i in (1, 2, 3, 4, 5, 6, 7, 8)] == [1, 2, 3, 4, 4, 6, 6, 6]
     assert by_id[1]["n_shingles"] == 0 and by_id[4]["n_shingles"] == 1
     assert sorted((r["component_id"] or 0) for r in got if r["doc_id"] is None) == [0, 6]
+    assert jaccard_join.one_of_each(none).count() == 0
     kept = jaccard_join.one_of_each(odd)
     assert kept.columns == odd.columns
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 9, 10, 11, 12]
@@ -379,10 +440,12 @@ def test_lines_on_many_sites_go(spark, none, odd):
 
 
 def test_raking_meets_the_targets(spark, docs, none, odd):
-    named = docs.withColumns({"topic": source_mix.topic_of(F.col("text")), "n_tokens": source_mix.words_of(F.col("text"))})
+    named = source_mix.with_topics(docs, source_mix.topic_model(docs)).withColumns({"n_tokens": source_mix.words_of(F.col("text"))})
     cells = source_mix.cells_of(named)
     goals = {d: source_mix.tempered(cells, d, 0.6) for d in ("source", "lang")}
-    fitted = source_mix.rake(cells, goals).toPandas()
+    fitted, converged = source_mix.rake(cells, goals)
+    fitted = fitted.toPandas()
+    assert converged and not source_mix.rake(cells, goals, max_rounds=1, tolerance=1e-12)[1]
     for d, goal in goals.items():
         want = {r["value"]: r["share"] for r in goal.collect()}
         for value, weight in fitted.groupby(d)["weight"].sum().items():
@@ -405,10 +468,60 @@ def test_raking_meets_the_targets(spark, docs, none, odd):
     assert dict(zip(mixed["doc_id"], mixed["kept"])) == dict(zip(again["doc_id"], again["kept"]))
     assert source_mix.mix(none).count() == 0
     edge = source_mix.mix(odd)
-    assert edge.count() == odd.count() and set(edge.columns) == {*odd.columns, "topic", "n_tokens", "rate", "kept"}
+    assert edge.count() == odd.count() and set(edge.columns) == {*odd.columns, "topic", "n_tokens", "rate", "kept", "converged"}
     assert all(r["kept"] for r in edge.collect() if r["n_tokens"] == 0)
 
 
+def test_mix_equals_a_plain_fit(spark):
+    """Topics of the caller: weights, the factor for the budget, rates and draws worked out in plain Python."""
+    r = np.random.default_rng(12)
+    rows = [(i, " ".join(["w"] * int(r.integers(1, 40))), f"l{i % 2}" if i % 9 else None, f"s{i % 3}", f"k{i % 4}") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kind string")
+    got = source_mix.mix(docs, budget=0.5, topic_col="kind").toPandas()
+    n, at = {i: len(t.split()) for i, t, *_ in rows}, {i: (s, x or source_mix.NONE, k) for i, _, x, s, k in rows}
+    tokens = collections.Counter()
+    for i in n:
+        tokens[at[i]] += n[i]
+    goals = []
+    for d, power in enumerate((0.5, 0.7, 0.7)):
+        sums = collections.Counter()
+        for c, w in tokens.items():
+            sums[c[d]] += w
+        raw = {v: w**power for v, w in sums.items()}
+        goals.append({v: w / sum(raw.values()) for v, w in raw.items()})
+    weight = dict(tokens)
+    for _ in range(300):
+        for d, goal in enumerate(goals):
+            sums = collections.Counter()
+            for c, w in weight.items():
+                sums[c[d]] += w
+            weight = {c: w * goal[c[d]] / sums[c[d]] for c, w in weight.items()}
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        s = (low + high) / 2
+        spent = sum(w * min(1, s * weight[c] / w) for c, w in tokens.items())
+        low, high = (s, high) if spent < 0.5 * sum(tokens.values()) else (low, s)
+    assert got["converged"].all()
+    for i, rate, kept, topic in zip(got["doc_id"], got["rate"], got["kept"], got["topic"]):
+        assert rate == pytest.approx(min(1, s * weight[at[i]] / tokens[at[i]]), rel=2e-2) and topic == f"k{i % 4}"
+    drawn = {r["doc_id"]: r["u"] for r in docs.select("doc_id", (F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("u")).collect()}
+    assert all(kept == (drawn[i] < rate) for i, rate, kept in zip(got["doc_id"], got["rate"], got["kept"]))
+
+
+def test_topics_are_nearest_centres(spark, docs):
+    model = source_mix.topic_model(docs)
+    centres = [np.array(c) for c in model.stages[-1].clusterCenters()]
+    found = source_mix.with_topics(docs, model).collect()
+    again = {r["doc_id"]: r["topic"] for r in source_mix.with_topics(docs.repartition(7), source_mix.topic_model(docs.repartition(3))).collect()}
+    vectors = {r["doc_id"]: r["_topic_vector"].toArray() for r in model.transform(docs).select("doc_id", "_topic_vector").collect()}
+    assert len({r["topic"] for r in found}) > 3
+    for r in found:
+        assert again[r["doc_id"]] == r["topic"]
+        if r["topic"] != "none":
+            apart = [((vectors[r["doc_id"]] - c) ** 2).sum() for c in centres]
+            assert apart[int(r["topic"][1:])] == pytest.approx(min(apart))
+
+
 # op 8
 
 
