@@ -6,7 +6,7 @@ with the corpus, so neither is ever held in one place. Texts are cut into slices
 megabytes; each slice counts its own distinct words and bigrams, sends each key with its
 counts once to the bucket its hash lies in, and gets the totals of the corpus back in
 the order it sent them. However common a word is, a slice sends it once, so no bucket
-outweighs another. Words and bigrams are told apart by 64-bit hashes.
+outweighs another. Words and bigrams are told apart by 48-bit hashes.
 
 A text is scored by what the other texts hold: its own counts are left out of either
 model that it is part of. So a labelled text isn't scored by a model that has seen it,
@@ -32,8 +32,9 @@ from rollkin.sources.scratch import broadcast_if_small, written
 #: Hashes of the symbols that aren't words, and what sets the two kinds of keys apart.
 UNKNOWN, BEGIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 PAIR, WORD = np.uint64(0x165667B19E3779F9), np.uint64(0x85EBCA77C2B2AE63)
+KEY_BITS = 48
 SMALL_LABELS = 2_000_000
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 BUCKET_WORDS = 1 << 19
 
 
@@ -102,8 +103,8 @@ class Slice:
         self.at = self.at.astype(np.int32)
         self.before, self.word, self.size = pairs // size, pairs % size, size
         self.text = np.repeat(np.arange(len(counts)), counts)
-        one = np.uint64(1)
-        self.keys = np.concatenate([mix(mix(symbols[self.before] + PAIR) + symbols[self.word]) & ~one, mix(symbols ^ WORD) | one])
+        one, spare = np.uint64(1), np.uint64(64 - KEY_BITS)
+        self.keys = np.concatenate([mix(mix(symbols[self.before] + PAIR) + symbols[self.word]) >> spare & ~one, mix(symbols ^ WORD) >> spare | one])
         self.order = np.argsort(self.keys, kind="stable")
 
     def parts(self, pair_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +117,7 @@ class Slice:
         found = []
         for key, n in ((self.at, len(self.before)), (self.before[self.at], self.size), (self.word[self.at], self.size)):
             _, at, times = np.unique(self.text * n + key, return_inverse=True, return_counts=True)
-            found.append(times[at])
+            found.append(times.astype(np.int32)[at])
         return tuple(found)
 
     def losses(self, count: np.ndarray, context: np.ndarray, own: tuple[np.ndarray, ...], n_words: np.ndarray, n_symbols: int, settings: Settings) -> np.ndarray:
@@ -140,7 +141,7 @@ def slices_of(docs: DataFrame, words: list[str] | None) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 found = split_words(texts_of(part, "text"), lower=True)
-                symbols, codes = hashes(found.dictionary), found.codes
+                symbols, codes = hashes(found.dictionary) >> np.uint64(64 - KEY_BITS), found.codes
                 if known is not None:
                     symbols = np.where(pc.is_in(found.dictionary, value_set=known).to_numpy(zero_copy_only=False), symbols, UNKNOWN)
                     symbols, at = np.unique(symbols, return_inverse=True)
@@ -192,7 +193,7 @@ def corpus_totals(cut: DataFrame, n_buckets: int) -> DataFrame:
                 n = len(own.before)
                 values = [v[own.order] for at in (own.at[good], own.at) for v in own.parts(np.bincount(at, minlength=n).astype(np.int64))]
                 keys = own.keys[own.order]
-                bucket = ((keys >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+                bucket = ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
                 ends = np.searchsorted(bucket, np.arange(n_buckets + 1))
                 for b in np.flatnonzero(np.diff(ends)):
                     x = slice(ends[b], ends[b + 1])
