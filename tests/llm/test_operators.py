@@ -440,7 +440,8 @@ def test_lines_on_many_sites_go(spark, none, odd):
 
 
 def test_raking_meets_the_targets(spark, docs, none, odd):
-    named = source_mix.with_topics(docs, source_mix.topic_model(docs)).withColumns({"n_tokens": source_mix.words_of(F.col("text"))})
+    words = source_mix.words_in(F.col("text"))
+    named = docs.withColumns({"topic": source_mix.topic_of(words, source_mix.key_words(docs)), "n_tokens": F.size(words)})
     cells = source_mix.cells_of(named)
     goals = {d: source_mix.tempered(cells, d, 0.6) for d in ("source", "lang")}
     fitted, converged = source_mix.rake(cells, goals)
@@ -508,18 +509,18 @@ def test_mix_equals_a_plain_fit(spark):
     assert all(kept == (drawn[i] < rate) for i, rate, kept in zip(got["doc_id"], got["rate"], got["kept"]))
 
 
-def test_topics_are_nearest_centres(spark, docs):
-    model = source_mix.topic_model(docs)
-    centres = [np.array(c) for c in model.stages[-1].clusterCenters()]
-    found = source_mix.with_topics(docs, model).collect()
-    again = {r["doc_id"]: r["topic"] for r in source_mix.with_topics(docs.repartition(7), source_mix.topic_model(docs.repartition(3))).collect()}
-    vectors = {r["doc_id"]: r["_topic_vector"].toArray() for r in model.transform(docs).select("doc_id", "_topic_vector").collect()}
-    assert len({r["topic"] for r in found}) > 3
+def test_topics_are_leading_key_words(spark, docs, odd, none):
+    keys = source_mix.key_words(docs)
+    texts = {r["text"] for r in docs.collect()}
+    held = collections.Counter(w for t in texts for w in set(WORD.findall(t)) if len(w) > 3 and w.isalpha())
+    want = sorted((w for w, n in held.items() if 0.01 * len(texts) <= n <= 0.15 * len(texts)), key=lambda w: (-held[w], w))
+    assert keys == want[: source_mix.TOPICS] and source_mix.key_words(none) == [] and source_mix.key_words(docs.repartition(5)) == keys
+    found = docs.unionByName(odd.select(docs.columns)).select("text", source_mix.topic_of(source_mix.words_in(F.col("text")), keys).alias("topic")).collect()
+    assert len({r["topic"] for r in found}) > 5
     for r in found:
-        assert again[r["doc_id"]] == r["topic"]
-        if r["topic"] != "none":
-            apart = [((vectors[r["doc_id"]] - c) ** 2).sum() for c in centres]
-            assert apart[int(r["topic"][1:])] == pytest.approx(min(apart))
+        words = WORD.findall(r["text"] or "")
+        counts = [words.count(k) for k in keys]
+        assert r["topic"] == ("none" if not words else "other" if not any(counts) else keys[counts.index(max(counts))])
 
 
 # op 8
