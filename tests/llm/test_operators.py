@@ -439,7 +439,7 @@ def test_lines_on_many_sites_go(spark, none, odd):
 # op 7
 
 
-def test_raking_meets_the_targets(spark, docs, none, odd):
+def test_raking_meets_the_targets(spark, docs, none, odd, monkeypatch):
     words = source_mix.words_in(F.col("text"))
     named = docs.withColumns({"topic": source_mix.topic_of(words, source_mix.key_words(docs)), "n_tokens": F.size(words)})
     cells = source_mix.cells_of(named)
@@ -447,6 +447,10 @@ def test_raking_meets_the_targets(spark, docs, none, odd):
     fitted, converged = source_mix.rake(cells, goals)
     fitted = fitted.toPandas()
     assert converged and not source_mix.rake(cells, goals, max_rounds=1, tolerance=1e-12)[1]
+    with monkeypatch.context() as m:  # the same weights where there are too many cells for one task
+        m.setattr(source_mix, "SMALL_CELLS", 3)
+        joined = source_mix.rake(cells, goals)[0].toPandas().set_index(list(source_mix.DIMS))["weight"]
+    assert np.allclose(joined.sort_index(), fitted.set_index(list(source_mix.DIMS))["weight"].sort_index(), rtol=1e-2)
     for d, goal in goals.items():
         want = {r["value"]: r["share"] for r in goal.collect()}
         for value, weight in fitted.groupby(d)["weight"].sum().items():
