@@ -1,8 +1,16 @@
-"""Register records out of page text: three parsers, repair, quality and gap reports.
+"""Register records out of page text: tokens, three readings of them, repair, quality and gap reports.
 
-Pages are rows (doc_id, page_index, text). A parser splits texts into chunks and takes
-fields out of them with regular expressions of the JVM, so whole documents never meet
-in one task before they are records.
+Pages are rows (doc_id, page_index, text). A page is cut once into typed tokens: a label
+("Name :", "Age :", a cell bar, ...) and the text up to the next one. Everything else
+looks at the array of tokens:
+
+* a *strict* record begins at a name label with a number right before it,
+* *positional* records are the page's serials, IDs and names side by side, if there are
+  equally many of each, whatever the layout,
+* a *lenient* record begins at any name label.
+
+All three are array columns of one pass over the page; records are exploded once, and
+whole documents never meet in one task before they are records.
 """
 
 from __future__ import annotations
@@ -12,166 +20,274 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-COLON = "[:：]"
-RELATION = r"(?:Father|Husband|Mother|Wife|Other)s?['’]?"
-END = rf"(?=\s*(?:{RELATION}\s*(?:Name)?\s*{COLON}|House\s*(?:Number|No)\.?\s*{COLON}|Age\s*{COLON}|Gender\s*{COLON}|Photo\b|\||$))"
-EPIC = r"\b([A-Z]{2,4}[0-9O]{6,8})\b"
-STRICT_SPLIT = rf"(?i)(?<![\w*])(?=\*{{0,2}}\d{{1,4}}\*{{0,2}}\s*Name\s*{COLON})"
-STRICT_SERIAL = r"^\*{0,2}(\d{1,4})"
-ANCHOR_SPLIT = rf"(?i)(?<!(?:Father|Husband|Mother|Wife|Other)s?['’]?\s{{0,8}})(?<!No\s{{1,8}}and\s{{0,8}})(?=Name\s*{COLON})"
-OPENING_SERIAL = rf"(?m)(?:^|\||\n)\s*\*{{0,2}}(\d{{1,4}})(?![0-9])\*{{0,2}}(?:\s*\|\s*\d{{1,3}}\b)*\s*\|?\s*(?=[A-Z]{{2,4}}[0-9]{{6,8}}\b|[Nn]ame\s*{COLON})"
-MARKER = rf"(?i)\*{{0,2}}(\d{{1,4}})\*{{0,2}}\s*Name\s*{COLON}"
-LONE_NUMBER = r"(?<![A-Za-z0-9])(\d{1,4})(?![0-9])"
 FIELDS = ["serial_no", "epic_no", "name", "relation_type", "relation_name", "house_number", "age", "gender"]
 CORE = ["serial_no", "epic_no", "name", "relation_type", "relation_name", "age", "gender"]
 RECORD = ["doc_id", "page", "pos", *FIELDS]
+RELATIONS = ["father", "husband", "mother", "wife", "other"]
+
+#: Labels: what is captured is the token's kind. "No and Name" is the header's, not a person's.
+COLON = r"\s*[:\uFF1A]"
+LABELS = "|".join([
+    rf"({'|'.join(RELATIONS)})s?['\u2019]?(?:\s*name)?{COLON}", rf"(house)\s*(?:number|no\.?){COLON}", rf"(age){COLON}", rf"(gender){COLON}",
+    rf"(no\s+and)\s+name{COLON}", rf"(name){COLON}", r"\b(photo)\b", r"(\|)",
+])
+BEGIN, END = "\x01", "\x02"
+ID = r"\b[A-Z]{2,4}[0-9O]{6,8}\b"
+NUMBER_BEFORE = r"(?:^|[^\w*])\**(\d{1,4})\**\s*$"
 
 
 def clean(c: Column) -> Column:
     """A value without markdown debris, spaces collapsed, ends free of punctuation."""
-    plain = F.regexp_replace(F.regexp_replace(c, "[*|#]", " "), r"\s+", " ")
-    return F.btrim(plain, F.lit(" :：.,-"))
+    return F.btrim(F.regexp_replace(c, r"[*|#\s]+", " "), F.lit(" :\uFF1A.,-"))
+
+
+def _marked(text: Column) -> Column:
+    """The text with every label replaced by BEGIN kind END."""
+    groups = "".join(f"${i}" for i in range(1, 9))
+    return F.regexp_replace(F.coalesce(text, F.lit("")), f"(?i)(?:{LABELS})", f"{BEGIN}{groups}{END}")
+
+
+def tokens(text: Column) -> Column:
+    """array<struct<kind, value>>: the labels of a text in order, each with what follows it; the first has no kind."""
+    pieces = F.split(F.concat(F.lit(END), _marked(text)), BEGIN)
+    return F.transform(pieces, lambda p: F.struct(F.lower(F.substring_index(p, END, 1)).alias("kind"), F.substring_index(p, END, -1).alias("value")))
 
 
-def relation_word(c: Column) -> Column:
-    """Father, Husband, Mother, Wife or Other."""
-    return F.initcap(F.regexp_replace(F.lower(c), r"s?['’]?$", ""))
+def _text_of(part: Column) -> Column:
+    return F.array_join(F.transform(part, lambda t: t["value"]), " ")
 
 
-def gender_word(c: Column) -> Column:
-    short = F.upper(c)
-    return F.when(short == "M", "Male").when(short == "F", "Female").otherwise(F.initcap(F.regexp_replace(c, r"\s+", " ")))
+def _first(part: Column, kinds: list[str]) -> Column:
+    return F.get(F.filter(part, lambda t: t["kind"].isin(kinds)), F.lit(0))
 
 
-def _fields(chunk: Column) -> dict[str, Column]:
-    take = lambda pattern, i=1: F.regexp_extract(chunk, pattern, i)
-    relation = rf"(?is)({RELATION})\s*(?:Name)?\s*{COLON}\s*(.*?){END}"
+def _number_before(part: Column, at: Column) -> Column:
+    """The number right before token ``at``, else empty."""
+    return F.regexp_extract(F.get(part, at - 1)["value"], NUMBER_BEFORE, 1)
+
+
+def _names(part: Column) -> Column:
+    """Positions of the name labels."""
+    every = F.filter(F.transform(part, lambda t, i: F.when(t["kind"] == "name", i)), lambda i: i.isNotNull())
+    return every
+
+
+def _values(own: Column) -> dict[str, Column]:
+    """The fields of a record from its tokens, which begin with the name."""
+    relation, gender = _first(own, RELATIONS), F.upper(F.coalesce(_first(own, ["gender"])["value"], F.lit("")))
+    text = lambda t: F.coalesce(clean(t["value"]), F.lit(""))
+    sex = F.regexp_extract(gender, r"^\s*(MALE|FEMALE|THIRD\s*GENDER|M\b|F\b)", 1)
     return {
-        "name": clean(take(rf"(?is)Name\s*{COLON}\s*(.*?){END}")), "relation_type": relation_word(take(relation)), "relation_name": clean(take(relation, 2)),
-        "house_number": clean(take(rf"(?is)House\s*(?:Number|No)\.?\s*{COLON}\s*(.*?){END}")), "age": take(rf"(?i)Age\s*{COLON}\s*(\d{{1,3}})"),
-        "gender": gender_word(take(rf"(?i)Gender\s*{COLON}\s*(Male|Female|Third\s*Gender|M\b|F\b)")),
+        "name": text(F.get(own, F.lit(0))), "relation_type": F.initcap(F.coalesce(relation["kind"], F.lit(""))), "relation_name": text(relation), "house_number": text(_first(own, ["house"])),
+        "age": F.coalesce(F.regexp_extract(_first(own, ["age"])["value"], r"^\s*(\d{1,3})", 1), F.lit("")),
+        "gender": F.when(sex == "M", "Male").when(sex == "F", "Female").otherwise(F.initcap(F.regexp_replace(sex, r"\s+", " "))),
     }
 
 
-def parse_strict(pages: DataFrame) -> DataFrame:
-    """Records that begin with ``<serial> Name :``."""
-    chunks = pages.select("doc_id", (F.col("page_index") + 1).alias("page"), F.posexplode(F.split("text", STRICT_SPLIT)).alias("pos", "chunk"))
-    chunks = chunks.withColumn("serial_no", F.regexp_extract("chunk", rf"(?i){STRICT_SERIAL}\*{{0,2}}\s*Name\s*{COLON}", 1)).where("serial_no <> ''")
-    return chunks.withColumns(_fields(F.col("chunk"))).withColumn("epic_no", F.regexp_extract("chunk", EPIC, 1)).where("name <> ''").select(*RECORD)
+def _record(serial: Column, epic: Column, own: Column) -> Column:
+    values = _values(own) | {"serial_no": serial, "epic_no": F.coalesce(epic, F.lit(""))}
+    return F.struct(*[values[f].alias(f) for f in FIELDS])
+
+
+def _spans(part: Column, starts: Column) -> Column:
+    """array<struct<at, own>>: the tokens from each start up to the next, without a next record's number at the end."""
+    def span(at: Column, k: Column) -> Column:
+        stop = F.coalesce(F.get(starts, k + 1), F.size(part))
+        own = F.slice(part, at + 1, stop - at)
+        return F.struct(at.alias("at"), F.transform(own, lambda t, i: F.struct(
+            t["kind"].alias("kind"), F.when((i == stop - at - 1) & (stop < F.size(part)), F.regexp_replace(t["value"], NUMBER_BEFORE, " ")).otherwise(t["value"]).alias("value")
+        )).alias("own"))
+
+    return F.transform(starts, span)
+
+
+def _ids(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({ID})"))
+
+
+def _strict(part: Column) -> Column:
+    starts = F.filter(_names(part), lambda i: _number_before(part, i) != "")
+    return F.transform(_spans(part, starts), lambda s: _record(_number_before(part, s["at"]), F.get(_ids(_text_of(s["own"])), F.lit(0)), s["own"]))
+
+
+def _opening(text: Column) -> Column:
+    """Serials that open a cell or a line and lead, over further numbers, to an ID or a name; in order."""
+    cells = F.split(_marked(text), f"[\n{BEGIN}]")
+
+    def coded(c: Column) -> Column:
+        plain, body = ~c.contains(END) | c.startswith("|"), F.btrim(F.regexp_replace(F.substring_index(c, END, -1), r"\*", ""), F.lit(" \t\r"))
+        code = (
+            F.when(F.lower(c).startswith(f"name{END}"), "N").when(~plain, "o").when(body == "", "").when(body.rlike(r"^\d{1,4}$"), "d")
+            .when(body.rlike(rf"^\d{{1,4}}\s+{ID}"), "x").when(body.rlike(f"^{ID}"), "e").otherwise("o")
+        )
+        return F.struct(code.alias("code"), F.regexp_extract(body, r"^(\d{1,4})", 1).alias("number"))
+
+    told = F.filter(F.transform(cells, coded), lambda c: c["code"] != "")
+    codes = F.array_join(F.transform(told, lambda c: c["code"]), "")
+    opens = F.transform(told, lambda c, i: F.when(
+        (c["code"] == "x") | ((c["code"] == "d") & ((i == 0) | (F.substring(codes, i, F.lit(1)) != "d")) & F.regexp_like(F.substring(codes, i + 1, F.lit(1 << 20)), F.lit("^d+[eN]"))), c["number"]
+    ))
+    return F.filter(opens, lambda n: n.isNotNull())
+
+
+def _positional(part: Column, serials: Column, ids: Column) -> Column:
+    spans = _spans(part, _names(part))
+    level = (F.size(spans) > 0) & (F.size(serials) == F.size(ids)) & (F.size(ids) == F.size(spans))
+    return F.when(level, F.transform(spans, lambda s, k: _record(F.get(serials, k), F.get(ids, k), s["own"]))).otherwise(F.filter(F.transform(spans, lambda s: _record(F.lit(""), F.lit(""), s["own"])), lambda r: F.lit(False)))
+
+
+def _lenient(part: Column) -> Column:
+    names = _names(part)
 
+    def record(s: Column, k: Column) -> Column:
+        start = F.when(k > 0, F.get(names, k - 1)).otherwise(F.lit(0))
+        before = _text_of(F.slice(part, start + 1, s["at"] - start))
+        serial = F.coalesce(F.try_element_at(F.regexp_extract_all(before, F.lit(r"\b(\d{1,4})\b")), F.lit(-1)), F.lit(""))
+        return _record(serial, F.coalesce(F.get(_ids(_text_of(s["own"])), F.lit(0)), F.get(_ids(before), F.lit(0))), s["own"])
 
-def _blocks(text: Column) -> Column:
-    """Text blocks that begin with an elector's ``Name :``."""
-    return F.filter(F.split(text, ANCHOR_SPLIT), lambda x: x.rlike(rf"(?i)^Name\s*{COLON}"))
+    return F.transform(_spans(part, names), record)
+
+
+def _step(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with further columns, worked out once: unlike a projection, an explode isn't folded into the next step."""
+    return df.select("*", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("_s")).select(*df.columns, "_s.*")
+
+
+def _read(pages: DataFrame, *wanted: str) -> DataFrame:
+    """Pages (doc_id, page, text) with the array columns in ``wanted``, of strict, positional and lenient; and markers, opening, ids."""
+    base = _step(pages.select("doc_id", (F.col("page_index") + 1).alias("page"), F.coalesce("text", F.lit("")).alias("text")), part=tokens(F.col("text")))
+    base = _step(base, opening=_opening(F.col("text")), ids=_ids(F.col("text")), markers=_markers(F.col("part")))
+    part = F.col("part")
+    known = {"strict": lambda: _strict(part), "positional": lambda: _positional(part, F.col("opening"), F.col("ids")), "lenient": lambda: _lenient(part)}
+    named = {k: F.filter(known[k](), lambda r: r["name"] != "") for k in wanted}
+    return _step(base, **named)
+
+
+def _rows(found: DataFrame, column: str) -> DataFrame:
+    return found.select("doc_id", "page", F.posexplode(column).alias("pos", "r")).select("doc_id", "page", "pos", "r.*").select(*RECORD)
+
+
+def parse_strict(pages: DataFrame) -> DataFrame:
+    """Records that begin with ``<serial> Name :``."""
+    return _rows(_read(pages, "strict"), "strict")
 
 
 def parse_positional(pages: DataFrame) -> DataFrame:
-    """Serials, IDs and name blocks zipped in reading order, where there are equally many."""
-    parts = pages.select(
-        "doc_id", (F.col("page_index") + 1).alias("page"), F.regexp_extract_all("text", F.lit(OPENING_SERIAL)).alias("serials"),
-        F.regexp_extract_all("text", F.lit(EPIC)).alias("epics"), _blocks(F.col("text")).alias("blocks"),
-    ).where("size(blocks) > 0 AND size(serials) = size(epics) AND size(epics) = size(blocks)")
-    rows = parts.select("doc_id", "page", F.posexplode(F.arrays_zip("serials", "epics", "blocks")).alias("pos", "z"))
-    rows = rows.select("doc_id", "page", "pos", F.col("z.serials").alias("serial_no"), F.col("z.epics").alias("epic_no"), F.col("z.blocks").alias("chunk"))
-    return rows.withColumns(_fields(F.col("chunk"))).where("name <> ''").select(*RECORD)
+    """Serials, IDs and names side by side in reading order, where there are equally many."""
+    return _rows(_read(pages, "positional"), "positional")
 
 
 def parse_lenient(pages: DataFrame) -> DataFrame:
-    """Any elector's ``Name :``, with the nearest number before it as serial."""
-    pieces = F.split("text", ANCHOR_SPLIT)
-    rows = pages.select("doc_id", (F.col("page_index") + 1).alias("page"), pieces.alias("pieces"), F.posexplode(pieces).alias("pos", "chunk"))
-    rows = rows.where(F.col("chunk").rlike(rf"(?i)^Name\s*{COLON}"))
-    before = F.regexp_replace(F.when(F.col("pos") > 0, F.get("pieces", F.col("pos") - 1)).otherwise(""), rf"(?i)^Name\s*{COLON}", "")
-    numbers = F.regexp_extract_all(before, F.lit(LONE_NUMBER))
-    epic = lambda c: F.nullif(F.regexp_extract(c, EPIC, 1), F.lit(""))
-    return rows.withColumns(_fields(F.col("chunk"))).withColumns({
-        "serial_no": F.coalesce(F.try_element_at(numbers, F.lit(-1)), F.lit("")), "epic_no": F.coalesce(epic(F.col("chunk")), epic(before), F.lit("")),
-    }).where("name <> ''").select(*RECORD)
+    """Any person's ``Name :``, with the nearest number before it as serial."""
+    return _rows(_read(pages, "lenient"), "lenient")
+
+
+def _markers(part: Column) -> Column:
+    found = F.filter(F.transform(_names(part), lambda i: _number_before(part, i)), lambda n: n != "")
+    return F.array_distinct(F.transform(found, lambda n: n.cast("int")))
 
 
 def markers(text: Column) -> Column:
     """Distinct serials of the ``<serial> Name :`` markers in a text."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(MARKER)), lambda x: x.cast("int")))
+    return _markers(tokens(text))
+
+
+def _valid(opening: Column, marked: Column) -> Column:
+    return F.array_union(opening, F.transform(marked, lambda x: x.cast("string")))
 
 
 def valid_serials(text: Column) -> Column:
     """Serials that really stand on a page, as text."""
-    opening = F.regexp_extract_all(text, F.lit(OPENING_SERIAL))
-    return F.array_union(opening, F.transform(markers(text), lambda x: x.cast("string")))
+    return _valid(_opening(text), markers(text))
 
 
 def has_records(text: Column) -> Column:
     """Whether a page holds records at all: an ID or a marker. Cover pages have neither."""
-    return text.rlike(EPIC) | text.rlike(MARKER)
+    return text.rlike(ID) | (F.size(markers(text)) > 0)
 
 
 def completeness(record: Column) -> Column:
     return reduce(lambda x, y: x + y, [(record[f] != "").cast("int") for f in FIELDS])
 
 
-def _merged(a: Column, b: Column) -> Column:
-    """The more complete of two records (the first at a tie), its blanks filled from the other."""
-    first = completeness(a) >= completeness(b)
-    pick = lambda f: F.when(first, F.coalesce(F.nullif(a[f], F.lit("")), b[f])).otherwise(F.coalesce(F.nullif(b[f], F.lit("")), a[f])).alias(f)
-    return F.struct(F.when(first, a["page"]).otherwise(b["page"]).alias("page"), *[pick(f) for f in FIELDS])
+def merged(a: Column, b: Column) -> Column:
+    """Two readings of one record: the fuller one (the first at a tie), its blanks filled from the other."""
+    swap = completeness(b) > completeness(a)
+    best, rest = (lambda f: F.when(swap, b[f]).otherwise(a[f])), (lambda f: F.when(swap, a[f]).otherwise(b[f]))
+    return F.struct(best("page").alias("page"), *[F.when(best(f) == "", rest(f)).otherwise(best(f)).alias(f) for f in FIELDS])
 
 
 def best_by_serial(records: DataFrame, keys: list[str], source: str | None = None) -> DataFrame:
     """One record per serial (or, without one, per name and page): copies merged in source order."""
     who = F.when(F.col("serial_no").rlike(r"^\d+$"), F.col("serial_no")).otherwise(F.concat_ws(":", F.lit("n"), "name", F.col("page").cast("string")))
     record = F.struct(F.col("page"), *[F.col(f) for f in FIELDS])
-    order = [F.col(source) if source else F.lit(0), F.col("page"), F.col("pos")]
+    order = [F.col("page"), F.col(source) if source else F.lit(0), F.col("pos")]
     copies = F.array_sort(F.collect_list(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], record.alias("record"))))
     grouped = records.withColumn("_who", who).groupBy(*keys, "_who").agg(copies.alias("copies"))
     records_only = F.transform("copies", lambda x: x["record"])
-    one = F.aggregate(F.slice(records_only, 2, F.size(records_only)), F.element_at(records_only, 1), _merged)
+    one = F.aggregate(F.slice(records_only, 2, F.size(records_only)), F.element_at(records_only, 1), merged)
     return grouped.select(*keys, F.element_at("copies", 1)["o2"].alias("pos"), one.alias("r")).select(*keys, "pos", "r.*")
 
 
+def _repaired(found: DataFrame, weak: Column) -> Column:
+    """array<struct<source, pos, r>> of a page: where it is ``weak`` positional over strict, lenient only where both
+    found nothing, without serials that aren't on the page; else strict."""
+    numbered = lambda c, source: F.transform(c, lambda r, i: F.struct(F.lit(source).alias("source"), i.alias("pos"), r.alias("r")))
+    both = F.concat(numbered("positional", 0), numbered("strict", 1))
+    all_found = F.when(F.size(both) > 0, both).otherwise(numbered("lenient", 2))
+    valid = _valid(F.col("opening"), F.col("markers"))
+    there = F.filter(all_found, lambda x: (F.size(valid) == 0) | F.array_contains(valid, x["r"]["serial_no"]))
+    return F.when(weak, there).otherwise(numbered("strict", 1))
+
+
+def _weak() -> Column:
+    """Markers that weren't parsed, blank fields, fewer rows than markers, or none on a page that holds records."""
+    got = F.transform("strict", lambda r: r["serial_no"].cast("int"))
+    blank = F.exists("strict", lambda r: completeness(r) < len(FIELDS))
+    missing = F.size(F.array_except("markers", got)) > 0
+    held = (F.size("ids") > 0) | (F.size("markers") > 0)
+    return missing | blank | (F.size("strict") < F.size("markers")) | ((F.size("strict") == 0) & held)
+
+
+def _chosen(pages: DataFrame, weak: Column) -> DataFrame:
+    found = _read(pages, "strict", "positional", "lenient")
+    rows = found.select("doc_id", "page", F.explode(_repaired(found, weak)).alias("x"))
+    return rows.select("doc_id", "page", F.col("x.source").alias("source"), F.col("x.pos").alias("pos"), "x.r.*")
+
+
 def repair(pages: DataFrame) -> DataFrame:
-    """Positional over strict, lenient only where both found nothing; serials not on the page go."""
-    both = parse_positional(pages).withColumn("source", F.lit(0)).unionByName(parse_strict(pages).withColumn("source", F.lit(1)))
-    done = both.select("doc_id", (F.col("page") - 1).alias("page_index")).distinct()
-    rest = pages.join(done, ["doc_id", "page_index"], "left_anti")
-    records = both.unionByName(parse_lenient(rest).withColumn("source", F.lit(2)))
-    merged = best_by_serial(records.withColumn("at", F.col("page")), ["doc_id", "at"], "source").drop("at")
-    allowed = pages.select("doc_id", (F.col("page_index") + 1).alias("page"), valid_serials(F.col("text")).alias("valid"))
-    return merged.join(allowed, ["doc_id", "page"]).where("size(valid) = 0 OR array_contains(valid, serial_no)").select(*RECORD)
-
-
-def needs_repair(pages: DataFrame, strict: DataFrame) -> DataFrame:
-    """(doc_id, page_index, text) of pages with markers that weren't parsed, blank fields, too few or no rows."""
-    found = strict.groupBy("doc_id", (F.col("page") - 1).alias("page_index")).agg(
-        F.count("*").alias("rows"), F.collect_set(F.col("serial_no").try_cast("int")).alias("got"), F.max(completeness_of_row() < len(FIELDS)).alias("blank")
-    )
-    seen = pages.join(found, ["doc_id", "page_index"], "left")
-    missing = F.size(F.array_except(markers(F.col("text")), F.coalesce("got", F.array().cast("array<int>")))) > 0
-    rows = F.coalesce("rows", F.lit(0))
-    bad = missing | F.coalesce("blank", F.lit(False)) | (rows < F.size(markers(F.col("text")))) | ((rows == 0) & has_records(F.col("text")))
-    return seen.where(bad).select("doc_id", "page_index", "text")
+    """The records of pages that strict reading isn't enough for, one per serial of a page."""
+    merged = best_by_serial(_chosen(pages, F.lit(True)).withColumn("at", F.col("page")), ["doc_id", "at"], "source")
+    return merged.drop("at").select(*RECORD)
 
 
-def completeness_of_row() -> Column:
-    return reduce(lambda x, y: x + y, [(F.col(f) != "").cast("int") for f in FIELDS])
+def needs_repair(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_index) of the pages that strict reading isn't enough for."""
+    return _read(pages, "strict").where(_weak()).select("doc_id", (F.col("page") - 1).alias("page_index"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Records of whole documents: strict where that suffices, else repaired, then one per serial."""
-    strict = parse_strict(pages)
-    weak = needs_repair(pages, strict)
-    keys = weak.select("doc_id", (F.col("page_index") + 1).alias("page"))
-    rows = strict.join(keys, ["doc_id", "page"], "left_anti").select(*RECORD).unionByName(repair(weak))
-    return best_by_serial(rows, ["doc_id"])
+    return best_by_serial(_chosen(pages, _weak()), ["doc_id"], "source")
+
+
+def in_order(records: DataFrame) -> DataFrame:
+    """Records as they are put out: by document and serial number, those without a number last."""
+    number = F.col("serial_no").try_cast("int")
+    return records.orderBy("doc_id", number.isNull(), number, "page", "pos")
 
 
 def headers(pages: DataFrame) -> DataFrame:
-    """(doc_id, constituency_no, constituency_name, part_no): the first found in page order."""
-    seat = r"(?i)Assembly\s*Constituency\s*No\.?\s*and\s*Name\s*[:：]?\s*(\d+)\s*[-–]\s*([A-Za-z ().]+)"
+    """(doc_id, constituency_no, constituency_name, part_no): the first found in page order.
+
+    The seat stands behind the first "No and Name" label of a line that tells of the
+    assembly, as number, dash and name.
+    """
+    seat = F.get(F.filter(F.transform(F.split("text", "\n"), lambda x: F.when(F.lower(x).contains("assembly"), F.get(F.filter(tokens(x), lambda t: t["kind"].startswith("no")), F.lit(0))["value"])), lambda v: v.isNotNull()), F.lit(0))
+    part = F.regexp_extract("text", r"(?i)\bpart\s+no\b[^\d\n]*(\d+)", 1)
+    name = F.regexp_replace(F.regexp_extract(seat, r"^\s*\d+\s*[-\u2013]\s*([\p{L} ().]+)", 1), r"[ .]+$", "")
     found = pages.select("doc_id", "page_index", *[
-        F.nullif(c, F.lit("")).alias(n) for n, c in {
-            "constituency_no": F.regexp_extract("text", seat, 1), "constituency_name": F.rtrim(F.regexp_replace(F.trim(F.regexp_extract("text", seat, 2)), r"[ .]+$", "")),
-            "part_no": F.regexp_extract("text", r"(?i)Part\s*No\.?\s*[:：]?\s*(\d+)", 1),
-        }.items()
+        F.nullif(c, F.lit("")).alias(n) for n, c in {"constituency_no": F.regexp_extract(seat, r"^\s*(\d+)", 1), "constituency_name": name, "part_no": part}.items()
     ])
     first = lambda c: F.coalesce(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("page_index"))), F.lit("")).alias(c)
     return found.groupBy("doc_id").agg(*[first(c) for c in ("constituency_no", "constituency_name", "part_no")])
@@ -183,19 +299,22 @@ def with_headers(records: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def page_quality(pages: DataFrame) -> DataFrame:
-    """(doc_id, page_index, ok, score): complete records less penalties for repeated serials and records."""
-    sign = F.struct("name", "relation_name", "house_number", "age")
-    complete = reduce(lambda x, y: x & y, [F.col(f) != "" for f in CORE])
-    graded = repair(pages).groupBy("doc_id", "page").agg(
-        F.count("*").alias("n"), F.count_if(complete).alias("complete"), (F.count("*") - F.count_distinct("serial_no")).alias("dup_serials"), (F.count("*") - F.count_distinct(sign)).alias("dup_records"),
+    """(doc_id, page_index, ok, score): a point for each complete record, 5 off for a serial that comes again, 2 for a record that does.
+
+    A page is ok if all its records are complete and nothing comes again. One without
+    records is ok with 0 points, one whose records can't be read has -1.
+    """
+    who = F.struct("name", "relation_name", "house_number", "age")
+    full = F.forall(F.array(*[F.col(f) != "" for f in CORE]), lambda x: x)
+    sums = repair(pages).groupBy("doc_id", "page").agg(
+        F.count("*").alias("n"), F.count_if(full).alias("full"), F.count_distinct("serial_no").alias("serials"), F.count_distinct(who).alias("people")
     )
-    rows = pages.withColumn("page", F.col("page_index") + 1).join(graded, ["doc_id", "page"], "left")
-    score = F.col("complete") - 5.0 * F.col("dup_serials") - 2.0 * F.col("dup_records")
-    good = (F.col("complete") == F.col("n")) & (F.col("dup_serials") == 0) & (F.col("dup_records") == 0)
-    data = has_records(F.col("text"))
+    rows = pages.withColumn("page", F.col("page_index") + 1).join(sums, ["doc_id", "page"], "left")
+    holds, read = has_records(F.col("text")), F.col("n").isNotNull()
+    score = F.col("full") - 5 * (F.col("n") - F.col("serials")) - 2 * (F.col("n") - F.col("people"))
     return rows.select(
-        "doc_id", "page_index", F.when(~data, True).when(F.col("n").isNull(), False).otherwise(good).alias("ok"),
-        F.when(~data, 0.0).when(F.col("n").isNull(), -1.0).otherwise(score).cast("double").alias("score"),
+        "doc_id", "page_index", (~holds | (read & (F.least("full", "serials", "people") == F.col("n")))).alias("ok"),
+        F.when(holds & read, score).when(holds, -1).otherwise(0).cast("double").alias("score"),
     )
 
 
