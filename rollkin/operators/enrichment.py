@@ -8,11 +8,15 @@ from pyspark.sql import types as T
 
 from rollkin.functions import text as tx
 
+# Fields of a looked-up record and the register's columns that they go to.
 PAYLOAD_FIELDS = {
-    "applicantFullName": "verified_name", "dateOfBirth": "verified_dob", "age": "verified_age", "mobileNumber": "mobile_no", "fatherName": "father_or_guardian_name",
-    "motherName": "mother_name", "spouseName": "spouse_name", "categoryType": "category_type", "relationType": "relation_type_code", "relationEpic": "relation_epic",
+    "epicName": "verified_name", "dobVerified": "verified_dob", "mobileNo": "mobile_no", "fathersOrGuardianName": "father_or_guardian_name", "mothersName": "mother_name",
+    "spouseName": "spouse_name", "houseNo": "verified_house_no", "partNo": "verified_part_no", "partSerialNo": "part_serial_no", "progenyPartName": "part_name",
+    "progenyAcName": "ac_name", "categoryType": "category_type", "relationType": "relation_type_code", "relationPrgyEpic": "relation_epic",
+    "relationPrgyName": "relation_name_verified", "districtCd": "district_cd", "stateCd": "state_cd", "surveyChannel": "survey_channel",
+    "submittedForRecommendation": "submitted_for_recommendation", "createdDttm": "enum_created_on", "modifiedDttm": "enum_modified_on",
 }
-VERIFIED = [c for c in PAYLOAD_FIELDS.values()]
+AGE_FIELD = "erollAge"
 
 
 def pending(registry: DataFrame, cap: int = 100) -> DataFrame:
@@ -23,21 +27,24 @@ def pending(registry: DataFrame, cap: int = 100) -> DataFrame:
     return one.withColumn("place", place).where(F.col("place") <= cap)
 
 
-def parse_payload(results: DataFrame, payload: str = "payload") -> DataFrame:
-    """Verified columns from a JSON payload; blanks become null."""
-    schema = T.StructType([T.StructField(k, T.StringType()) for k in PAYLOAD_FIELDS])
+def parse_payload(results: DataFrame, payload: str = "payload", fields: dict[str, str] | None = None) -> DataFrame:
+    """Verified columns from a JSON payload by ``fields`` (payload field: column), and ``verified_age``; blanks become null."""
+    fields = PAYLOAD_FIELDS if fields is None else fields
+    schema = T.StructType([T.StructField(k, T.StringType()) for k in [*fields, AGE_FIELD]])
     parsed = results.withColumn("_p", F.from_json(payload, schema))
-    columns = {c: tx.blank_to_null(F.col(f"_p.{k}")) for k, c in PAYLOAD_FIELDS.items()} | {"verified_age": tx.to_int(F.col("_p.age"))}
+    columns = {c: tx.blank_to_null(F.col(f"_p.{k}")) for k, c in fields.items()} | {"verified_age": tx.to_int(F.col(f"_p.{AGE_FIELD}"))}
     return parsed.withColumns(columns).drop("_p", payload)
 
 
 def apply_verified(registry: DataFrame, verified: DataFrame) -> DataFrame:
-    """Every register row of a looked-up ID gets the whole verified record, nulls included."""
+    """Every register row of a looked-up ID gets the whole verified record, nulls included, the status Found and the time."""
     columns = [c for c in verified.columns if c != "epic_no"]
     new = verified.select("epic_no", *[F.col(c).alias(f"_v_{c}") for c in columns], F.lit(True).alias("_hit"))
     rows = registry.join(new, "epic_no", "left")
     kept = {c: F.when(F.col("_hit"), F.col(f"_v_{c}")).otherwise(F.col(c) if c in registry.columns else F.lit(None)) for c in columns}
-    return rows.withColumns(kept).select(*dict.fromkeys([*registry.columns, *columns]))
+    seen = {"lookup_status": F.lit("Found"), "lookup_at": F.current_timestamp()}
+    kept |= {c: F.when(F.col("_hit"), v).otherwise(F.col(c) if c in registry.columns else F.lit(None)) for c, v in seen.items()}
+    return rows.withColumns(kept).select(*dict.fromkeys([*registry.columns, *columns, *seen]))
 
 
 def lookup_states(batch: DataFrame, results: DataFrame) -> DataFrame:

@@ -604,17 +604,17 @@ def e01_pending(spark, sf_dir):
 def _payloads(registry: DataFrame) -> DataFrame:
     """Looked-up records of every seventh ID, as JSON."""
     one = registry.where("epic_no <> '' AND id % 7 = 0").groupBy("epic_no").agg(F.min("id").alias("id"), F.min_by("constituency_no", "id").alias("constituency_no"))
-    return one.select("epic_no", "constituency_no", F.to_json(F.struct(F.concat(F.lit("V"), F.col("id")).alias("applicantFullName"), F.lit(" ").alias("motherName"), F.lit("41").alias("age"))).alias("payload"))
+    return one.select("epic_no", "constituency_no", F.to_json(F.struct(F.concat(F.lit("V"), F.col("id")).alias("epicName"), F.lit(" ").alias("mothersName"), F.lit("41").alias("erollAge"), F.lit("9").alias("districtCd"), F.lit("5550001").alias("mobileNo"))).alias("payload"))
 
 
-_APPLIED = "SELECT reg.id, CASE WHEN k.m IS NOT NULL THEN 'V' || k.m ELSE verified_name END AS verified_name, CASE WHEN k.m IS NOT NULL THEN 41 END AS verified_age, CASE WHEN k.m IS NULL THEN mother_name END AS mother_name FROM reg LEFT JOIN (SELECT epic_no, min(id) AS m FROM reg WHERE epic_no <> '' AND id % 7 = 0 GROUP BY epic_no) k USING (epic_no)"
+_APPLIED = "SELECT reg.id, CASE WHEN k.m IS NOT NULL THEN 'V' || k.m ELSE verified_name END AS verified_name, CASE WHEN k.m IS NOT NULL THEN 41 END AS verified_age, CASE WHEN k.m IS NULL THEN mother_name END AS mother_name, CASE WHEN k.m IS NOT NULL THEN '9' END AS district_cd, CASE WHEN k.m IS NOT NULL THEN '5550001' ELSE mobile_no END AS mobile_no, CASE WHEN k.m IS NULL THEN verified_dob END AS verified_dob, CASE WHEN k.m IS NOT NULL THEN 'Found' ELSE lookup_status END AS lookup_status FROM reg LEFT JOIN (SELECT epic_no, min(id) AS m FROM reg WHERE epic_no <> '' AND id % 7 = 0 GROUP BY epic_no) k USING (epic_no)"
 
 
 @query(_APPLIED)
 def e02_apply_verified(spark, sf_dir):
     registry = register(spark, sf_dir)
     verified = enrichment.parse_payload(_payloads(registry).drop("constituency_no"))
-    return enrichment.apply_verified(registry, verified).select("id", "verified_name", "verified_age", "mother_name")
+    return enrichment.apply_verified(registry, verified).select("id", "verified_name", "verified_age", "mother_name", "district_cd", "mobile_no", "verified_dob", "lookup_status")
 
 
 _CODES = "SELECT epic_no, min(id) AS id, CASE min(id) % 4 WHEN 0 THEN 'Found' WHEN 1 THEN 'Not found' WHEN 2 THEN 'Token expired' ELSE 'Error' END AS state FROM reg WHERE epic_no <> '' GROUP BY epic_no"
