@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand on ten sites or more go; every document stays, with its new length."""
+    """Lines that ten sites and ten texts or more have go; every document stays, with its new length."""
     return line_spread.remove_boilerplate(docs.select(*COLUMNS), min_sites=10).select(
         "doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars")
     )

@@ -4,6 +4,11 @@ A line that stands on many sites is boilerplate, however often any one site repe
 it. A HyperLogLog sketch of the sites is kept for each line hash; sketches merge by
 aggregation. Lines whose estimate is so near to the threshold that the sketch's error
 could decide get an exact distinct count. Lines above it are removed from all texts.
+
+A text that is copied to many sites puts all its lines there, though none of them is
+boilerplate, and would become empty. Each line's distinct texts are therefore sketched
+and counted in the same way, and must reach the threshold too; copies of whole texts are
+left to near-duplicate removal.
 """
 
 from __future__ import annotations
@@ -38,29 +43,27 @@ def _text_key(text: str) -> list[Column]:
 
 
 def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
-    """Hashes ``h`` of the lines in ``lines`` (h, site) that at least ``min_sites`` distinct sites have."""
+    """Hashes ``h`` of the lines in ``lines`` (k1, k2, site, h) that at least ``min_sites`` distinct sites and as many distinct texts have."""
     margin = max(2.0, 4 * 1.04 / math.sqrt(1 << LG_K) * min_sites)
-    estimates = written(
-        lines.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
-        .where(F.col("sites") >= min_sites - margin),
-        "spread",
-    )
-    near = estimates.where(F.col("sites") <= min_sites + margin)
-    exact = lines.join(near.select("h"), "h", "left_semi").groupBy("h").agg(F.count_distinct("site").alias("sites"))
-    far = estimates.where(F.col("sites") > min_sites + margin)
-    return far.select("h").union(exact.where(F.col("sites") >= min_sites).select("h"))
+    estimate = lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(LG_K)))
+    fewest = F.least("sites", "texts")
+    estimates = written(lines.groupBy("h").agg(estimate("site").alias("sites"), estimate("k1").alias("texts")).where(fewest >= min_sites - margin), "spread")
+    near = estimates.where(fewest <= min_sites + margin)
+    exact = lines.join(near.select("h"), "h", "left_semi").groupBy("h").agg(F.count_distinct("site").alias("sites"), F.count_distinct("k1", "k2").alias("texts"))
+    far = estimates.where(fewest > min_sites + margin)
+    return far.select("h").union(exact.where(fewest >= min_sites).select("h"))
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = 10, site_col: str = "source") -> DataFrame:
-    """``docs`` without the lines that stand on ``min_sites`` distinct sites or more.
+    """``docs`` without the lines that ``min_sites`` distinct sites or more and as many distinct texts have.
 
     All rows and columns stay; ``text`` is the remaining lines, joined by line feeds,
     and the columns ``n_lines`` and ``n_removed`` (replaced if there already) are
     added. Lines are compared without blanks at their ends; blank lines stay. A null
     text stays null with 0 lines, an empty text has 1. A text of which all lines go
     becomes empty. A null site adds to no line's spread, but its lines go as others do.
-    Rows that repeat count once for a site and get equal results; an empty table gives
-    an empty result.
+    Rows that repeat, and copies of a text, count as one text and get equal results; an
+    empty table gives an empty result.
     """
     docs = docs.drop("n_lines", "n_removed", "k1", "k2", "bad_lines")
     lines = written(_hashed_lines(docs.where("text IS NOT NULL"), site_col), "lines")
@@ -91,9 +94,9 @@ def oracle_sql(min_sites: int = 10) -> str:
     """DuckDB SQL for ``remove_boilerplate`` over ``documents``: doc_id, text, n_lines, n_removed."""
     blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     return f"""
-WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+WITH l AS (SELECT doc_id, source, text AS whole, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
            FROM documents WHERE text IS NOT NULL),
-b AS (SELECT trim(line, {blanks}) AS body FROM l WHERE trim(line, {blanks}) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= {min_sites}),
+b AS (SELECT trim(line, {blanks}) AS body FROM l WHERE trim(line, {blanks}) <> '' GROUP BY 1 HAVING least(count(DISTINCT source), count(DISTINCT whole)) >= {min_sites}),
 k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (body IS NULL) AS text, count(*) AS n_lines, count(body) AS n_removed
       FROM l LEFT JOIN b ON trim(line, {blanks}) = body GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text,

@@ -420,17 +420,22 @@ def test_aliases_equal_the_sql(spark):
 def test_lines_on_many_sites_go(spark, none, odd):
     rows = [(i, f"own {i}\n Common line \nshared by few\n\nCommon line", "en", f"s{i % 12}") for i in range(24)] + [(100, None, "en", "s1"), (101, "", "en", "s1"), (102, "Common line", None, None)]
     rows += [(200 + i, f"edge {i // 9}\nmany times one site", "en", f"s{i % 9 + (i // 9)}") for i in range(19)]
+    rows += [(300 + i, "one text on twelve sites\nwith two lines of its own\nCommon line", "en", f"s{i % 12}") for i in range(24)]
+    rows += [(400 + i, f"edge of texts {i % n}\nin {n} texts on twelve sites", "en", f"s{i % 12}") for n in (9, 10) for i in range(100 * n - 900, 100 * n - 840)]
     docs = spark.createDataFrame([(i, t, lang, s, None, "x", "y", "z") for i, t, lang, s in rows], SCHEMA)
     got = rows_of(line_spread.remove_boilerplate(docs, min_sites=10))
-    spread = {}
+    sites, texts = {}, {}
     for _, text, _, site in rows:
         for line in (text or "").split("\n"):
-            spread.setdefault(line.strip(" \t\n\x0b\x0c\r"), set()).update({site} - {None})
+            sites.setdefault(line.strip(" \t\n\x0b\x0c\r"), set()).update({site} - {None})
+            texts.setdefault(line.strip(" \t\n\x0b\x0c\r"), set()).add(text)
     for i, text, _, _ in rows:
         lines = [] if text is None else text.split("\n")
-        stays = [x for x in lines if not x.strip() or len(spread[x.strip()]) < 10]
+        stays = [x for x in lines if not x.strip() or min(len(sites[x.strip()]), len(texts[x.strip()])) < 10]
         assert got[i]["text"] == (None if text is None else "\n".join(stays))
         assert (got[i]["n_lines"], got[i]["n_removed"]) == (len(lines), len(lines) - len(stays))
+    assert got[300]["text"] == "one text on twelve sites\nwith two lines of its own"
+    assert got[400]["n_removed"] == 0 and got[500]["n_removed"] == 1
     assert got[102]["text"] == "" and line_spread.remove_boilerplate(none).count() == 0
     edge = line_spread.remove_boilerplate(odd)
     assert edge.columns == [*odd.columns, "n_lines", "n_removed"] and edge.count() == odd.count()
