@@ -20,16 +20,28 @@ def progeny_counts(registry: DataFrame) -> DataFrame:
     return rows.groupBy("year", "reference").agg(F.count_distinct(tx.blank_to_null(F.col("epic_no"))).alias("progeny"))
 
 
+def _same_reference(registry: DataFrame) -> DataFrame:
+    """(year, reference, id, entry) of the records that name a reference with 6 or more IDs."""
+    entry = F.concat(tx.preferred_name(F.col("verified_name"), F.col("name")), F.lit(" ("), F.coalesce(F.nullif(F.col("epic_no"), F.lit("")), F.lit("no ID")), F.lit(")"))
+    rows = registry.select("id", "year", tx.blank_to_null(F.col("relation_epic")).alias("reference"), entry.alias("entry"))
+    return rows.join(progeny_counts(registry).where("progeny >= 6").select("year", "reference"), ["year", "reference"])
+
+
 def siblings(registry: DataFrame) -> DataFrame:
-    """(id, siblings): the others that name the same reference, for references with 6 or more IDs."""
-    rows = registry.select("id", "year", "epic_no", tx.blank_to_null(F.col("relation_epic")).alias("reference"), tx.preferred_name(F.col("verified_name"), F.col("name")).alias("shown"))
-    big = progeny_counts(registry).where("progeny >= 6").select("year", "reference")
-    named = rows.join(big, ["year", "reference"])
-    entry = F.concat(F.col("shown"), F.lit(" ("), F.coalesce(F.nullif(F.col("epic_no"), F.lit("")), F.lit("no ID")), F.lit(")"))
-    all_of = named.groupBy("year", "reference").agg(F.sort_array(F.collect_list(F.struct("id", entry.alias("entry")))).alias("group"))
-    return named.join(all_of, ["year", "reference"]).select(
-        "id", F.transform(F.filter("group", lambda x: x["id"] != F.col("id")), lambda x: x["entry"]).alias("siblings")
-    )
+    """(id, year, reference, others): how many others name the same reference, for references with 6 or more IDs.
+
+    The group itself is (year, reference); ``siblings_of`` lists it for persons who are shown.
+    """
+    rows = _same_reference(registry).drop("entry")
+    sizes = rows.groupBy("year", "reference").agg((F.count("*") - 1).alias("others"))
+    return rows.join(sizes, ["year", "reference"]).select("id", "year", "reference", "others")
+
+
+def siblings_of(registry: DataFrame, persons: DataFrame) -> DataFrame:
+    """(id, sibling, entry): a row for each sibling of the persons (id) that are shown."""
+    rows = _same_reference(registry)
+    shown = rows.join(persons.select("id").distinct(), "id", "left_semi").select("year", "reference", F.col("id").alias("person"))
+    return rows.join(shown, ["year", "reference"]).where("id <> person").select(F.col("person").alias("id"), F.col("id").alias("sibling"), "entry")
 
 
 def findings(registry: DataFrame) -> DataFrame:

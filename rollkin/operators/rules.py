@@ -354,9 +354,9 @@ def comparison_reason(comparison: Column) -> Column:
     return F.concat(F.array_join(agree, "; "), F.when(differ != "", F.concat(F.lit(". Differs on: "), differ)).otherwise(""))
 
 
-def fuzzy_new(registry: DataFrame, strict: bool = True) -> DataFrame:
-    """Weighted mean over the attributes that both records have."""
-    rows = compared(registry)
+def fuzzy_new(registry: DataFrame, strict: bool = True, rows: DataFrame | None = None) -> DataFrame:
+    """Weighted mean over the attributes that both records have; ``rows`` are the compared pairs, if there already."""
+    rows = compared(registry) if rows is None else rows
     present = {k: F.col(f"sim_{k}").isNotNull().cast("int") for k in MEAN_WEIGHTS}
     weight = reduce(lambda x, y: x + y, [present[k] * w for k, w in MEAN_WEIGHTS.items()])
     total = reduce(lambda x, y: x + y, [F.coalesce(f"sim_{k}", F.lit(0.0)) * w for k, w in MEAN_WEIGHTS.items()])
@@ -372,11 +372,12 @@ def fuzzy_new(registry: DataFrame, strict: bool = True) -> DataFrame:
     ))
 
 
-def cosine_new(registry: DataFrame) -> DataFrame:
-    """Cosine of weighted, field by field spaced trigram vectors; the cheap gates come first."""
+def cosine_new(registry: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Cosine of weighted, field by field spaced trigram vectors; the cheap gates come first. ``rows`` as in ``fuzzy_new``."""
+    rows = compared(registry) if rows is None else rows
     shown = ["name", "dob", "father", "mother", "spouse", "category", "relation_type", "reference", "house", "age", "gender"]
     n = reduce(lambda x, y: x + y, [F.col(f"sim_{k}").isNotNull().cast("int") for k in shown])
-    gated = compared(registry).withColumn("n", n).where((F.col("sim_name") >= 0.85) & (F.col("n") >= 3) & _anchored() & F.coalesce(F.col("sim_dob") > 0, F.lit(True)))
+    gated = rows.withColumn("n", n).where((F.col("sim_name") >= 0.85) & (F.col("n") >= 3) & _anchored() & F.coalesce(F.col("sim_dob") > 0, F.lit(True)))
     gated = written(gated, "gated")
     view = identity_view(registry)
     fields = view.select(F.col("id").alias("key"), F.explode(F.array(*[
@@ -392,6 +393,12 @@ def cosine_new(registry: DataFrame) -> DataFrame:
     ))
 
 
+def duplicate_leads(registry: DataFrame) -> DataFrame:
+    """Flags of both comparison models, whose pairs are compared once."""
+    rows = written(compared(registry), "compared")
+    return cosine_new(registry, rows).unionByName(fuzzy_new(registry, rows=rows))
+
+
 # families ---------------------------------------------------------------------------
 
 
@@ -401,19 +408,45 @@ def first_by_epic(registry: DataFrame) -> DataFrame:
     return named.groupBy("year", "epic_no").agg(F.min_by(F.struct(*[c for c in named.columns if c not in ("year", "epic_no")]), "id").alias("r")).select("year", "epic_no", "r.*")
 
 
-def name_clusters(names: Column, threshold: float = 0.6) -> Column:
-    """Names of a sorted array that no kept name before is similar to (trigram-count cosine)."""
-    counts = lambda t: F.transform(F.array_distinct(sim.grams_of(t)), lambda g: F.struct(g.alias("g"), F.size(F.filter(sim.grams_of(t), lambda x: x == g)).alias("n")))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x["n"] * x["n"]))
+def _alike(names: DataFrame, threshold: float) -> DataFrame:
+    """(year, reference, a, b): pairs a < b of names of one reference whose trigram-count cosine reaches ``threshold``.
 
-    def cosine(a: Column, b: Column) -> Column:
-        ca, cb = counts(a), counts(b)
-        dot = F.aggregate(ca, F.lit(0.0), lambda acc, x: acc + x["n"] * F.coalesce(F.get(F.filter(cb, lambda y: y["g"] == x["g"]), 0)["n"], F.lit(0)))
-        return dot / (norm(ca) * norm(cb))
-
-    return F.aggregate(
-        names, F.array().cast("array<string>"), lambda kept, x: F.when(F.exists(kept, lambda k: cosine(x, k) >= threshold), kept).otherwise(F.array_append(kept, x))
-    )
+    Candidates share one of each other's rarer grams. The commonest grams of a name that
+    hold less than ``threshold`` of its length can't reach the threshold by themselves,
+    so the rarest gram that such a pair shares is among the others on both sides.
+    """
+    group = ["year", "reference"]
+    several = names.groupBy(*group).agg(F.count("*").alias("n")).where("n > 1").select(*group)
+    names = names.join(several, group, "left_semi")
+    grams = sim.vectors(names.select("father").distinct(), key="father", text="father")
+    held = grams.join(grams.groupBy("gram").agg(F.count("*").alias("n")), "gram")
+    square, name = F.col("weight") * F.col("weight"), Window.partitionBy("key")
+    mass = F.sum(square).over(name.orderBy(F.desc("n"), "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rarer = held.withColumns({"mass": mass, "all": F.sum(square).over(name)}).where(F.col("mass") >= F.col("all") * (threshold**2 * 0.999999))
+    rows = names.join(rarer.select(F.col("key").alias("father"), "gram"), "father")
+    a, b = (rows.withColumnRenamed("father", x) for x in "ab")
+    pairs = written(a.join(b, [*group, "gram"]).where("a < b").select(*group, "a", "b").distinct(), "name_pairs")
+    return pairs.join(sim.text_cosines(pairs).where(F.col("cosine") >= threshold).select("a", "b"), ["a", "b"]).select(*group, "a", "b")
+
+
+def name_clusters(names: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """The rows of distinct (year, reference, father) that no kept name before them in the alphabet is similar to.
+
+    Decided over the pairs of similar names in rounds: a name without a similar one before
+    it is kept, and the names after it that are similar to it go, with their pairs. No
+    array or task holds the names of a reference.
+    """
+    group = ["year", "reference"]
+    names = written(names, "names")
+    pairs, gone = written(_alike(names, threshold), "alike"), []
+    while not pairs.isEmpty():
+        later = pairs.select(*group, F.col("b").alias("a")).distinct()
+        first = pairs.select(*group, "a").distinct().join(later, [*group, "a"], "left_anti")
+        gone.append(written(pairs.join(first, [*group, "a"], "left_semi").select(*group, F.col("b").alias("father")).distinct(), "gone"))
+        for side in "ab":
+            pairs = pairs.join(gone[-1].withColumnRenamed("father", side), [*group, side], "left_anti")
+        pairs = written(pairs.select(*group, "a", "b"), "alike")
+    return names.join(reduce(DataFrame.union, gone), [*group, "father"], "left_anti") if gone else names
 
 
 def sibling_groups(registry: DataFrame) -> DataFrame:
@@ -433,13 +466,15 @@ def sibling_groups(registry: DataFrame) -> DataFrame:
 def reference_groups(registry: DataFrame) -> DataFrame:
     """Records of a year that name one reference: father names that conflict, ages that can't be a parent's."""
     view = identity_view(registry).where("reference <> ''").select("id", "year", "reference", "father", "best_age")
-    names = view.groupBy("year", "reference").agg(F.sort_array(F.collect_set(F.when(F.col("father") != "", F.col("father")))).alias("fathers"), F.count("*").alias("children"))
+    sizes = view.groupBy("year", "reference").agg(F.count("*").alias("children"))
+    kept = name_clusters(view.where("father <> ''").select("year", "reference", "father").distinct())
+    names = kept.groupBy("year", "reference").agg(F.sort_array(F.collect_list("father")).alias("father_names"))
     parents = first_by_epic(registry).select("year", F.col("epic_no").alias("reference"), F.col("id").alias("parent"), dt.best_age(F.col("verified_age"), F.col("age")).alias("parent_age"))
     gap = F.col("parent_age") - F.col("best_age")
     ages = view.join(parents, ["year", "reference"]).where("id <> parent").groupBy("year", "reference").agg(F.count_if(gap < 15).alias("under_15"), F.count_if(gap > 50).alias("over_50"))
-    return names.withColumn("father_names", F.when(F.size("fathers") >= 2, name_clusters(F.col("fathers"))).otherwise(F.col("fathers"))).drop("fathers").join(
-        ages, ["year", "reference"], "left"
-    ).fillna(0, ["under_15", "over_50"])
+    return sizes.join(names, ["year", "reference"], "left").join(ages, ["year", "reference"], "left").fillna(0, ["under_15", "over_50"]).withColumn(
+        "father_names", F.coalesce("father_names", F.array().cast("array<string>"))
+    )
 
 
 def family_logic(registry: DataFrame) -> DataFrame:
@@ -467,7 +502,11 @@ RULES = {
 
 def run_rules(registry: DataFrame, selected: list[str] | None = None, photos: DataFrame | None = None) -> DataFrame:
     """All flags of the selected rules (all by default); unknown names are skipped, photo_reuse needs ``photos``."""
-    found = [f(registry) for name, f in RULES.items() if selected is None or name in selected]
+    chosen = [name for name in RULES if selected is None or name in selected]
+    both = {"fuzzy_new", "cosine_new"} <= set(chosen)
+    found = [RULES[name](registry) for name in chosen if not (both and name in ("fuzzy_new", "cosine_new"))]
+    if both:
+        found.append(duplicate_leads(registry))
     if photos is not None and (selected is None or "photo_reuse" in selected):
         found.append(photo_reuse(registry, photos))
     return reduce(DataFrame.unionByName, found)

@@ -18,6 +18,7 @@ from rollkin.operators import combined, enrichment, explore, extraction, flags,
 from rollkin.plans import expected_sql as ref
 from rollkin.plans import rendered
 from rollkin.sources import registry as rg
+from rollkin.sources.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -165,11 +166,10 @@ def s13_overload_members(spark, sf_dir):
     return flags.overload_members(flag_tables(registry)[0], registry).select("flag_id", "year", "constituency_no", "house_norm", "id", "name")
 
 
-def _report(spark, sf_dir):
-    """The combined report with the identity rules' pairs as duplicate leads."""
+def _report(spark, sf_dir, constituency: str | None = None):
+    """The register and its combined report, with both comparison models' pairs as duplicate leads."""
     registry = register(spark, sf_dir)
-    leads = rules.dup_identity(registry).withColumn("rule", F.lit("cosine_new")).unionByName(rules.cross_part_dup(registry).withColumn("rule", F.lit("fuzzy_new")))
-    return registry, combined.report(registry, leads)
+    return registry, combined.report(registry, written(rules.duplicate_leads(registry), "leads"), constituency)
 
 
 @query("SELECT id, row_number() OVER (ORDER BY tier, best_dup DESC, n_dups DESC, logical_rank DESC, n_logical DESC, id) AS rank, ((row_number() OVER (ORDER BY tier, best_dup DESC, n_dups DESC, logical_rank DESC, n_logical DESC, id) - 1) // 50 + 1)::INT AS part FROM rep", ref.report_ctes())
@@ -480,7 +480,7 @@ def c01_findings(spark, sf_dir):
 
 @query("SELECT v.id, count(*) - 1 AS others FROM view v JOIN (SELECT year, reference FROM prog WHERE progeny >= 6) g USING (year, reference) JOIN view o USING (year, reference) GROUP BY v.id", ref.findings_ctes())
 def c02_siblings(spark, sf_dir):
-    return combined.siblings(register(spark, sf_dir)).select("id", F.size("siblings").cast("long").alias("others"))
+    return combined.siblings(register(spark, sf_dir)).select("id", "others")
 
 
 @query("SELECT id, tier, severity, round(best_dup, 3) AS best_dup, n_dups, n_logical, no_mapping, summary FROM rep", ref.report_ctes())
@@ -490,9 +490,7 @@ def c07_combined_report(spark, sf_dir):
 
 @query("SELECT id, tier FROM rep WHERE constituency = 'S1'", ref.report_ctes())
 def c07_one_constituency(spark, sf_dir):
-    registry, _ = _report(spark, sf_dir)
-    leads = rules.dup_identity(registry).withColumn("rule", F.lit("cosine_new")).unionByName(rules.cross_part_dup(registry).withColumn("rule", F.lit("fuzzy_new")))
-    return combined.report(registry, leads, "S1").select("id", "tier")
+    return _report(spark, sf_dir, "S1")[1].select("id", "tier")
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (tier = 0) AS tier_dup, count(*) FILTER (tier = 1) AS tier_logical, count(*) FILTER (tier = 2) AS tier_nomap, count(*) FILTER (n_cosine > 0) AS with_cosine, count(*) FILTER (n_fuzzy > 0) AS with_fuzzy, "
@@ -683,8 +681,7 @@ def p20_dossier_fields(spark, sf_dir):
 @query("SELECT l.id, CASE l.rule WHEN 'cosine_new' THEN 'cosine' ELSE 'fuzzy' END AS model, l.partner, l.score, v.shown_name AS partner_name FROM leads l JOIN view v ON v.id = l.partner", ref.report_ctes())
 def c03_duplicate_map(spark, sf_dir):
     registry = register(spark, sf_dir)
-    leads = rules.dup_identity(registry).withColumn("rule", F.lit("cosine_new")).unionByName(rules.cross_part_dup(registry).withColumn("rule", F.lit("fuzzy_new")))
-    return combined.duplicate_map(leads, registry).select("id", "model", "partner", "score", "partner_name")
+    return combined.duplicate_map(rules.duplicate_leads(registry), registry).select("id", "model", "partner", "score", "partner_name")
 
 
 @query("SELECT id, rule FROM flags WHERE voter_id IN (SELECT id FROM reg WHERE epic_no = 'ABC0000080') OR related_voter_id IN (SELECT id FROM reg WHERE epic_no = 'ABC0000080')", ref.FLAGS)

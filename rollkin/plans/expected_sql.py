@@ -254,17 +254,11 @@ finds AS (SELECT id, 'progeny_overload' AS "check", CASE WHEN progeny >= 10 THEN
   UNION ALL SELECT id, 'grandparent_age_le_40', 'high', eg FROM ctx2 WHERE eg <= 40 UNION ALL SELECT id, 'age_dob_gap', CASE WHEN dg > 10 THEN 'high' ELSE 'medium' END, dg FROM ctx2 WHERE dg > 5)"""
 
 
-#: The combined report over the identity rules, whose pairs stand for the duplicate models' here.
-LEAD_FLAGS = (
-    "SELECT CASE WHEN rule = 'dup_identity' THEN 'cosine_new' ELSE 'fuzzy_new' END AS rule, severity, score, voter_id, related_voter_id FROM ("
-    + RULES["dup_identity"] + " UNION ALL " + RULES["cross_part_dup"] + ")"
-)
-
-
 def report_ctes() -> str:
     rank = lambda c: f"CASE {c} WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
     return f"""{findings_ctes()},
-leads AS (SELECT rule, severity, round_even(score::DOUBLE, 3) AS score, voter_id AS id, related_voter_id AS partner FROM ({LEAD_FLAGS}) UNION ALL SELECT rule, severity, round_even(score::DOUBLE, 3), related_voter_id, voter_id FROM ({LEAD_FLAGS})),
+lead_flags AS MATERIALIZED (SELECT * FROM ({cosine_new_sql()}) UNION ALL SELECT * FROM ({fuzzy_new_sql()})),
+leads AS (SELECT rule, severity, score, voter_id AS id, related_voter_id AS partner FROM lead_flags UNION ALL SELECT rule, severity, score, related_voter_id, voter_id FROM lead_flags),
 lg AS (SELECT id, count(*) AS n_logical, max({rank('severity')}) AS lr, string_agg(DISTINCT "check", ', ' ORDER BY "check") AS checks FROM finds GROUP BY id),
 dl AS (SELECT id, count(*) FILTER (rule = 'cosine_new') AS n_cosine, count(*) FILTER (rule = 'fuzzy_new') AS n_fuzzy, max(score) AS best_dup, max({rank('severity')}) AS dr FROM leads GROUP BY id),
 rep0 AS (SELECT v.id, v.year, v.epic_no, {seat_sql('v.constituency_no')} AS constituency, v.part_no, v.shown_name AS name, coalesce(lower(trim(v.category_type)) = 'na', false) AS no_mapping, coalesce(n_logical, 0) AS n_logical, coalesce(lr, 0) AS logical_rank,

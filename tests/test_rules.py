@@ -1,5 +1,7 @@
 """Rules at their thresholds, on micro registers."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +136,34 @@ def test_father_name_clusters(register):
     assert rules.reference_groups(rows).first()["father_names"] == ["RAM KUMAR", "SHYAM LAL"]
 
 
+def test_father_name_clusters_equal_a_plain_fold(spark):
+    """Each name in the order of the alphabet is kept unless a kept one is similar; chains and a hot reference included."""
+    parts = ["RAM", "KUMAR", "SHYAM", "LAL", "RAMA", "KUMARI", "DEV", "DEVI"]
+    names = sorted({f"{a} {b}" for a in parts for b in parts} | {"A", "AB", "ABC", "ABCD", "ABCDE", "ABCDEF", "ABCDEFG", "AAAA", "AAAAAA"})
+    rows = [(2024, "hot", n) for n in names] + [(2024, f"R{i % 9}", n) for i, n in enumerate(names)] + [(2025, "one", "RAM")]
+
+    def cosine(a, b):
+        x, y = (Counter(f"  {t} "[i : i + 3] for i in range(len(t) + 1)) for t in (a, b))
+        norm = lambda v: sum(n * n for n in v.values()) ** 0.5
+        return sum(x[g] * y[g] for g in x) / (norm(x) * norm(y))
+
+    want = {}
+    for year, reference, n in sorted(rows):
+        kept = want.setdefault((year, reference), [])
+        if all(cosine(n, k) < 0.6 for k in kept):
+            kept.append(n)
+    got = rules.name_clusters(spark.createDataFrame(rows, "year int, reference string, father string")).collect()
+    assert sorted(map(tuple, got)) == sorted((*k, n) for k, v in want.items() for n in v)
+    assert rules.name_clusters(spark.createDataFrame([], "year int, reference string, father string")).count() == 0
+
+
+def test_siblings_of_shown_persons(register):
+    rows = register(*[{"relation_epic": "R", "epic_no": f"ABC000000{i}", "name": f"N{i}"} for i in range(6)], {"relation_epic": "S", "epic_no": "ABC0000010"})
+    assert {(r["id"], r["others"]) for r in combined.siblings(rows).collect()} == {(i, 5) for i in range(1, 7)}
+    shown = combined.siblings_of(rows, rows.where("id IN (2, 7)").select("id")).collect()
+    assert {(r["id"], r["sibling"]) for r in shown} == {(2, i) for i in (1, 3, 4, 5, 6)} and shown[0]["entry"].endswith(")")
+
+
 @pytest.mark.parametrize(("gap", "checks"), [(5, set()), (6, {("age_dob_gap", "medium")}), (10, {("age_dob_gap", "medium")}), (11, {("age_dob_gap", "high")})])
 def test_age_against_birth_date(register, gap, checks):
     rows = register({"verified_dob": "1983-06-06", "age": 40 + gap})  # 40 on 1 January 2024
