@@ -313,12 +313,12 @@ def j23_flags_touching(spark, sf_dir):
     return flags.touching(flag_tables(registry)[0], registry.where("id % 50 = 1").select(F.col("id").alias("voter_id"))).select("id")
 
 
-@query("SELECT id, name, part_no FROM reg WHERE constituency_no = 'S2' AND house_norm = 'A1' AND year = 2024")
+@query("SELECT id, name, part_no FROM reg WHERE constituency_no = 'S4' AND house_norm = 'A1' AND year = 2024")
 def j21_house_members(spark, sf_dir):
-    return flags.house_members(register(spark, sf_dir), "S2", "A1", 2024).select("id", "name", "part_no")
+    return flags.house_members(register(spark, sf_dir), "S4", "A1", 2024).select("id", "name", "part_no")
 
 
-for _block, _f in (("dob", rules.same_birth_date), ("mobile", rules.same_mobile), ("reference", rules.same_reference), ("sound", rules.same_sound)):
+for _block, _f in (("national_id", rules.same_national_id), ("dob", rules.same_birth_date), ("mobile", rules.same_mobile), ("reference", rules.same_reference), ("sound", rules.same_sound)):
     _QUERIES[f"j_block_{_block}"] = lambda spark, sf_dir, f=_f: f(register(spark, sf_dir))
     _SQL[f"j_block_{_block}"] = f"WITH {ref.BASE} {ref.BLOCKS[_block]}"
 
@@ -605,7 +605,7 @@ def _payloads(registry: DataFrame) -> DataFrame:
     return one.select("epic_no", "constituency_no", F.to_json(F.struct(F.concat(F.lit("V"), F.col("id")).alias("epicName"), F.lit(" ").alias("mothersName"), F.lit("41").alias("erollAge"), F.lit("9").alias("districtCd"), F.lit("5550001").alias("mobileNo"))).alias("payload"))
 
 
-_APPLIED = "SELECT reg.id, CASE WHEN k.m IS NOT NULL THEN 'V' || k.m ELSE verified_name END AS verified_name, CASE WHEN k.m IS NOT NULL THEN 41 END AS verified_age, CASE WHEN k.m IS NULL THEN mother_name END AS mother_name, CASE WHEN k.m IS NOT NULL THEN '9' END AS district_cd, CASE WHEN k.m IS NOT NULL THEN '5550001' ELSE mobile_no END AS mobile_no, CASE WHEN k.m IS NULL THEN verified_dob END AS verified_dob, CASE WHEN k.m IS NOT NULL THEN 'Found' ELSE lookup_status END AS lookup_status FROM reg LEFT JOIN (SELECT epic_no, min(id) AS m FROM reg WHERE epic_no <> '' AND id % 7 = 0 GROUP BY epic_no) k USING (epic_no)"
+_APPLIED = "SELECT reg.id, CASE WHEN k.m IS NOT NULL THEN 'V' || k.m ELSE verified_name END AS verified_name, CASE WHEN k.m IS NOT NULL THEN 41 ELSE verified_age END AS verified_age, CASE WHEN k.m IS NULL THEN mother_name END AS mother_name, CASE WHEN k.m IS NOT NULL THEN '9' END AS district_cd, CASE WHEN k.m IS NOT NULL THEN '5550001' ELSE mobile_no END AS mobile_no, CASE WHEN k.m IS NULL THEN verified_dob END AS verified_dob, CASE WHEN k.m IS NOT NULL THEN 'Found' ELSE lookup_status END AS lookup_status FROM reg LEFT JOIN (SELECT epic_no, min(id) AS m FROM reg WHERE epic_no <> '' AND id % 7 = 0 GROUP BY epic_no) k USING (epic_no)"
 
 
 @query(_APPLIED)

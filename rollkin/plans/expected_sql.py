@@ -30,7 +30,7 @@ def seat_sql(x: str = "constituency_no") -> str:
 
 
 BASE = f"""p AS ({rg.parts_as_base()}),
-reg0 AS (SELECT {', '.join(rg._cast(c, e) for c, e in rg.DERIVED.items())}, NULL::VARCHAR AS spouse_name, NULL::INT AS verified_age, NULL::VARCHAR AS national_id_hash FROM p),
+reg0 AS (SELECT {', '.join(rg._cast(c, e) for c, e in rg.DERIVED.items())} FROM p),
 reg1 AS (SELECT *, {name_sql('name')} AS name_norm, {name_sql('relation_name')} AS relation_name_norm, {house_sql('house_number')} AS house_norm FROM reg0),
 keys AS (SELECT name_norm, {phonetic_sql('name_norm')} AS name_phonetic FROM (SELECT DISTINCT name_norm FROM reg1)),
 reg AS (SELECT reg1.*, keys.name_phonetic FROM reg1 JOIN keys USING (name_norm))"""
@@ -83,7 +83,7 @@ RULES = {
 }
 
 #: The flag and review tables that adjudication queries run on.
-NUMBERS = {"dup_epic": 1, "dup_identity": 2, "cross_part_dup": 3, "photo_reuse": 4, "house_overload": 5, "age_outlier": 6, "epic_malformed": 7}
+NUMBERS = {"dup_epic": 1, "dup_identity": 2, "cross_part_dup": 3, "photo_reuse": 4, "house_overload": 5, "age_outlier": 6, "epic_malformed": 7, "phonetic_dup": 8}
 _NUMBER = "CASE rule " + " ".join(f"WHEN '{r}' THEN {n}" for r, n in NUMBERS.items()) + " END"
 FLAG_ID = f"(voter_id * 1000000 + coalesce(related_voter_id, 0)) * 10 + {_NUMBER}"
 REVIEW_COLUMNS = [
@@ -100,6 +100,7 @@ latest AS (SELECT flag_id, arg_max(verdict, (reviewed_at, review_key)) AS verdic
 _OTHER = "a.epic_no IS DISTINCT FROM b.epic_no"
 MOBILES = "SELECT year, mobile_no, count(DISTINCT epic_no) AS n FROM reg WHERE coalesce(mobile_no, '') <> '' GROUP BY year, mobile_no"
 BLOCKS = {
+    "national_id": f"SELECT a.id AS a, b.id AS b {pairs_sql(f'''a.national_id_hash = b.national_id_hash AND a.national_id_hash <> '' AND {_OTHER}''')}",
     "dob": f"SELECT a.id AS a, b.id AS b {pairs_sql(f'''a.verified_dob = b.verified_dob AND a.verified_dob NOT LIKE '%-01-01' AND {_OTHER}''')}",
     "mobile": f"SELECT a.id AS a, b.id AS b {pairs_sql(f'a.mobile_no = b.mobile_no AND {_OTHER}')} WHERE NOT EXISTS (SELECT 1 FROM ({MOBILES}) m WHERE m.n > 4 AND m.year = a.year AND m.mobile_no = a.mobile_no)",
     "reference": f"SELECT a.id AS a, b.id AS b {pairs_sql(f'''a.relation_epic = b.relation_epic AND a.relation_epic <> '' AND {_OTHER}''')}",
@@ -138,6 +139,7 @@ def evidence_sql() -> str:
         f"WHEN a.best_age = b.best_age THEN {w['age_exact']} WHEN abs(a.best_age - b.best_age) <= 2 THEN {w['age_close']} WHEN abs(a.best_age - b.best_age) >= 8 THEN {w['age_far']} ELSE 0 END"
     )
     rest = [
+        f"CASE WHEN {same('national_id_hash')} THEN {w['national_id']} WHEN {differ('national_id_hash')} THEN {w['national_id_conflict']} ELSE 0 END",
         f"CASE WHEN {same('mobile_no')} THEN CASE WHEN coalesce(m.n, 1) > 4 THEN {w['mobile_shared']} ELSE {w['mobile']} END ELSE 0 END",
         f"CASE WHEN {same('reference')} THEN {w['relation_epic']} WHEN {differ('reference')} THEN {w['relation_conflict']} ELSE 0 END",
         *[f"CASE WHEN {same(x)} THEN 0.6 ELSE 0 END" for x in ("father", "mother", "spouse")],
@@ -145,7 +147,7 @@ def evidence_sql() -> str:
         f"CASE WHEN {same('sex')} THEN {w['gender_same']} WHEN {differ('sex')} THEN {w['gender_diff']} ELSE 0 END",
     ]
     names = "SELECT DISTINCT x.name_key AS a, y.name_key AS b FROM cand JOIN view x ON x.id = cand.a JOIN view y ON y.id = cand.b WHERE x.name_key <> y.name_key AND x.name_key <> '' AND y.name_key <> ''"
-    return f"""WITH {BASE}, {VIEW}, cand AS ({' UNION '.join(BLOCKS[k] for k in ('dob', 'mobile', 'reference', 'sound'))}), nm AS ({names}),
+    return f"""WITH {BASE}, {VIEW}, cand AS ({' UNION '.join(BLOCKS[k] for k in ('national_id', 'dob', 'mobile', 'reference', 'sound'))}), nm AS ({names}),
 {cosine_cte('c', 'SELECT DISTINCT name_key AS key, name_key AS text, 1.0::DOUBLE AS w FROM view', 'SELECT * FROM nm')},
 scored AS (SELECT a.id AS voter_id, b.id AS related_voter_id, round({name} + {born} + {' + '.join(rest)}, 6)::DOUBLE AS points FROM cand JOIN view a ON a.id = cand.a JOIN view b ON b.id = cand.b
   JOIN sound sa ON sa.name_key = a.name_key JOIN sound sb ON sb.name_key = b.name_key LEFT JOIN c ON c.a = a.name_key AND c.b = b.name_key

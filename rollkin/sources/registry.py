@@ -37,16 +37,19 @@ DERIVED = {
     "verified_dob": "CASE WHEN k % 6 = 5 THEN NULL WHEN k % 5 = 0 THEN concat(cast(2009 - s AS string), '-01-01') "
     "ELSE concat(cast(2009 - s AS string), '-', lpad(cast(1 + s % 12 AS string), 2, '0'), '-', lpad(cast(2 + b % 27 AS string), 2, '0')) END",
     "mobile_no": "CASE WHEN k % 10 = 0 THEN '9000000000' WHEN k % 4 = 1 THEN concat('9', lpad(cast(k - k % 12 AS string), 9, '0')) END",
-    "relation_epic": "CASE WHEN k % 3 = 1 THEN concat('ABC', lpad(cast(k - k % 14 + 1 AS string), 7, '0')) END",
+    "relation_epic": "CASE WHEN k % 3 = 1 THEN concat('ABC', lpad(cast(CASE WHEN k % 240 < 60 THEN k - k % 60 + 1 ELSE k - k % 14 + 1 END AS string), 7, '0')) END",
     "relation_type_code": "CASE WHEN k % 3 = 1 THEN CASE WHEN k % 2 = 0 THEN 'FTHR' ELSE 'GMTH' END END",
     "category_type": "CASE WHEN k % 9 = 0 THEN 'na' WHEN k % 3 = 1 THEN 'progeny' ELSE 'self' END",
     "father_or_guardian_name": "CASE WHEN k % 2 = 0 THEN concat(t, ' ', chr(65 + b % 4)) END",
     "mother_name": "CASE WHEN k % 2 = 0 THEN concat('MOTHER ', chr(65 + s % 6)) END",
+    "spouse_name": "CASE WHEN k % 4 = 1 THEN concat('SPOUSE ', chr(65 + s % 5)) END",
+    "verified_age": "CASE WHEN k % 6 = 1 THEN s + 14 + k % 4 END",
+    "national_id_hash": "CASE WHEN k % 8 = 3 THEN concat('h', cast(k - k % 16 AS string)) END",
     "lookup_status": "CASE k % 5 WHEN 0 THEN 'Found' WHEN 1 THEN 'Not found' WHEN 2 THEN 'Error' END",
     "phash": "(k - k % 19) * 31 + s",
 }
 BIGINT = ("id", "phash")
-INTEGER = ("serial_no", "year", "age")
+INTEGER = ("serial_no", "year", "age", "verified_age")
 
 
 def parts_as_base(sql_from: str = "part") -> str:
@@ -70,9 +73,7 @@ def derived_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # one input file is one partition: spread the rows before any pair work
     rows = with_derived_columns(part.selectExpr(*[_cast(c, e) for c, e in DERIVED.items()]).repartition("id"))
-    return written(rows.withColumns(
-        {"spouse_name": F.lit(None).cast("string"), "verified_age": F.lit(None).cast("int"), "national_id_hash": F.lit(None).cast("string")}
-    ), "register")
+    return written(rows, "register")
 
 
 def with_derived_columns(registry: DataFrame) -> DataFrame:
