@@ -22,6 +22,12 @@ def age_on_new_year(dob: Column, year: Column) -> Column:
     return year - F.year(dob) - 1
 
 
+def age_on(dob: Column, day: Column) -> Column:
+    """Whole years on ``day``: a birthday later in the year isn't reached yet."""
+    before = F.date_format(day, "MMdd") < F.date_format(dob, "MMdd")
+    return F.year(day) - F.year(dob) - before.cast("int")
+
+
 def best_age(verified: Column, roll: Column) -> Column:
     return F.coalesce(verified, roll)
 

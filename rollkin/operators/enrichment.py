@@ -60,6 +60,12 @@ def run_stats(states: DataFrame, registry: DataFrame) -> DataFrame:
     return states.join(registry.select("epic_no", "id"), "epic_no").groupBy("state").agg(F.count_distinct("epic_no").alias("ids"), F.count("id").alias("rows"))
 
 
+def stats_by_seat(states: DataFrame, registry: DataFrame) -> DataFrame:
+    """As ``run_stats``, for each seat of the register rows."""
+    rows = registry.select("epic_no", "id", tx.seat_key(F.col("constituency_no")).alias("constituency"))
+    return states.join(rows, "epic_no").groupBy("constituency", "state").agg(F.count_distinct("epic_no").alias("ids"), F.count("id").alias("rows"))
+
+
 def progress(registry: DataFrame) -> DataFrame:
     """Per seat: distinct IDs, looked up, still to do."""
     rows = registry.where(F.trim("epic_no") != "")

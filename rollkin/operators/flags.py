@@ -155,6 +155,25 @@ def top_constituencies(flags: DataFrame, registry: DataFrame, n: int = 12) -> Da
     return flags.join(seats, "voter_id").groupBy("constituency").agg(F.count("*").alias("flags")).orderBy(F.desc("flags"), "constituency").limit(n)
 
 
+def seat_reports(flags: DataFrame, registry: DataFrame, rule: str | None = None, year: int | None = None) -> DataFrame:
+    """The flags with their voter's seat and ``report``, the seat's place by number of flags: 1 is the largest, ties by name.
+
+    Only the seats' totals, a row each, are ordered in one place.
+    """
+    people = registry if year is None else registry.where(F.col("year") == year)
+    seats = people.select(F.col("id").alias("voter_id"), tx.seat_key(F.col("constituency_no")).alias("constituency"))
+    rows = (flags if rule is None else flags.where(F.col("rule") == rule)).join(seats, "voter_id")
+    totals = rows.groupBy("constituency").agg(F.count("*").alias("n_flags"))
+    places = totals.withColumn("report", F.row_number().over(Window.orderBy(F.desc("n_flags"), "constituency")))
+    return rows.join(places, "constituency")
+
+
+def write_seat_reports(reports: DataFrame, path: str) -> None:
+    """One folder per seat, named by place and seat, so that a listing shows the largest first."""
+    name = F.concat(F.lpad(F.col("report").cast("string"), 5, "0"), F.lit("_"), tx.file_stem(F.col("constituency")))
+    reports.withColumn("seat", name).write.partitionBy("seat").mode("overwrite").parquet(path)
+
+
 def touching(flags: DataFrame, ids: DataFrame) -> DataFrame:
     """Flags with one of ``ids`` (voter_id) on either side, each once: two semi-joins instead of an OR-join."""
     first = flags.join(ids, "voter_id", "left_semi")

@@ -271,6 +271,16 @@ def evidence(registry: DataFrame) -> DataFrame:
     return rows.withColumn("signals", signals).withColumn("points", F.round(total, 6))
 
 
+def points_score(points: Column) -> Column:
+    """Points as a score from 0 to 1."""
+    return F.least(F.lit(1.0), points / 8)
+
+
+def points_confidence(points: Column) -> Column:
+    """Half at the threshold; the odds double with each point."""
+    return F.bround(1 / (1 + F.pow(F.lit(2.0), -(points - EVIDENCE_THRESHOLD))), 3)
+
+
 def evidence_reason(signals: Column) -> Column:
     """What speaks for and against, the strongest first."""
     order = F.array(*[F.lit(k) for k in POINTS])
@@ -285,9 +295,8 @@ def evidence_reason(signals: Column) -> Column:
 def new_model_1(registry: DataFrame) -> DataFrame:
     found = evidence(registry).where(F.col("points") >= EVIDENCE_THRESHOLD)
     severity = F.when(F.col("points") >= EVIDENCE_HIGH, "high").otherwise("medium")
-    confidence = F.bround(1 / (1 + F.pow(F.lit(2.0), -(F.col("points") - EVIDENCE_THRESHOLD))), 3)
     return found.select(*_flag(
-        "new_model_1", severity, F.bround(F.least(F.lit(1.0), F.col("points") / 8), 3), "a", "b", points=F.round("points", 2), confidence=confidence,
+        "new_model_1", severity, F.bround(points_score(F.col("points")), 3), "a", "b", points=F.round("points", 2), confidence=points_confidence(F.col("points")),
         name_a=F.col("shown_name_a"), name_b=F.col("shown_name_b"), epic_a=F.col("epic_no_a"), epic_b=F.col("epic_no_b"), signals=F.col("signals"),
         reason=evidence_reason(F.col("signals")),
     ))

@@ -177,6 +177,12 @@ def s15_report_parts(spark, sf_dir):
     return combined.ranked(_report(spark, sf_dir)[1]).select("id", "rank", "part")
 
 
+@query(f"SELECT f.id, c.constituency, c.n_flags, c.report FROM flags f JOIN reg v ON v.id = f.voter_id JOIN (SELECT *, row_number() OVER (ORDER BY n_flags DESC, constituency)::INT AS report FROM (SELECT {ref.seat_sql('v.constituency_no')} AS constituency, count(*) AS n_flags FROM flags f JOIN reg v ON v.id = f.voter_id GROUP BY 1)) c ON c.constituency = {ref.seat_sql('v.constituency_no')}", ref.FLAGS)
+def s14_flags_by_seat(spark, sf_dir):
+    registry = register(spark, sf_dir)
+    return flags.seat_reports(flag_tables(registry)[0], registry).select("id", "constituency", "n_flags", "report")
+
+
 @query("SELECT id AS voter_id, phash FROM reg WHERE id IN (SELECT voter_id FROM flags WHERE rule = 'age_outlier')", ref.FLAGS)
 def s17_photos_of_set(spark, sf_dir):
     registry = register(spark, sf_dir)
@@ -457,10 +463,16 @@ def f13_birth_dates(spark, sf_dir):
     return register(spark, sf_dir).select("id", born.cast("string").alias("born"), dt.age_on_new_year(born, F.col("year")).alias("age_then"))
 
 
+@query("SELECT id, date_sub('year', try_cast(verified_dob AS DATE), DATE '2025-07-01')::INT AS age_then FROM reg WHERE verified_dob NOT LIKE '%-01-01'")
+def f14_age_on_a_day(spark, sf_dir):
+    born = dt.real_dob(F.col("verified_dob"))
+    return register(spark, sf_dir).where(born.isNotNull()).select("id", dt.age_on(born, F.lit("2025-07-01").cast("date")).alias("age_then"))
+
+
 @query("SELECT id, least(1.0, (age % 13) / 8.0)::DOUBLE AS score, round_even(1 / (1 + pow(2.0, -((age % 13) - 4.0))), 3) AS confidence FROM reg WHERE age IS NOT NULL")
 def f16_points_to_score(spark, sf_dir):
     points = F.col("age") % 13
-    return register(spark, sf_dir).where("age IS NOT NULL").select("id", F.least(F.lit(1.0), points / 8.0).alias("score"), F.bround(1 / (1 + F.pow(F.lit(2.0), -(points - 4.0))), 3).alias("confidence"))
+    return register(spark, sf_dir).where("age IS NOT NULL").select("id", rules.points_score(points).alias("score"), rules.points_confidence(points).alias("confidence"))
 
 
 @query("SELECT id, a.house_norm AS house, count(*) AS n FROM flags f JOIN reg a ON false GROUP BY ALL UNION ALL SELECT f.id, v.house_norm, (SELECT count(*) FROM reg m WHERE m.year = v.year AND m.constituency_no = v.constituency_no AND m.house_norm = v.house_norm) FROM flags f JOIN reg v ON v.id = f.voter_id WHERE rule = 'house_overload'".replace("SELECT id, a.house_norm AS house, count(*) AS n FROM flags f JOIN reg a ON false GROUP BY ALL UNION ALL SELECT f.id, v.house_norm, (", "SELECT f.id, v.house_norm AS house, (").replace("v.house_norm) FROM flags", "v.house_norm) AS n FROM flags"), ref.FLAGS)
@@ -572,6 +584,12 @@ def x01_headers(spark, sf_dir):
     return extraction.headers(rendered.pages(spark, sf_dir))
 
 
+@query("SELECT doc_id, CAST(serial AS VARCHAR) AS serial_no, epic_no, '7' AS constituency_no, 'EXAMPLETON' AS constituency_name, (SELECT min(part_no) FROM recs r WHERE r.doc_id = recs.doc_id) AS part_no FROM recs", rendered.SQL)
+def x13_rows_with_headers(spark, sf_dir):
+    pages = rendered.pages(spark, sf_dir)
+    return extraction.with_headers(extraction.extract(pages), pages).select("doc_id", "serial_no", "epic_no", "constituency_no", "constituency_name", "part_no")
+
+
 @query("SELECT doc_id, page_index, bool_and(gender <> '') AS ok, count(*) FILTER (gender <> '')::DOUBLE AS score FROM recs GROUP BY doc_id, page_index", rendered.SQL)
 def x08_page_quality(spark, sf_dir):
     return extraction.page_quality(rendered.pages(spark, sf_dir))
@@ -618,12 +636,24 @@ def e02_apply_verified(spark, sf_dir):
 _CODES = "SELECT epic_no, min(id) AS id, CASE min(id) % 4 WHEN 0 THEN 'Found' WHEN 1 THEN 'Not found' WHEN 2 THEN 'Token expired' ELSE 'Error' END AS state FROM reg WHERE epic_no <> '' GROUP BY epic_no"
 
 
-@query(f"SELECT state, count(DISTINCT epic_no) AS ids, count(*) AS rows FROM ({_CODES}) s JOIN reg USING (epic_no) GROUP BY state")
-def e03_run_stats(spark, sf_dir):
+def _looked_up(spark, sf_dir):
+    """The register and the states of a look-up of all its IDs."""
     registry = register(spark, sf_dir)
     batch = registry.where("epic_no <> ''").groupBy("epic_no").agg(F.min("id").alias("id"))
     code = F.when(F.col("id") % 4 == 0, 200).when(F.col("id") % 4 == 1, 404).when(F.col("id") % 4 == 2, 401)
-    return enrichment.run_stats(enrichment.lookup_states(batch, batch.select("epic_no", code.alias("code")).where("code IS NOT NULL")), registry)
+    return registry, enrichment.lookup_states(batch, batch.select("epic_no", code.alias("code")).where("code IS NOT NULL"))
+
+
+@query(f"SELECT state, count(DISTINCT epic_no) AS ids, count(*) AS rows FROM ({_CODES}) s JOIN reg USING (epic_no) GROUP BY state")
+def e03_run_stats(spark, sf_dir):
+    registry, states = _looked_up(spark, sf_dir)
+    return enrichment.run_stats(states, registry)
+
+
+@query(f"SELECT {ref.seat_sql()} AS constituency, state, count(DISTINCT epic_no) AS ids, count(*) AS rows FROM ({_CODES}) s JOIN (SELECT epic_no, constituency_no FROM reg) r USING (epic_no) GROUP BY ALL")
+def a24_stats_by_seat(spark, sf_dir):
+    registry, states = _looked_up(spark, sf_dir)
+    return enrichment.stats_by_seat(states, registry)
 
 
 @query(f"SELECT {ref.seat_sql()} AS constituency, count(DISTINCT epic_no) AS ids, count(DISTINCT epic_no) FILTER (lookup_status = 'Found') AS done, count(DISTINCT epic_no) FILTER (lookup_status IS DISTINCT FROM 'Found') AS pending FROM reg WHERE trim(epic_no) <> '' GROUP BY 1")
