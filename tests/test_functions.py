@@ -100,3 +100,9 @@ def test_set_similarity_and_status(spark):
     assert one(spark, sim.set_similarity(a, b), a="", b="") == 0.0
     words = [one(spark, sim.status(F.col("v").cast("double")), v=v) for v in ("1.0", "0.9", "0.7", "0.1", "0.0", None)]
     assert words == ["exact", "strong", "partial", "weak", "differ", "—"]
+
+
+@pytest.mark.parametrize(("born", "day", "age"), [("2000-02-29", "2025-02-28", 24), ("2000-02-29", "2025-03-01", 25), ("2000-07-01", "2025-07-01", 25), ("2000-07-02", "2025-07-01", 24), ("2025-07-01", "2025-07-01", 0), (None, "2025-07-01", None)])
+def test_age_on_a_day(spark, born, day, age):
+    row = spark.createDataFrame([(born, day)], "born string, day string").select(dt.age_on(F.col("born").cast("date"), F.col("day").cast("date")).alias("age"))
+    assert row.first()["age"] == age

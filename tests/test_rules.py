@@ -221,3 +221,14 @@ def test_upsert_replaces_whole_rows_and_null_serials(register):
     new = register({"serial_no": None, "name": "NEW"})
     assert sorted((r["name"], r["name_norm"]) for r in rg.upsert(old, new).collect()) == [("NEW", "NEW"), ("STAYS", "STAYS")]
     assert rg.upsert(rg.upsert(old, new), new).count() == 2
+
+
+def test_seat_reports_come_largest_first(register, tmp_path):
+    rows = register(*[{"constituency_no": s, "age": a} for s, a in (("S9", 110), ("S1", 110), ("S1", 17), (None, 110), ("S2", 30))])
+    found = rules.age_outlier(rows).withColumn("id", F.col("voter_id"))
+    got = flags.seat_reports(found, rows)
+    assert {(r["id"], r["constituency"], r["n_flags"], r["report"]) for r in got.collect()} == {(4, "(unknown)", 1, 2), (1, "S9", 1, 3), (2, "S1", 2, 1), (3, "S1", 2, 1)}
+    flags.write_seat_reports(got, f"{tmp_path}/reports")
+    folders = sorted(p.name for p in (tmp_path / "reports").iterdir() if p.is_dir())
+    assert [f[:11] for f in folders] == ["seat=00001_", "seat=00002_", "seat=00003_"] and folders[0].endswith("S1")
+    assert flags.seat_reports(found, rows, rule="dup_epic").count() == 0 and flags.seat_reports(found, rows, year=2025).count() == 0
