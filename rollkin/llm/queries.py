@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollkin.llm import compression_bands, jaccard_join, kd_shards, line_spread, lm_scores, merkle_manifest, sentence_pieces, source_mix, telephony, token_counts, url_filter
+from rollkin.llm import compression_bands, jaccard_join, kd_shards, line_spread, lm_scores, merkle_manifest, sentence_pieces, source_mix, suffix_dedup, telephony, token_counts, url_filter
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -67,12 +67,16 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(_documents(spark, sf_dir))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_sentence_pieces, op2_kd_shards, op3_jaccard_join, op4_telephony, op5_url_filter, op6_line_spread, op7_source_mix, op8_lm_scores,
-            op9_compression_bands, op10_token_counts, op12_merkle_manifest,
+            op9_compression_bands, op10_token_counts, op12_merkle_manifest, op13_suffix_dedup,
         )
     }
 
