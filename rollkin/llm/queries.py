@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollkin.llm import compression_bands, jaccard_join, kd_shards, line_spread, lm_scores, merkle_manifest, sentence_pieces, source_mix, suffix_dedup, telephony, token_counts, url_filter
+from rollkin.llm import compression_bands, hyperplane_tree, jaccard_join, kd_shards, line_spread, lm_scores, merkle_manifest, sentence_pieces, source_mix, suffix_dedup, telephony, token_counts, url_filter
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -63,6 +63,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), PIECE_MODEL)
 
 
+def op11_hyperplane_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperplane_tree.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(_documents(spark, sf_dir))
 
@@ -76,10 +80,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_sentence_pieces, op2_kd_shards, op3_jaccard_join, op4_telephony, op5_url_filter, op6_line_spread, op7_source_mix, op8_lm_scores,
-            op9_compression_bands, op10_token_counts, op12_merkle_manifest, op13_suffix_dedup,
+            op9_compression_bands, op10_token_counts, op11_hyperplane_tree, op12_merkle_manifest, op13_suffix_dedup,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": jaccard_join.oracle_sql(4, 85), "op5_url_filter": url_filter.ORACLE_SQL, "op6_line_spread": line_spread.oracle_sql(), "op12_merkle_manifest": merkle_manifest.oracle_sql()}
+    return {"op3_jaccard_join": jaccard_join.oracle_sql(4, 85), "op5_url_filter": url_filter.ORACLE_SQL, "op6_line_spread": line_spread.oracle_sql(), "op11_hyperplane_tree": hyperplane_tree.ORACLE_SQL, "op12_merkle_manifest": merkle_manifest.oracle_sql()}

@@ -32,5 +32,5 @@ def test_run_gives_the_last_stage(spark, small):
 
 
 def test_every_operator_is_registered():
-    assert [k.split("_")[0] for k in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [k.split("_")[0] for k in queries.queries()] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.oracle_sql()) <= set(queries.queries())

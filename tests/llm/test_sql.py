@@ -9,7 +9,7 @@ from rollkin.llm import queries
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_query_agrees_with_sql(spark, small, name):
     duck = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     df = queries.queries()[name](spark, small)
     columns = sorted(df.columns)
