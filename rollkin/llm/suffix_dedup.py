@@ -56,8 +56,8 @@ HOT = 4096
 CHUNK = 1 << 16
 #: Bytes of a shard whose transform is built at once.
 SHARD = 1 << 19
-#: Bytes of text of a part, and anchors and bytes of text per bucket.
-PART_BYTES, PART_MOST, BUCKET_KEYS, BUCKET_BYTES = 8 << 20, 32 << 20, 1 << 20, 16 << 20
+#: Bytes of text of a part and anchors of a bucket, least and most, and bytes of all texts per bucket of strings.
+PART_BYTES, PART_MOST, BUCKET_KEYS, BUCKET_MOST, BUCKET_BYTES = 4 << 20, 12 << 20, 1 << 18, 1 << 21, 6 << 20
 #: Groups of a bucket's strings that are merged one after the other.
 TURNS = 8
 #: Texts with copies up to which they are broadcast.
@@ -438,8 +438,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     groups = written(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first(F.octet_length("text")).alias("n_bytes")), "groups")
     copied = written(groups.where("copies > 1 AND first_id IS NOT NULL").select("k1", "k2", "first_id"), "copied")
     total = groups.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    # Larger parts and buckets for larger inputs, so that messages don't get small as their number grows.
     n_parts = 1 + total // min(PART_MOST, max(PART_BYTES, total // 1024))
-    n_keys, n_strings = 1 + 2 * total // (SPAN + 1) // BUCKET_KEYS, 1 + total // BUCKET_BYTES
+    keys = 2 * total // (SPAN + 1)
+    n_keys, n_strings = 1 + keys // min(BUCKET_MOST, max(BUCKET_KEYS, keys // 1024)), 1 + total // BUCKET_BYTES
     marked = keyed.join(broadcast_if_small(copied, SMALL_COPIES), ["k1", "k2"], "left")
     later = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))
     plain = F.octet_length("text").cast("long")
