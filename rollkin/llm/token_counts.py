@@ -8,7 +8,9 @@ counts are wanted, so no token list is ever built.
 Words are cut first wherever no piece holds the two characters side by side, since no
 merge crosses such a place. What is still long after that would need very many rounds
 over all its symbols; there a round takes the lowest rank of all and looks only at the
-places that have it, through links to the neighbours instead of closing gaps.
+places that have it, through links to the neighbours instead of closing gaps. Where a
+merge could make a pair that goes before others of its rank, that rank's merges are done
+one by one from a heap.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ class MergeTables:
     def __init__(self, path: str):
         model = load(path)
         self.model = model
+        self.known: dict[tuple[int, int], int] = {}
         self.symbols = list(model.id_of)
         self.number = {p: i for i, p in enumerate(self.symbols)}
         self.n = len(self.symbols)
@@ -77,6 +80,15 @@ class MergeTables:
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def merge_of(self, left: int, right: int) -> int:
+        """``merges_to`` of one pair, remembered."""
+        found = self.known.get((left, right))
+        if found is None:
+            if len(self.known) > 1 << 20:
+                self.known.clear()
+            found = self.known[left, right] = int(self.merges_to(np.array([left]), np.array([right]))[0])
+        return found
+
     def merges_to(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The symbol that each pair merges to, -1 for none."""
         out = np.full(len(left), -1, dtype=np.int64)
@@ -201,6 +213,29 @@ def merged_long(symbols: np.ndarray, t: MergeTables) -> np.ndarray:
             places.setdefault(r, []).append(at[low:high])
             low = high
 
+    def one_by_one(r: int, at: np.ndarray) -> None:
+        """Merges of rank ``r`` at ``at`` (ascending), and all of this or a lower rank that arise, the lowest and leftmost first."""
+        waiting, later = [(r, p) for p in at.tolist()], set()
+        while waiting:
+            rank, p = heapq.heappop(waiting)
+            merged = int(pair[p])
+            if merged < 0 or not alive[p] or t.rank[merged] != rank:
+                continue
+            gone = int(after[p])
+            symbols[p], alive[gone], after[p] = merged, False, after[gone]
+            if after[p] < n:
+                ahead[after[p]] = p
+            for q in (int(ahead[p]), p):
+                if q < 0:
+                    continue
+                right = int(after[q])
+                pair[q] = new = t.merge_of(int(symbols[q]), int(symbols[right])) if right < n else -1
+                if new >= 0 and t.rank[new] <= r:
+                    heapq.heappush(waiting, (int(t.rank[new]), q))
+                else:
+                    later.add(q)
+        offer(np.array(sorted(later), dtype=np.int64))
+
     pair[:-1] = t.merges_to(symbols[:-1], symbols[1:])
     offer(np.arange(n))
     while ranks:
@@ -210,12 +245,13 @@ def merged_long(symbols: np.ndarray, t: MergeTables) -> np.ndarray:
         at = at[t.rank[pair[at]] == r]
         if not len(at):
             continue
-        if t.safe[pair[at]].all():  # leftmost first: in a run of neighbours every second place
-            run = np.r_[True, after[at[:-1]] != at[1:]]
-            place = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-            hits = at[place % 2 == 0]
-        else:
-            hits = at[:1]
+        if not t.safe[pair[at]].all():
+            one_by_one(r, at)
+            continue
+        # leftmost first: in a run of neighbours every second place
+        run = np.r_[True, after[at[:-1]] != at[1:]]
+        place = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+        hits = at[place % 2 == 0]
         gone = after[hits]
         symbols[hits], alive[gone], after[hits] = pair[hits], False, after[gone]
         linked = hits[after[hits] < n]
@@ -225,7 +261,7 @@ def merged_long(symbols: np.ndarray, t: MergeTables) -> np.ndarray:
         pair[stale] = -1
         inner = stale[after[stale] < n]
         pair[inner] = t.merges_to(symbols[inner], symbols[after[inner]])
-        offer(np.union1d(stale, at[len(hits) :] if len(hits) == 1 else at))
+        offer(np.union1d(stale, at))
     return symbols[alive]
 
 

@@ -128,6 +128,25 @@ def test_counts_of_hard_texts(text):
 # op 2
 
 
+def test_repeated_unsafe_symbols(spark):
+    """Words of one symbol over and over, for each symbol whose merge can make a pair of its own or a lower rank."""
+    t = token_counts.tables(MODEL)
+    unsafe = [p for p, i in t.number.items() if not t.safe[i] and 2 <= len(p) <= 4 and "▁" not in p and WORD.fullmatch(p)]
+    words = [s * (700 // len(s)) for s in unsafe]
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert len(unsafe) > 1000
+    assert token_counts.count_symbols(pa.array(["▁" + w for w in words]), t).tolist() == [len(x) for x in library.encode(words)]
+
+
+@pytest.mark.parametrize("text", ["th", "and", "nt", "er", "aba"])
+def test_long_words_of_unsafe_symbols_take_no_square_time(text):
+    t, word = token_counts.tables(MODEL), text * 12_000
+    began = time.perf_counter()
+    (found,) = token_counts.count_symbols(pa.array(["▁" + word]), t)
+    took = time.perf_counter() - began
+    assert found == len(sentencepiece.SentencePieceProcessor(model_file=MODEL).encode(word)) and took < 2
+
+
 def test_shards_are_level_gapless_and_keep_copies_together(spark, docs, odd, none):
     got = kd_shards.assign_shards(docs, n_shards=8).toPandas()
     assert len(got) == docs.count() and set(got["law"]) == {"bytes"} and got["grown_shard"].isna().all()
