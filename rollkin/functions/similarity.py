@@ -7,7 +7,7 @@ gram isn't in the result and has cosine 0.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,20 @@ def cosines(pairs: DataFrame, left: DataFrame, right: DataFrame | None = None) -
     return dots.join(na, "a").join(nb, "b").select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine"))
 
 
+def rare_grams(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(key, gram): the rarer grams of each vector, one of which any two vectors share whose cosine reaches ``threshold``.
+
+    The commonest grams of a vector that hold less than ``threshold`` of its length can't
+    reach the threshold by themselves, so the rarest gram that two such vectors share is
+    among the others on both sides.
+    """
+    held = vectors.join(vectors.groupBy("gram").agg(F.count("*").alias("n")), "gram")
+    square, own = F.col("weight") * F.col("weight"), Window.partitionBy("key")
+    mass = F.sum(square).over(own.orderBy(F.desc("n"), "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rarer = held.withColumns({"mass": mass, "all": F.sum(square).over(own)}).where(F.col("mass") >= F.col("all") * (threshold**2 * 0.999999))
+    return rarer.select("key", "gram")
+
+
 def text_cosines(pairs: DataFrame) -> DataFrame:
     """(a, b, cosine) of distinct pairs of texts ``a`` and ``b``, which are their own keys."""
     pairs = pairs.where("a <> '' AND b <> ''").select("a", "b").distinct()

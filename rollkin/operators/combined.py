@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rollkin.functions import dates as dt
 from rollkin.functions import text as tx
 from rollkin.operators import rules
+from rollkin.sources.named_files import range_name, write_named
 from rollkin.sources.scratch import written
 
 PARENT_RELATIONS = ("FTHR", "MTHR", "FATHER", "MOTHER", "F", "M")
@@ -179,6 +180,42 @@ def dossier(rows: DataFrame, registry: DataFrame) -> DataFrame:
     return found.withColumn("best", best == 1)
 
 
-def write_by_seat(rows: DataFrame, path: str) -> None:
-    """One folder of report files per constituency."""
-    rows.withColumn("seat", tx.file_stem(F.col("constituency"))).repartition("seat").write.partitionBy("seat").mode("overwrite").parquet(path)
+def part_files(rows: DataFrame, per_part: int = 50, folder: Column | None = None) -> DataFrame:
+    """``ranked`` rows with ``file``, named by the ranks in it: ``0001-0050.csv``, in ``folder`` if there is one.
+
+    With a folder (a seat, say) ranks and parts are counted within it, in the order of
+    the whole report.
+    """
+    if folder is None:
+        size = rows.agg(F.max("rank").alias("_most"))  # one row
+        placed = rows.crossJoin(size).withColumns({"_at": F.col("rank"), "_folder": F.lit("")})
+    else:
+        named = rows.withColumn("_folder", F.concat(folder, F.lit("/")))
+        within = Window.partitionBy("_folder").orderBy("rank")
+        placed = named.withColumns({"_at": F.row_number().over(within).cast("long"), "_most": F.count("*").over(Window.partitionBy("_folder"))})
+    first = F.floor((F.col("_at") - 1) / per_part) * per_part + 1
+    name = F.concat("_folder", range_name(first, F.least(first + per_part - 1, "_most")), F.lit(".csv"))
+    return placed.withColumns({"file": name, "file_place": F.col("_at")}).drop("_at", "_folder", "_most")
+
+
+#: Columns of a report file, in order.
+REPORT_FILE = ["rank", "epic_no", "name", "constituency", "part_no", "serial_no", "age", "gender", "severity", "best_dup", "n_dups", "n_logical", "summary"]
+
+
+def _write(files: DataFrame, path: str) -> None:
+    write_named(files.select(*REPORT_FILE, "file", "file_place"), path, F.col("file"), F.col("file_place"), drop=["file", "file_place"])
+
+
+def write_parts(rows: DataFrame, path: str, per_part: int = 50) -> None:
+    """The ranked report as CSV files of ``per_part`` persons, named by their ranks."""
+    _write(part_files(rows, per_part), path)
+
+
+def write_by_seat(rows: DataFrame, path: str, per_part: int = 50) -> None:
+    """As ``write_parts``, a folder for each constituency, ranks counted within it."""
+    _write(part_files(rows, per_part, tx.file_stem(F.col("constituency"))), path)
+
+
+def first_persons(rows: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` persons of the ranked report."""
+    return rows.where(F.col("rank") <= n)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollkin.functions import text as tx
+from rollkin.sources.scratch import written
 
 # Fields of a looked-up record and the register's columns that they go to.
 PAYLOAD_FIELDS = {
@@ -19,6 +20,10 @@ PAYLOAD_FIELDS = {
 AGE_FIELD = "erollAge"
 
 
+#: Seats up to which their numbers are broadcast.
+MOST_SEATS = 100_000
+
+
 def pending(registry: DataFrame, cap: int = 100) -> DataFrame:
     """IDs to look up: one row per ID (its first seat), at most ``cap`` per seat in ID order."""
     open_rows = registry.where((F.trim("epic_no") != "") & ~F.col("lookup_status").eqNullSafe("Found"))
@@ -85,5 +90,13 @@ def route(wanted: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def by_seat(work: DataFrame) -> DataFrame:
-    """A work list partitioned so that one task works one seat."""
-    return work.repartition("constituency_no")
+    """A work list with a partition for each seat, so that a task works one seat and no other.
+
+    Seats are numbered in order and a row goes to the partition of its seat's number. A
+    missing seat is one of its own.
+    """
+    seats = work.select(tx.seat_key(F.col("constituency_no")).alias("_seat")).distinct()
+    numbered = written(seats.withColumn("_number", F.row_number().over(Window.orderBy("_seat")) - 1), "seats")  # a row for each seat
+    n = numbered.count()
+    rows = work.withColumn("_seat", tx.seat_key(F.col("constituency_no"))).join(F.broadcast(numbered) if n <= MOST_SEATS else numbered, "_seat")
+    return rows.repartitionById(max(1, n), F.col("_number").cast("int")).drop("_seat", "_number")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollkin.functions import text as tx
+from rollkin.sources import text_index
+from rollkin.sources.named_files import write_named
 
 PENDING = "Pending"
 SEARCHED = ["name", "epic_no", "relation_name", "house_number", "verified_name", "mobile_no", "relation_epic", "father_or_guardian_name", "mother_name"]
@@ -66,10 +68,33 @@ def _mentions(query: str) -> Column:
     hit = F.lit(False)
     for c in SEARCHED:
         hit = hit | F.coalesce(F.col(c).ilike(like_pattern(query)), F.lit(False))
-    normal = " ".join("".join(x if "A" <= x <= "Z" else " " for x in query.upper()).split())
+    normal = _normal(query)
     return hit | F.coalesce(F.col("name_norm").contains(normal), F.lit(False)) if normal else hit
 
 
+def index_fields() -> dict[str, Column]:
+    """What a text search looks at, by the names that ``indexed_search`` uses."""
+    return {**{c: F.col(c) for c in SEARCHED}, "name_norm": F.col("name_norm")}
+
+
+def build_index(registry: DataFrame, path: str) -> None:
+    """Writes the posting index that ``indexed_search`` reads."""
+    text_index.build(registry, index_fields(), path)
+
+
+def indexed_search(spark: SparkSession, path: str, query: str) -> DataFrame:
+    """Ids that a search for ``query`` finds, from the index at ``path`` alone; a blank query finds none."""
+    if not query.strip():
+        return text_index.matches(spark, path, "")
+    found = text_index.matches(spark, path, query, SEARCHED)
+    normal = _normal(query)
+    return found.union(text_index.matches(spark, path, normal, ["name_norm"])).distinct() if normal else found
+
+
+def _normal(query: str) -> str:
+    return " ".join("".join(x if "A" <= x <= "Z" else " " for x in query.upper()).split())
+
+
 def sort_orders() -> dict[str, list[Column]]:
     """Named sorts; all end with the id, so that pages are stable."""
     part, serial = tx.digits_as_int(F.col("part_no")).asc_nulls_last(), F.asc_nulls_last("serial_no")
@@ -84,13 +109,81 @@ def page(rows: DataFrame, sort: str = "roll", number: int = 1, size: int = 100)
     return rows.orderBy(*sort_orders()[sort]).offset((number - 1) * size).limit(size)
 
 
+@dataclass(frozen=True)
+class Key:
+    """A column of a total order; nulls come last either way."""
+
+    name: str
+    column: Column
+    descending: bool = False
+
+    def order(self) -> Column:
+        return self.column.desc_nulls_last() if self.descending else self.column.asc_nulls_last()
+
+    def after(self, value) -> Column:
+        """Rows that come later by this key alone."""
+        if value is None:
+            return F.lit(False)
+        return (self.column < F.lit(value) if self.descending else self.column > F.lit(value)) | self.column.isNull()
+
+    def same(self, value) -> Column:
+        return self.column.isNull() if value is None else self.column == F.lit(value)
+
+
+def sort_keys() -> dict[str, list[Key]]:
+    """The named sorts as keys that a page can go on from."""
+    seat, number = Key("constituency_no", F.col("constituency_no")), Key("id", F.col("id"))
+    return {
+        "roll": [seat, Key("part", tx.digits_as_int(F.col("part_no"))), Key("serial_no", F.col("serial_no")), number], "name": [Key("name_norm", F.col("name_norm")), number],
+        "youngest": [Key("age", F.col("age")), number], "oldest": [Key("age", F.col("age"), True), number], "id number": [Key("epic_no", F.col("epic_no")), number],
+        "house": [seat, Key("house_norm", F.col("house_norm")), number],
+    }
+
+
+def page_after(rows: DataFrame, sort: str, token: list | None = None, size: int = 100) -> DataFrame:
+    """The next ``size`` rows after those up to ``token``, which ``token_of`` gives for the last row seen.
+
+    However deep the page, only the first ``size`` rows beyond the token are kept while
+    sorting, and a table that is stored in the order of the sort (``cluster_by``) is read
+    from the files that can hold them on: the first key's bound stands by itself.
+    """
+    keys = sort_keys()[sort]
+    if token is not None:
+        later, equal = F.lit(False), F.lit(True)
+        for key, value in zip(keys, token, strict=True):
+            later, equal = later | (equal & key.after(value)), equal & key.same(value)
+        first = keys[0]
+        if token[0] is None:
+            rows = rows.where(first.column.isNull()).where(later)
+        else:  # a range by itself, so that files before it are skipped; rows without a first key come after all others
+            known = first.column <= F.lit(token[0]) if first.descending else first.column >= F.lit(token[0])
+            rows = rows.where(known).where(later).union(rows.where(first.column.isNull()))
+    return rows.orderBy(*[k.order() for k in keys]).limit(size)
+
+
+def token_of(rows: DataFrame, sort: str) -> list | None:
+    """Where the page after ``rows`` (one page) goes on; None after an empty page."""
+    keys = sort_keys()[sort]
+    last = rows.select(*[k.column.alias(k.name) for k in keys]).tail(1)
+    return list(last[0]) if last else None
+
+
+def cluster_by(rows: DataFrame, sort: str, path: str) -> None:
+    """Stores ``rows`` range-partitioned and sorted as the named sort has them."""
+    order = [k.order() for k in sort_keys()[sort]]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
 def export_rows(rows: DataFrame, sort: str = "roll", limit: int = 5000) -> DataFrame:
     """The first rows of a search, in order, for a CSV file."""
     return rows.orderBy(*sort_orders()[sort]).limit(limit)
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(rows: DataFrame, folder: str, file: str = "export.csv", sort: str = "roll", limit: int = 5000) -> None:
+    """The first rows of a search as one CSV file of that name, in order, with a header."""
+    first = export_rows(rows, sort, limit)
+    place = F.row_number().over(Window.orderBy(*[k.order() for k in sort_keys()[sort]]))  # of at most ``limit`` rows
+    write_named(first.withColumn("_at", place), folder, F.lit(file), F.col("_at"), drop=["_at"])
 
 
 def filter_values(registry: DataFrame) -> DataFrame:

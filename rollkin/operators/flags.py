@@ -62,6 +62,23 @@ def reopened(reviews: DataFrame, flag_ids: DataFrame) -> DataFrame:
     return reviews.join(flag_ids, "flag_id", "left_anti")
 
 
+# What a reviewer can decide.
+VERDICTS = ("confirmed", "legitimate", "needs_info")
+
+
+def appended(reviews: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``reviews`` with ``decisions`` (flag_id, verdict, reviewer, notes, reviewed_at) behind them, numbered on from the highest id.
+
+    A flag may be decided any number of times; the latest counts. An unknown verdict
+    raises. New ids go by time and flag, so that the same decisions get the same ids.
+    """
+    checked = decisions.withColumn("verdict", F.when(F.col("verdict").isin(*VERDICTS), F.col("verdict")).otherwise(F.raise_error(F.concat(F.lit("unknown verdict: "), F.coalesce("verdict", F.lit("null"))))))
+    last = reviews.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_last"))  # one row
+    order = F.row_number().over(Window.orderBy("reviewed_at", "flag_id", "verdict"))  # of one load of decisions by people
+    numbered = checked.crossJoin(last).withColumn("id", F.col("_last") + order).drop("_last")
+    return reviews.unionByName(numbered.select(*reviews.columns))
+
+
 def with_voters(flags: DataFrame, registry: DataFrame) -> DataFrame:
     """Flags with both records as x_a and x_b; the second may be missing."""
     a = registry.select(F.col("id").alias("voter_id"), *[F.col(c).alias(f"{c}_a") for c in PANEL[1:]])
@@ -135,6 +152,18 @@ def entries_by_constituency_rule(flags: DataFrame, registry: DataFrame) -> DataF
     return sides.join(seats, "voter_id").groupBy("constituency", "rule").agg(F.count("*").alias("entries"), F.count_distinct("voter_id").alias("voters"))
 
 
+def entries_with_names(flags: DataFrame, registry: DataFrame, year: int | None = None) -> DataFrame:
+    """``entries_by_constituency_rule`` with the seat's name: the greatest that any record named by a flag has there.
+
+    Names come once a seat instead of once an entry, so that only the seats' rows are joined.
+    """
+    people = registry if year is None else registry.where(F.col("year") == year)
+    seats = people.select(F.col("id").alias("voter_id"), tx.seat_key(F.col("constituency_no")).alias("constituency"), "constituency_name")
+    sides = flags.select("rule", "voter_id").unionByName(flags.where("related_voter_id IS NOT NULL").select("rule", F.col("related_voter_id").alias("voter_id")))
+    named = sides.join(seats, "voter_id").groupBy("constituency", "rule").agg(F.count("*").alias("entries"), F.count_distinct("voter_id").alias("voters"), F.max("constituency_name").alias("_name"))
+    return named.withColumn("constituency_name", F.max("_name").over(Window.partitionBy("constituency"))).drop("_name")  # a row for each rule
+
+
 def verdict_counts(reviews: DataFrame) -> DataFrame:
     return latest_reviews(reviews).groupBy("verdict").agg(F.count("*").alias("flags"))
 

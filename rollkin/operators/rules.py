@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollkin.functions import dates as dt
 from rollkin.functions import similarity as sim
 from rollkin.functions import text as tx
-from rollkin.sources.scratch import written
+from rollkin.operators import candidates
+from rollkin.sources.scratch import discard, written
 
 AGE_WINDOW = 8
 FLAG_COLUMNS = ["rule", "severity", "score", "voter_id", "related_voter_id", "details"]
@@ -132,11 +134,18 @@ def fuzzy_dup(registry: DataFrame, threshold: float = 0.70) -> DataFrame:
 
 
 def cosine_dup(registry: DataFrame, threshold: float = 0.80) -> DataFrame:
-    """Cosine of the trigram counts of whole profiles; each record's vector is built once."""
+    """Cosine of the trigram counts of whole profiles; each record's vector is built once.
+
+    Only pairs that share one of the rarer grams of both profiles are scored; the others
+    can't reach the threshold.
+    """
     keyed = registry.where("name_phonetic <> ''")
-    pairs = banded_pairs(keyed, "name_phonetic", []).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     texts = keyed.select(F.col("id").alias("key"), sim.profile(*[F.col(c) for c in ("name_norm", "relation_name_norm", "house_norm", "age", "gender")]).alias("text"))
-    found = sim.cosines(pairs, sim.vectors(texts)).where(F.col("cosine") >= threshold)
+    grams = written(sim.vectors(texts), "grams")
+    rare = sim.rare_grams(grams, threshold).groupBy(F.col("key").alias("id")).agg(F.collect_set("gram").alias("rare_gram"))
+    near = F.abs(F.coalesce("age_a", F.lit(0)) - F.coalesce("age_b", F.lit(0))) <= AGE_WINDOW
+    pairs = candidates.pairs_on_any(keyed.select("id", "year", "name_phonetic", "age").join(rare, "id"), [("name_phonetic", "rare_gram")], ["age"], near, {"rare_gram"})
+    found = sim.cosines(written(pairs, "pairs"), grams).where(F.col("cosine") >= threshold)
     return found.select(*_flag("cosine_dup", "medium", F.bround("cosine", 3), "a", "b", cosine=F.bround("cosine", 3)))
 
 
@@ -232,10 +241,11 @@ def _signal(name: str, when: Column) -> Column:
     return F.when(when, F.struct(F.lit(name).alias("signal"), F.lit(POINTS[name]).alias("points")))
 
 
-def evidence(registry: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) with the array of signals that fire and the sum of their points."""
+def evidence(registry: DataFrame, reaching: bool = False) -> DataFrame:
+    """Candidate pairs (a, b) with the array of signals that fire and the sum of their points; ``reaching``: only those that can reach the threshold."""
     view = written(identity_view(registry), "view")
-    rows = both_records(written(identity_candidates(registry), "pairs"), view)
+    pairs = candidates.evidence_pairs(view, mobile_counts(registry), POINTS, EVIDENCE_THRESHOLD, AGE_WINDOW) if reaching else identity_candidates(registry)
+    rows = both_records(written(pairs, "pairs"), view)
     names = rows.where("name_key_a <> name_key_b").select(F.col("name_key_a").alias("a"), F.col("name_key_b").alias("b"))
     likeness = sim.text_cosines(names).select(F.col("a").alias("name_key_a"), F.col("b").alias("name_key_b"), F.col("cosine").alias("name_cosine"))
     shares = mobile_counts(registry).select("year", F.col("mobile_no").alias("mobile_no_a"), F.col("n").alias("mobile_n"))
@@ -289,11 +299,11 @@ def evidence_reason(signals: Column) -> Column:
         lambda s: F.replace(s["signal"], F.lit("_"), F.lit(" ")),
     )
     against = F.array_join(told(-1), "; ")
-    return F.concat(F.lit("Same person suspected: "), F.array_join(told(1), "; "), F.when(against != "", F.concat(F.lit(". Against: "), against)).otherwise(""))
+    return F.concat(F.lit("Points for one identity: "), F.array_join(told(1), "; "), F.when(against != "", F.concat(F.lit(". Against: "), against)).otherwise(""))
 
 
 def new_model_1(registry: DataFrame) -> DataFrame:
-    found = evidence(registry).where(F.col("points") >= EVIDENCE_THRESHOLD)
+    found = evidence(registry, reaching=True).where(F.col("points") >= EVIDENCE_THRESHOLD)
     severity = F.when(F.col("points") >= EVIDENCE_HIGH, "high").otherwise("medium")
     return found.select(*_flag(
         "new_model_1", severity, F.bround(points_score(F.col("points")), 3), "a", "b", points=F.round("points", 2), confidence=points_confidence(F.col("points")),
@@ -315,13 +325,14 @@ VECTOR_COLUMNS = {
 
 
 def compared(registry: DataFrame) -> DataFrame:
-    """Candidate pairs whose genders don't conflict, with a similarity (or null) per attribute as sim_x.
+    """Candidate pairs that are tied by an anchor and whose genders don't conflict, with a similarity (or null) per attribute as sim_x.
 
     The name-like attributes of all pairs are compared in one pass over the distinct
     pairs of texts.
     """
     view = written(identity_view(registry), "view")
-    rows = both_records(written(profile_candidates(registry), "pairs"), view).where("NOT (sex_a <> '' AND sex_b <> '' AND sex_a <> sex_b)")
+    blocks = [same_reference(registry), same_birth_date(registry), candidates.anchored_sound_pairs(view, AGE_WINDOW)]
+    rows = both_records(written(reduce(DataFrame.union, blocks).distinct(), "pairs"), view).where("NOT (sex_a <> '' AND sex_b <> '' AND sex_a <> sex_b)")
     long = rows.select("a", "b", F.explode(F.array(*[
         F.struct(F.lit(k).alias("attribute"), F.col(f"{c}_a").alias("x"), F.col(f"{c}_b").alias("y")) for k, c in NAMED.items()
     ])).alias("v")).select("a", "b", "v.*").where("x <> '' AND y <> ''")
@@ -420,42 +431,68 @@ def first_by_epic(registry: DataFrame) -> DataFrame:
 def _alike(names: DataFrame, threshold: float) -> DataFrame:
     """(year, reference, a, b): pairs a < b of names of one reference whose trigram-count cosine reaches ``threshold``.
 
-    Candidates share one of each other's rarer grams. The commonest grams of a name that
-    hold less than ``threshold`` of its length can't reach the threshold by themselves,
-    so the rarest gram that such a pair shares is among the others on both sides.
+    Candidates share one of each other's rarer grams.
     """
     group = ["year", "reference"]
     several = names.groupBy(*group).agg(F.count("*").alias("n")).where("n > 1").select(*group)
     names = names.join(several, group, "left_semi")
-    grams = sim.vectors(names.select("father").distinct(), key="father", text="father")
-    held = grams.join(grams.groupBy("gram").agg(F.count("*").alias("n")), "gram")
-    square, name = F.col("weight") * F.col("weight"), Window.partitionBy("key")
-    mass = F.sum(square).over(name.orderBy(F.desc("n"), "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rarer = held.withColumns({"mass": mass, "all": F.sum(square).over(name)}).where(F.col("mass") >= F.col("all") * (threshold**2 * 0.999999))
+    rarer = sim.rare_grams(sim.vectors(names.select("father").distinct(), key="father", text="father"), threshold)
     rows = names.join(rarer.select(F.col("key").alias("father"), "gram"), "father")
     a, b = (rows.withColumnRenamed("father", x) for x in "ab")
     pairs = written(a.join(b, [*group, "gram"]).where("a < b").select(*group, "a", "b").distinct(), "name_pairs")
     return pairs.join(sim.text_cosines(pairs).where(F.col("cosine") >= threshold).select("a", "b"), ["a", "b"]).select(*group, "a", "b")
 
 
+#: Pairs of similar names of a reference that are decided in one task, and names decided in a round where there are more.
+FEW_PAIRS, ROUND_NAMES = 20_000, 200
+
+
+def _later_alike(group: list[str], pairs: DataFrame) -> DataFrame:
+    """(group, father): of the pairs a < b of each group, the names that a kept name before them is similar to. A group is one task's."""
+
+    def decide(rows: pa.Table) -> pa.Table:
+        rows, gone = rows.sort_by([("a", "ascending"), ("b", "ascending")]), set()
+        for a, b in zip(rows["a"].to_pylist(), rows["b"].to_pylist()):
+            if a not in gone:
+                gone.add(b)
+        keys = [pa.array(rows[c].to_pylist()[:1] * len(gone), rows.schema.field(c).type) for c in group]
+        return pa.table([*keys, pa.array(sorted(gone), pa.string())], names=[*group, "father"])
+
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in group)
+    return pairs.groupBy(*group).applyInArrow(decide, f"{kinds}, father string")
+
+
 def name_clusters(names: DataFrame, threshold: float = 0.6) -> DataFrame:
     """The rows of distinct (year, reference, father) that no kept name before them in the alphabet is similar to.
 
-    Decided over the pairs of similar names in rounds: a name without a similar one before
-    it is kept, and the names after it that are similar to it go, with their pairs. No
-    array or task holds the names of a reference.
+    A name without a similar kept one before it is kept. References with few pairs of
+    similar names are decided in one task each; those with more in rounds over runs of
+    ``ROUND_NAMES`` names in alphabetical order, where a round decides a run and takes away
+    the later names that are similar to what it kept.
     """
     group = ["year", "reference"]
     names = written(names, "names")
-    pairs, gone = written(_alike(names, threshold), "alike"), []
-    while not pairs.isEmpty():
-        later = pairs.select(*group, F.col("b").alias("a")).distinct()
-        first = pairs.select(*group, "a").distinct().join(later, [*group, "a"], "left_anti")
-        gone.append(written(pairs.join(first, [*group, "a"], "left_semi").select(*group, F.col("b").alias("father")).distinct(), "gone"))
-        for side in "ab":
-            pairs = pairs.join(gone[-1].withColumnRenamed("father", side), [*group, side], "left_anti")
-        pairs = written(pairs.select(*group, "a", "b"), "alike")
-    return names.join(reduce(DataFrame.union, gone), [*group, "father"], "left_anti") if gone else names
+    alike = written(_alike(names, threshold), "alike")
+    many = written(alike.groupBy(*group).count().where(F.col("count") > FEW_PAIRS).select(*group), "many")
+    gone = [written(_later_alike(group, alike.join(many, group, "left_anti")), "gone")]
+    left = alike.join(many, group, "left_semi")
+    if not many.isEmpty():
+        run = F.floor((F.row_number().over(Window.partitionBy(*group).orderBy("father")) - 1) / ROUND_NAMES)
+        runs = left.select(*group, F.col("a").alias("father")).union(left.select(*group, "b")).distinct().withColumn("run", run)
+        for x in "ab":
+            left = left.join(runs.select(*group, F.col("father").alias(x), F.col("run").alias(f"run_{x}")), [*group, x])
+        left = written(left, "runs")
+        for r in range(left.agg(F.max("run_a")).first()[0] + 1):
+            own = written(_later_alike(group, left.where((F.col("run_a") == r) & (F.col("run_b") == r)).select(*group, "a", "b")), "gone")
+            kept = left.where(F.col("run_a") == r).join(own.withColumnRenamed("father", "a"), [*group, "a"], "left_anti")
+            later = written(kept.where(F.col("run_b") > r).select(*group, F.col("b").alias("father")).distinct(), "gone")
+            before, left = left, left.where(F.col("run_a") > r)
+            for side in "ab":
+                left = left.join(later.withColumnRenamed("father", side), [*group, side], "left_anti")
+            left = written(left, "runs")
+            discard(before)
+            gone += [own, later]
+    return names.join(reduce(DataFrame.union, [g.select(*group, "father") for g in gone]), [*group, "father"], "left_anti")
 
 
 def sibling_groups(registry: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ Every query runs over the whole register that the folder's ``part`` table stands
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -18,7 +19,7 @@ from rollkin.operators import combined, enrichment, explore, extraction, flags,
 from rollkin.plans import expected_sql as ref
 from rollkin.plans import rendered
 from rollkin.sources import registry as rg
-from rollkin.sources.scratch import written
+from rollkin.sources.scratch import own_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -177,6 +178,25 @@ def s15_report_parts(spark, sf_dir):
     return combined.ranked(_report(spark, sf_dir)[1]).select("id", "rank", "part")
 
 
+_RANK = "row_number() OVER (ORDER BY tier, best_dup DESC, n_dups DESC, logical_rank DESC, n_logical DESC, id)"
+
+
+@query(f"SELECT id, lpad((rank - (rank - 1) % 50)::VARCHAR, 4, '0') || '-' || lpad(least(rank - (rank - 1) % 50 + 49, n)::VARCHAR, 4, '0') || '.csv' AS file, rank AS file_place FROM (SELECT id, {_RANK} AS rank, count(*) OVER () AS n FROM rep)", ref.report_ctes())
+def s15_files_by_rank(spark, sf_dir):
+    return combined.part_files(combined.ranked(_report(spark, sf_dir)[1])).select("id", "file", "file_place")
+
+
+@query(f"SELECT id, regexp_replace(constituency, '[^A-Za-z0-9_-]+', '_', 'g') || '/' || lpad((place - (place - 1) % 50)::VARCHAR, 4, '0') || '-' || lpad(least(place - (place - 1) % 50 + 49, n)::VARCHAR, 4, '0') || '.csv' AS file, place AS file_place "
+       f"FROM (SELECT id, constituency, row_number() OVER (PARTITION BY constituency ORDER BY rank) AS place, count(*) OVER (PARTITION BY constituency) AS n FROM (SELECT id, constituency, {_RANK} AS rank FROM rep))", ref.report_ctes())
+def s16_files_by_seat(spark, sf_dir):
+    return combined.part_files(combined.ranked(_report(spark, sf_dir)[1]), folder=tx.file_stem(F.col("constituency"))).select("id", "file", "file_place")
+
+
+@query(f"SELECT id, {_RANK} AS rank FROM rep ORDER BY rank LIMIT 75", ref.report_ctes())
+def o09_first_persons(spark, sf_dir):
+    return combined.first_persons(combined.ranked(_report(spark, sf_dir)[1]), 75).select("id", "rank")
+
+
 @query(f"SELECT f.id, c.constituency, c.n_flags, c.report FROM flags f JOIN reg v ON v.id = f.voter_id JOIN (SELECT *, row_number() OVER (ORDER BY n_flags DESC, constituency)::INT AS report FROM (SELECT {ref.seat_sql('v.constituency_no')} AS constituency, count(*) AS n_flags FROM flags f JOIN reg v ON v.id = f.voter_id GROUP BY 1)) c ON c.constituency = {ref.seat_sql('v.constituency_no')}", ref.FLAGS)
 def s14_flags_by_seat(spark, sf_dir):
     registry = register(spark, sf_dir)
@@ -214,6 +234,15 @@ def s22_reopen(spark, sf_dir):
     return flags.reopened(reviews, stored.where("rule = 'age_outlier'").select(F.col("id").alias("flag_id"))).groupBy("flag_id").agg(F.count("*").alias("n"))
 
 
+@query("SELECT flag_id, count(*) AS n, max(reviewed_at) AS last_at, count(DISTINCT review_key) AS ids FROM (SELECT flag_id, review_key::BIGINT AS review_key, reviewed_at FROM reviews UNION ALL "
+       "SELECT f.id, (SELECT max(review_key) FROM reviews) + row_number() OVER (ORDER BY f.id), DATE '2030-01-01' FROM flags f WHERE f.rule = 'age_outlier') GROUP BY flag_id", ref.FLAGS)
+def s22_append(spark, sf_dir):
+    stored, reviews = flag_tables(register(spark, sf_dir))
+    kind = reviews.schema["reviewed_at"].dataType
+    decisions = stored.where("rule = 'age_outlier'").select(F.col("id").alias("flag_id"), F.lit("legitimate").alias("verdict"), F.lit("r1").alias("reviewer"), F.lit(None).cast("string").alias("notes"), F.lit("2030-01-01").cast(kind).alias("reviewed_at"))
+    return flags.appended(reviews, decisions).groupBy("flag_id").agg(F.count("*").alias("n"), F.max("reviewed_at").alias("last_at"), F.count_distinct("id").alias("ids"))
+
+
 @query("SELECT id, rule FROM flags", ref.FLAGS)
 def s23_first_of_each_flag(spark, sf_dir):
     stored, _ = flag_tables(register(spark, sf_dir))
@@ -261,6 +290,22 @@ def p05_digits_search(spark, sf_dir):
     return explore.search(register(spark, sf_dir), explore.Filters(query="0017")).select("id")
 
 
+def _text_index(registry: DataFrame) -> str:
+    path = f"{own_dir(registry.sparkSession)}/text-index-{uuid.uuid4().hex}"
+    explore.build_index(registry, path)
+    return path
+
+
+@query(f"SELECT id FROM reg WHERE {_TEXT.format('red w')} OR contains(name_norm, 'RED W')")
+def p05_indexed_text(spark, sf_dir):
+    return explore.indexed_search(spark, _text_index(register(spark, sf_dir)), "red w")
+
+
+@query(f"SELECT id FROM reg WHERE {_TEXT.format('17')}")
+def p05_indexed_two_digits(spark, sf_dir):
+    return explore.indexed_search(spark, _text_index(register(spark, sf_dir)), "17")
+
+
 @query("SELECT id, severity FROM rep WHERE severity = 'high' AND n_cosine > 0 AND n_dups >= 1 AND contains(lower(concat_ws(' ', epic_no, name, constituency, part_no)), 'abc00')", ref.report_ctes())
 def p06_suspects(spark, sf_dir):
     rows = _report(spark, sf_dir)[1]
@@ -282,6 +327,15 @@ def o03_page_by_name(spark, sf_dir):
     return explore.page(register(spark, sf_dir), "name", 2).select("id", "name", "part_no")
 
 
+@query("SELECT id, name, part_no FROM reg ORDER BY constituency_no, TRY_CAST(part_no AS INT) NULLS LAST, serial_no NULLS LAST, id LIMIT 100 OFFSET 200")
+def o04_third_page_by_token(spark, sf_dir):
+    """Each page goes on from the last row of the one before."""
+    rows, token = register(spark, sf_dir), None
+    for _ in range(2):
+        token = explore.token_of(explore.page_after(rows, "roll", token), "roll")
+    return explore.page_after(rows, "roll", token).select("id", "name", "part_no")
+
+
 @query("SELECT id, age FROM reg ORDER BY age DESC NULLS LAST, id LIMIT 100")
 def o03_oldest(spark, sf_dir):
     return explore.page(register(spark, sf_dir), "oldest").select("id", "age")
@@ -379,6 +433,14 @@ def a07_entries(spark, sf_dir):
     return flags.entries_by_constituency_rule(flag_tables(registry)[0], registry)
 
 
+@query(f"SELECT constituency, rule, count(*) AS entries, count(DISTINCT id) AS voters, any_value(seat_name) AS constituency_name FROM (SELECT {ref.seat_sql()} AS constituency, rule, reg.id, max(CASE WHEN reg.id % 5 > 0 THEN 'SEAT ' || relation_type END) OVER (PARTITION BY {ref.seat_sql()}) AS seat_name "
+       "FROM (SELECT rule, voter_id AS v FROM flags UNION ALL SELECT rule, related_voter_id FROM flags WHERE related_voter_id IS NOT NULL) JOIN reg ON reg.id = v WHERE year = 2024) GROUP BY constituency, rule", ref.FLAGS)
+def w03_entries_with_names(spark, sf_dir):
+    """A seat whose rows name it in several ways, or not at all."""
+    registry = register(spark, sf_dir).withColumn("constituency_name", F.when(F.col("id") % 5 > 0, F.concat(F.lit("SEAT "), F.col("relation_type"))))
+    return flags.entries_with_names(flag_tables(registry)[0], registry, 2024)
+
+
 @query("SELECT verdict, count(*) AS flags FROM latest GROUP BY verdict", ref.FLAGS)
 def a08_verdicts(spark, sf_dir):
     return flags.verdict_counts(flag_tables(register(spark, sf_dir))[1])

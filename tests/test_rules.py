@@ -1,12 +1,15 @@
 """Rules at their thresholds, on micro registers."""
 
+import string
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rollkin.operators import combined, flags, household, rules
+from rollkin.operators import candidates, combined, flags, household, rules
 from rollkin.sources import registry as rg
+from rollkin.sources.scratch import written
 
 COLUMNS = {
     "id": "long", "year": "int", "constituency_no": "string", "part_no": "string", "serial_no": "int", "epic_no": "string", "name": "string", "relation_type": "string",
@@ -95,7 +98,7 @@ def test_evidence_threshold_and_reason(register):
     weak = {"house_number": "B-9", "gender": None, "verified_dob": None}
     rows = register({**weak, "age": 40, "mobile_no": "7"}, {**weak, "age": 41, "mobile_no": "7"})  # 2.5 + .4 + 1.8 = 4.7
     row = rules.new_model_1(rows).first()
-    assert row["severity"] == "medium" and "name exact" in row["details"] and "Same person" in row["details"]
+    assert row["severity"] == "medium" and "name exact" in row["details"] and "Points for one identity" in row["details"]
     assert rules.new_model_1(register({**weak, "name": "ALPHA BETA"}, {**weak, "age": 43})).count() == 0
 
 
@@ -136,17 +139,21 @@ def test_father_name_clusters(register):
     assert rules.reference_groups(rows).first()["father_names"] == ["RAM KUMAR", "SHYAM LAL"]
 
 
-def test_father_name_clusters_equal_a_plain_fold(spark):
+def cosine(a, b):
+    x, y = (Counter(f"  {t} "[i : i + 3] for i in range(len(t) + 1)) for t in (a, b))
+    norm = lambda v: sum(n * n for n in v.values()) ** 0.5
+    return sum(x[g] * y[g] for g in x) / (norm(x) * norm(y))
+
+
+@pytest.mark.parametrize("few", [20_000, 3])
+def test_father_name_clusters_equal_a_plain_fold(spark, monkeypatch, few):
     """Each name in the order of the alphabet is kept unless a kept one is similar; chains and a hot reference included."""
+    monkeypatch.setattr(rules, "FEW_PAIRS", few)
+    monkeypatch.setattr(rules, "ROUND_NAMES", 25)
     parts = ["RAM", "KUMAR", "SHYAM", "LAL", "RAMA", "KUMARI", "DEV", "DEVI"]
     names = sorted({f"{a} {b}" for a in parts for b in parts} | {"A", "AB", "ABC", "ABCD", "ABCDE", "ABCDEF", "ABCDEFG", "AAAA", "AAAAAA"})
     rows = [(2024, "hot", n) for n in names] + [(2024, f"R{i % 9}", n) for i, n in enumerate(names)] + [(2025, "one", "RAM")]
 
-    def cosine(a, b):
-        x, y = (Counter(f"  {t} "[i : i + 3] for i in range(len(t) + 1)) for t in (a, b))
-        norm = lambda v: sum(n * n for n in v.values()) ** 0.5
-        return sum(x[g] * y[g] for g in x) / (norm(x) * norm(y))
-
     want = {}
     for year, reference, n in sorted(rows):
         kept = want.setdefault((year, reference), [])
@@ -157,6 +164,60 @@ def test_father_name_clusters_equal_a_plain_fold(spark):
     assert rules.name_clusters(spark.createDataFrame([], "year int, reference string, father string")).count() == 0
 
 
+def test_a_long_chain_of_names_takes_few_rounds(spark, monkeypatch):
+    word = "".join(np.random.default_rng(5).choice(list(string.ascii_uppercase), 3020))
+    names = sorted({word[i : i + 12] for i in range(0, 3000, 3)})
+    kept = []
+    for n in names:
+        if all(cosine(n, k) < 0.6 for k in kept):
+            kept.append(n)
+    tables = []
+    monkeypatch.setattr(rules, "written", lambda df, name: tables.append(name) or written(df, name))
+    got = rules.name_clusters(spark.createDataFrame([(2024, "R", n) for n in names], "year int, reference string, father string")).collect()
+    assert sorted(r["father"] for r in got) == kept and len(kept) < len(names) and len(tables) < 12
+
+
+def test_composite_keys_lose_no_pair():
+    """Every choice of signals that reaches the threshold shares all values of one of the keys."""
+    keys = [set(k) for k in candidates.composite_keys(candidates.EVIDENCE_GROUPS, rules.POINTS, rules.EVIDENCE_THRESHOLD)]
+    sets = list(candidates.signal_sets(candidates.EVIDENCE_GROUPS, rules.POINTS, rules.EVIDENCE_THRESHOLD, candidates.BLOCK_SIGNALS, "name_phonetic"))
+    assert len(sets) > 5000 and len(keys) < 40
+    assert all(any(k <= s | ({"sound_key"} if "name_key" in s else set()) for k in keys) for s in sets)
+    assert all(len(k) > 1 or k == {"national_id_hash"} for k in keys)
+
+
+def test_evidence_pairs_are_those_that_reach_the_threshold(register):
+    """Against scoring all pairs of five blocks: nothing above the threshold is lost, and what can't reach it isn't made."""
+    r = np.random.default_rng(8)
+    pick = lambda *x: x[r.integers(len(x))]
+    rows = register(*[{
+        "name": pick("RAM KUMAR", "RAM KUMARI", "RAMA KUMAR", "SITA", "GEETA LAL"), "verified_dob": pick("1980-05-05", "1981-06-06", "1980-01-01", None), "mobile_no": pick("1", "2", "3", None),
+        "relation_epic": pick("R1", "R2", None), "father_or_guardian_name": pick("DEV", "LAL", None), "mother_name": pick("UMA", None), "spouse_name": None, "house_number": pick("1", "2", None),
+        "gender": pick("Male", "Female", None), "age": int(r.integers(30, 45)), "national_id_hash": pick("x", None, None, None),
+    } for _ in range(90)])
+    view = rules.written(rules.identity_view(rows), "view")
+    bounded = {tuple(x) for x in candidates.evidence_pairs(view, rules.mobile_counts(rows), rules.POINTS, rules.EVIDENCE_THRESHOLD, rules.AGE_WINDOW).collect()}
+    whole = {tuple(x) for x in rules.identity_candidates(rows).collect()}
+    flagged = {(x["voter_id"], x["related_voter_id"]) for x in rules.new_model_1(rows).collect()}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(candidates, "evidence_pairs", lambda *_: rules.identity_candidates(rows))
+        wanted = {(x["voter_id"], x["related_voter_id"]) for x in rules.new_model_1(rows).collect()}
+    assert flagged == wanted and wanted and flagged <= bounded <= whole and len(bounded) < 0.8 * len(whole)
+
+
+def test_anchored_pairs_are_all_that_the_models_can_flag(register):
+    r = np.random.default_rng(9)
+    pick = lambda *x: x[r.integers(len(x))]
+    rows = register(*[{
+        "name": pick("RAM KUMAR", "RAM KUMARR", "SITA"), "verified_dob": pick("1980-05-05", "1980-01-01", None), "relation_epic": pick("R1", None, None), "category_type": "progeny",
+        "father_or_guardian_name": pick("DEVENDRA SINGH", "DEVENDRA SINGHH", "LAL", None), "mother_name": pick("UMA DEVI", "UMA DEVII", None), "gender": pick("Male", None), "age": int(r.integers(30, 40)),
+    } for _ in range(70)])
+    flagged = {(x["rule"], x["voter_id"], x["related_voter_id"]) for x in rules.duplicate_leads(rows).collect()}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(candidates, "anchored_sound_pairs", lambda *_: rules.same_sound(rows).select("a", "b"))
+        assert flagged == {(x["rule"], x["voter_id"], x["related_voter_id"]) for x in rules.duplicate_leads(rows).collect()} and flagged
+
+
 def test_siblings_of_shown_persons(register):
     rows = register(*[{"relation_epic": "R", "epic_no": f"ABC000000{i}", "name": f"N{i}"} for i in range(6)], {"relation_epic": "S", "epic_no": "ABC0000010"})
     assert {(r["id"], r["others"]) for r in combined.siblings(rows).collect()} == {(i, 5) for i in range(1, 7)}
