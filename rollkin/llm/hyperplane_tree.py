@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from rollkin.sources.scratch import written
 
 FANOUT, DEPTH = 8, 3
-#: Rows, and bytes, of the sample that split points are taken from; nodes with fewer sampled rows than the last aren't split.
-SAMPLE_ROWS, SAMPLE_BYTES, LEAF_SAMPLE = 20_000, 16 << 20, 48
+#: Rows, and bytes, of the sample that split points are taken from.
+SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 16 << 20
+#: Nodes aren't split that stand for fewer rows, or hold fewer of the sample: small leaves cost more in visits than they save.
+LEAF_ROWS, LEAF_SAMPLE = 1024, 48
 #: Rows of a leaf and queries of a leaf that meet in one group.
 CHUNK_ROWS, BLOCK_QUERIES = 8192, 1024
 
@@ -164,14 +166,15 @@ class Index(NamedTuple):
 
 def index(rows: DataFrame) -> Index:
     """The tree and every row's leaf. ``rows``: (vec_id, label, v)."""
-    size = rows.agg(F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("square")).first()
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("square")).first()
     dim, square = max(1, size["dim"] or 1), float(size["square"] or 0)
     if square * (1 + 1e-9) >= 2**53:
         raise ValueError("vectors too long for exact scores: the largest squared length is 2 ** 53 or more")
     even = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(dim) - F.size("v"))))
     n_sample = min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dim))
     sample = even.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_sample).select("v").toArrow()
-    tree = planted(_matrix(sample["v"], dim), square) if len(sample) else Tree([], 1, square, {}, {})
+    least = max(LEAF_SAMPLE, LEAF_ROWS * len(sample) // max(1, size["n"]))
+    tree = planted(_matrix(sample["v"], dim), square, least=least) if len(sample) else Tree([], 1, square, {}, {})
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

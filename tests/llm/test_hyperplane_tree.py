@@ -47,6 +47,7 @@ def test_all_pairs_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(ht, "CHUNK_ROWS", 40)
     monkeypatch.setattr(ht, "BLOCK_QUERIES", 3)
     monkeypatch.setattr(ht, "LEAF_SAMPLE", 10)
+    monkeypatch.setattr(ht, "LEAF_ROWS", 10)
     assert len(compared(spark, [(i * 10, v, label) for i, v, label in clusters(1, 500)])) > 500
 
 
