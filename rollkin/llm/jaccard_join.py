@@ -15,9 +15,14 @@ signatures.
 Signatures of no features, and those that very many sets share because a passage or
 line is common, would bring all those sets together. So there are e spare partitions,
 which let a set leave out such signatures as long as they lie in at most e of them: of
-the 1 + e partitions in which a similar set shares a signature, one is left. Sets with
-more leave out none. No pair is lost either way, since equal signatures are empty or
-common in both sets alike.
+the 1 + e partitions in which a similar set shares a signature, one is left. No such
+pair is lost, since equal signatures are empty or common in both sets alike.
+
+Sets with more common signatures than that (a passage makes up most of the text, or the
+set has many near copies) leave them out too, and are enumerated once more among
+themselves: of their features in the order of rarity, the first n - ceil(t n) + 1 are
+signatures. Similar sets share one of these, while sets that have nothing but a passage
+in common begin with features that no other set has.
 
 Sets that share a signature are candidates if their sizes and 1024-bit parity sketches
 allow the similarity (a sketch never differs in more bits than the sets in features);
@@ -35,7 +40,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollkin.llm.arrow_text import hashes, mix, slices, split_words, starts_of, texts_of
@@ -297,23 +302,45 @@ def _members(docs: DataFrame, words: int, percent: int) -> DataFrame:
 def _shared_signatures(single: DataFrame, words: int, percent: int) -> DataFrame:
     """(sig, doc, lead) for the signatures that several sets share; lead is the smallest of them.
 
-    Common ones are left out of sets that have spare partitions for all of theirs. Counts
-    and leaders are written before they are joined: beside an aggregation in its own
-    stage, a join can't have the rows of a hot signature split.
+    Common ones are left out; sets that have no spare partitions for all of theirs have
+    their rarest features instead. Counts and leaders are written before they are joined:
+    beside an aggregation in its own stage, a join can't have the rows of a hot signature
+    split.
     """
     counts = written(_signature_rows(single, words, percent, owners=False).groupBy("sig").agg(F.count("*").alias("times")).where("times > 1"), "times")
     shared = written(_signature_rows(single, words, percent, owners=True).join(counts, "sig"), "shared")
     discard(counts)
     common = shared.where(F.col("times") > COMMON)
-    short = written(common.groupBy("doc", "code").agg(F.count("*").alias("used")).where("used > floor(code / 2) - 1").select("doc", "code"), "short")
-    held = written(
-        shared.where(F.col("times") <= COMMON).select("sig", "doc").unionByName(common.join(short, ["doc", "code"], "left_semi").select("sig", "doc")), "held"
-    )
+    short = written(common.groupBy("doc", "code").agg(F.count("*").alias("used")).where("used > floor(code / 2) - 1").select("doc").distinct(), "short")
+    ids = short.select(F.col("doc").alias("doc_id"))
+    rarest = _rarest_features(single.join(broadcast_if_small(ids, SMALL_IDS), "doc_id", "left_semi"), words, percent)
+    held = written(shared.where(F.col("times") <= COMMON).select("sig", "doc").unionByName(rarest), "held")
     discard(shared)
     leads = written(held.groupBy("sig").agg(F.min("doc").alias("lead")), "leads")
     return held.join(leads, "sig")
 
 
+def _rarest_features(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(sig, doc): of each set of ``docs`` the rarest n - ceil(n percent / 100) + 1 of its n features that another set has too."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                text, key = shingle_sets(texts_of(part, "text"), words)
+                n = np.bincount(text, minlength=part.num_rows)[text]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(text)), _signed(key), pa.array(n, pa.int64())], names=["doc", "feature", "n"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    features = docs.mapInArrow(work, f"doc {kind}, feature long, n long")
+    counts = written(features.groupBy("feature").agg(F.count("*").alias("sets")).where("sets > 1"), "features")
+    # features of one set alone come first in the order, but bring nobody together
+    own = Window.partitionBy("doc")
+    place = F.row_number().over(own.orderBy("sets", "feature")) + F.col("n") - F.count("*").over(own)
+    first = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    told = features.join(counts, "feature").withColumns({"place": place, "first": first}).where("place <= first")
+    return told.select(F.xxhash64(F.lit("rarest"), "feature").alias("sig"), "doc")
+
+
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 

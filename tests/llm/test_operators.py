@@ -262,6 +262,21 @@ def test_common_signatures_lose_no_link(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()) == brute_components(rows, 4, 85)
 
 
+@pytest.mark.parametrize("part", [0.6, 0.8])
+def test_a_common_passage_brings_few_sets_together(spark, monkeypatch, part):
+    """Sets that share a passage of ``part`` of their words aren't compared with each other, near copies among them are."""
+    monkeypatch.setattr(jaccard_join, "COMMON", 10)
+    passage, own = prose(5, int(400 * part)), 400 - int(400 * part)
+    texts = [f"{passage} {prose(2000 + i, own)}" for i in range(1500)]
+    rows = [*enumerate(texts), *((1500 + i, texts[i].rsplit(" ", 1)[0] + " changed") for i in range(0, 60, 2))]
+    compared = []
+    linked = jaccard_join._linked
+    monkeypatch.setattr(jaccard_join, "_linked", lambda pairs, *more: compared.append(pairs.count()) or linked(pairs, *more))
+    found = jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: i - 1500 if i >= 1500 else i for i, _ in rows}
+    assert sum(compared) < 2 * len(rows)
+
+
 def test_signatures_enumerate_parts():
     """In a band of few differences a set's signatures are all pairs of a partition's three parts, worked out one by one."""
     key = np.random.default_rng(6).integers(0, 2**63, size=60, dtype=np.uint64)
