@@ -41,6 +41,11 @@ def clean(c: Column) -> Column:
     return F.btrim(F.regexp_replace(c, r"[*|#\s]+", " "), F.lit(" :\uFF1A.,-"))
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once, however often ``then`` uses it in its own lambdas."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _marked(text: Column) -> Column:
     """The text with every label replaced by BEGIN kind END."""
     groups = "".join(f"${i}" for i in range(1, 9))
@@ -107,7 +112,8 @@ def _ids(text: Column) -> Column:
 
 def _strict(part: Column) -> Column:
     starts = F.filter(_names(part), lambda i: _number_before(part, i) != "")
-    return F.transform(_spans(part, starts), lambda s: _record(_number_before(part, s["at"]), F.get(_ids(_text_of(s["own"])), F.lit(0)), s["own"]))
+    record = lambda s: _record(_number_before(part, s["at"]), F.get(_ids(_text_of(s["own"])), F.lit(0)), s["own"])
+    return _let(starts, lambda known: F.transform(_spans(part, known), record))
 
 
 def _opening(text: Column) -> Column:
@@ -123,29 +129,28 @@ def _opening(text: Column) -> Column:
         return F.struct(code.alias("code"), F.regexp_extract(body, r"^(\d{1,4})", 1).alias("number"))
 
     told = F.filter(F.transform(cells, coded), lambda c: c["code"] != "")
-    codes = F.array_join(F.transform(told, lambda c: c["code"]), "")
-    opens = F.transform(told, lambda c, i: F.when(
-        (c["code"] == "x") | ((c["code"] == "d") & ((i == 0) | (F.substring(codes, i, F.lit(1)) != "d")) & F.regexp_like(F.substring(codes, i + 1, F.lit(1 << 20)), F.lit("^d+[eN]"))), c["number"]
-    ))
-    return F.filter(opens, lambda n: n.isNotNull())
+    # a number that leads a row of numbers to an ID or a name stands out as D
+    lead = lambda known: F.regexp_replace(F.array_join(F.transform(known, lambda c: c["code"]), ""), "(?<!d)d(?=d*[eN])", "D")
+    opens = lambda known, codes: F.transform(known, lambda c, i: F.when((c["code"] == "x") | (F.substring(codes, i + 1, F.lit(1)) == "D"), c["number"]))
+    return F.filter(_let(told, lambda known: _let(lead(known), lambda codes: opens(known, codes))), lambda n: n.isNotNull())
 
 
 def _positional(part: Column, serials: Column, ids: Column) -> Column:
-    spans = _spans(part, _names(part))
-    level = (F.size(spans) > 0) & (F.size(serials) == F.size(ids)) & (F.size(ids) == F.size(spans))
-    return F.when(level, F.transform(spans, lambda s, k: _record(F.get(serials, k), F.get(ids, k), s["own"]))).otherwise(F.filter(F.transform(spans, lambda s: _record(F.lit(""), F.lit(""), s["own"])), lambda r: F.lit(False)))
+    def read(spans: Column) -> Column:
+        level = (F.size(spans) > 0) & (F.size(serials) == F.size(ids)) & (F.size(ids) == F.size(spans))
+        return F.transform(F.filter(spans, lambda s: level), lambda s, k: _record(F.get(serials, k), F.get(ids, k), s["own"]))
 
+    return _let(_names(part), lambda names: _let(_spans(part, names), read))
 
-def _lenient(part: Column) -> Column:
-    names = _names(part)
 
-    def record(s: Column, k: Column) -> Column:
+def _lenient(part: Column) -> Column:
+    def record(names: Column, s: Column, k: Column) -> Column:
         start = F.when(k > 0, F.get(names, k - 1)).otherwise(F.lit(0))
         before = _text_of(F.slice(part, start + 1, s["at"] - start))
         serial = F.coalesce(F.try_element_at(F.regexp_extract_all(before, F.lit(r"\b(\d{1,4})\b")), F.lit(-1)), F.lit(""))
         return _record(serial, F.coalesce(F.get(_ids(_text_of(s["own"])), F.lit(0)), F.get(_ids(before), F.lit(0))), s["own"])
 
-    return F.transform(_spans(part, names), record)
+    return _let(_names(part), lambda names: F.transform(_spans(part, names), lambda s, k: record(names, s, k)))
 
 
 def _step(df: DataFrame, **columns: Column) -> DataFrame:
@@ -153,14 +158,28 @@ def _step(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("_s")).select(*df.columns, "_s.*")
 
 
-def _read(pages: DataFrame, *wanted: str) -> DataFrame:
-    """Pages (doc_id, page, text) with the array columns in ``wanted``, of strict, positional and lenient; and markers, opening, ids."""
+def _read(pages: DataFrame, *wanted: str, where: Column | None = None) -> DataFrame:
+    """Pages (doc_id, page, text) with the array columns in ``wanted``, of strict, positional and lenient; and markers, opening, ids.
+
+    With ``where``, a condition on the strict reading, only pages that satisfy it (then
+    ``weak``) are read in the other ways, and leniently only if those found nothing.
+    """
     base = _step(pages.select("doc_id", (F.col("page_index") + 1).alias("page"), F.coalesce("text", F.lit("")).alias("text")), part=tokens(F.col("text")))
-    base = _step(base, opening=_opening(F.col("text")), ids=_ids(F.col("text")), markers=_markers(F.col("part")))
+    base = _step(base, ids=_ids(F.col("text")), markers=_markers(F.col("part")))
     part = F.col("part")
-    known = {"strict": lambda: _strict(part), "positional": lambda: _positional(part, F.col("opening"), F.col("ids")), "lenient": lambda: _lenient(part)}
-    named = {k: F.filter(known[k](), lambda r: r["name"] != "") for k in wanted}
-    return _step(base, **named)
+    found = lambda c: F.filter(c, lambda r: r["name"] != "")
+    if "strict" in wanted or where is not None:
+        base = _step(base, strict=found(_strict(part)))
+    base = _step(base, weak=F.lit(True) if where is None else where)
+    none = F.array().cast(base.schema["strict"].dataType) if where is not None else None
+    only = lambda condition, c: c if where is None else F.when(condition, c).otherwise(none)
+    base = _step(base, opening=_opening(F.col("text")) if where is None else F.when(F.col("weak"), _opening(F.col("text"))).otherwise(F.array().cast("array<string>")))
+    if "positional" in wanted:
+        base = _step(base, positional=only(F.col("weak"), found(_positional(part, F.col("opening"), F.col("ids")))))
+    if "lenient" in wanted:
+        empty = (F.size("strict") == 0) & (F.size("positional") == 0) if where is not None else F.lit(True)
+        base = _step(base, lenient=only(F.col("weak") & empty, found(_lenient(part))))
+    return base
 
 
 def _rows(found: DataFrame, column: str) -> DataFrame:
@@ -250,8 +269,8 @@ def _weak() -> Column:
 
 
 def _chosen(pages: DataFrame, weak: Column) -> DataFrame:
-    found = _read(pages, "strict", "positional", "lenient")
-    rows = found.select("doc_id", "page", F.explode(_repaired(found, weak)).alias("x"))
+    found = _read(pages, "strict", "positional", "lenient", where=weak)
+    rows = found.select("doc_id", "page", F.explode(_repaired(found, F.col("weak"))).alias("x"))
     return rows.select("doc_id", "page", F.col("x.source").alias("source"), F.col("x.pos").alias("pos"), "x.r.*")
 
 
