@@ -290,10 +290,24 @@ def extract(pages: DataFrame) -> DataFrame:
     return best_by_serial(_chosen(pages, _weak()), ["doc_id"], "source")
 
 
+def _serial_order() -> list[Column]:
+    number = F.col("serial_no").try_cast("int")
+    return [number.isNull(), number, F.col("page"), F.col("pos")]
+
+
 def in_order(records: DataFrame) -> DataFrame:
     """Records as they are put out: by document and serial number, those without a number last."""
-    number = F.col("serial_no").try_cast("int")
-    return records.orderBy("doc_id", number.isNull(), number, "page", "pos")
+    return records.orderBy("doc_id", *_serial_order())
+
+
+def with_places(records: DataFrame) -> DataFrame:
+    """Records with ``place``, their place in their document's output, from 1."""
+    return records.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(*_serial_order())))
+
+
+def preview(records: DataFrame, n: int = 50) -> DataFrame:
+    """The first records of an extraction, in order."""
+    return in_order(records).limit(n)
 
 
 def headers(pages: DataFrame) -> DataFrame:

@@ -86,6 +86,19 @@ def with_voters(flags: DataFrame, registry: DataFrame) -> DataFrame:
     return flags.join(a, "voter_id").join(b, "related_voter_id", "left")
 
 
+def with_variant(flags: DataFrame) -> DataFrame:
+    """Flags with their details parsed once, as ``detail``; details that aren't JSON give null.
+
+    A stored table with this column reads single fields without parsing text again.
+    """
+    return flags.withColumn("detail", F.try_parse_json("details"))
+
+
+def detail(path: str, kind: str = "string") -> Column:
+    """A field of ``detail``, null where it is missing or not of that kind."""
+    return F.try_variant_get(F.col("detail"), f"$.{path}", kind)
+
+
 def severity_order() -> Column:
     return F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
 

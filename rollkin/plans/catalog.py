@@ -537,6 +537,29 @@ def f16_points_to_score(spark, sf_dir):
     return register(spark, sf_dir).where("age IS NOT NULL").select("id", rules.points_score(points).alias("score"), rules.points_confidence(points).alias("confidence"))
 
 
+_DETAILS = """SELECT f.rule, f.voter_id, f.related_voter_id, CASE f.rule WHEN 'dup_epic' THEN a.epic_no || '|' || a.name || '|' || b.name WHEN 'dup_identity' THEN a.name_norm || '|' || a.house_norm || '|' || a.epic_no || '|' || b.epic_no
+  WHEN 'cross_part_dup' THEN a.name_norm || '|' || a.part_no || '|' || b.part_no WHEN 'phonetic_dup' THEN a.name_phonetic || '|' || a.name_norm || '|' || b.name_norm WHEN 'photo_reuse' THEN a.phash || '|' || a.epic_no || '|' || b.epic_no
+  WHEN 'house_overload' THEN a.house_norm || '|' || (SELECT count(*) FROM reg h WHERE h.year = a.year AND h.constituency_no = a.constituency_no AND h.house_norm = a.house_norm)
+  WHEN 'age_outlier' THEN a.age::VARCHAR ELSE a.epic_no END AS told FROM flags f JOIN reg a ON a.id = f.voter_id LEFT JOIN reg b ON b.id = f.related_voter_id"""
+_TOLD = {
+    "dup_epic": ["epic_no", "name_a", "name_b"], "dup_identity": ["name", "house", "epic_a", "epic_b"], "cross_part_dup": ["name", "part_a", "part_b"], "phonetic_dup": ["key", "name_a", "name_b"],
+    "photo_reuse": ["phash", "epic_a", "epic_b"], "house_overload": ["house_norm", "occupants"], "age_outlier": ["age"], "epic_malformed": ["epic_no"],
+}
+
+
+@query(_DETAILS, ref.FLAGS)
+def f18_details_as_variant(spark, sf_dir):
+    parsed = flags.with_variant(flag_tables(register(spark, sf_dir))[0])
+    told = reduce(lambda e, kv: e.when(F.col("rule") == kv[0], F.concat_ws("|", *[flags.detail(k) for k in kv[1]])), _TOLD.items(), F.when(F.lit(False), ""))
+    return parsed.select("rule", "voter_id", "related_voter_id", told.alias("told"))
+
+
+@query("SELECT id, row_number() OVER (PARTITION BY id ORDER BY score DESC, partner DESC, model DESC) AS place, partner, model FROM (SELECT l.id, l.partner, round(l.score, 3) AS score, CASE l.rule WHEN 'cosine_new' THEN 'cosine' ELSE 'fuzzy' END AS model FROM leads l)", ref.report_ctes())
+def o07_partners_in_order(spark, sf_dir):
+    rows = _report(spark, sf_dir)[1]
+    return rows.select("id", F.posexplode("duplicates").alias("at", "d")).select("id", (F.col("at") + 1).alias("place"), "d.partner", "d.model")
+
+
 @query("SELECT id, a.house_norm AS house, count(*) AS n FROM flags f JOIN reg a ON false GROUP BY ALL UNION ALL SELECT f.id, v.house_norm, (SELECT count(*) FROM reg m WHERE m.year = v.year AND m.constituency_no = v.constituency_no AND m.house_norm = v.house_norm) FROM flags f JOIN reg v ON v.id = f.voter_id WHERE rule = 'house_overload'".replace("SELECT id, a.house_norm AS house, count(*) AS n FROM flags f JOIN reg a ON false GROUP BY ALL UNION ALL SELECT f.id, v.house_norm, (", "SELECT f.id, v.house_norm AS house, (").replace("v.house_norm) FROM flags", "v.house_norm) AS n FROM flags"), ref.FLAGS)
 def f19_details_read_back(spark, sf_dir):
     stored, _ = flag_tables(register(spark, sf_dir))
@@ -641,6 +664,32 @@ def x06_extract(spark, sf_dir):
     return found.select("doc_id", *extraction.FIELDS)
 
 
+_PLACED = "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY serial) AS place, page_index + 1 AS page, CAST(serial AS VARCHAR) AS serial_no, epic_no, name FROM recs"
+
+
+@query(_PLACED, rendered.SQL)
+def o12_records_in_order(spark, sf_dir):
+    found = extraction.with_places(extraction.extract(rendered.pages(spark, sf_dir)))
+    return found.select("doc_id", "place", "page", "serial_no", "epic_no", "name")
+
+
+@query(f"SELECT doc_id, page, serial_no, epic_no, name FROM ({_PLACED}) ORDER BY doc_id, place LIMIT 50", rendered.SQL)
+def o10_preview(spark, sf_dir):
+    return extraction.preview(extraction.extract(rendered.pages(spark, sf_dir))).select("doc_id", "page", "serial_no", "epic_no", "name")
+
+
+#: What a lenient reading takes for number and ID: on pages with one record a line the right ones; on the others, where
+#: numbers and IDs stand before all names, the last number and first ID before the first name, and the age before for the rest.
+_LENIENT = """SELECT doc_id, name, CASE WHEN page_index % 18 = 0 THEN CAST(serial AS VARCHAR) WHEN place > 1 THEN CAST(age_before AS VARCHAR) WHEN page_index % 18 = 6 THEN CAST(last_serial AS VARCHAR) ELSE '1' END AS serial_no,
+  CASE WHEN page_index % 18 = 0 THEN epic_no WHEN place > 1 THEN '' ELSE epic_no END AS epic_no
+  FROM (SELECT *, row_number() OVER w AS place, lag(age) OVER w AS age_before, max(serial) OVER (PARTITION BY doc_id, page_index) AS last_serial FROM recs WINDOW w AS (PARTITION BY doc_id, page_index ORDER BY serial, epic_no))"""
+
+
+@query(_LENIENT, rendered.SQL)
+def x04_lenient_numbers_and_ids(spark, sf_dir):
+    return extraction.parse_lenient(rendered.pages(spark, sf_dir)).select("doc_id", "name", "serial_no", "epic_no")
+
+
 @query("SELECT DISTINCT doc_id, '7' AS constituency_no, 'EXAMPLETON' AS constituency_name, part_no FROM recs", rendered.SQL)
 def x01_headers(spark, sf_dir):
     return extraction.headers(rendered.pages(spark, sf_dir))
