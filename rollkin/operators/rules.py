@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rollkin.functions import dates as dt
 from rollkin.functions import similarity as sim
+from rollkin.functions import sql_functions
 from rollkin.functions import text as tx
 from rollkin.operators import candidates
 from rollkin.sources.scratch import discard, written
@@ -546,8 +547,37 @@ RULES = {
 }
 
 
-def run_rules(registry: DataFrame, selected: list[str] | None = None, photos: DataFrame | None = None) -> DataFrame:
-    """All flags of the selected rules (all by default); unknown names are skipped, photo_reuse needs ``photos``."""
+def sql_rule(registry: DataFrame, name: str, text: str) -> DataFrame:
+    """Flags of a rule given as SQL over ``{register}``, with the functions of ``sql_functions``.
+
+    The text selects severity, score, voter_id, and, where it has them, related_voter_id
+    and details (a struct or JSON). Related records are put in order, so that a pair is
+    the same flag whichever way the text finds it; other columns are left out.
+    """
+    spark = registry.sparkSession
+    sql_functions.register(spark)
+    found = spark.sql(text, register=registry)
+    if missing := {"severity", "score", "voter_id"} - set(found.columns):
+        raise ValueError(f"rule {name} gives no {', '.join(sorted(missing))}")
+    other = F.col("related_voter_id").cast("long") if "related_voter_id" in found.columns else F.lit(None).cast("long")
+    voter = F.col("voter_id").cast("long")
+    kind = dict(found.dtypes).get("details", "string")
+    details = (F.to_json("details", {"ignoreNullFields": "false"}) if kind.startswith("struct") else F.col("details").cast("string")) if "details" in found.columns else F.lit("{}")
+    pair = other.isNotNull()
+    return found.select(
+        F.lit(name).alias("rule"), F.col("severity").cast("string").alias("severity"), F.col("score").cast("float").alias("score"),
+        F.when(pair, F.least(voter, other)).otherwise(voter).alias("voter_id"), F.when(pair, F.greatest(voter, other)).alias("related_voter_id"), details.alias("details"),
+    )
+
+
+def run_rules(registry: DataFrame, selected: list[str] | None = None, photos: DataFrame | None = None, sql: dict[str, str] | None = None) -> DataFrame:
+    """All flags of the selected rules (all by default); unknown names are skipped, photo_reuse needs ``photos``.
+
+    ``sql``: further rules by name, as SQL text (``sql_rule``); they run if selected, or if
+    no selection is made. A name of a rule there already raises.
+    """
+    if taken := set(sql or {}) & {*RULES, "photo_reuse"}:
+        raise ValueError(f"rules there already: {', '.join(sorted(taken))}")
     chosen = [name for name in RULES if selected is None or name in selected]
     both = {"fuzzy_new", "cosine_new"} <= set(chosen)
     found = [RULES[name](registry) for name in chosen if not (both and name in ("fuzzy_new", "cosine_new"))]
@@ -555,4 +585,5 @@ def run_rules(registry: DataFrame, selected: list[str] | None = None, photos: Da
         found.append(duplicate_leads(registry))
     if photos is not None and (selected is None or "photo_reuse" in selected):
         found.append(photo_reuse(registry, photos))
+    found += [sql_rule(registry, name, text) for name, text in (sql or {}).items() if selected is None or name in selected]
     return reduce(DataFrame.unionByName, found)

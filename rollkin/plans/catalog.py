@@ -86,6 +86,23 @@ _add_rule("cosine_new", 13, rules.cosine_new, ref.cosine_new_sql())
 _add_rule("family_logic", 14, rules.family_logic, ref.family_logic_sql())
 
 
+#: Two rules as a user would write them in SQL, from raw columns by the session's functions.
+_SQL_RULES = {
+    "sql_dup_identity": """SELECT 'high' AS severity, 0.9 AS score, b.id AS voter_id, a.id AS related_voter_id, named_struct('name', norm_name(a.name)) AS details
+  FROM {register} a JOIN {register} b ON a.year = b.year AND norm_name(a.name) = norm_name(b.name) AND norm_house(a.house_number) = norm_house(b.house_number) AND a.constituency_no = b.constituency_no
+  WHERE a.id < b.id AND norm_name(a.name) <> '' AND norm_house(a.house_number) <> '' AND age_gap(a.age, b.age) <= 1 AND a.epic_no <> b.epic_no""",
+    "sql_phonetic_dup": """SELECT 'medium' AS severity, 0.6 AS score, a.id AS voter_id, b.id AS related_voter_id
+  FROM (SELECT *, phonetic(norm_name(name)) AS sound FROM {register}) a JOIN (SELECT *, phonetic(norm_name(name)) AS sound FROM {register}) b
+  ON a.year = b.year AND a.sound = b.sound AND norm_house(a.house_number) = norm_house(b.house_number) AND a.constituency_no = b.constituency_no
+  WHERE a.id < b.id AND a.sound <> '' AND norm_house(a.house_number) <> '' AND age_gap(a.age, b.age) <= 2 AND norm_name(a.name) <> norm_name(b.name)""",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT 'sql_' || rule AS rule, severity, round(score::DOUBLE, 3) AS score, voter_id, related_voter_id FROM ({ref.RULES[r]})" for r in ("dup_identity", "phonetic_dup")))
+def r_rules_in_sql(spark, sf_dir):
+    return shown(rules.run_rules(register(spark, sf_dir), list(_SQL_RULES), sql=_SQL_RULES))
+
+
 # scans, sources and sinks ------------------------------------------------------------
 
 

@@ -7,6 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rollkin.functions import dates as dt
+from rollkin.functions import similarity as sim
+from rollkin.functions import sql_functions
+from rollkin.functions import text as tx
 from rollkin.operators import candidates, combined, flags, household, rules
 from rollkin.sources import registry as rg
 from rollkin.sources.scratch import written
@@ -218,6 +222,28 @@ def test_anchored_pairs_are_all_that_the_models_can_flag(register):
         assert flagged == {(x["rule"], x["voter_id"], x["related_voter_id"]) for x in rules.duplicate_leads(rows).collect()} and flagged
 
 
+def test_sql_functions_equal_the_column_functions(spark):
+    values = [" Mr. Ram  kumar-Rao", "SHRI O'NEIL", "", None, "E-72/b", "Knight Thompson", "éclair 9", "DR DR X", "1980-01-01"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    sql_functions.register(spark)
+    want = df.select("v", tx.norm_name(F.col("v")), tx.norm_house(F.col("v")), tx.phonetic(tx.norm_name(F.col("v"))), sim.word_grams(F.col("v")), dt.is_placeholder(F.col("v")), tx.seat_key(F.col("v")))
+    got = spark.sql("SELECT v, norm_name(v), norm_house(v), phonetic(norm_name(v)), word_grams(v), is_placeholder(v), seat_key(v) FROM {df}", df=df)
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
+
+
+def test_rules_as_sql_beside_the_others(register):
+    rows = register({"age": 17}, {}, {"epic_no": "ABC0000002", "name": "OTHER"})
+    young = "SELECT 'low' AS severity, 0.4 AS score, id AS voter_id, named_struct('age', age) AS details FROM {register} WHERE age < 18"
+    found = rules.run_rules(rows, ["age_outlier", "too_young"], sql={"too_young": young, "not_selected": "SELECT 1"})
+    assert sorted((r["rule"], r["voter_id"], r["related_voter_id"], r["details"]) for r in found.collect()) == [("age_outlier", 1, None, '{"age":17}'), ("too_young", 1, None, '{"age":17}')]
+    twice = rules.run_rules(rows, ["pair"], sql={"pair": "SELECT 'high' AS severity, 1 AS score, 3 AS voter_id, 2 AS related_voter_id, 'x' AS extra"}).collect()
+    assert [(r["voter_id"], r["related_voter_id"], r["details"]) for r in twice] == [(2, 3, "{}")]
+    with pytest.raises(ValueError, match="there already"):
+        rules.run_rules(rows, sql={"dup_epic": young})
+    with pytest.raises(ValueError, match="gives no score"):
+        rules.sql_rule(rows, "bad", "SELECT 1 AS voter_id, 'low' AS severity")
+
+
 def test_siblings_of_shown_persons(register):
     rows = register(*[{"relation_epic": "R", "epic_no": f"ABC000000{i}", "name": f"N{i}"} for i in range(6)], {"relation_epic": "S", "epic_no": "ABC0000010"})
     assert {(r["id"], r["others"]) for r in combined.siblings(rows).collect()} == {(i, 5) for i in range(1, 7)}
