@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rollkin.functions import dates as dt
 from rollkin.functions import text as tx
 from rollkin.operators import rules
+from rollkin.sources import binaries
 from rollkin.sources.named_files import range_name, write_named
 from rollkin.sources.scratch import written
 
@@ -180,6 +181,22 @@ def dossier(rows: DataFrame, registry: DataFrame) -> DataFrame:
     return found.withColumn("best", best == 1)
 
 
+def dossier_documents(found: DataFrame, table: str) -> DataFrame:
+    """(id, role, epic_no, doc_type, image, n_bytes): the stored documents of a dossier's persons and partners.
+
+    ``found``: rows of ``dossier``; ``table``: documents that ``binaries.store`` wrote by
+    epic_no. Only ids are moved to the documents.
+    """
+    wanted = found.select("epic_no", "id", "role").distinct()
+    return binaries.attached(found.sparkSession, table, wanted, "epic_no").select("id", "role", "epic_no", "doc_type", "image", F.length("image").alias("n_bytes"))
+
+
+def dossier_photos(found: DataFrame, table: str) -> DataFrame:
+    """(id, role, epic_no, row_id, photo_id, image): photos of a dossier's rows; ``table`` was stored by voter_id."""
+    wanted = found.select(F.col("row_id").alias("voter_id"), "id", "role", "epic_no").distinct()
+    return binaries.attached(found.sparkSession, table, wanted, "voter_id").select("id", "role", "epic_no", F.col("voter_id").alias("row_id"), "photo_id", "image")
+
+
 def part_files(rows: DataFrame, per_part: int = 50, folder: Column | None = None) -> DataFrame:
     """``ranked`` rows with ``file``, named by the ranks in it: ``0001-0050.csv``, in ``folder`` if there is one.
 

@@ -213,3 +213,8 @@ def profile(registry: DataFrame, flags: DataFrame, epic: str) -> tuple[DataFrame
 
     rows = registry.where(F.col("epic_no") == epic).orderBy(F.desc("year"), "id")
     return rows, touching(flags, rows.select(F.col("id").alias("voter_id")))
+
+
+def profile_documents(spark: SparkSession, table: str, epic: str) -> DataFrame:
+    """The stored documents of one ID, newest first; ``table`` was stored by epic_no, and one bucket of it is read."""
+    return spark.table(table).where(F.col("epic_no") == epic).orderBy(F.desc("fetched_at"), "doc_type").withColumn("n_bytes", F.length("image"))

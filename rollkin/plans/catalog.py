@@ -18,6 +18,7 @@ from rollkin.functions import text as tx
 from rollkin.operators import combined, enrichment, explore, extraction, flags, household, rules
 from rollkin.plans import expected_sql as ref
 from rollkin.plans import rendered
+from rollkin.sources import binaries
 from rollkin.sources import registry as rg
 from rollkin.sources.scratch import own_dir, written
 
@@ -630,6 +631,28 @@ def c08_dossier(spark, sf_dir):
     return combined.dossier(rows, registry).select("id", "role", "epic_no", "row_id")
 
 
+def _document_table(registry: DataFrame) -> str:
+    """Documents of every fourth record, as a table by ID."""
+    name = f"documents_{uuid.uuid4().hex}"
+    rows = registry.where("id % 4 = 0 AND epic_no <> ''").select("epic_no", F.concat(F.lit("card "), F.col("year")).alias("doc_type"), F.encode(F.repeat("name", 3), "utf-8").alias("image"), F.col("year").alias("fetched_at"))
+    binaries.store(rows, name, "epic_no", 8, f"{own_dir(registry.sparkSession)}/{name}")
+    return name
+
+
+_DOCUMENTS = "(SELECT epic_no, 'card ' || year AS doc_type, year, octet_length(encode(repeat(name, 3))) AS n_bytes FROM reg WHERE id % 4 = 0 AND epic_no <> '')"
+
+
+@query(f"SELECT w.id, w.role, w.epic_no, d.doc_type, d.n_bytes FROM (SELECT l.id, 'partner' AS role, r.epic_no FROM leads l JOIN reg r ON r.id = l.partner JOIN rep ON rep.id = l.id UNION SELECT id, 'self', epic_no FROM rep) w JOIN {_DOCUMENTS} d ON d.epic_no = w.epic_no", ref.report_ctes())
+def c08_dossier_documents(spark, sf_dir):
+    registry, rows = _report(spark, sf_dir)
+    return combined.dossier_documents(combined.dossier(rows, registry), _document_table(registry)).select("id", "role", "epic_no", "doc_type", "n_bytes")
+
+
+@query(f"SELECT epic_no, doc_type, n_bytes FROM {_DOCUMENTS} WHERE epic_no = 'ABC0000040'")
+def c09_profile_documents(spark, sf_dir):
+    return explore.profile_documents(spark, _document_table(register(spark, sf_dir)), "ABC0000040").select("epic_no", "doc_type", "n_bytes")
+
+
 # households ---------------------------------------------------------------------------
 
 

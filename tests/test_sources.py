@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollkin.operators import combined, enrichment, explore, flags
-from rollkin.sources import named_files, text_index
+from rollkin.sources import binaries, named_files, text_index
 
 
 def listing(path):
@@ -109,6 +109,30 @@ def test_csv_of_a_search(people, tmp_path):
     assert [int(x.split(",")[0]) for x in lines(f"{tmp_path}/out/found.csv")[1:]] == want
 
 
+def test_images_are_read_without_moving_them(spark, tmp_path):
+    rows = spark.range(400).selectExpr("concat('E', id % 90) AS epic_no", "concat('t', id) AS doc_type", "encode(repeat('x', cast(id AS int)), 'utf-8') AS image", "id AS fetched_at")
+    binaries.store(rows.union(rows.limit(1).withColumn("epic_no", F.lit(None))), "docs_test", "epic_no", 8, f"{tmp_path}/docs")
+    wanted = spark.createDataFrame([("E7", 1, "self"), ("E7", 2, "partner"), ("none", 3, "self"), (None, 4, "self")], "epic_no string, id long, role string").withColumn("row_id", F.lit(0))
+    found = combined.dossier_documents(wanted, "docs_test")
+    assert sorted((r["id"], r["doc_type"], r["n_bytes"]) for r in found.collect()) == [(i, f"t{n}", n) for i in (1, 2) for n in (187, 277, 367, 7, 97)]
+    assert sorted(r["doc_type"] for r in binaries.fetched(spark, "docs_test", wanted, "epic_no").collect()) == ["t187", "t277", "t367", "t7", "t97"]
+    assert [r["n_bytes"] for r in explore.profile_documents(spark, "docs_test", "E7").collect()] == [367, 277, 187, 97, 7]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = combined.dossier_documents(wanted, "docs_test")._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    (scan,) = [i for i, x in enumerate(plan) if "FileScan" in x]
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    above, at = [], depth(plan[scan])
+    for x in reversed(plan[:scan]):
+        if depth(x) < at:
+            above.append(x)
+            at = depth(x)
+    assert any("SortMergeJoin" in x for x in above) and not any("Exchange" in x for x in above)
+
+
 def test_no_task_has_two_seats(spark):
     rows = [(f"E{i}", None if i % 37 == 0 else f"S{i % 23}") for i in range(500)]
     work = enrichment.by_seat(spark.createDataFrame(rows, "epic_no string, constituency_no string"))
