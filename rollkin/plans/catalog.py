@@ -850,7 +850,31 @@ def a27_match_count(spark, sf_dir):
 
 @query("SELECT id, epic_no, verified_dob, lookup_status FROM reg WHERE lookup_status IS NULL")
 def p17_pending_list(spark, sf_dir):
-    return explore.search(register(spark, sf_dir), explore.Filters(statuses=(explore.PENDING,))).select(*rg.LIST_COLUMNS).select("id", "epic_no", "verified_dob", "lookup_status")
+    return explore.search(register(spark, sf_dir), explore.Filters(statuses=(explore.PENDING,))).transform(rg.list_rows).select("id", "epic_no", "verified_dob", "lookup_status")
+
+
+#: Columns of a list or dossier that the derived register lacks, here taken from others, in Spark SQL and DuckDB alike.
+_LOOKED_UP = {"part_serial_no": "cast(serial_no + 1 AS string)", "ac_name": "concat('AC ', constituency_no)", "constituency_name": "CASE WHEN id % 3 > 0 THEN concat(' SEAT ', part_no) END", "lookup_officer": "CASE WHEN id % 2 = 0 THEN '  ' ELSE 'officer' END"}
+
+
+def _looked_up(spark, sf_dir):
+    return register(spark, sf_dir).withColumns({c: F.expr(e) for c, e in _LOOKED_UP.items()})
+
+
+_WIDE = "(SELECT *, " + ", ".join(f"{e} AS {c}" for c, e in _LOOKED_UP.items()) + " FROM reg)"
+
+
+@query("SELECT " + ", ".join(c if c in {**rg.DERIVED, **_LOOKED_UP} else f"NULL AS {c}" for c in rg.LIST_COLUMNS) + f" FROM {_WIDE}")
+def p17_all_list_columns(spark, sf_dir):
+    return rg.list_rows(_looked_up(spark, sf_dir))
+
+
+@query(" UNION ALL ".join(
+    f"SELECT id, '{block}' AS block, '{label}' AS label, trim({c}::VARCHAR) AS value FROM {_WIDE} WHERE trim({c}::VARCHAR) <> ''"
+    for block, fields in (("register", rg.REGISTER_FIELDS), ("verified", rg.VERIFIED_FIELDS)) for label, c in fields.items() if c in {**rg.DERIVED, **_LOOKED_UP}
+))
+def p20_all_dossier_fields(spark, sf_dir):
+    return rg.all_fields(_looked_up(spark, sf_dir))
 
 
 @query("SELECT id, count(*) AS fields FROM (" + " UNION ALL ".join(f"SELECT id FROM reg WHERE coalesce({c}::VARCHAR, '') <> ''" for c in ("verified_name", "verified_dob", "mobile_no", "mother_name", "relation_epic", "age")) + ") GROUP BY id")

@@ -12,10 +12,23 @@ NATURAL_KEY = ["year", "constituency_no", "part_no", "serial_no", "epic_no"]
 TEXT_COLUMNS = ["constituency_no", "constituency_name", "part_no", "epic_no", "name", "relation_type", "relation_name", "house_number", "gender", "photo_id"]
 DEFAULT_YEAR = 2025
 
+# The columns of a result list, and the fields of a dossier with their labels. The national ID is left out.
 LIST_COLUMNS = [
-    "id", "epic_no", "name", "verified_name", "constituency_no", "part_no", "serial_no", "relation_type", "relation_name", "house_number", "age", "gender",
-    "verified_dob", "verified_age", "mobile_no", "relation_epic", "relation_type_code", "category_type", "father_or_guardian_name", "mother_name", "lookup_status",
+    "id", "year", "constituency_no", "part_no", "serial_no", "epic_no", "name", "relation_type", "relation_name", "house_number", "age", "gender", "lookup_status",
+    "verified_name", "verified_dob", "mobile_no", "father_or_guardian_name", "mother_name", "part_serial_no", "ac_name", "category_type", "lookup_at",
 ]
+REGISTER_FIELDS = {
+    "Year": "year", "AC": "constituency_no", "AC name": "constituency_name", "Part": "part_no", "Serial": "serial_no", "EPIC": "epic_no", "Roll name": "name", "Relation": "relation_type",
+    "Relation name": "relation_name", "House": "house_number", "Age": "age", "Gender": "gender",
+}
+VERIFIED_FIELDS = {
+    "Verified name": "verified_name", "Verified DOB": "verified_dob", "Verified age": "verified_age", "Mobile": "mobile_no", "Father / guardian": "father_or_guardian_name",
+    "Mother": "mother_name", "Spouse": "spouse_name", "Category": "category_type", "Relation type": "relation_type_code", "Relation / progeny EPIC": "relation_epic",
+    "Relation / progeny name": "relation_name_verified", "Verified house": "verified_house_no", "Verified part": "verified_part_no", "Part serial": "part_serial_no",
+    "Part name": "part_name", "AC name": "ac_name", "District": "district_cd", "State": "state_cd", "Survey channel": "survey_channel",
+    "Submitted for recommendation": "submitted_for_recommendation", "Enum created": "enum_created_on", "Enum modified": "enum_modified_on", "Lookup officer": "lookup_officer",
+    "Lookup AC": "lookup_ac_no", "Enrichment status": "lookup_status",
+}
 
 #: Columns of the derived register; k, s, t, n, b are the part's key, size, type, upper-case name and brand
 #: number. The expressions mean the same in Spark SQL and in DuckDB.
@@ -178,6 +191,19 @@ def parsed_or_untrimmed(trimmed_rows: DataFrame, untrimmed_rows: DataFrame) -> D
     return trimmed_rows.unionByName(untrimmed_rows.join(trimmed_rows, "doc_id", "left_anti"))
 
 
+def list_rows(registry: DataFrame) -> DataFrame:
+    """The columns of a result list; what a register doesn't have is null."""
+    return registry.select(*[F.col(c) if c in registry.columns else F.lit(None).cast("string").alias(c) for c in LIST_COLUMNS])
+
+
+def all_fields(registry: DataFrame) -> DataFrame:
+    """(id, block, label, value): the enrolled and the verified fields of each record that aren't blank, under their labels."""
+    one = lambda block, label, c: F.struct(F.lit(block).alias("block"), F.lit(label).alias("label"), F.trim(F.col(c).cast("string")).alias("value"))
+    blocks = {"register": REGISTER_FIELDS, "verified": VERIFIED_FIELDS}
+    found = F.array(*[one(block, label, c) for block, fields in blocks.items() for label, c in fields.items() if c in registry.columns])
+    return registry.select("id", F.explode(F.filter(found, lambda x: F.coalesce(x["value"], F.lit("")) != "")).alias("f")).select("id", "f.*")
+
+
 def dossier_fields(registry: DataFrame, fields: list[str]) -> DataFrame:
     """(id, label, value): the fields of each record that aren't blank."""
     pairs = F.array(*[F.struct(F.lit(f).alias("label"), F.col(f).cast("string").alias("value")) for f in fields])
