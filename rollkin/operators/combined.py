@@ -10,7 +10,7 @@ from rollkin.functions import text as tx
 from rollkin.operators import rules
 from rollkin.sources import binaries
 from rollkin.sources.named_files import range_name, write_named
-from rollkin.sources.scratch import written
+from rollkin.sources.scratch import sorted_join, written
 
 PARENT_RELATIONS = ("FTHR", "MTHR", "FATHER", "MOTHER", "F", "M")
 CHECKS = ["progeny_overload", "father_name_conflict", "parent_age_under_15", "parent_age_over_50", "grandparent_age_le_40", "age_dob_gap"]
@@ -57,9 +57,9 @@ def findings(registry: DataFrame) -> DataFrame:
     )
     parents = enrolled.select("year", F.col("epic_no").alias("reference"), F.col("their_age").alias("parent_age"), F.col("their_reference").alias("up"), F.lit(True).alias("resolved"))
     elders = enrolled.select("year", F.col("epic_no").alias("up"), F.col("their_age").alias("elder_age"))
-    context = rows.join(progeny_counts(registry), ["year", "reference"], "left").join(
-        rules.reference_groups(registry).select("year", "reference", F.size("father_names").alias("fathers")), ["year", "reference"], "left"
-    ).join(parents, ["year", "reference"], "left").join(elders, ["year", "up"], "left")
+    context = rows.join(sorted_join(progeny_counts(registry)), ["year", "reference"], "left").join(
+        sorted_join(rules.reference_groups(registry).select("year", "reference", F.size("father_names").alias("fathers"))), ["year", "reference"], "left"
+    ).join(sorted_join(parents), ["year", "reference"], "left").join(sorted_join(elders), ["year", "up"], "left")
     is_parent, is_elder = F.col("code").isin(*PARENT_RELATIONS), F.col("code").isin(*tx.GRANDPARENT_CODES)
     parent_gap = F.when(is_parent, F.col("parent_age") - F.col("own_age"))
     elder_gap = F.when(is_elder, F.col("parent_age")).when(is_parent, F.col("elder_age")) - F.col("own_age")
@@ -88,7 +88,7 @@ def duplicate_map(flags: DataFrame, registry: DataFrame) -> DataFrame:
         F.when(F.col("rule") == "cosine_new", "cosine").otherwise("fuzzy").alias("model"), "score", "severity", pair.alias("p")
     ).select("p.id", "model", "p.partner", F.bround(F.col("score").cast("double"), 3).alias("score"), "severity")
     partners = registry.select(F.col("id").alias("partner"), F.col("epic_no").alias("partner_epic"), tx.preferred_name(F.col("verified_name"), F.col("name")).alias("partner_name"))
-    return sides.join(partners, "partner", "left")
+    return sides.join(sorted_join(partners), "partner", "left")
 
 
 def report(registry: DataFrame, flags: DataFrame, constituency: str | None = None) -> DataFrame:
@@ -110,7 +110,7 @@ def report(registry: DataFrame, flags: DataFrame, constituency: str | None = Non
         "id", "year", "epic_no", tx.seat_key(F.col("constituency_no")).alias("constituency"), "part_no", "serial_no", "age", "gender",
         tx.preferred_name(F.col("verified_name"), F.col("name")).alias("name"), (F.lower(F.trim("category_type")) == "na").alias("no_mapping"),
     )
-    rows = people.join(logical, "id", "left").join(leads, "id", "left").fillna(0, ["n_logical", "logical_rank", "n_cosine", "n_fuzzy", "best_dup", "dup_rank"])
+    rows = people.join(sorted_join(logical), "id", "left").join(sorted_join(leads), "id", "left").fillna(0, ["n_logical", "logical_rank", "n_cosine", "n_fuzzy", "best_dup", "dup_rank"])
     rows = rows.withColumn("no_mapping", F.coalesce("no_mapping", F.lit(False))).where("n_logical > 0 OR no_mapping OR n_cosine + n_fuzzy > 0")
     rank = F.greatest("logical_rank", "dup_rank", F.when(F.col("no_mapping"), 1).otherwise(0))
     n_dups = F.col("n_cosine") + F.col("n_fuzzy")
@@ -176,7 +176,7 @@ def dossier(rows: DataFrame, registry: DataFrame) -> DataFrame:
     partner = rows.select("id", F.explode("duplicates").alias("d")).select("id", F.col("d.partner_epic").alias("epic_no"), F.lit("partner").alias("role"))
     wanted = own.union(partner).where("coalesce(epic_no, '') <> ''").distinct()
     history = registry.select("epic_no", F.col("id").alias("row_id"), "year", "name", "age", "lookup_status")
-    found = wanted.join(history, "epic_no")
+    found = wanted.join(sorted_join(history), "epic_no")
     best = F.row_number().over(Window.partitionBy("id", "role", "epic_no").orderBy(F.when(F.col("lookup_status") == "Found", 0).otherwise(1), F.desc("year"), "row_id"))
     return found.withColumn("best", best == 1)
 
