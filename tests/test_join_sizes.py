@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollkin.functions import similarity as sim
-from rollkin.operators import combined, flags, rules
+from rollkin.operators import combined, extraction, flags, rules
 from rollkin.sources import registry as rg
 
 
@@ -37,3 +37,9 @@ def test_records_are_not_broadcast_to_flags(register):
     assert "Broadcast" not in plan(flags.without_old_format(found, reviews))
     leads = rules.dup_epic(register).withColumn("rule", F.lit("fuzzy_new"))
     assert "Broadcast" not in plan(combined.duplicate_map(leads, register))
+
+
+def test_markers_are_not_broadcast(spark, tmp_path):
+    spark.createDataFrame([("D", 0, "| **1** |")], "doc_id string, page_index int, text string").write.parquet(f"{tmp_path}/pages")
+    pages = spark.read.parquet(f"{tmp_path}/pages")
+    assert "Broadcast" not in plan(extraction.pages_to_read_again(extraction.extract(pages), pages))
