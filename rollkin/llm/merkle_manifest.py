@@ -198,13 +198,10 @@ def _proved(row: dict, levels: int) -> tuple[list, ...]:
             sides.append(("".join(level[first:at]), "".join(level[at + 1 : first + FANOUT])))
             at //= FANOUT
         proofs.append(hashlib.sha256("".join(a + b for a, b in sides).encode() + rest).hexdigest())
-        if row["forged"][i] is None:
-            folded.append(row["root"])
-        else:
-            up = row["forged"][i].hex()
-            for a, b in sides + above:
-                up = node([a, up, b])
-            folded.append(up)
+        up = own if row["forged"][i] is None else row["forged"][i].hex()
+        for a, b in sides + above:
+            up = node([a, up, b])
+        folded.append(up)
     n = len(leaves)
     return row["ids"], leaves, [row["subroot"]] * n, [row["root"]] * n, proofs, folded, [x == row["root"] for x in folded]
 

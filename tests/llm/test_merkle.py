@@ -88,3 +88,11 @@ def test_odd_rows(spark):
 def test_empty_table(spark):
     df = merkle_manifest.manifest(spark.createDataFrame([], "doc_id long, source string, lang string, n_chars long, text string"))
     assert df.columns == NAMES and df.count() == 0
+
+
+def test_untampered_leaves_are_folded_up_as_well():
+    """A root that leaf and siblings don't lead to must show."""
+    leaves = [bytes([i]) * 32 for i in range(20)]
+    row = {"ids": list(range(20)), "leaves": leaves, "forged": [None] * 20, "n_blocks": 1, "proof": [], "top_proof": [], "subroot": "0" * 64, "root": "0" * 64}
+    *_, folded, verified = merkle_manifest._proved(row, 2)
+    assert len(set(folded)) == 1 and folded[0] != "0" * 64 and not any(verified)
