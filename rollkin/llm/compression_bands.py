@@ -22,10 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollkin.llm.arrow_text import mix, slices, split_words, starts_of, texts_of
+from rollkin.sources.scratch import broadcast_if_small, discard, written
 
 
-#: Labelled texts that upper limits are fitted on, at most, and the fewest that are enough.
-SAMPLE, ENOUGH = 20_000, 100
+#: The fewest labelled texts that upper limits are fitted on.
+ENOUGH = 100
+#: Ids that are broadcast at most, and the logarithm of the length about which the fit's sums are taken.
+SMALL_IDS, MIDDLE = 500_000, 11.0
 
 
 @dataclass(frozen=True)
@@ -127,27 +130,43 @@ def band_verdict(data: bytes, bands: Bands, packer: zstandard.ZstdCompressor) ->
     return float(ratios[0]), ratios[1:].tolist(), reason
 
 
-def fitted(docs: DataFrame, good: DataFrame, bands: Bands = Bands(), sample: int = SAMPLE, tail: float = 0.002, margin: float = 0.02) -> Bands:
+def fitted(docs: DataFrame, good: DataFrame, bands: Bands = Bands(), sample: int | None = None, tail: float = 0.002, margin: float = 0.02) -> Bands:
     """``bands`` with upper limits that follow the ratios of good texts of each length.
 
-    ``good``: ids (doc_id) of documents labelled as good; of these and of their rows at
-    most ``sample`` are used, the first by a hash. A parabola in the logarithm of the
-    length is fitted to their ratios; the limits lie above it by what all but ``tail``
-    of the texts of about that length need, and by ``margin``. Above the longest text
-    they rise on as the parabola does at its end, and a tenth an octave more. With fewer
-    than ``ENOUGH`` good texts that pass the base rules, ``bands`` comes back unchanged.
+    ``good``: ids (doc_id) of documents labelled as good; all their rows are used, or, with
+    ``sample``, so many of them, the first by a hash. A parabola in the logarithm of the
+    length is fitted to their ratios by least squares; the limits lie above it by what all
+    but ``tail`` of the texts of about that length need, to three digits, and by ``margin``.
+    Above the longest text they rise on as the parabola does at its end, and a tenth an
+    octave more. With fewer than ``ENOUGH`` good texts that pass the base rules, ``bands``
+    comes back unchanged. The driver gets sums and a row for each octave of lengths.
     """
-    ids = good.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    known = judge(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi"), bands).where("NOT base_failed AND ratio IS NOT NULL")
-    rows = known.select("n_bytes", "ratio").orderBy(F.xxhash64("doc_id"), "n_bytes").limit(sample).toArrow()
-    if len(rows) < ENOUGH:
+    ids = good.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    if sample is not None:
+        ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = judge(docs.select("doc_id", "text").join(broadcast_if_small(ids, SMALL_IDS), "doc_id", "left_semi"), bands).where("NOT base_failed AND ratio IS NOT NULL")
+    if sample is not None:
+        known = known.orderBy(F.xxhash64("doc_id"), "n_bytes").limit(sample)
+    rows = written(known.select(F.log2("n_bytes").alias("x"), F.col("ratio").alias("y")), "good_ratios")
+    x, y = F.col("x") - MIDDLE, F.col("y")
+    sums = rows.agg(
+        F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"),
+        *[F.sum(F.pow(x, F.lit(k))).alias(f"x{k}") for k in range(5)], *[F.sum(y * F.pow(x, F.lit(k))).alias(f"y{k}") for k in range(3)],
+    ).first()
+    if sums["n"] < ENOUGH:
+        discard(rows)
         return bands
-    x, y = np.log2(rows["n_bytes"].to_numpy()), rows["ratio"].to_numpy()
-    curve = np.polyfit(x, y, 2 if np.ptp(x) > 3 else 0)
-    off, octave = y - np.polyval(curve, x), np.floor(x)
-    needed = [(o + 0.5, np.quantile(off[octave == o], 1 - tail)) for o in np.unique(octave) if (octave == o).sum() >= ENOUGH // 2]
-    mids, most = zip(*needed) if needed else ((x.mean(),), (np.quantile(off, 1 - tail),))
-    ends = x.min(), x.max()
+    ends = sums["low"], sums["high"]
+    degree = 2 if ends[1] - ends[0] > 3 else 0
+    moments = np.array([[sums[f"x{i + k}"] for k in range(degree + 1)] for i in range(degree + 1)])
+    # sums over partitions differ in their last digits from run to run
+    about = np.round(np.linalg.solve(moments, [sums[f"y{k}"] for k in range(degree + 1)]), 9)
+    curve = np.poly1d(about[::-1])(np.poly1d([1.0, -MIDDLE])).coeffs if degree else about
+    off = F.round(y - sum(float(c) * F.pow(x, F.lit(k)) for k, c in enumerate(about)), 3)
+    by_octave = rows.select(F.floor("x").alias("octave"), off.alias("off")).groupBy("octave").agg(F.count("*").alias("n"), F.percentile("off", F.lit(1 - tail)).alias("most"))
+    needed = [(r["octave"] + 0.5, r["most"]) for r in by_octave.orderBy("octave").collect() if r["n"] >= ENOUGH // 2]
+    mids, most = zip(*needed) if needed else ((sums["low"],), (rows.agg(F.percentile(off, F.lit(1 - tail))).first()[0],))
+    discard(rows)
     at = np.arange(ends[0], ends[1] + 0.5, 0.5).clip(max=ends[1])
     high = np.polyval(curve, at) + np.interp(at, mids, most) + margin
     slope = max(0.0, np.polyval(np.polyder(curve), ends[1])) + 0.1

@@ -765,3 +765,12 @@ def test_fitted_bands_tell_held_out_labels(spark, small):
     assert compression_bands.fitted(docs.limit(0), labels) == compression_bands.Bands()
     few = compression_bands.fitted(docs, labels.where("quality = 1"), sample=120)
     assert few != bands and few.limits[0][2] < few.limits[-1][2]
+
+
+def test_bands_are_fitted_on_every_good_text(spark, monkeypatch):
+    """The longest of 25,000 good texts is the last by the hash that a sample would go by."""
+    docs = spark.range(25_000).selectExpr("id AS doc_id", "'' AS text")
+    last = docs.orderBy(F.xxhash64("doc_id")).tail(1)[0]["doc_id"]
+    sizes = f"CASE WHEN doc_id = {last} THEN 1048576L ELSE 1024L + doc_id % 64 END AS n_bytes"
+    monkeypatch.setattr(compression_bands, "judge", lambda docs, bands: docs.selectExpr("doc_id", "false AS base_failed", sizes, "2.0D AS ratio"))
+    assert max(size for size, _, _ in compression_bands.fitted(docs, docs.select("doc_id")).limits) > 2**29
