@@ -7,9 +7,9 @@ be drawn. One factor, set so that the expected tokens meet the budget, turns the
 into probabilities, and a hash of the document decides.
 
 The topic is a column of the caller's, or a cluster of key words: key words are those that
-a fair part, but not most, of the texts in a bounded sample hold, and they are clustered by
-the key words that they stand together with in the sample's texts. A text's topic is the
-cluster that most of its key words are of.
+a fair part, but not most, of the different texts hold, and they are clustered by the key
+words that they stand together with in all of these texts. A text's topic is the cluster
+that most of its key words are of.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ DIMS = ("source", "lang", "topic")
 NONE = "\x00none"
 SMALL_CELLS = 200_000
 GRID = 64
-#: Texts that key words are taken from, their number, and the part of the sample's texts that holds one.
-TOPIC_SAMPLE, KEY_WORDS, SPREAD = 2_000, 600, (0.004, 0.15)
+#: Number of key words, and the part of the different texts that holds one.
+KEY_WORDS, SPREAD = 600, (0.004, 0.15)
+#: Hashes of texts with copies up to which they are broadcast.
+SMALL_COPIES = 1_000_000
 #: Clusters of key words, rounds in which they settle, and key words that a word's vector has a place for.
 TOPICS, LLOYD_ROUNDS, CONTEXTS = 24, 4, 200
 #: Rounds of raking after which the gap is looked at.
@@ -40,22 +42,23 @@ def words_in(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
 
 
-def key_words(docs: DataFrame, n_words: int = KEY_WORDS, sample: int = TOPIC_SAMPLE) -> DataFrame:
-    """(h, word, held): the key words of each text ``h`` of a sample, and the number of its texts that hold the word.
+def key_words(docs: DataFrame, n_words: int = KEY_WORDS) -> DataFrame:
+    """(h, word, held): the key words of each different text ``h`` of ``docs``, and the number of different texts that hold the word.
 
-    Key words are the ``n_words`` that most texts of the sample hold, of words of four
-    letters and more in no more than ``SPREAD`` of them. The sample is ``sample`` different
-    texts of ``docs``, the first by a hash: the same documents give the same words however
-    they are partitioned.
+    Key words are the ``n_words`` that most texts hold, of words of four letters and more in
+    no more than ``SPREAD`` of them. All texts count, each once however many copies it has.
     """
-    # only hashes are shuffled to find the sample, not texts
     texts = docs.select("text", F.xxhash64("text").alias("h")).where("text IS NOT NULL")
-    first = texts.select("h").distinct().orderBy("h").limit(sample)
-    some = texts.join(F.broadcast(first), "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
-    held = written(some.select("h", F.explode(F.array_distinct(words_in(F.col("text")))).alias("word")).where(F.regexp_like("word", F.lit(r"^\pL{4,}$"))), "sample_words")
-    counts = held.groupBy("word").agg(F.count("*").alias("held"))
-    n = F.broadcast(first.agg(F.count("*").alias("n")))
-    keys = counts.crossJoin(n).where(F.col("held").between(F.col("n") * SPREAD[0], F.col("n") * SPREAD[1])).orderBy(F.desc("held"), "word").limit(n_words).drop("n")  # one row
+    # only hashes are shuffled to find the copies; each of m copies counts as one m-th of a text
+    times = written(texts.groupBy("h").agg(F.count("*").alias("m")), "texts")
+    n = times.count()
+    copies = broadcast_if_small(times.where("m > 1"), SMALL_COPIES)
+    of_text = texts.join(copies, "h", "left").select((1 / F.coalesce("m", F.lit(1))).alias("part"), F.explode(F.array_distinct(words_in(F.col("text")))).alias("word"))
+    counts = of_text.where((F.length("word") >= 4) & F.regexp_like("word", F.lit(r"^\pL{4,}$"))).groupBy("word").agg(F.round(F.sum("part")).cast("long").alias("held"))
+    most = counts.where(F.col("held").between(n * SPREAD[0], n * SPREAD[1])).orderBy(F.desc("held"), "word").limit(n_words)
+    keys = written(most, "keys")
+    known = [r["word"] for r in keys.select("word").collect()]  # at most n_words
+    held = texts.select("h", F.explode(F.filter(words_in(F.col("text")), lambda w: w.isin(known))).alias("word")).distinct()
     return written(held.join(F.broadcast(keys), "word").select("h", "word", "held"), "key_words")
 
 
@@ -66,14 +69,20 @@ def word_clusters(found: DataFrame, topics: int = TOPICS, rounds: int = LLOYD_RO
     word's texts that hold that one too, over how often any text does: what is common says
     little. Centres start at the ``topics`` commonest words; in each round words go to the
     centre with the largest cosine, and centres to their words' mean. A word that stands
-    with none of the contexts goes to the first cluster. All sums run over the sample alone.
+    with none of the contexts goes to the first cluster. All sums run over all texts.
     """
     held = written(found.groupBy("word").agg(F.first("held").alias("held")), "word_counts")
     commonest = lambda n: held.orderBy(F.desc("held"), "word").limit(n).select("word")
-    context = found.join(F.broadcast(commonest(CONTEXTS)), "word", "left_semi").select("h", F.col("word").alias("other"), F.col("held").alias("other_held"))
-    pairs = found.select("h", "word", "held").join(context, "h")
-    # at most KEY_WORDS * CONTEXTS rows
-    raw = pairs.groupBy("word", "other").agg((F.count("*") / F.sqrt(F.first("held") * F.first("other_held"))).alias("x"))
+    names = [r["word"] for r in held.orderBy(F.desc("held"), "word").select("word").collect()]  # the key words
+    places = F.broadcast(found.sparkSession.createDataFrame(list(enumerate(names)), "place int, word string"))
+    of_text = found.join(places, "word").groupBy("h").agg(F.collect_set("place").alias("places"))
+    own, other = F.explode("places").alias("own"), F.explode(F.filter("places", lambda i: i < CONTEXTS)).alias("other")
+    # a pair of words is one number, so that the many pairs of all texts are counted cheaply; at most KEY_WORDS * CONTEXTS are left
+    pairs = of_text.select("places", own).select("own", other).groupBy((F.col("own") * CONTEXTS + F.col("other")).alias("pair")).agg(F.count("*").alias("n"))
+    number = lambda c, name: F.broadcast(held.join(places, "word").select(F.col("place").alias(c), F.col("word").alias(name), F.col("held").alias(f"{name}_held")))
+    split = pairs.select(F.floor(F.col("pair") / CONTEXTS).cast("int").alias("own"), (F.col("pair") % CONTEXTS).alias("at"), "n")
+    raw = split.join(number("own", "word"), "own").join(number("at", "other"), "at").select("word", "other", (F.col("n") / F.sqrt(F.col("word_held") * F.col("other_held"))).alias("x"))
+    raw = written(raw, "pairs")
     norms = raw.groupBy("word").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     vectors = written(raw.join(norms, "word").select("word", "other", (F.col("x") / F.col("norm")).alias("x")), "word_vectors")
     centres = vectors.join(F.broadcast(commonest(topics)), "word", "left_semi").select(F.col("word").alias("cluster"), "other", "x")
