@@ -20,8 +20,8 @@ class Words(NamedTuple):
     counts: np.ndarray  # words of each text
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """``batch`` in runs of rows with about ``limit`` bytes of text each, a row at least."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows with about ``limit`` bytes of text and at most ``rows`` rows each, a row at least."""
     if batch.num_rows == 0:
         return
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -29,6 +29,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        stop = min(stop, start + rows) if rows else stop
         yield batch.slice(start, stop - start)
         start = stop
 

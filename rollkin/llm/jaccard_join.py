@@ -40,7 +40,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollkin.llm.arrow_text import hashes, mix, slices, split_words, starts_of, texts_of
@@ -54,6 +54,10 @@ COMMON = 50
 #: Differences up to which a partition's pairs of parts are its signatures, and the parts it has then.
 ENUMERATED, PARTS = 24, 3
 SKETCH = [f"q{i}" for i in range(16)]
+#: Bytes of text and texts that a task works on at once.
+SLICE, SLICE_ROWS = 2 << 20, 1_000
+#: Cells (a power of two) that features are counted in to tell rare from common, and a salt of their signatures.
+CELLS, RAREST = 1 << 20, np.uint64(0xA24BAED4963EE407)
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +175,7 @@ def _sketch(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE, SLICE_ROWS):
                 text, key = shingle_sets(texts_of(part, "text"), words)
                 rows = part.num_rows
                 columns = [part.column("doc_id"), part.column("text_hash"), pa.array(np.bincount(text, minlength=rows), pa.int64())]
@@ -196,7 +200,7 @@ def _signature_rows(docs: DataFrame, words: int, percent: int, owners: bool) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE, SLICE_ROWS):
                 text, key = shingle_sets(texts_of(part, "text"), words)
                 ids = part.column("doc_id")
                 for band, (owner, sig, left) in enumerate(signatures(text, key, part.num_rows, percent)):
@@ -232,8 +236,8 @@ def _linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for half in slices(batch, "text_a", 4 << 20):
-                for part in slices(half, "text_b", 4 << 20):
+            for half in slices(batch, "text_a", SLICE, SLICE_ROWS):
+                for part in slices(half, "text_b", SLICE):
                     text_a, key_a = shingle_sets(texts_of(part, "text_a"), words)
                     text_b, key_b = shingle_sets(texts_of(part, "text_b"), words)
                     text, key = np.concatenate([text_a, text_b]), np.concatenate([key_a, key_b])
@@ -321,24 +325,42 @@ def _shared_signatures(single: DataFrame, words: int, percent: int) -> DataFrame
 
 
 def _rarest_features(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(sig, doc): of each set of ``docs`` the rarest n - ceil(n percent / 100) + 1 of its n features that another set has too."""
+    """(sig, doc): of each set of ``docs`` the rarest n - ceil(n percent / 100) + 1 of its n features, without those that no other set has.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Similar sets share one of these in whatever order features come, if it is one for all
+    sets. It goes by how many features have a cell of a table of ``CELLS`` cells in common,
+    so that features don't have to be brought together: many in a cell hide only how rare
+    they are.
+    """
+
+    def features(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+        for part in slices(batch, "text", SLICE, SLICE_ROWS):
+            text, key = shingle_sets(texts_of(part, "text"), words)
+            yield part, text, key, (mix(key) & np.uint64(CELLS - 1)).astype(np.int32)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                text, key = shingle_sets(texts_of(part, "text"), words)
-                n = np.bincount(text, minlength=part.num_rows)[text]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(text)), _signed(key), pa.array(n, pa.int64())], names=["doc", "feature", "n"])
+            for _, _, _, cell in features(batch):
+                held, times = np.unique(cell, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(times, pa.int64())], names=["cell", "times"])
+
+    found = docs.mapInArrow(cells, "cell int, times long").groupBy("cell").agg(F.sum("times").alias("times")).where("times > 1").toArrow()  # at most CELLS rows
+    sets = np.ones(CELLS, dtype=np.int32)
+    sets[found["cell"].to_numpy()] = np.minimum(found["times"].to_numpy(), (1 << 31) - 1)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, text, key, cell in features(batch):
+                order = np.lexsort((key, sets[cell], text))
+                text, key, cell = text[order], key[order], cell[order]
+                n = np.bincount(text, minlength=part.num_rows)
+                place = np.arange(len(text)) - starts_of(n)[:-1][text]
+                # a feature alone in its cell is of one set and brings nobody together
+                told = (place <= n[text] - (n[text] * percent + 99) // 100) & (sets[cell] > 1)
+                yield pa.RecordBatch.from_arrays([_signed(mix(key[told] ^ RAREST)), part.column("doc_id").take(pa.array(text[told]))], names=["sig", "doc"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    features = docs.mapInArrow(work, f"doc {kind}, feature long, n long")
-    counts = written(features.groupBy("feature").agg(F.count("*").alias("sets")).where("sets > 1"), "features")
-    # features of one set alone come first in the order, but bring nobody together
-    own = Window.partitionBy("doc")
-    place = F.row_number().over(own.orderBy("sets", "feature")) + F.col("n") - F.count("*").over(own)
-    first = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
-    told = features.join(counts, "feature").withColumns({"place": place, "first": first}).where("place <= first")
-    return told.select(F.xxhash64(F.lit("rarest"), "feature").alias("sig"), "doc")
+    return docs.mapInArrow(rarest, f"sig long, doc {kind}")
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -19,6 +19,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from rollkin.llm import compression_bands, jaccard_join, kd_shards, line_spread, lm_scores, sentence_pieces, source_mix, telephony, token_counts, url_filter
+from rollkin.llm.arrow_text import slices
 from rollkin.llm.piece_model import load, marked_words
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -277,6 +278,27 @@ def test_a_common_passage_brings_few_sets_together(spark, monkeypatch, part):
     assert sum(compared) < 2 * len(rows)
 
 
+@pytest.mark.parametrize("cells", [2, 1 << 20])
+def test_similar_sets_share_a_rare_feature(spark, monkeypatch, cells):
+    """Whatever the table of cells tells of rarity, and without bringing features together."""
+    monkeypatch.setattr(jaccard_join, "CELLS", cells)
+    passage = prose(5, 300)
+    texts = [f"{passage} {prose(3000 + i // 2, 60)}" + " changed" * (i % 2) for i in range(80)]
+    found = jaccard_join._rarest_features(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), 5, 85)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    of = collections.defaultdict(set)
+    for r in found.collect():
+        of[r["doc"]].add(r["sig"])
+    assert all(of[i] & of[i + 1] for i in range(0, 80, 2))
+    if cells > 2:
+        assert not any(of[i] & of[j] for i in range(80) for j in range(80) if i // 2 != j // 2)
+
+
+def test_few_short_texts_are_worked_on_at_once():
+    batch = pa.RecordBatch.from_pydict({"text": ["a"] * 2500})
+    assert [x.num_rows for x in slices(batch, "text", 1 << 20, 1000)] == [1000, 1000, 500] and [x.num_rows for x in slices(batch, "text", 1000, 2000)] == [1000, 1000, 500]
+
+
 def test_signatures_enumerate_parts():
     """In a band of few differences a set's signatures are all pairs of a partition's three parts, worked out one by one."""
     key = np.random.default_rng(6).integers(0, 2**63, size=60, dtype=np.uint64)
@@ -569,6 +591,16 @@ def test_topics_are_clusters_of_key_words(spark, docs, odd, none):
     assert sum(r["topic"] == "other" for r in named) < 0.2 * len(named)  # short texts, and the odd rows
 
 
+def test_key_words_are_of_all_texts(spark):
+    """Every different text counts, each once: 3,000 of them and 500 copies."""
+    rows = [(i, f"common kind{'abcdefghijk'[i % 11]} word{'pqrstuv'[i % 7]} {i}") for i in range(3000)]
+    rows = [(i, t.replace("kind", "sort") if i < 30 else t) for i, t in rows] + [(3000 + i, rows[5 + 77 * 3][1]) for i in range(500)]
+    held = collections.Counter(w for t in {t for _, t in rows} for w in set(t.split()) if w.isalpha())
+    found = source_mix.key_words(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["word"]: r["held"] for r in found} == {w: n for w, n in held.items() if 12 <= n <= 450}
+    assert collections.Counter(r["word"] for r in found) == {r["word"]: r["held"] for r in found}
+
+
 def test_words_that_stand_together_are_one_cluster(spark):
     r = np.random.default_rng(2)
     kinds = [[f"{k}{''.join(chr(97 + int(x)) for x in r.integers(0, 26, 5))}" for _ in range(12)] for k in ("red", "blue", "green")]
