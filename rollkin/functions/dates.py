@@ -41,4 +41,5 @@ def dob_similarity(a: Column, b: Column) -> Column:
 
 def age_closeness(a: Column, b: Column) -> Column:
     """1 at equal ages, falling to 0 at ten years; null if one is missing."""
-    return F.greatest(F.lit(0.0), 1 - F.abs(a - b) / 10.0)
+    # greatest() passes over nulls, so a missing age has to be asked for
+    return F.when(a.isNotNull() & b.isNotNull(), F.greatest(F.lit(0.0), 1 - F.abs(a - b) / 10.0))

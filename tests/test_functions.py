@@ -105,3 +105,8 @@ def test_set_similarity_and_status(spark):
 def test_age_on_a_day(spark, born, day, age):
     row = spark.createDataFrame([(born, day)], "born string, day string").select(dt.age_on(F.col("born").cast("date"), F.col("day").cast("date")).alias("age"))
     assert row.first()["age"] == age
+
+
+def test_age_closeness_of_a_missing_age_is_null(spark):
+    assert one(spark, dt.age_closeness(F.col("a"), F.nullif(F.col("b"), F.lit("")).cast("int")), a=30, b="") is None
+    assert one(spark, dt.age_closeness(F.nullif(F.col("a"), F.lit("")).cast("int"), F.col("b")), a="", b=30) is None
