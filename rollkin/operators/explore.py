@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from rollkin.functions import text as tx
 from rollkin.sources import text_index
@@ -140,32 +141,47 @@ def sort_keys() -> dict[str, list[Key]]:
     }
 
 
+def _ties(rows: DataFrame, keys: list[Key]) -> list[Column]:
+    """The other columns of ``rows``, the name first: they order rows that all ``keys`` leave equal, as where ids repeat."""
+    rest = [f.name for f in rows.schema if f.name not in {k.name for k in keys} and not isinstance(f.dataType, MapType)]
+    return [F.asc_nulls_last(f"`{c}`") for c in sorted(rest, key=lambda c: c != "name")]
+
+
 def page_after(rows: DataFrame, sort: str, token: list | None = None, size: int = 100) -> DataFrame:
     """The next ``size`` rows after those up to ``token``, which ``token_of`` gives for the last row seen.
 
     However deep the page, only the first ``size`` rows beyond the token are kept while
     sorting, and a table that is stored in the order of the sort (``cluster_by``) is read
-    from the files that can hold them on: the first key's bound stands by itself.
+    from the files that can hold them on: the first key's bound stands by itself. Rows
+    that are equal in all keys are counted, so that a page may end among them.
     """
-    keys = sort_keys()[sort]
+    keys, seen = sort_keys()[sort], 0
     if token is not None:
+        *values, seen = token
         later, equal = F.lit(False), F.lit(True)
-        for key, value in zip(keys, token, strict=True):
+        for key, value in zip(keys, values, strict=True):
             later, equal = later | (equal & key.after(value)), equal & key.same(value)
         first = keys[0]
-        if token[0] is None:
-            rows = rows.where(first.column.isNull()).where(later)
+        if values[0] is None:
+            rows = rows.where(first.column.isNull()).where(later | equal)
         else:  # a range by itself, so that files before it are skipped; rows without a first key come after all others
-            known = first.column <= F.lit(token[0]) if first.descending else first.column >= F.lit(token[0])
-            rows = rows.where(known).where(later).union(rows.where(first.column.isNull()))
-    return rows.orderBy(*[k.order() for k in keys]).limit(size)
+            known = first.column <= F.lit(values[0]) if first.descending else first.column >= F.lit(values[0])
+            rows = rows.where(known).where(later | equal).union(rows.where(first.column.isNull()))
+    return rows.orderBy(*[k.order() for k in keys], *_ties(rows, keys)).offset(seen).limit(size)
 
 
-def token_of(rows: DataFrame, sort: str) -> list | None:
-    """Where the page after ``rows`` (one page) goes on; None after an empty page."""
+def token_of(rows: DataFrame, sort: str, before: list | None = None) -> list | None:
+    """Where the page after ``rows`` (one page) goes on; None after an empty page.
+
+    A token is the last row's keys and how many rows with these keys were seen. ``before`` is
+    the token that the page itself began at: it counts where all of a page is equal in the keys.
+    """
     keys = sort_keys()[sort]
-    last = rows.select(*[k.column.alias(k.name) for k in keys]).tail(1)
-    return list(last[0]) if last else None
+    shown = [list(r) for r in rows.select(*[k.column.alias(k.name) for k in keys]).collect()]  # one page
+    if not shown:
+        return None
+    seen = shown.count(shown[-1])
+    return [*shown[-1], seen + (before[-1] if before and before[:-1] == shown[-1] else 0)]
 
 
 def cluster_by(rows: DataFrame, sort: str, path: str) -> None:

@@ -93,6 +93,18 @@ def test_pages_by_token_equal_offsets(people, sort):
     assert seen == [r["id"] for r in people.orderBy(*explore.sort_orders()[sort]).collect()]
 
 
+def test_pages_by_token_keep_rows_whose_ids_repeat(people):
+    """A page may end among rows that are equal in all keys, and be filled by them."""
+    again = people.limit(40).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(5)))).localCheckpoint()
+    token, seen = None, []
+    while True:
+        page = explore.page_after(again, "roll", token, 3)
+        seen += [(r["id"], r["copy"]) for r in page.collect()]
+        if (token := explore.token_of(page, "roll", token)) is None:
+            break
+    assert len(seen) == 200 and len(set(seen)) == 200
+
+
 def test_a_deep_page_skips_files(spark, people, tmp_path):
     explore.cluster_by(people, "roll", f"{tmp_path}/roll")
     stored = spark.read.parquet(f"{tmp_path}/roll")
