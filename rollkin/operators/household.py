@@ -6,11 +6,14 @@ co-residents by a join within houses; components come from the edge table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollkin.functions import text as tx
 from rollkin.operators.components import connected_components
+from rollkin.sources.scratch import sorted_join
 
 HOUSE = ["year", "constituency_no", "house_norm"]
 PARENT_GAP = 13
@@ -39,23 +42,43 @@ def link_score(kind: Column, relation: Column, age: Column, other_age: Column, o
     return F.when(wanted_sex(relation) == other_sex, 2).otherwise(0) + by_age + F.when(exact, 1).otherwise(0)
 
 
+def _first_two(rows: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """The first two rows of each group, numbered in ``place``."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where("place <= 2")
+
+
 def links(people: DataFrame) -> DataFrame:
     """(house, id, target, kind, ...): the best co-resident for each named relation.
 
-    Of equal scores the one earlier on the roll wins (lower part, serial, id).
+    Of equal scores the one earlier on the roll wins (lower part, serial, id). A score only
+    depends on what is wanted (relation, name, age) and on a co-resident's name, age and
+    sex. So names are matched once a house, however many have them, and of the co-residents
+    that are equal in these the first two on the roll stand for all: the second is taken by
+    an elector who would be linked to themself.
     """
+    last = 1_000_000_000
+    wanted = ["relation_norm", "kind", "relation", "age"]
     seeker = people.where("relation_norm <> '' AND kind <> ''")
-    other = people.select(*HOUSE, *[F.col(c).alias(f"o_{c}") for c in ("id", "name", "age", "sex", "name_norm", "serial_no", "part_no")])
     # names that match share a word: joined on it, a house of thousands makes no all-pairs join
-    word = lambda c: F.explode(F.array_distinct(F.split(c, " "))).alias("word")
-    seeker, other = seeker.select("*", word("relation_norm")), other.select("*", word("o_name_norm"))
-    near = seeker.join(other, [*HOUSE, "word"]).where(F.col("id") != F.col("o_id")).where(tx.household_name_match(F.col("relation_norm"), F.col("o_name_norm")))
+    words = lambda df, c: df.select(*HOUSE, c).distinct().select("*", F.explode(F.array_distinct(F.split(c, " "))).alias("word"))
+    names = words(seeker, "relation_norm").join(sorted_join(words(people.withColumnRenamed("name_norm", "o_name_norm"), "o_name_norm")), [*HOUSE, "word"])
+    names = names.where(tx.household_name_match(F.col("relation_norm"), F.col("o_name_norm"))).select(*HOUSE, "relation_norm", "o_name_norm").distinct()
+
+    on_roll = [-F.coalesce(tx.digits_as_int(F.col("part_no")), F.lit(last)), -F.coalesce("serial_no", F.lit(last)), -F.col("id")]
+    order = [f"r{i}" for i in range(len(on_roll))]
+    other = people.where("name_norm <> ''").select(*HOUSE, *[F.col(c).alias(f"o_{c}") for c in ("id", "name", "age", "sex", "name_norm")], *[c.alias(r) for r, c in zip(order, on_roll)])
+    other = _first_two(other, [*HOUSE, "o_name_norm", "o_age", "o_sex"], [F.desc(r) for r in order]).drop("place")
+
+    near = seeker.select(*HOUSE, *wanted).distinct().join(sorted_join(names), [*HOUSE, "relation_norm"]).join(sorted_join(other), [*HOUSE, "o_name_norm"])
     score = link_score(F.col("kind"), F.col("relation"), F.col("age"), F.col("o_age"), F.col("o_sex"), F.col("relation_norm") == F.col("o_name_norm"))
-    last = 1_000_000_000
-    on_roll = [-F.coalesce(tx.digits_as_int(F.col("o_part_no")), F.lit(last)), -F.coalesce("o_serial_no", F.lit(last)), -F.col("o_id")]
-    rank = F.struct(score.alias("score"), *[c.alias(f"r{i}") for i, c in enumerate(on_roll)])
-    best = F.max_by(F.struct("o_id", "o_name", "o_age", "o_sex"), rank)
-    return near.groupBy(*HOUSE, "id", "name", "age", "kind", "relation").agg(best.alias("t")).select(
+    near = _first_two(near.withColumn("score", score), [*HOUSE, *wanted], [F.desc("score"), *[F.desc(r) for r in order]])
+    found = F.struct("o_id", "o_name", "o_age", "o_sex")
+    best = near.groupBy(*HOUSE, *wanted).agg(F.max(F.when(F.col("place") == 1, found)).alias("first"), F.max(F.when(F.col("place") == 2, found)).alias("second"))
+    best = best.select(*[F.col(c).alias(f"w_{c}") for c in (*HOUSE, *wanted)], "first", "second")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"w_{c}")) if c == "age" else F.col(c) == F.col(f"w_{c}") for c in (*HOUSE, *wanted)])
+    target = F.when(F.col("first.o_id") != F.col("id"), F.col("first")).otherwise(F.col("second"))
+    linked = seeker.join(sorted_join(best), same).withColumn("t", target).where("t IS NOT NULL")
+    return linked.select(
         *HOUSE, "id", "name", "age", "kind", "relation", F.col("t.o_id").alias("target"), F.col("t.o_name").alias("target_name"),
         F.col("t.o_age").alias("target_age"), F.col("t.o_sex").alias("target_sex"),
     )

@@ -319,3 +319,27 @@ def test_seat_reports_come_largest_first(register, tmp_path):
     folders = sorted(p.name for p in (tmp_path / "reports").iterdir() if p.is_dir())
     assert [f[:11] for f in folders] == ["seat=00001_", "seat=00002_", "seat=00003_"] and folders[0].endswith("S1")
     assert flags.seat_reports(found, rows, rule="dup_epic").count() == 0 and flags.seat_reports(found, rows, year=2025).count() == 0
+
+
+def _most_rows(spark, df):
+    """The rows that ``df`` has, and the most that any operator of its plan gave."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        n = len(df.collect())
+        left, most = [df._jdf.queryExecution().executedPlan()], 0
+        while left:
+            node = left.pop()
+            rows = node.metrics().get("numOutputRows")
+            most = max(most, rows.get().value() if rows.isDefined() else 0)
+            left += [node.children().apply(i) for i in range(node.children().size())]
+        return n, most
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_a_house_of_one_name_makes_no_pairs(spark):
+    rows = [(2025, "S1", "A1", i, "ANN LEE", 30 + i % 3, "F", "ANN LEE", "ANN LEE", "parent", "M", "1", i) for i in range(300)]
+    people = spark.createDataFrame(rows, "year int, constituency_no string, house_norm string, id long, name string, age int, sex string, name_norm string, relation_norm string, kind string, relation string, part_no string, serial_no int")
+    n, most = _most_rows(spark, household.links(people))
+    assert n == 300 and most <= 1200
+    assert {r["id"]: r["target"] for r in household.links(people).where("id < 3").collect()} == {0: 1, 1: 0, 2: 0}
