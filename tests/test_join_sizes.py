@@ -43,3 +43,9 @@ def test_markers_are_not_broadcast(spark, tmp_path):
     spark.createDataFrame([("D", 0, "| **1** |")], "doc_id string, page_index int, text string").write.parquet(f"{tmp_path}/pages")
     pages = spark.read.parquet(f"{tmp_path}/pages")
     assert "Broadcast" not in plan(extraction.pages_to_read_again(extraction.extract(pages), pages))
+
+
+def test_candidate_pairs_are_not_shuffled_to_be_told_apart(register):
+    pairs = rules.profile_candidates(register)
+    assert "Aggregate" not in plan(pairs)
+    assert pairs.count() == pairs.distinct().count() > 0
