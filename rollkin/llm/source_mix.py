@@ -75,10 +75,10 @@ def word_clusters(found: DataFrame, topics: int = TOPICS, rounds: int = LLOYD_RO
     commonest = lambda n: held.orderBy(F.desc("held"), "word").limit(n).select("word")
     names = [r["word"] for r in held.orderBy(F.desc("held"), "word").select("word").collect()]  # the key words
     places = F.broadcast(found.sparkSession.createDataFrame(list(enumerate(names)), "place int, word string"))
-    of_text = found.join(places, "word").groupBy("h").agg(F.collect_set("place").alias("places"))
-    own, other = F.explode("places").alias("own"), F.explode(F.filter("places", lambda i: i < CONTEXTS)).alias("other")
+    # the contexts are picked once a text, not again for each of its words
+    of_text = found.join(places, "word").groupBy("h").agg(F.collect_list("place").alias("places"), F.collect_list(F.when(F.col("place") < CONTEXTS, F.col("place"))).alias("near"))
     # a pair of words is one number, so that the many pairs of all texts are counted cheaply; at most KEY_WORDS * CONTEXTS are left
-    pairs = of_text.select("places", own).select("own", other).groupBy((F.col("own") * CONTEXTS + F.col("other")).alias("pair")).agg(F.count("*").alias("n"))
+    pairs = of_text.select("near", F.explode("places").alias("own")).select("own", F.explode("near").alias("other")).groupBy((F.col("own") * CONTEXTS + F.col("other")).alias("pair")).agg(F.count("*").alias("n"))
     number = lambda c, name: F.broadcast(held.join(places, "word").select(F.col("place").alias(c), F.col("word").alias(name), F.col("held").alias(f"{name}_held")))
     split = pairs.select(F.floor(F.col("pair") / CONTEXTS).cast("int").alias("own"), (F.col("pair") % CONTEXTS).alias("at"), "n")
     raw = split.join(number("own", "word"), "own").join(number("at", "other"), "at").select("word", "other", (F.col("n") / F.sqrt(F.col("word_held") * F.col("other_held"))).alias("x"))
