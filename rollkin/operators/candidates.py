@@ -106,7 +106,7 @@ def evidence_pairs(view: DataFrame, mobile_counts: DataFrame, points: dict[str,
     """
     keys = composite_keys(EVIDENCE_GROUPS, points, threshold)
     house = F.when(F.col("house_norm") != "", F.concat_ws("|", "house_norm", F.coalesce("constituency_no", F.lit(""))))
-    counted = view.join(mobile_counts.select("year", "mobile_no", F.col("n").alias("mobile_n")), ["year", "mobile_no"], "left")
+    counted = view.join(sorted_join(mobile_counts.select("year", "mobile_no", F.col("n").alias("mobile_n"))), ["year", "mobile_no"], "left")
     grams = with_rare_grams(counted.withColumn("house", house), "name_key", STRONG, "name_gram")
     texts = ["name_key", "sound_key", "dob", "national_id_hash", "mobile_no", "reference", "father", "mother", "spouse", "house", "sex", "name_phonetic", "epic_no"]
     placeholder, born = F.coalesce(F.col("dob").endswith("-01-01"), F.lit(False)), F.substring("dob", 1, 4)
@@ -150,7 +150,7 @@ def alike_texts(texts: DataFrame, threshold: float) -> DataFrame:
     grams = written(sim.vectors(texts.where("key <> ''").select("key").distinct(), text="key"), "grams")
     rare = sim.rare_grams(grams, threshold)
     a, b = (rare.withColumnRenamed("key", x) for x in "ab")
-    pairs = written(a.join(b, "gram").where("a < b").select("a", "b").distinct(), "text_pairs")
+    pairs = written(a.join(sorted_join(b), "gram").where("a < b").select("a", "b").distinct(), "text_pairs")
     found = sim.cosines(pairs, grams).where(F.col("cosine") >= threshold)
     return found.select("a", "b").union(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -168,7 +168,7 @@ def anchored_sound_pairs(view: DataFrame, age_window: int) -> DataFrame:
     own = written(own.select("*", "t.*").drop("t").where("tied <> ''"), "ties")
     names = own.where(F.col("kind").isin(*ANCHOR_NAMES))
     like = written(alike_texts(names.select(F.col("tied").alias("key")), STRONG - 0.0005), "alike")  # similarities are rounded to three digits
-    wide = own.unionByName(names.join(like.select(F.col("a").alias("tied"), F.col("b").alias("other")), "tied").withColumn("tied", F.col("other")).drop("other"))
+    wide = own.unionByName(names.join(sorted_join(like.select(F.col("a").alias("tied"), F.col("b").alias("other"))), "tied").withColumn("tied", F.col("other")).drop("other"))
     a, b = (df.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("age", "epic_no", "sex")], "year", "name_phonetic", "kind", "tied") for df, x in ((wide, "a"), (own, "b")))
     near = F.abs(F.coalesce("age_a", F.lit(0)) - F.coalesce("age_b", F.lit(0))) <= age_window
     where = near & ~F.col("epic_no_a").eqNullSafe(F.col("epic_no_b")) & ~((F.col("sex_a") != "") & (F.col("sex_b") != "") & (F.col("sex_a") != F.col("sex_b")))

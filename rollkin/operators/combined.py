@@ -26,7 +26,7 @@ def _same_reference(registry: DataFrame) -> DataFrame:
     """(year, reference, id, entry) of the records that name a reference with 6 or more IDs."""
     entry = F.concat(tx.preferred_name(F.col("verified_name"), F.col("name")), F.lit(" ("), F.coalesce(F.nullif(F.col("epic_no"), F.lit("")), F.lit("no ID")), F.lit(")"))
     rows = registry.select("id", "year", tx.blank_to_null(F.col("relation_epic")).alias("reference"), entry.alias("entry"))
-    return rows.join(progeny_counts(registry).where("progeny >= 6").select("year", "reference"), ["year", "reference"])
+    return rows.join(sorted_join(progeny_counts(registry).where("progeny >= 6").select("year", "reference")), ["year", "reference"])
 
 
 def siblings(registry: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def siblings(registry: DataFrame) -> DataFrame:
     """
     rows = _same_reference(registry).drop("entry")
     sizes = rows.groupBy("year", "reference").agg((F.count("*") - 1).alias("others"))
-    return rows.join(sizes, ["year", "reference"]).select("id", "year", "reference", "others")
+    return rows.join(sorted_join(sizes), ["year", "reference"]).select("id", "year", "reference", "others")
 
 
 def siblings_of(registry: DataFrame, persons: DataFrame) -> DataFrame:

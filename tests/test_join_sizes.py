@@ -49,3 +49,11 @@ def test_candidate_pairs_are_not_shuffled_to_be_told_apart(register):
     pairs = rules.profile_candidates(register)
     assert "Aggregate" not in plan(pairs)
     assert pairs.count() == pairs.distinct().count() > 0
+
+
+def test_groups_of_references_are_not_broadcast(register):
+    names = register.selectExpr("year", "relation_epic AS reference", "father_or_guardian_name AS father").where("reference IS NOT NULL AND father IS NOT NULL").distinct()
+    assert "Broadcast" not in plan(rules.name_clusters(names))
+    assert "Broadcast" not in plan(rules.sibling_groups(register))
+    assert "Broadcast" not in plan(combined.findings(register))
+    assert "Broadcast" not in plan(combined.siblings(register))
