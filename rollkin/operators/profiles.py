@@ -223,9 +223,9 @@ class Profiles:
 def comparisons(view: DataFrame, age_window: int, mean_weights: dict[str, float], vector_weights: dict[str, float], vector_columns: dict[str, str], models: tuple[str, ...], strict: bool, give: Callable, schema: str, carried: tuple[str, ...] = ()) -> DataFrame:
     """What ``give`` makes of the pairs that ``models`` (fuzzy, cosine) flag.
 
-    ``give`` takes the rows of some groups and (model, i, j, score, compared, similarities)
-    for each part of their pairs, and yields tables of ``schema``; ``carried``: further
-    columns of ``view`` that it reads.
+    ``give`` takes the rows of some groups and parts of their pairs (i, j, scores, compared,
+    similarities), where the scores of a model that doesn't flag a pair are NaN, and yields
+    tables of ``schema``; ``carried``: further columns of ``view`` that it reads.
     """
     order = [("by_sound", age_window), ("by_reference", None), ("by_dob", None)]
     columns = [*_TEXTS, "best_age", "epic", *(k for k, _ in order), *carried]
@@ -236,6 +236,7 @@ def comparisons(view: DataFrame, age_window: int, mean_weights: dict[str, float]
             sims = of.similarities(i, j)
             there = {k: ~np.isnan(x) for k, x in sims.items()}
             loose = of.without_reference(i) | of.without_reference(j) | (not strict)
+            scores, compared = {}, {}
             if "fuzzy" in models:
                 total = weight = np.zeros(len(i))
                 n = np.zeros(len(i), np.int32)
@@ -243,16 +244,18 @@ def comparisons(view: DataFrame, age_window: int, mean_weights: dict[str, float]
                     total, weight, n = total + np.where(there[k], sims[k], 0.0) * w, weight + there[k] * w, n + there[k]
                 score = np.divide(total, weight, out=np.zeros_like(total), where=weight > 0)
                 kept = there["name"] & (n >= 3) & (score >= np.where(loose, 0.66, 0.72))
-                yield "fuzzy", i[kept], j[kept], score[kept], n[kept], {k: x[kept] for k, x in sims.items()}
+                scores["fuzzy"], compared["fuzzy"] = np.where(kept, score, np.nan), n
             if "cosine" in models:
                 n = sum(there[k].astype(np.int32) for k in shown)
                 gated = (sims["name"] >= 0.85) & (n >= 3) & ~(sims["dob"] <= 0)
+                score = np.full(len(i), np.nan)
                 if gated.any():
-                    score = np.full(len(i), -1.0)
                     score[gated] = of.vectors.cosines(i[gated], j[gated])
-                    bar = np.where(of.without_reference(i) | of.without_reference(j), 0.74, 0.80)
-                    kept = gated & (score >= bar)
-                    yield "cosine", i[kept], j[kept], score[kept], n[kept], {k: x[kept] for k, x in sims.items()}
+                bar = np.where(of.without_reference(i) | of.without_reference(j), 0.74, 0.80)
+                scores["cosine"], compared["cosine"] = np.where(score >= bar, score, np.nan), n
+            kept = np.logical_or.reduce([~np.isnan(x) for x in scores.values()])
+            take = lambda found, kept=kept: {k: x[kept] for k, x in found.items()}
+            yield i[kept], j[kept], take(scores), take(compared), take(sims)
 
     def score(rows: pa.Table) -> Iterator[pa.Table]:
         yield from give(rows, flagged(Profiles(rows, order, vector_weights, vector_columns)))
@@ -263,9 +266,49 @@ def comparisons(view: DataFrame, age_window: int, mean_weights: dict[str, float]
 def compared_flags(rows: pa.Table, flagged: Iterator[tuple]) -> Iterator[pa.Table]:
     """A row for each flag: model, a, b, score, n and the similarities."""
     ids = rows["id"].to_numpy()
-    for model, i, j, score, n, sims in flagged:
-        found = {k: pa.array(x, mask=np.isnan(x)) for k, x in sims.items()}
-        yield pa.table({"model": pa.array([model] * len(i), pa.string()), "a": ids[i], "b": ids[j], "score": score, "n": n, **{f"sim_{k}": found[k] for k in ATTRIBUTES}})
+    for i, j, scores, compared, sims in flagged:
+        for model, score in scores.items():
+            at = ~np.isnan(score)
+            found = {k: pa.array(x[at], mask=np.isnan(x[at])) for k, x in sims.items()}
+            yield pa.table({
+                "model": pa.array([model] * int(at.sum()), pa.string()), "a": ids[i[at]], "b": ids[j[at]], "score": score[at], "n": compared[model][at],
+                **{f"sim_{k}": found[k] for k in ATTRIBUTES},
+            })
+
+
+#: Scores from which on a flag is a severe one.
+HIGH = {"cosine": 0.90, "fuzzy": 0.88}
+FLAGS_SCHEMA = "model string, a long, b long, score double, n int, " + ", ".join(f"sim_{k} double" for k in ATTRIBUTES)
 
 
-FLAGS_SCHEMA = "model string, a long, b long, score double, n int, " + ", ".join(f"sim_{k} double" for k in ATTRIBUTES)
+def lead_totals(rows: pa.Table, flagged: Iterator[tuple]) -> Iterator[pa.Table]:
+    """A row for each person of the groups with a flag, on either side: flags of each model, the best score, whether one is high."""
+    ids, place = np.unique(rows["id"].to_numpy(), return_inverse=True)
+    n, best, high = {m: np.zeros(len(ids), np.int64) for m in HIGH}, np.full(len(ids), -1.0), np.zeros(len(ids), np.int64)
+    for i, j, scores, _, _ in flagged:
+        for model, score in scores.items():
+            at = ~np.isnan(score)
+            for x in (place[i[at]], place[j[at]]):
+                n[model] += np.bincount(x, minlength=len(ids))
+                high += np.bincount(x, score[at] >= HIGH[model], len(ids)).astype(np.int64)
+                np.maximum.at(best, x, score[at])
+    some = best >= 0
+    yield pa.table({"id": ids[some], "n_cosine": n["cosine"][some], "n_fuzzy": n["fuzzy"][some], "best": best[some], "high": high[some] > 0})
+
+
+TOTALS_SCHEMA = "id long, n_cosine long, n_fuzzy long, best double, high boolean"
+
+
+def lead_rows(carried: tuple[str, ...]) -> Callable:
+    """Gives (id, model, partner, score) of both sides of each flag, with the partner's ``carried`` columns."""
+
+    def give(rows: pa.Table, flagged: Iterator[tuple]) -> Iterator[pa.Table]:
+        ids = rows["id"].to_numpy()
+        for i, j, scores, _, _ in flagged:
+            for model, score in scores.items():
+                at = ~np.isnan(score)
+                for x, y in ((i[at], j[at]), (j[at], i[at])):
+                    other = rows.select(list(carried)).take(y)
+                    yield pa.table({"id": ids[x], "model": pa.array([model] * len(x), pa.string()), "partner": ids[y], "score": score[at], **{c: other[c] for c in carried}})
+
+    return give

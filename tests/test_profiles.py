@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rollkin.operators import blocks, candidates, profiles, rules
+from rollkin.operators import blocks, candidates, combined, profiles, rules
+from rollkin.plans import catalog
 from rollkin.sources import registry as rg
 
 
@@ -80,3 +81,24 @@ def test_groups_are_scored_whole_however_batches_fall(size):
     assert sum((t["at"].to_pylist() for t in got), []) == list(range(len(groups)))
     held = [set(t["group"].to_pylist()) for t in got]
     assert len(got) > 5 and not any(a & b for n, a in enumerate(held) for b in held[:n])
+
+
+def test_totals_and_sides_of_leads_are_those_of_stored_flags(register):
+    flags = rules.written(rules.duplicate_leads(register), "leads")
+    columns = ["id", "n_cosine", "n_fuzzy", "best_dup", "dup_rank"]
+    lists = combined.lead_lists(flags, register)
+    assert sorted(map(tuple, rules.lead_totals(register).select(*columns).collect())) == sorted(map(tuple, lists.select(*columns).collect())) != []
+    sides = combined.duplicate_map(flags, register)
+    assert sorted(map(tuple, rules.lead_rows(register).select(*sides.columns).collect()), key=repr) == sorted(map(tuple, sides.collect()), key=repr)
+
+
+@pytest.mark.parametrize(("query", "stored"), [
+    ("a19_report_summary", {"register", "view", "leads"}), ("s15_report_parts", {"register", "view", "leads", "ranked"}), ("a19_checks", {"register"}), ("c03_duplicate_map", {"register", "view"}),
+])
+def test_report_queries_store_no_pairs(spark, small, monkeypatch, query, stored):
+    """Names of references, a row each at most, are stored as well."""
+    names, write = set(), rules.written
+    for module in (rules, candidates, combined, catalog, rg):
+        monkeypatch.setattr(module, "written", lambda df, name: names.add(name) or write(df, name))
+    catalog.queries()[query](spark, small)
+    assert names - {"names", "name_pairs", "alike", "many", "gone", "runs"} == stored
