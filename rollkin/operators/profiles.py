@@ -59,6 +59,11 @@ class Texts:
         counts = blocks._counts([self.texts[c] for c in used], blocks.text_grams)
         return blocks.cosine_similarities(counts[place[: len(a)]], counts[place[len(a) :]])
 
+    def cosine(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """For pairs of places, not rounded."""
+        (a, to_a), (b, to_b) = np.unique(self.codes[i], return_inverse=True), np.unique(self.codes[j], return_inverse=True)
+        return self.cosines(a, b)[to_a, to_b]
+
     def _likeness(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         found = self.cosines(a, b)
         found[a[:, None] == b] = 1.0
@@ -136,7 +141,7 @@ def _key(c: str, where: str = "true") -> Column:
 def _of_blocks(view: DataFrame) -> DataFrame:
     """``view`` with the keys of the blocks and IDs as hashes; null: not in the block."""
     return view.withColumns({
-        "by_sound": _key("name_phonetic"), "by_reference": _key("relation_epic"), "by_dob": _key("verified_dob", "verified_dob NOT LIKE '%-01-01'"),
+        "by_sound": _key("name_phonetic"), "by_reference": _key("relation_epic"), "by_dob": _key("verified_dob", "verified_dob NOT LIKE '%-01-01'"), "by_national_id": _key("national_id_hash"),
         "epic": F.when(F.col("epic_no").isNotNull(), F.xxhash64("epic_no")),
     })
 
@@ -312,3 +317,94 @@ def lead_rows(carried: tuple[str, ...]) -> Callable:
                     yield pa.table({"id": ids[x], "model": pa.array([model] * len(x), pa.string()), "partner": ids[y], "score": score[at], **{c: other[c] for c in carried}})
 
     return give
+
+
+# evidence model -------------------------------------------------------------------------
+
+_AGREE = ["sound_key", "national_id_hash", "mobile_no", "reference", "father", "mother", "spouse", "house", "sex"]
+EVIDENCE_SCHEMA = "a long, b long, points double, fired int, shown_name_a string, shown_name_b string, epic_no_a string, epic_no_b string"
+
+
+class Evidence:
+    """The rows of some groups, as the evidence model reads them."""
+
+    def __init__(self, rows: pa.Table, order: list[tuple[str, int | None]], points: dict[str, float]):
+        self.rows, self.keys, self.points, self.signals = rows, Keys(rows, order), points, list(points)
+        self.name, self.dob, self.best_age = Texts(rows["name_key"]), Texts(rows["dob"]), numbers(rows["best_age"])
+        self.codes = {c: blocks.codes(rows[c]) for c in _AGREE}
+        self.shared = rows["mobile_shared"].to_numpy()
+        dates = self.dob.texts
+        self.placeholder = np.array([t.endswith("-01-01") for t in dates], bool)
+        self.born = np.unique(np.array([t[:4] for t in dates], dtype=object).astype(str), return_inverse=True)[1]
+
+    def plain(self, i: np.ndarray, j: np.ndarray) -> dict[str, np.ndarray]:
+        """The signals of pairs of places that aren't of names, in the order in which points are added."""
+        a, b = self.dob.codes[i], self.dob.codes[j]
+        same_date, other_date = self.dob.same(i, j), self.dob.differ(i, j)
+        holder = self.placeholder[a] | self.placeholder[b]
+        years = np.where(self.dob.there(i) & self.dob.there(j), np.nan, np.abs(self.best_age[i] - self.best_age[j]))
+        pair = {c: (x[i], x[j]) for c, x in self.codes.items()}
+        same = {c: (x == y) & (x >= 0) for c, (x, y) in pair.items()}
+        differ = {c: (x != y) & (x >= 0) & (y >= 0) for c, (x, y) in pair.items()}
+        return {
+            "dob_exact": same_date & ~self.placeholder[a], "dob_placeholder": same_date & self.placeholder[a], "dob_year": other_date & holder & (self.born[a] == self.born[b]),
+            "dob_conflict": other_date & ~holder, "age_exact": years == 0, "age_close": (years >= 1) & (years <= 2), "age_far": years >= 8,
+            "national_id": same["national_id_hash"], "national_id_conflict": differ["national_id_hash"], "mobile": same["mobile_no"] & ~self.shared[i], "mobile_shared": same["mobile_no"] & self.shared[i],
+            "relation_epic": same["reference"], "relation_conflict": differ["reference"], "father_name_match": same["father"], "mother_name_match": same["mother"], "spouse_name_match": same["spouse"],
+            "same_house": same["house"], "gender_same": same["sex"], "gender_diff": differ["sex"],
+        }
+
+    def named(self, i: np.ndarray, j: np.ndarray) -> dict[str, np.ndarray]:
+        """The signals of names."""
+        differ, sound = self.name.differ(i, j), self.codes["sound_key"]
+        sounds, cosine = (sound[i] == sound[j]) & (sound[i] >= 0), np.zeros(len(i))
+        if differ.any():
+            cosine[differ] = self.name.cosine(i[differ], j[differ])
+        weak = differ & (cosine < 0.85)
+        return {
+            "name_exact": self.name.same(i, j), "name_strong": differ & (cosine >= 0.85), "name_phonetic": weak & sounds, "name_weak": weak & ~sounds & (cosine >= 0.62),
+            "name_conflict": weak & ~sounds & (cosine < 0.62),
+        }
+
+    def total(self, fired: dict[str, np.ndarray], n: int) -> np.ndarray:
+        total = np.zeros(n)
+        for signal, at in fired.items():
+            total += np.where(at, self.points[signal], 0.0)
+        return total
+
+    def flagged(self, threshold: float) -> Iterator[pa.Table]:
+        ids, most, named = self.rows["id"].to_numpy(), max(self.points["name_strong"], self.points["name_phonetic"], self.points["name_weak"]), ["shown_name", "epic_no"]
+        for i, j in blocks.tiles(self.rows, self.keys.holds):
+            fired = self.plain(i, j)
+            reach = self.total(fired, len(i)) + np.where(self.name.same(i, j), self.points["name_exact"], np.where(self.name.differ(i, j), most, 0.0)) >= threshold - 1e-6
+            i, j = i[reach], j[reach]
+            fired = {**self.named(i, j), **{k: x[reach] for k, x in fired.items()}}
+            total = np.round(self.total(fired, len(i)), 6)
+            bits = np.zeros(len(i), np.int32)
+            for signal, at in fired.items():
+                bits |= at.astype(np.int32) << self.signals.index(signal)
+            kept = total >= threshold
+            i, j = i[kept], j[kept]
+            sides = {f"{c}_{x}": t[c] for x, t in (("a", self.rows.select(named).take(i)), ("b", self.rows.select(named).take(j))) for c in named}
+            yield pa.table({"a": ids[i], "b": ids[j], "points": total[kept], "fired": bits[kept], **{c: sides[c] for c in ("shown_name_a", "shown_name_b", "epic_no_a", "epic_no_b")}})
+
+
+def evidence(view: DataFrame, age_window: int, points: dict[str, float], threshold: float, most_shared: int = 4) -> DataFrame:
+    """Pairs (a, b) of the evidence model's five blocks that reach ``threshold``, with their points, names and IDs.
+
+    ``fired`` has a bit for each signal, in the order of ``points``. ``view`` has
+    ``mobile_n``, how many IDs of the year have the record's number.
+    """
+    order = [("by_sound", age_window), ("by_national_id", None), ("by_reference", None), ("by_dob", None), ("by_mobile", None)]
+    shared = F.coalesce("mobile_n", F.lit(1)) > most_shared
+    keyed = _of_blocks(view).withColumns({
+        "by_mobile": F.when(~shared, _key("mobile_no")), "mobile_shared": shared,
+        "house": F.when(F.col("house_norm") != "", F.xxhash64("house_norm", F.coalesce("constituency_no", F.lit("")))),
+    })
+    records = keyed.withColumns({c: _key(c) for c in _AGREE if c != "house"})
+    columns = ["name_key", "dob", "best_age", *_AGREE, "mobile_shared", "epic", *(k for k, _ in order), "shown_name", "epic_no"]
+
+    def score(rows: pa.Table) -> Iterator[pa.Table]:
+        return Evidence(rows, order, points).flagged(threshold)
+
+    return blocks.streamed_pairs(records, order, columns, score, EVIDENCE_SCHEMA)

@@ -102,3 +102,13 @@ def test_report_queries_store_no_pairs(spark, small, monkeypatch, query, stored)
         monkeypatch.setattr(module, "written", lambda df, name: names.add(name) or write(df, name))
     catalog.queries()[query](spark, small)
     assert names - {"names", "name_pairs", "alike", "many", "gone", "runs"} == stored
+
+
+def test_evidence_model_equals_the_one_over_joined_pairs(register, monkeypatch):
+    counted = register.withColumns({"mobile_no": F.when(F.col("id") % 3 == 0, F.lit("1")).otherwise(F.col("mobile_no")), "national_id_hash": F.when(F.col("id") % 4 == 0, F.concat(F.lit("h"), F.col("id") % 50))})
+    want = found(rules.new_model_1_of(counted, reaching=False))
+    names, write = [], rules.written
+    for module in (rules, candidates):
+        monkeypatch.setattr(module, "written", lambda df, name: names.append(name) or write(df, name))
+    assert found(rules.new_model_1(counted)) == want != []
+    assert names == ["view"]
