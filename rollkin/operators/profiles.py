@@ -319,6 +319,67 @@ def lead_rows(carried: tuple[str, ...]) -> Callable:
     return give
 
 
+#: Partners held before they are given as lists.
+HELD = 500_000
+LISTS_SCHEMA = "id long, start long, gaps array<int>, fuzzy array<short>, cosine array<short>"
+
+
+def partner_lists(rows: pa.Table, flagged: Iterator[tuple]) -> Iterator[pa.Table]:
+    """Lists of a person's partners, as gaps between their sorted ids, with both models' scores in thousandths, 0 for no flag."""
+    ids, held = rows["id"].to_numpy(), []
+    marked = lambda x: np.where(np.isnan(x), 0, np.rint(rounded(np.nan_to_num(x)) * 1000)).astype(np.int16)
+    for i, j, scores, _, _ in flagged:
+        marks = [marked(scores[m]) for m in ("fuzzy", "cosine")]
+        held += [(ids[i], ids[j], *marks), (ids[j], ids[i], *marks)]
+        if sum(len(x[0]) for x in held) >= HELD:
+            yield _listed(*(np.concatenate(x) for x in zip(*held)))
+            held = []
+    if held:
+        yield _listed(*(np.concatenate(x) for x in zip(*held)))
+
+
+def _listed(ids: np.ndarray, partners: np.ndarray, *marks: np.ndarray) -> pa.Table:
+    order = np.lexsort((partners, ids))
+    ids, partners = ids[order], partners[order]
+    gaps = np.diff(partners, prepend=partners[:1])
+    first = (ids != np.concatenate([ids[:1] - 1, ids[:-1]])) | (gaps >= 2**31)
+    gaps[first] = 0
+    offsets = pa.array(np.append(np.flatnonzero(first), len(ids)), pa.int32())
+    listed = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x))
+    lists = {"gaps": listed(gaps.astype(np.int32)), **{k: listed(x[order]) for k, x in zip(("fuzzy", "cosine"), marks)}}
+    return pa.table({"id": ids[first], "start": partners[first], **lists})
+
+
+def partners_in_order(lists: DataFrame) -> DataFrame:
+    """(id, place, partner, model, score): the partners in ``partner_lists``, the best first, later ids first among equals. A person's are ordered in one place."""
+    parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in blocks._whole_groups(batches):
+            yield from _ordered(rows).to_batches(max_chunksize=HELD)
+
+    return lists.withColumnRenamed("id", "group").repartition(parts, "group").sortWithinPartitions("group").mapInArrow(run, "id long, place int, partner long, model string, score double")
+
+
+def _ordered(rows: pa.Table) -> pa.Table:
+    column = {c: rows[c].combine_chunks() for c in ("gaps", "fuzzy", "cosine")}
+    lengths = column["gaps"].value_lengths().to_numpy()
+    flat = {c: x.flatten().to_numpy() for c, x in column.items()}
+    so_far = np.cumsum(flat["gaps"], dtype=np.int64)
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    partner = np.repeat(rows["start"].to_numpy() - so_far[starts], lengths) + so_far
+    person = np.repeat(rows["group"].to_numpy(), lengths)
+    at = np.concatenate([np.flatnonzero(flat[c]) for c in ("fuzzy", "cosine")])
+    fuzzy = np.arange(len(at)) < np.count_nonzero(flat["fuzzy"])
+    mark = np.where(fuzzy, flat["fuzzy"][at], flat["cosine"][at])
+    order = np.lexsort((~fuzzy, -partner[at], -mark.astype(np.int32), person[at]))
+    at, fuzzy, mark = at[order], fuzzy[order], mark[order]
+    ids = person[at]
+    new = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    place = np.arange(len(ids)) - np.repeat(new, np.diff(np.append(new, len(ids)))) + 1
+    return pa.table({"id": ids, "place": place.astype(np.int32), "partner": partner[at], "model": pa.array(np.where(fuzzy, "fuzzy", "cosine")), "score": mark / 1000})
+
+
 # evidence model -------------------------------------------------------------------------
 
 _AGREE = ["sound_key", "national_id_hash", "mobile_no", "reference", "father", "mother", "spouse", "house", "sex"]

@@ -112,3 +112,20 @@ def test_evidence_model_equals_the_one_over_joined_pairs(register, monkeypatch):
         monkeypatch.setattr(module, "written", lambda df, name: names.append(name) or write(df, name))
     assert found(rules.new_model_1(counted)) == want != []
     assert names == ["view"]
+
+
+def test_partners_come_in_the_order_of_the_report(register):
+    flags = rules.written(rules.duplicate_leads(register), "leads")
+    listed = combined.lead_lists(flags, register).select("id", F.posexplode("duplicates").alias("at", "d")).select("id", (F.col("at") + 1).alias("place"), "d.partner", "d.model", "d.score")
+    assert sorted(map(tuple, rules.partners_in_order(register).collect())) == sorted(map(tuple, listed.collect())) != []
+
+
+def test_lists_of_partners_keep_far_and_negative_ids():
+    ids, partners = np.array([5, 5, 1, 5, 5]), np.array([2**40, -(2**40), 7, 3, 4])
+    fuzzy, cosine = np.array([700, 0, 900, 800, 0], np.int16), np.array([0, 900, 900, 800, 950], np.int16)
+    lists = profiles._listed(ids, partners, fuzzy, cosine)
+    assert lists.num_rows == 4
+    got = profiles._ordered(lists.rename_columns(["group", *lists.column_names[1:]])).to_pylist()
+    assert [(r["id"], r["place"], r["partner"], r["model"], r["score"]) for r in got] == [
+        (1, 1, 7, "fuzzy", 0.9), (1, 2, 7, "cosine", 0.9), (5, 1, 4, "cosine", 0.95), (5, 2, -(2**40), "cosine", 0.9), (5, 3, 3, "fuzzy", 0.8), (5, 4, 3, "cosine", 0.8), (5, 5, 2**40, "fuzzy", 0.7),
+    ]
