@@ -188,6 +188,31 @@ def dossier(rows: DataFrame, registry: DataFrame) -> DataFrame:
     return found.withColumn("best", best == 1)
 
 
+def _with_partners(rows: DataFrame, registry: DataFrame, by_epic: DataFrame) -> DataFrame:
+    """(id, role, epic_no, item): what ``by_epic`` (epic_no, items) has for the ID of each person and of each of their partners."""
+    own = rows.where("coalesce(epic_no, '') <> ''").select("id", "epic_no").distinct().join(sorted_join(by_epic), "epic_no").select("id", F.lit("self").alias("role"), "epic_no", "items")
+    partner = rules.partner_items(registry, by_epic).select("id", F.lit("partner").alias("role"), "epic_no", "items")
+    return own.union(partner).select("id", "role", "epic_no", F.explode("items").alias("item"))
+
+
+def whole_dossier(rows: DataFrame, registry: DataFrame) -> DataFrame:
+    """``dossier`` of all persons of a register's report; partners are found here, ``rows`` needn't have them."""
+    best = F.row_number().over(Window.partitionBy("epic_no").orderBy(F.when(F.col("lookup_status") == "Found", 0).otherwise(1), F.desc("year"), "id")) == 1
+    history = registry.where("epic_no <> ''").select("epic_no", F.struct(F.col("id").alias("row_id"), "year", "name", "age", "lookup_status", best.alias("best")).alias("item"))
+    found = _with_partners(rows, registry, history.groupBy("epic_no").agg(F.collect_list("item").alias("items")))
+    return found.select("id", "epic_no", "role", "item.*")
+
+
+def listed_documents(rows: DataFrame, registry: DataFrame, table: str) -> DataFrame:
+    """(id, role, epic_no, doc_type, n_bytes): the stored documents of all persons of a register's report and of their partners.
+
+    Images stay where they are; ``dossier_documents`` attaches those of the persons that are shown.
+    """
+    stored = rows.sparkSession.table(table).where("epic_no <> ''").select("epic_no", F.struct("doc_type", F.length("image").alias("n_bytes")).alias("item"))
+    found = _with_partners(rows, registry, stored.groupBy("epic_no").agg(F.collect_list("item").alias("items")))
+    return found.select("id", "role", "epic_no", "item.*")
+
+
 def dossier_documents(found: DataFrame, table: str) -> DataFrame:
     """(id, role, epic_no, doc_type, image, n_bytes): the stored documents of a dossier's persons and partners.
 

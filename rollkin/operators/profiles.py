@@ -187,13 +187,16 @@ class Profiles:
             self._vectors = Vectors({k: self.text[c] for k, c in self.vector_columns.items()}, self.vector_weights)
         return self._vectors
 
-    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(self, only: str | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of the blocks whose genders don't conflict and that are tied by an anchor."""
         text, dob = self.text, self.text["dob"]
         real = dob.there(slice(None)) & ~self.placeholder[dob.codes]
+        wanted = self.rows[only].to_numpy() if only else None
 
         def holds(p: np.ndarray, q: np.ndarray) -> np.ndarray:
             found, sex = self.keys.holds(p, q), text["sex"]
+            if only:
+                found &= wanted[p][:, None] | wanted[q]
             found &= (sex.codes[p][:, None] == sex.codes[q]) | ~sex.there(p)[:, None] | ~sex.there(q)
             if not found.any():
                 return found
@@ -225,19 +228,19 @@ class Profiles:
         return ~self.text["reference"].there(i) | self.loose[self.text["category"].codes[i]]
 
 
-def comparisons(view: DataFrame, age_window: int, mean_weights: dict[str, float], vector_weights: dict[str, float], vector_columns: dict[str, str], models: tuple[str, ...], strict: bool, give: Callable, schema: str, carried: tuple[str, ...] = ()) -> DataFrame:
+def comparisons(view: DataFrame, age_window: int, mean_weights: dict[str, float], vector_weights: dict[str, float], vector_columns: dict[str, str], models: tuple[str, ...], strict: bool, give: Callable, schema: str, carried: tuple[str, ...] = (), only: str | None = None) -> DataFrame:
     """What ``give`` makes of the pairs that ``models`` (fuzzy, cosine) flag.
 
     ``give`` takes the rows of some groups and parts of their pairs (i, j, scores, compared,
     similarities), where the scores of a model that doesn't flag a pair are NaN, and yields
-    tables of ``schema``; ``carried``: further columns of ``view`` that it reads.
+    tables of ``schema``; ``carried``: further columns of ``view`` that it reads; ``only``: a boolean one that is true for a record of each pair.
     """
     order = [("by_sound", age_window), ("by_reference", None), ("by_dob", None)]
     columns = [*_TEXTS, "best_age", "epic", *(k for k, _ in order), *carried]
     shown = ["name", "dob", "father", "mother", "spouse", "category", "relation_type", "reference", "house", "age", "gender"]
 
     def flagged(of: Profiles) -> Iterator[tuple]:
-        for i, j in of.pairs():
+        for i, j in of.pairs(only):
             sims = of.similarities(i, j)
             there = {k: ~np.isnan(x) for k, x in sims.items()}
             loose = of.without_reference(i) | of.without_reference(j) | (not strict)
@@ -319,6 +322,20 @@ def lead_rows(carried: tuple[str, ...]) -> Callable:
     return give
 
 
+def partner_rows(where: str, carried: tuple[str, ...]) -> Callable:
+    """Gives (id, carried) for both sides of each pair with a flag whose partner has ``where``."""
+
+    def give(rows: pa.Table, flagged: Iterator[tuple]) -> Iterator[pa.Table]:
+        ids, wanted = rows["id"].to_numpy(), rows[where].to_numpy()
+        for i, j, *_ in flagged:
+            for x, y in ((i, j), (j, i)):
+                at = wanted[y]
+                other = rows.select(list(carried)).take(y[at])
+                yield pa.table({"id": ids[x[at]], **{c: other[c] for c in carried}})
+
+    return give
+
+
 #: Partners held before they are given as lists.
 HELD = 500_000
 LISTS_SCHEMA = "id long, start long, gaps array<int>, fuzzy array<short>, cosine array<short>"

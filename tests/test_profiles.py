@@ -129,3 +129,17 @@ def test_lists_of_partners_keep_far_and_negative_ids():
     assert [(r["id"], r["place"], r["partner"], r["model"], r["score"]) for r in got] == [
         (1, 1, 7, "fuzzy", 0.9), (1, 2, 7, "cosine", 0.9), (5, 1, 4, "cosine", 0.95), (5, 2, -(2**40), "cosine", 0.9), (5, 3, 3, "fuzzy", 0.8), (5, 4, 3, "cosine", 0.8), (5, 5, 2**40, "fuzzy", 0.7),
     ]
+
+
+def test_whole_dossier_and_documents_are_those_of_joined_leads(spark, register):
+    """Also where several records of a year have one ID, which then counts once among a person's partners."""
+    rows = rules.written(register.withColumn("epic_no", F.when(F.col("id") % 9 == 0, F.concat(F.lit("S"), F.col("id") % 4)).otherwise(F.col("epic_no"))), "register")
+    listed = combined.report(rows, rules.written(rules.duplicate_leads(rows), "leads"))
+    totals = combined.report(rows, None, leads=rules.lead_totals(rows))
+    columns = ["id", "role", "epic_no", "row_id", "year", "name", "age", "lookup_status"]
+    got, want = (sorted(map(tuple, df.select(*columns).collect()), key=repr) for df in (combined.whole_dossier(totals, rows), combined.dossier(listed, rows)))
+    assert got == want and any(r[1] == "partner" and r[2].startswith("S") for r in got) and any(r[1] == "partner" and r[2].startswith("ABC") for r in got)
+    table = catalog._document_table(rows)
+    columns = ["id", "role", "epic_no", "doc_type", "n_bytes"]
+    got, want = (sorted(map(tuple, df.select(*columns).collect())) for df in (combined.listed_documents(totals, rows, table), combined.dossier_documents(combined.dossier(listed, rows), table)))
+    assert got == want != []
